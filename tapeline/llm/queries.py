@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, sharding, simhash
+from . import decontam, line_dedup, mixing, pii, quality, secrets, sharding, simhash, suffix_dedup, warc
 from .common import table
 
 #: Target weights of the mixture: a quarter from the largest source, the rest in equal shares.
@@ -13,6 +13,10 @@ MIX = {"src0": 0.25}
 MIX_DEFAULT = 0.75 / 19
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -25,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.ledger(table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed"
@@ -35,6 +43,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages")))
+    header = F.transform("headers", lambda h: F.concat(h["name"], F.lit("="), h["value"]))
+    return found.select(
+        F.col("record_id").alias("page_id"), "url", F.col("refers_to").alias("refers_to_page"), "verdict",
+        F.array_join(header, ";").alias("headers"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix_sources(docs, MIX, MIX_DEFAULT, epochs=1.0)
@@ -78,6 +103,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^[hH][tT][tT][pP][sS]?://', '') AS u FROM pages),
+q AS (SELECT page_id, html, regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), '^www\.|:(80|443)$', '', 'g') AS host,
+             regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+             list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]*|ref)='))) AS k FROM p),
+c AS (SELECT page_id, host || path || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS url, CAST(strlen(html) AS VARCHAR) AS size,
+             CASE WHEN page_id % 5 <> 0 THEN CASE WHEN page_id % 3 = 0 THEN 'W/' ELSE '' END || '"' || md5(html) || '"' END AS etag,
+             CASE WHEN page_id % 2 = 0 THEN 'day ' || CAST(page_id // 100 AS VARCHAR) END AS lm FROM q),
+j AS (SELECT v.page_id, v.url, v.etag, v.lm, r.page_id AS rid, r.etag AS retag, r.lm AS rlm, r.size,
+             row_number() OVER (PARTITION BY v.page_id ORDER BY r.page_id DESC NULLS LAST) AS n
+      FROM c v LEFT JOIN c r ON r.url = v.url AND 2 * r.page_id < 2 * (v.page_id + 2000) + 1),
+a AS (SELECT *, coalesce(regexp_replace(etag, '^W/', '') = regexp_replace(retag, '^W/', ''), lm = rlm) AS agree FROM j WHERE n = 1)
+SELECT page_id, url, rid AS refers_to_page,
+       CASE WHEN rid IS NULL THEN 'no response' WHEN agree IS NULL THEN 'unchecked' WHEN agree THEN 'matched' ELSE 'mismatch' END AS verdict,
+       CASE WHEN rid IS NOT NULL AND agree THEN concat_ws(';', 'content-length=' || size, 'content-type=text/html', 'date=' || CAST(2 * (page_id + 2000) + 1 AS VARCHAR),
+            'etag=' || coalesce(etag, retag), 'expires=' || CAST(page_id + 18000 AS VARCHAR), 'last-modified=' || rlm) END AS headers
+FROM a
+"""
+
+
 def mixing_sql(weights: dict[str, float], default: float, seed: int = 17, docs: str = "documents") -> str:
     cases = "".join(f" WHEN '{k}' THEN CAST({v!r} AS DOUBLE)" for k, v in weights.items())
     unit = "CAST(('0x' || substr(md5('{0}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || {1}), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0"
@@ -97,4 +142,4 @@ FROM (SELECT doc_id, source, copies, unnest(range(0, CAST(copies AS BIGINT))) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_mixing": mixing_sql(MIX, MIX_DEFAULT)}
+    return {"op3_decontamination": OP3_SQL, "op5_quality_rules": OP5_SQL, "op9_revisits": OP9_SQL, "op10_mixing": mixing_sql(MIX, MIX_DEFAULT)}

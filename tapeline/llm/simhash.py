@@ -228,7 +228,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Of repeated rows with that id one stays. Rows with a null id stay only in a component without
     other ids, one of each such component.
     """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("simhash_key")
     found = near_duplicates(docs)
-    kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
-    # one row for each id: the exchange for the join also serves the deduplication
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct(), "kept")
+    # one key for both: the exchange for the join also serves the deduplication
+    rows = docs.select(*docs.columns, key).join(kept, "simhash_key", "left_semi")
+    return rows.dropDuplicates(["simhash_key"]).select(*docs.columns)

@@ -14,11 +14,11 @@ def words_at(data: np.ndarray, pad: int = 8) -> np.ndarray:
     return out
 
 
-def refine(first: np.ndarray, width: int, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def refine(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array and ranks, from keys of the first `width` symbols of each suffix.
 
     Groups of equal suffixes are split by the rank of the suffix `h` later, and h doubles; groups of
-    one take no further part. Stops when h reaches depth: suffixes equal so far then share a rank.
+    one take no further part.
     """
     n = len(first)
     sa = np.argsort(first, kind="stable")
@@ -31,7 +31,7 @@ def refine(first: np.ndarray, width: int, depth: int | None = None) -> tuple[np.
     rank[sa] = slot[group]
     live = np.flatnonzero(np.diff(np.append(slot, n))[group] > 1)
     h = width
-    while len(live) and (depth is None or h < depth):
+    while len(live) and h < n:
         at = sa[live]
         then = at + h
         later = np.where(then < n, rank[np.minimum(then, n - 1)] + 1, 0)
@@ -79,7 +79,7 @@ def common_prefixes(words: np.ndarray, sa: np.ndarray, most: int, lanes: int = 8
             high += np.where(empty, k // 8, 0)
             rest = np.where(empty, rest << np.uint64(k), rest)
         high = np.where(differ == 0, 8, high)
-        end = np.where(inside, h + np.minimum(high, room), h)
+        end = np.minimum(np.where(inside, h + np.minimum(high, room), h), n - np.maximum(at, other))
         done = ~go
         shared[at[done]] = np.where(other[done] >= 0, np.minimum(end[done], most), 0)
         h = np.where(go, h + 8, np.maximum(np.minimum(end, most) - 1, 0))
