@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import mix, powers, prefix_hash, slices, text_bytes, written
 from .suffix_array import common_prefixes, refine, words_at
 
-LENGTH, GRAM, PART = 400, 64, 2048
+LENGTH, GRAM, PART = 400, 64, 4096
 #: Bytes of text that a task looks at together, and of snippets in one suffix array.
 CHUNK, SHARD = 1 << 20, 1 << 20
 _PLACE = np.uint64((1 << 31) - 1)
