@@ -440,4 +440,13 @@ SELECT day, CAST(strike AS INTEGER) AS strike, CAST(above AS INTEGER) AS above,
     "hedge_targets": f"""{HELD}, x AS (SELECT day, timestamp, event_id % 21 - 8 AS op, event_id % 13 - 6 AS sp, event_id % 5 AS ov, event_id % 7 AS bv, event_id % 9 AS av, spot, CAST(strike AS DOUBLE) AS strike, tte FROM h WHERE strike = 10000),
 y AS (SELECT *, greatest(0, least(ov, 10 - op)) AS ob, {_cdf(_d1('0.012'))} AS delta FROM x), w AS (SELECT *, greatest(-50 - sp, least(50 - sp, -round_even((op + ob) * delta, 0) - sp)) AS want FROM y)
 SELECT day, timestamp, CAST(ob AS BIGINT) AS option_buy, CAST(CASE WHEN want > 0 THEN least(want, av) WHEN want < 0 THEN -least(-want, bv) ELSE 0 END AS BIGINT) AS hedge FROM w""",
+    "iv_signal": f"""{IV}, b AS (SELECT day, timestamp, strike, spot, tte, iv, CAST(round(price) AS BIGINT) - 1 AS bid, CAST(round(price) AS BIGINT) + 2 AS ask FROM iv), {_z('b', 'iv', W, 'day, strike')}, {_decide(_call('wm'), 1.4, 'day, timestamp, CAST(strike AS INTEGER) AS strike', 2)}""",
+    "exposure_cap": f"""{HELD}, w AS (SELECT *, (event_id * 7 + strike // 100) % 31 - 15 AS quantity, CAST(round(price) AS BIGINT) AS px, row_number() OVER (PARTITION BY day, timestamp ORDER BY strike) AS k FROM h WHERE delta IS NOT NULL),
+r AS (SELECT day, timestamp, CAST(0 AS BIGINT) AS k, exposure AS run, exposure AS e0, 0 AS strike, CAST(0 AS BIGINT) AS quantity, CAST(0 AS BIGINT) AS price, '' AS mechanism FROM ne
+ UNION ALL SELECT day, timestamp, k, run + q * delta, e0, strike, q, CASE WHEN own <> 0 THEN px WHEN position > 0 THEN {SELL_Q.format(b='(px - 1)', a='(px + 2)')} ELSE {BUY_Q.format(b='(px - 1)', a='(px + 2)')} END, CASE WHEN own <> 0 THEN 'signal' ELSE 'reduce' END
+ FROM (SELECT *, CASE WHEN own <> 0 THEN own WHEN abs(e0) >= 40.0 AND position <> 0 AND (position > 0) = (e0 > 0) THEN CASE WHEN position > 0 THEN -1 ELSE 1 END * least(5, abs(position)) ELSE 0 END AS q
+  FROM (SELECT w.*, r.run, r.e0, CAST(CASE WHEN w.quantity = 0 OR delta <= 0 THEN 0 WHEN w.quantity > 0 THEN least(w.quantity, floor(greatest(0.0, 40.0 - run) / delta)) ELSE -least(-w.quantity, floor(greatest(0.0, 40.0 + run) / delta)) END AS BIGINT) AS own
+   FROM r JOIN w ON w.day = r.day AND w.timestamp = r.timestamp AND w.k = r.k + 1) a) b),
+l AS (SELECT day, timestamp, arg_max(run, k) AS ea FROM r GROUP BY day, timestamp)
+SELECT r.day, r.timestamp, r.strike, r.quantity, r.price, r.mechanism, round(l.ea, 4) AS exposure_after FROM r JOIN l ON l.day = r.day AND l.timestamp = r.timestamp WHERE r.quantity <> 0""",
 }
