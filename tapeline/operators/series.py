@@ -6,6 +6,8 @@ SLIDING rows use a sliding frame; longer ones are differences of prefix sums, O(
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -66,6 +68,27 @@ def rolling(df: DataFrame, value: str, window: int, keys: tuple[str, ...] = KEY,
     return out.withColumn("roll_std", F.when(n >= 2, F.sqrt(var))).drop("_c", "_i", "_s", "_q", "_same", "_since")
 
 
+def in_blocks(df: DataFrame, measure: Callable[[DataFrame, tuple[str, ...]], DataFrame], window: int, length: int, span: int, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
+    """measure(rows, keys) for series too long for one task, in blocks of `length` rows of a key.
+
+    A block also gets the window - 1 rows before it, so any measure of the last `window` rows is the
+    same as over the whole series. Row numbers come from counts per time span and ranks inside one:
+    no task sorts a whole key. The order has no ties; length is at least the window.
+    """
+    if length < window:
+        raise ValueError("a block holds a window at least")
+    rows = df.withColumn("_span", F.floor(F.col(order) / span))
+    upto = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row a span
+    counts = rows.groupBy(*keys, "_span").agg(F.count("*").alias("_n"))
+    counts = counts.select(*keys, "_span", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(order))
+    rows = rows.withColumn("_rank", rank).join(counts, [*keys, "_span"]).withColumn("_row", F.col("_before") + F.col("_rank") - 1)
+    own = F.floor(F.col("_row") / length)
+    blocks = F.when(F.col("_row") % length > length - window, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rows.select(*df.columns, own.alias("_own"), F.explode(blocks).alias("_block"))
+    return measure(rows, (*keys, "_block")).filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
+
+
 def zscore(df: DataFrame, value: str, window: int, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
     """Adds z (null until the window is full or without variance) to rolling()."""
     ready = (F.col("roll_n") == window) & (F.col("roll_std") > 0)

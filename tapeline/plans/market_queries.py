@@ -306,7 +306,7 @@ SELECT {keys}, side, CAST(CASE WHEN side = 'buy' THEN size ELSE -size END AS BIG
 
 PN = f"WITH panel AS ({PANEL})"
 OTH = f"{PN}, o AS (SELECT *, sum(mid_price) OVER (PARTITION BY day, timestamp, family) - mid_price AS others FROM panel)"
-REG = "least(1.0, regr_r2(mid_price, {x}))"
+REG = "CASE WHEN max(mid_price) - min(mid_price) < 0.001 OR max({x}) - min({x}) < 0.001 THEN 0.0 ELSE least(1.0, regr_r2(mid_price, {x})) END"
 CH = f"{PN}, ch AS (SELECT *, mid_price - lag(mid_price) OVER (PARTITION BY day, product ORDER BY timestamp) AS change FROM panel), c AS (SELECT *, row_number() OVER (PARTITION BY day, product ORDER BY timestamp) - 1 AS i FROM ch WHERE change IS NOT NULL)"
 LL = f"""{CH}, ls AS (SELECT x.family, x.product AS leader, y.product AS follower, k.lag, x.day, count(*) AS n, sum(x.change) AS sx, sum(y.change) AS sy, sum(x.change * x.change) AS sxx, sum(y.change * y.change) AS syy, sum(x.change * y.change) AS sxy
  FROM c x, (SELECT unnest({LAGS}) AS lag) k, c y WHERE y.day = x.day AND y.family = x.family AND y.i = x.i + k.lag AND y.product <> x.product GROUP BY ALL)"""

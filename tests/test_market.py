@@ -55,6 +55,13 @@ def test_zscore_acf_drift_ema(spark):
         series.rolling(ticks(spark, v), "mid_price", 1)
 
 
+def test_blocks_equal_whole_series(spark):
+    df = ticks(spark, walk(300)).unionByName(ticks(spark, walk(7, 5), 1)).filter("timestamp < 9000 OR timestamp > 14000")
+    whole = series.zscore(df, "mid_price", 9).drop("_x").orderBy("day", "timestamp").collect()
+    parts = series.in_blocks(df, lambda d, k: series.zscore(d, "mid_price", 9, k), 9, 16, 1100).orderBy("day", "timestamp").collect()
+    assert whole == parts
+
+
 def test_causality(spark):
     v = walk(50)
     for f in (lambda d: series.zscore(d, "mid_price", 5), lambda d: series.lag_acf(d, "mid_price", 5, 1), lambda d: series.drift_monitor(d, "mid_price", 5, 1.0)):
