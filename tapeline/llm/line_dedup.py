@@ -11,9 +11,8 @@ word among the first n - ceil(0.8 n) + 1 words of both (prefix), their sizes are
 (length), the words left after the shared one suffice (positional), and the parities of their words'
 hashes over 64 bits differ in no more places than the sets may (an exact bound on the difference).
 
-Only the earliest candidate of each class and prefix word is verified at first, which settles lines
-with many copies without ever listing their pairs. Classes still open then meet all of their other
-candidates.
+All pairs of classes that pass the filters are verified. A pair counts where the first word that
+both share meets, so the words before it are differences too, and no pair counts twice.
 """
 
 from __future__ import annotations
@@ -30,6 +29,10 @@ from .common import LOWER, NOT_SPACE, int64s, mix, prefix_hash, slices, span_has
 BUCKETS, CHUNK = 1 << 21, 1 << 20
 #: Classes that meet at a word in one task; more are cut into parts, and every two parts meet.
 PART = 1 << 15
+#: Words of lines that are sent with their keys to each prefix word; pairs of longer ones are listed.
+SHORT = 64
+#: Pairs held before they are handed on, and compared at once.
+PAIRS, VERIFY = 1 << 20, 1 << 15
 LINES = "k1 long, k2 long, doc_id long, line int, n int, prefix array<int>"
 
 
@@ -96,7 +99,7 @@ def marks(keys: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_xor.reduceat(bit, begin).view(np.int64), np.add.reduceat(mix(keys), begin).view(np.int64)
 
 
-def _lines(shared):
+def _lines(shared, part: int):
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
@@ -111,7 +114,7 @@ def _lines(shared):
                 place = np.arange(len(keys)) - np.repeat(begin, n)
                 first = place < np.repeat(size, n)
                 token = (mix(keys[first]) >> np.uint64(33)).astype(np.int32)
-                hot = counts[(keys[first] & np.uint64(BUCKETS - 1)).astype(np.int64)] > np.log2(PART) * 1024
+                hot = counts[(keys[first] & np.uint64(BUCKETS - 1)).astype(np.int64)] > np.log2(part) * 1024
                 token = np.where(hot, -1 - token, token)  # below 0: may be shared by very many lines
                 offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -126,176 +129,316 @@ def _lines(shared):
 
 
 def fits(parity, n, place, i, j) -> np.ndarray:
-    """Whether classes i and j, which share the words at their places, may match."""
+    """Whether classes i and j may match, and the words at their places be the first that they share.
+
+    The words before the first shared one are in one set only, so they count as differences."""
     both = n[i] + n[j]
     need = least(both)
+    apart = both - 2 * need
     left = np.minimum(n[i] - place[i], n[j] - place[j])
     near = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
-    return near & (left >= need) & (np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)) <= both - 2 * need)
+    return near & (left >= need) & (place[i] + place[j] <= apart) & (np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)) <= apart)
 
 
-def _earliest(key, parity, n, place, open_) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by key and first occurrence. Without open_: each row with the earliest row of its
-    key that may match it. With open_: all such earlier rows of the rows that are open.
+def _reach(key, n) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by key and n: from where to where (exclusive) the rows of its key are within 0.8."""
+    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))).astype(np.int64) << 32
+    return np.searchsorted(group + n, group - (-4 * n // 5)), np.searchsorted(group + n, group + 5 * n // 4, "right")
 
-    All rows of all keys meet the first row of their key, then those still searching the second,
-    and so on: every step is a few numpy calls for the whole batch.
-    """
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    start = np.repeat(edge[:-1], np.diff(edge))
-    place_in_key = np.arange(len(key)) - start
-    later, early = [], []
-    x = np.flatnonzero(place_in_key > 0 if open_ is None else (place_in_key > 0) & open_)
-    step = 0
-    while len(x):
-        y = start[x] + step
-        ok = fits(parity, n, place, x, y)
-        later.append(x[ok])
-        early.append(y[ok])
-        step += 1
-        x = x[(place_in_key[x] > step) & ~ok] if open_ is None else x[place_in_key[x] > step]
-    if not later:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(later), np.concatenate(early)
 
+def _meet(own, parity, n, place, x, y) -> np.ndarray:
+    """Rows below 0 in own meet all others; else rows of different parts meet."""
+    return ((own[x] < 0) | (own[x] != own[y])) & fits(parity, n, place, x, y)
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (meet, doc_id, line, parity, meta[, open]) sorted by meet, doc_id, line."""
-    names = ["doc_id", "line", "first_doc", "first_line"]
 
-    def look(t: pa.Table) -> pa.RecordBatch:
-        meta = t.column(4).to_numpy()
-        open_ = t.column(5).to_numpy() if t.num_columns > 5 else None
-        x, y = _earliest(t.column(0).to_numpy(), t.column(3).to_numpy(), meta >> 32, meta & 0xFFFFFFFF, open_)
-        x, y = t.take(pa.array(x)).combine_chunks(), t.take(pa.array(y)).combine_chunks()
-        arrays = [c.combine_chunks() for c in (x.column(1), x.column(2), y.column(1), y.column(2))]
-        return pa.RecordBatch.from_arrays([a.chunk(0) if isinstance(a, pa.ChunkedArray) and a.num_chunks else a for a in arrays], names)
+def _flags(key, own, parity, n, place) -> np.ndarray:
+    """Whether each row has another of its key that it may match. Every step is a few numpy calls
+    for all rows that still have none: they meet their next neighbour on either side."""
+    low, high = _reach(key, n)
+    some = np.zeros(len(key), bool)
+    x = np.arange(len(key))
+    step = 1
+    while len(x):
+        for y in (x + step, x - step):
+            inside = (y >= low[x]) & (y < high[x])
+            i, j = x[inside], y[inside]
+            ok = _meet(own, parity, n, place, i, j)
+            some[i[ok]] = some[j[ok]] = True
+        step += 1
+        x = x[~some[x] & ((x + step < high[x]) | (x - step >= low[x]))]
+    return some
+
+
+def _pairs(most: int, key, own, parity, n, place) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one key that may match, some at a time."""
+    _, high = _reach(key, n)
+    x, step, held, rows = np.arange(len(key)), 1, [], 0
+    while len(x := x[x + step < high[x]]):
+        ok = x[_meet(own, parity, n, place, x, x + step)]
+        held.append((ok, ok + step))
+        rows += len(ok)
+        if rows > most:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, rows = [], 0
+        step += 1
+    if rows:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
 
+def _by_key(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, in tables of about `most` rows that cut no key."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows < 1 << 18:
+        if rows < most:
             continue
         t = pa.Table.from_batches(held)
         key = t.column(0).to_numpy()
         done = int(np.searchsorted(key, key[-1]))
         if done:
-            yield look(t.slice(0, done))
+            yield t.slice(0, done).combine_chunks()
         held, rows = t.slice(done).to_batches(), len(key) - done
     if rows:
-        yield look(pa.Table.from_batches(held))
-
-
-def candidates(classes: DataFrame, hot: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """doc_id, line, first_doc, first_line: a class and an earlier one that may match it."""
-    rows = classes.withColumn("open", F.lit(True))
-    if only is not None:
-        o = only.select(F.col("doc_id").alias("d"), F.col("line").alias("l"), F.lit(True).alias("is_open"))
-        rows = classes.join(o, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")), "left")
-        rows = rows.select(*classes.columns, F.coalesce("is_open", F.lit(False)).alias("open"))
-    entries = rows.select("doc_id", "line", F.col("k1").alias("parity"), "n", "open", F.posexplode("prefix").alias("place", "token"))
-    entries = entries.withColumn("meta", F.shiftleft(F.col("n").cast("long"), 32) + F.col("place"))
-    if only is not None:
-        # only words of open classes matter; written: broadcast only below Spark's threshold
-        entries = entries.join(written(entries.filter("open").select("token").distinct(), "tokens"), "token")
-    entries = entries.join(hot, "token", "left")
-    own = F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")).cast("int")
-    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("token", F.least(own, k), F.greatest(own, k)))
-    meet = F.explode(F.when(F.col("parts") > 1, meet).otherwise(F.array(F.col("token").cast("long"))))
-    entries = entries.select(meet.alias("meet"), "doc_id", "line", "parity", "meta", *(["open"] if only is not None else []))
-    pairs = entries.repartition("meet").sortWithinPartitions("meet", "doc_id", "line")
-    return pairs.mapInArrow(_candidates, "doc_id long, line int, first_doc long, first_line int").distinct()
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _fetch(shared):
-    names = ["doc_id", "line", "keys"]
+def _columns(t: pa.Table) -> tuple:
+    """key, own, parity, n, place of a table (meet, own, k1, k2, meta, ...)."""
+    meta = t.column(4).to_numpy()
+    return t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), meta >> 32, meta & 0xFFFFFFFF
+
+
+def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in _by_key(batches, 1 << 18):
+        yield from t.filter(pa.array(_flags(*_columns(t)))).to_batches()
 
+
+def _long_pairs(short: int, most: int):
+    def long_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_key(batches, 1 << 18):
+            columns = _columns(t)
+            k1, k2, n = columns[2], t.column(3).to_numpy(), columns[3]
+            for x, y in _pairs(most, *columns):
+                keep = n[y] > short  # y is the longer
+                x, y = x[keep], y[keep]
+                swap = (k1[x] > k1[y]) | ((k1[x] == k1[y]) & (k2[x] > k2[y]))
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1[x], k2[x], k1[y], k2[y])], ["k1", "k2", "j1", "j2"])
+
+    return long_pairs
+
+
+def entries_of(classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """(meet, own, k1, k2, meta) of each prefix word of each class, dealt and sorted by meet and meta.
+    Of words in parts, every two parts meet once, and each part meets itself."""
+    entries = classes.select("k1", "k2", "n", F.posexplode("prefix").alias("place", "token"))
+    entries = entries.withColumn("meta", F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).join(hot, "token", "left")
+    part = F.pmod(F.xxhash64("k1", "k2"), F.col("parts")).cast("int")
+    one = lambda meet, own: F.struct(meet.alias("meet"), own.cast("int").alias("own"))
+    meet = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda k: one(F.xxhash64("token", F.least(part, k), F.greatest(part, k)), F.when(k == part, -1).otherwise(part)),
+    )
+    meet = F.when(F.col("parts") > 1, meet).otherwise(F.array(one(F.col("token").cast("long"), F.lit(-1))))
+    entries = entries.select(F.explode(meet).alias("m"), "k1", "k2", "meta").select("m.meet", "m.own", "k1", "k2", "meta")
+    return entries.repartition("meet").sortWithinPartitions("meet", "meta")
+
+
+def _fetch(shared):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, lines in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for text, lines in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 every = text.encode().split(b"\n")
-                lines = sorted({k for k in lines if k < len(every)})
-                raw = [every[k] for k in lines]
+                raw = [every[k] for k in sorted({k for k in lines if k < len(every)})]
                 at = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-                hashes, line, _, _ = words(np.frombuffer(b"".join(raw), np.uint8), at, 0, len(raw))
-                keys, begin, own = sets(hashes, line, counts)
-                for k, i, j in zip(own.tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)]):
-                    out.append((doc, lines[k], keys[i:j].tobytes()))
+                keys, begin, _ = sets(*words(np.frombuffer(b"".join(raw), np.uint8), at, 0, len(raw))[:2], counts)
+                k1, k2 = marks(keys, begin)
+                ends = [*begin[1:].tolist(), len(keys)]
+                out.extend((a, b, keys[i:j].tobytes()) for a, b, i, j in zip(k1.tolist(), k2.tolist(), begin.tolist(), ends))
             columns = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["k1", "k2", "keys"])
 
     return fetch
 
 
+def keys_for(wanted: DataFrame, classes: DataFrame, rows: DataFrame, shared) -> DataFrame:
+    """k1, k2, doc_id, line, keys of the classes in wanted (k1, k2)."""
+    ones = written(classes.select("k1", "k2", "doc_id", "line").join(wanted.distinct(), ["k1", "k2"]), "classes-wanted")
+    lines = written(ones.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "lines-wanted")
+    texts = rows.join(lines, rows["doc_id"].eqNullSafe(lines["doc_id"])).select("text", "lines")
+    # by its marks a line is known as of its class, also where documents share an id
+    keys = texts.mapInArrow(_fetch(shared), "k1 long, k2 long, keys binary")
+    return written(ones.join(keys, ["k1", "k2"]).dropDuplicates(["k1", "k2"]), "line-keys")
+
+
+class _Sets:
+    """The key sets of some rows, for exact comparisons of many pairs at once."""
+
+    def __init__(self, column: pa.Array):
+        raw = column.to_pylist()
+        self.n = np.array([len(r) // 8 for r in raw], np.int64)
+        self.at = np.concatenate(([0], np.cumsum(self.n)))
+        names, rank = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
+        self.rank, self.size = rank.astype(np.int64), len(names)
+        self.code = np.repeat(np.arange(len(raw)), self.n) * self.size + self.rank
+
+    def shared(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many keys each two rows share, and where in either the first of them is."""
+        n = self.n[x]
+        pair = np.repeat(np.arange(len(x)), n)
+        in_x = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        want = y[pair] * self.size + self.rank[self.at[x][pair] + in_x]
+        hit = np.minimum(np.searchsorted(self.code, want), len(self.code) - 1)
+        f = np.flatnonzero(self.code[hit] == want)
+        count = np.bincount(pair[f], minlength=len(x))
+        first = np.minimum(np.cumsum(count) - count, max(len(f) - 1, 0))
+        if not len(f):
+            return count, first - 1, first - 1
+        return count, in_x[f[first]], hit[f[first]] - self.at[y]
+
+    def match(self, x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        return 9 * shared >= 4 * (self.n[x] + self.n[y])
+
+
+class _Links:
+    """Numbers of links of some rows (k1, k2, doc_id, line), and the earliest row linked to each."""
+
+    def __init__(self, k1: pa.Array, k2: pa.Array, doc: pa.Array, line: pa.Array):
+        self.k1, self.k2, self.doc, self.line = k1, k2, doc, line
+        keys = (line.to_numpy(), doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False))
+        self.order = np.lexsort(keys)
+        differs = np.zeros(max(len(doc) - 1, 0), bool)
+        for k in keys:
+            differs |= k[self.order][1:] != k[self.order][:-1]
+        self.rank = np.empty(len(doc), np.int64)
+        self.starts = np.concatenate(([0], np.flatnonzero(differs) + 1))
+        self.rank[self.order] = np.cumsum(np.concatenate(([0], differs)))
+        self.links = np.zeros(len(doc), np.int64)
+        self.best = np.full(len(doc), len(doc), np.int64)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        for a, b in ((x, y), (y, x)):
+            self.links += np.bincount(a, minlength=len(self.links))
+            before = self.rank[b] < self.rank[a]
+            np.minimum.at(self.best, a[before], self.rank[b[before]])
+
+    def rows(self) -> pa.RecordBatch:
+        some = np.flatnonzero(self.links)
+        known = self.best[some] < len(self.best)
+        one = self.order[self.starts[np.where(known, self.best[some], 0)]]
+        line = np.where(known, self.line.to_numpy()[one], -1).astype(np.int32)
+        at = pa.array(some)
+        return pa.RecordBatch.from_arrays([self.k1.take(at), self.k2.take(at), pa.array(self.links[some]), self.doc.take(pa.array(one)), pa.array(line)], LINK_NAMES)
+
+
+LINK_NAMES = ["k1", "k2", "links", "first_doc", "first_line"]
+LINK_SCHEMA = "k1 long, k2 long, links long, first_doc long, first_line int"  # first_line: -1 if no link is earlier
+
+
+def _one(t: pa.Table, k: int) -> pa.Array:
+    column = t.column(k)
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
+
+def _short_links(most: int, step: int):
+    def short_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (meet, own, k1, k2, meta, doc_id, line, keys) sorted by meet and meta. A pair counts
+        only where its first shared word meets, so that it counts once."""
+        for t in _by_key(batches, 1 << 16):
+            columns = _columns(t)
+            place, keys = columns[4], _Sets(_one(t, 7))
+            out = _Links(*(_one(t, k) for k in (2, 3, 5, 6)))
+            for x, y in _pairs(most, *columns):
+                for i in range(0, len(x), step):
+                    a, b = x[i : i + step], y[i : i + step]
+                    shared, in_a, in_b = keys.shared(a, b)
+                    ok = keys.match(a, b, shared) & (in_a == place[a]) & (in_b == place[b])
+                    out.add(a[ok], b[ok])
+            yield out.rows()
+
+    return short_links
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k1, k2, doc_id, line, keys, j1, j2, other_doc, other_line, other_keys)."""
     for batch in batches:
-        x, y = (batch.column(k).to_pylist() for k in (4, 5))
-        ok = []
-        for a, b in zip(x, y):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            ok.append(9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b)))
-        yield batch.filter(pa.array(ok, pa.bool_())).select([0, 1, 2, 3])
-
-
-def verified(pairs: DataFrame, rows: DataFrame, shared) -> DataFrame:
-    """The pairs whose lines' sets have a Jaccard similarity of 0.8 or more."""
-    ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("first_doc").alias("doc_id"), F.col("first_line").alias("line")))
-    wanted = written(ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "lines-wanted")
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select(rows["doc_id"], "text", "lines")
-    keys = written(texts.mapInArrow(_fetch(shared), "doc_id long, line int, keys binary").distinct(), "line-keys")
-    first = keys.select(F.col("doc_id").alias("fd"), F.col("line").alias("fl"), F.col("keys").alias("b"))
-    both = pairs.join(keys.withColumnsRenamed({"doc_id": "d", "line": "l"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")))
-    both = both.join(first, F.col("first_doc").eqNullSafe(F.col("fd")) & (F.col("first_line") == F.col("fl")))
-    both = both.select("doc_id", "line", "first_doc", "first_line", "keys", "b")
-    return both.mapInArrow(_verify, "doc_id long, line int, first_doc long, first_line int")
-
-
-def matched_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, matches): every line with words and its class's first occurrence; and for each class
-    with an earlier match, one such line."""
+        for low in range(0, batch.num_rows, 256):  # long lines: few at a time
+            b = batch.slice(low, 256)
+            m = b.num_rows
+            both = [pa.concat_arrays([b.column(k), b.column(k + 5)]) for k in range(5)]
+            keys, out = _Sets(both[4]), _Links(*both[:4])
+            x, y = np.arange(m), np.arange(m, 2 * m)
+            ok = keys.match(x, y, keys.shared(x, y)[0])
+            out.add(x[ok], y[ok])
+            yield out.rows()
+
+
+def links_of(classes: DataFrame, hot: DataFrame, rows: DataFrame, shared) -> DataFrame:
+    """k1, k2, links, match: for each class with links to others, their number and the first
+    occurrence (doc_id, line) of the earliest one before it, null if there is none.
+
+    Lines of up to SHORT words: the entries with a possible partner are dealt again, with their
+    keys, and counted where they meet; pairs never become rows. Longer lines, whose keys would be
+    sent once per prefix word: the pairs of classes are listed once each, and verified."""
+    schema = "meet long, own int, k1 long, k2 long, meta long"
+    active = written(entries_of(classes.filter(F.col("n") <= SHORT), hot).mapInArrow(_active, schema), "active")
+    pairs = entries_of(classes.filter(5 * F.col("n") > 4 * F.lit(SHORT)), hot).mapInArrow(_long_pairs(SHORT, PAIRS), "k1 long, k2 long, j1 long, j2 long")
+    pairs = written(pairs.distinct(), "long-pairs")
+    wanted = active.select("k1", "k2").unionByName(pairs.select("k1", "k2")).unionByName(pairs.select(F.col("j1").alias("k1"), F.col("j2").alias("k2")))
+    keys = keys_for(wanted, classes, rows, shared)
+    met = active.join(keys, ["k1", "k2"]).select("meet", "own", "k1", "k2", "meta", "doc_id", "line", "keys")
+    found = met.repartition("meet").sortWithinPartitions("meet", "meta").mapInArrow(_short_links(PAIRS, VERIFY), LINK_SCHEMA)
+    other = keys.toDF("j1", "j2", "other_doc", "other_line", "other_keys")
+    both = pairs.join(keys, ["k1", "k2"]).join(other, ["j1", "j2"])
+    both = both.select("k1", "k2", "doc_id", "line", "keys", "j1", "j2", "other_doc", "other_line", "other_keys")
+    found = found.unionByName(both.mapInArrow(_verify, LINK_SCHEMA))
+    first = F.when(F.col("first_line") >= 0, F.struct(F.col("first_doc").alias("doc_id"), F.col("first_line").alias("line")))
+    return found.groupBy("k1", "k2").agg(F.sum("links").alias("links"), F.min(first).alias("match"))
+
+
+def linked_lines(docs: DataFrame) -> DataFrame:
+    """k1, k2, doc_id, line, class_doc, class_line, members, links, match: every line of a class that has
+    more members or links, with its class's first occurrence, its members, and its links."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(rarity(rows))
-    lines = written(rows.mapInArrow(_lines(shared), LINES), "lines")
-    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = written(classes.select("k1", "k2", "one.doc_id", "one.line", "n", "prefix"), "classes")
+    lines = written(rows.mapInArrow(_lines(shared, PART), LINES), "lines")
+    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
+    classes = written(classes.select("k1", "k2", "one.doc_id", "one.line", "n", "prefix", "members"), "classes")
     hot = classes.select(F.explode("prefix").alias("token")).filter("token < 0").groupBy("token").count().filter(F.col("count") > PART)
     hot = written(hot.select("token", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "hot-words")
-    pairs = written(candidates(classes, hot), "candidates")
-    good = written(verified(pairs, rows, shared), "matches")
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["line"] == b["line"])
-    found = good.select("doc_id", "line").distinct()
-    some = pairs.select("doc_id", "line").distinct()
-    left = written(some.join(found, same(some, found), "left_anti"), "open")
-    if not left.isEmpty():
-        rest = written(candidates(classes, hot, left), "more-candidates").exceptAll(pairs)
-        good = good.unionByName(verified(written(rest, "rest"), rows, shared))
-    best = good.groupBy("doc_id", "line").agg(F.min(F.struct("first_doc", "first_line")).alias("match"))
-    firsts = classes.select("k1", "k2", F.col("doc_id").alias("class_doc"), F.col("line").alias("class_line"))
-    return lines.select("k1", "k2", "doc_id", "line").join(firsts, ["k1", "k2"]), best
+    links = written(links_of(classes, hot, rows, shared), "links")
+    known = classes.select("k1", "k2", F.col("doc_id").alias("class_doc"), F.col("line").alias("class_line"), "members").join(links, ["k1", "k2"], "left")
+    known = written(known.filter("members > 1 OR links IS NOT NULL").withColumn("links", F.coalesce("links", F.lit(0))), "known")
+    return lines.select("k1", "k2", "doc_id", "line").join(known, ["k1", "k2"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed: (line, doc_id of an earlier match) by line, from 0.
+    """doc_id, n_lines, n_removed, removed: (line, doc_id of the earliest match) by line, from 0; linked:
+    (line, class_id, class_doc, class_line, links) of each line whose class has other lines or links.
+
+    Lines with one set of words have one class_id, known by its first occurrence (class_doc,
+    class_line); links: how many other classes match it, before or after. Lines not in linked are
+    classes of their own without links.
 
     docs: doc_id, text; other columns are ignored. A null text has no lines, an empty one has one.
     Lines without words stay. A null doc_id is before all others. Repeated rows are one document:
     each has a row, and its lines are no earlier lines of the other. An empty table gives none.
     """
-    lines, best = matched_lines(docs)
-    best = best.select(F.col("doc_id").alias("class_doc"), F.col("line").alias("class_line"), "match")
-    known = written(lines.join(best, lines["class_doc"].eqNullSafe(best["class_doc"]) & (lines["class_line"] == best["class_line"]), "left").select(
-        lines["doc_id"], lines["line"], lines["class_doc"], lines["class_line"], "match"), "known")
     first = F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line") == F.col("class_line"))
-    gone = known.filter(~first | F.col("match").isNotNull())
-    gone = gone.select(F.col("doc_id").alias("d"), F.struct("line", F.when(first, F.col("match.first_doc")).otherwise(F.col("class_doc")).alias("doc_id")).alias("x"))
-    gone = gone.groupBy("d").agg(F.sort_array(F.collect_set("x")).alias("removed"))
+    # a later member's earliest match may be the class itself or a class that it is linked to
+    own = F.struct(F.col("class_doc").alias("doc_id"), F.col("class_line").alias("line"))
+    match = F.when(first, F.col("match")).otherwise(F.least(own, F.coalesce("match", own)))
+    gone = F.when(match.isNotNull(), F.struct("line", match["doc_id"].alias("doc_id")))
+    link = F.struct("line", F.lower(F.format_string("%016x%016x", "k1", "k2")).alias("class_id"), "class_doc", "class_line", "links")
+    found = linked_lines(docs).select(F.col("doc_id").alias("d"), gone.alias("gone"), link.alias("link"))
+    found = found.groupBy("d").agg(F.sort_array(F.collect_set("gone")).alias("removed"), F.sort_array(F.collect_set("link")).alias("linked"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return rows.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed")
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    return rows.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed", "linked")
 
 
 def remove_lines(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -61,6 +62,47 @@ def test_line_dedup_of_many_near_copies(spark):
     assert got == set(range(1, len(lines)))
 
 
+@pytest.mark.parametrize("part, short", [(1 << 15, 64), (16, 64), (16, 0), (1 << 15, 18)])
+def test_line_dedup_counts_every_link(spark, monkeypatch, part, short):
+    """Class, number of links and earliest match of every line against brute force, with words in
+    parts or not, and lines on either side of the length at which pairs are listed."""
+    monkeypatch.setattr(line_dedup, "PART", part)
+    monkeypatch.setattr(line_dedup, "SHORT", short)
+    monkeypatch.setattr(line_dedup, "PAIRS", 50)
+    monkeypatch.setattr(line_dedup, "VERIFY", 30)
+    base = [f"w{i}" for i in range(20)]
+    near = [" ".join(base[:k] + [f"new{k}-{j}"] + base[k + 1 :]) for k in range(0, 20, 4) for j in range(6)]
+    near += [" ".join(base[:k]) for k in range(14, 20)] + [" ".join(reversed(base)), "A B C D E", "a b c d", "c d e a b", "a b c d e f"]
+    more = spark.createDataFrame([(95000 + i // 3, "\n".join(near[i : i + 3])) for i in range(0, len(near), 3)], "doc_id long, text string")
+    docs = documents(spark).select("doc_id", "text").filter("doc_id IS NULL OR doc_id < 120 OR doc_id > 90000").unionByName(more)
+    first, sets = {}, set()
+    for doc, text in texts(docs):
+        for k, line in enumerate((text or "").encode().split(b"\n")):
+            if words := frozenset(line.lower().split()):
+                at = (*_id(doc), k)
+                sets.add((at, words))
+                first[words] = min(first.get(words, at), at)
+    links, classes = defaultdict(set), list(first)
+    for i, s in enumerate(classes):
+        for t in classes[:i]:
+            if 5 * len(s & t) >= 4 * len(s | t):
+                links[s].add(first[t])
+                links[t].add(first[s])
+    members = Counter(s for _, s in sets)
+    doc = lambda at: at[1] if at[0] else None
+    want_linked = {(doc(at), at[2], doc(first[s]), first[s][2], len(links[s])) for at, s in sets if members[s] > 1 or links[s]}
+    want_removed = {(doc(at), at[2], doc(min(b))) for at, s in sets if (b := [x for x in {first[s], *links[s]} if x < at])}
+    linked, removed, ids = set(), set(), set()
+    for r in line_dedup.dedup_lines(docs).collect():
+        linked |= {(r.doc_id, x.line, x.class_doc, x.class_line, x.links) for x in r.linked or ()}
+        ids |= {(x.class_id, x.class_doc, x.class_line) for x in r.linked or ()}
+        removed |= {(r.doc_id, x.line, x.doc_id) for x in r.removed or ()}
+    extra = {(d, k) for d, k, *_ in linked - want_linked}  # the members of rows with one id are counted by row
+    assert want_linked <= linked and extra <= {(90003, 0)}
+    assert removed == want_removed
+    assert len({i for i, *_ in ids}) == len(ids) and max(len(x) for x in links.values()) > 30
+
+
 def test_sharding(spark):
     docs = documents(spark)
     got = sharding.shard_documents(docs, 7).collect()
