@@ -13,6 +13,9 @@ from tapeline.functions.stats import correlation, line, sums
 from tapeline.operators import regime, series
 
 EXPIRY = 8.25
+#: Candidate expiries: a wide grid, then steps around its best one.
+COARSE = [3.0 + i for i in range(38)]
+FINE_BELOW, FINE_STEP, FINE_POINTS = 0.75, 0.05, 31
 KEYS = ("day", "strike")
 
 
@@ -34,14 +37,17 @@ def smile(ivs: DataFrame) -> DataFrame:
     return ivs.groupBy(*KEYS).agg(F.avg("iv").alias("mean_iv"), F.stddev_pop("iv").alias("std_iv"), F.count("iv").alias("n"), F.sum(F.col("iv").isNull().cast("long")).alias("skipped"))
 
 
-def _by_expiry(q: DataFrame, grid: list[float], stride: int) -> DataFrame:
+def _by_expiry(q: DataFrame, grid: list[float] | DataFrame, stride: int) -> DataFrame:
     every = series.every(q, stride, KEYS)
-    rows = every.select("*", F.explode(F.array(*[F.lit(float(d)) for d in grid])).alias("expiry"))
+    if isinstance(grid, DataFrame):
+        rows = every.crossJoin(F.broadcast(grid))  # some tens of rows
+    else:
+        rows = every.select("*", F.explode(F.array(*[F.lit(float(d)) for d in grid])).alias("expiry"))
     rows = rows.withColumn("tte", F.col("expiry") - F.col("day") - F.col("timestamp") / F.lit(1_000_000.0)).filter("tte > 0")
     return rows.withColumn("iv", pricing.implied_vol(F.col("price"), F.col("spot"), F.col("strike").cast("double"), F.col("tte"))).filter("iv IS NOT NULL")
 
 
-def expiry_scores(q: DataFrame, grid: list[float], stride: int = 1) -> DataFrame:
+def expiry_scores(q: DataFrame, grid: list[float] | DataFrame, stride: int = 1) -> DataFrame:
     """expiry, dispersion: (max - min) / mean over days of each day's mean iv; expiries at which a day
     has no iv have none. The grid is exploded per quote; one fold per candidate."""
     days = q.select("day").distinct().agg(F.count("*").alias("days"))
@@ -56,7 +62,20 @@ def calibrated_expiry(scored: DataFrame) -> DataFrame:
     return scored.agg(best.alias("b")).select("b.expiry", "b.dispersion")
 
 
-def calibrated_expiry_by_strike(q: DataFrame, grid: list[float], stride: int = 1) -> DataFrame:
+def fine_grid(coarse: DataFrame) -> DataFrame:
+    """expiry: the fine grid around the best of a scored coarse one; empty if none has a score."""
+    best = calibrated_expiry(coarse).filter("expiry IS NOT NULL")
+    return best.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(FINE_POINTS - 1)), lambda i: F.col("expiry") - FINE_BELOW + F.lit(FINE_STEP) * i)).alias("expiry"))
+
+
+def expiry_scan(q: DataFrame) -> DataFrame:
+    """scan (coarse or fine), expiry, dispersion over all quotes: a wide grid, then a fine one around its best."""
+    coarse = expiry_scores(q, COARSE)
+    fine = expiry_scores(q, fine_grid(coarse))
+    return coarse.select(F.lit("coarse").alias("scan"), "*").unionByName(fine.select(F.lit("fine").alias("scan"), "*"))
+
+
+def calibrated_expiry_by_strike(q: DataFrame, grid: list[float] | DataFrame, stride: int = 1) -> DataFrame:
     """Per strike: the expiry of the least dispersion over days; expiries without all days don't count."""
     days = q.select("day").distinct().agg(F.count("*").alias("days"))
     means = _by_expiry(q, grid, stride).groupBy("strike", "expiry", "day").agg(F.avg("iv").alias("m"))

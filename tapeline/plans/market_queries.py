@@ -201,6 +201,20 @@ def expiry_by_strike(spark, sf):
     return options.calibrated_expiry_by_strike(fixtures.quotes(spark, sf), EXPIRIES, 20).select("strike", "expiry", *r6("dispersion"))
 
 
+def expiry_scan(spark, sf):
+    return options.expiry_scan(fixtures.quotes(spark, sf)).select("scan", *r6("expiry", "dispersion"))
+
+
+def scanned_expiry(spark, sf):
+    return options.calibrated_expiry(options.expiry_scan(fixtures.quotes(spark, sf)).filter("scan = 'fine'")).select(*r6("expiry", "dispersion"))
+
+
+def scanned_expiry_by_strike(spark, sf):
+    q = fixtures.quotes(spark, sf)
+    grid = options.fine_grid(options.expiry_scores(q, options.COARSE))
+    return options.calibrated_expiry_by_strike(q, grid).select("strike", *r6("expiry", "dispersion"))
+
+
 def iv_trend(spark, sf):
     out = options.trend_consistency(_ivs(spark, sf))
     return out.select("day", "strike", "n", F.round(F.col("relative_slope") * 1e6, 4).alias("per_million"))
@@ -273,7 +287,7 @@ QUERIES = (
     level_stats, outer_vs_mid, two_layer_value, touch_spread, volume_templates, tier_sizes, quote_prices, reversion_signal, trend_loader, outer_quotes,
     tier_fires, informed_filter, basket_within, basket_cross, basket_residual, best_member, family_corr, family_corr_mean, lead_lag, lead_lag_boot,
     lead_lag_summary, pair_match, pair_diagnostics, pair_signal, basket_signal, tape_validation, bs_price_delta_vega, implied_vol, smile,
-    expiry_calibration, calibrated_expiry, expiry_by_strike, iv_trend, iv_reversion, single_edges, pair_edges, level_regression, iv_signal,
+    expiry_calibration, calibrated_expiry, expiry_by_strike, expiry_scan, scanned_expiry, scanned_expiry_by_strike, iv_trend, iv_reversion, single_edges, pair_edges, level_regression, iv_signal,
     net_exposure, exposure_excursion, exposure_cap, hedge_targets,
 )
 
@@ -352,6 +366,11 @@ IV = f"{QT}, {_bisect('qq', 'day, timestamp, event_id')}"
 VEGA = lambda vol: f"(spot * (exp(-{_d1(vol)} * {_d1(vol)} / 2.0) / sqrt(2.0 * pi())) * sqrt(tte))"
 EXP = f"""{QT}, ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day, strike ORDER BY timestamp) - 1 AS rn FROM qq) q WHERE rn % 20 = 0),
 ex AS (SELECT day, timestamp, spot, strike, price, x.e AS expiry, x.e - day - timestamp / 1000000.0 AS tte FROM ev, (SELECT unnest({EXPIRIES}) AS e) x), {_bisect('ex', 'day, timestamp, expiry')}"""
+_COARSE, _FINE = (_bisect(f"{k}x", "day, timestamp, expiry").replace("bi ", f"{k}bi ").replace("iv AS (SELECT", f"{k}iv AS (SELECT") for k in "cf")
+_SCORES = "SELECT expiry, (max(m) - min(m)) / avg(m) AS d FROM (SELECT expiry, day, avg(iv) AS m FROM {}iv GROUP BY ALL) m GROUP BY expiry HAVING count(*) = (SELECT count(DISTINCT day) FROM qq)"
+_AT = "SELECT day, timestamp, spot, strike, price, x.e AS expiry, x.e - day - timestamp / 1000000.0 AS tte FROM qq, ({}) x WHERE x.e - day - timestamp / 1000000.0 > 0"
+SCAN = f"""{QT}, cx AS ({_AT.format(f"SELECT unnest({options.COARSE}) AS e")}), {_COARSE}, cs AS ({_SCORES.format("c")}), best AS (SELECT expiry AS b FROM cs ORDER BY round(d, 12), expiry LIMIT 1),
+fx AS ({_AT.format("SELECT b - CAST(0.75 AS DOUBLE) + CAST(0.05 AS DOUBLE) * i AS e FROM best, (SELECT unnest(range(0, 31)) AS i) r")}), {_FINE}, fs AS ({_SCORES.format("f")})"""
 HELD = f"""{QT}, h AS (SELECT day, timestamp, CAST(strike AS INTEGER) AS strike, spot, tte, price, event_id, CAST((event_id + CAST(strike AS BIGINT) // 100) % 41 - 20 AS BIGINT) AS position, CASE WHEN NOT below_intrinsic THEN {_cdf(_d1('true_vol'))} END AS delta FROM qq),
 ne AS (SELECT day, timestamp, sum(position * coalesce(delta, 0)) AS exposure FROM h GROUP BY ALL)"""
 
@@ -422,6 +441,10 @@ v AS (SELECT *, mid_price - fair AS dev FROM b), {_z('v', 'dev', 5)}, {_decide('
     "bs_price_delta_vega": f"{QT} SELECT day, timestamp, CAST(strike AS INTEGER) AS strike, round({_call('true_vol')}, 6) AS price, round({_cdf(_d1('true_vol'))}, 6) AS delta, round({VEGA('true_vol')}, 6) AS vega FROM qq",
     "implied_vol": f"{QT} SELECT day, timestamp, CAST(strike AS INTEGER) AS strike, CASE WHEN NOT below_intrinsic THEN round(true_vol, 5) END AS iv FROM qq",
     "smile": f"""{IV}, a AS (SELECT qq.day, qq.strike, iv.iv FROM qq LEFT JOIN iv ON iv.event_id = qq.event_id AND iv.strike = qq.strike) SELECT day, CAST(strike AS INTEGER) AS strike, count(iv) AS n, count(*) - count(iv) AS skipped, round(avg(iv), 6) AS mean_iv, round(stddev_pop(iv), 6) AS std_iv FROM a GROUP BY day, strike""",
+    "expiry_scan": f"""{SCAN} SELECT 'coarse' AS scan, round(CAST(expiry AS DOUBLE), 6) AS expiry, round(d, 6) AS dispersion FROM cs UNION ALL SELECT 'fine', round(expiry, 6), round(d, 6) FROM fs""",
+    "scanned_expiry": f"""{SCAN} SELECT round(expiry, 6) AS expiry, round(d, 6) AS dispersion FROM fs ORDER BY round(d, 12), expiry LIMIT 1""",
+    "scanned_expiry_by_strike": f"""{SCAN}, ms AS (SELECT strike, expiry, day, avg(iv) AS m FROM fiv GROUP BY ALL), s AS (SELECT strike, expiry, (max(m) - min(m)) / avg(m) AS d FROM ms GROUP BY strike, expiry HAVING count(*) = (SELECT count(DISTINCT day) FROM qq))
+SELECT CAST(strike AS INTEGER) AS strike, round(expiry, 6) AS expiry, round(d, 6) AS dispersion FROM (SELECT *, row_number() OVER (PARTITION BY strike ORDER BY round(d, 12), expiry) AS rn FROM s) q WHERE rn = 1""",
     "expiry_calibration": f"""{EXP}, m AS (SELECT expiry, day, avg(iv) AS m FROM iv GROUP BY ALL) SELECT CAST(expiry AS DOUBLE) AS expiry, round((max(m) - min(m)) / avg(m), 6) AS dispersion FROM m GROUP BY expiry HAVING count(*) = 3""",
     "calibrated_expiry": f"""{EXP}, m AS (SELECT expiry, day, avg(iv) AS m FROM iv GROUP BY ALL), s AS (SELECT expiry, (max(m) - min(m)) / avg(m) AS d FROM m GROUP BY expiry HAVING count(*) = 3) SELECT CAST(expiry AS DOUBLE) AS expiry, round(d, 6) AS dispersion FROM s ORDER BY round(d, 12), expiry LIMIT 1""",
     "expiry_by_strike": f"""{EXP}, m AS (SELECT strike, expiry, day, avg(iv) AS m FROM iv GROUP BY ALL), s AS (SELECT strike, expiry, (max(m) - min(m)) / avg(m) AS d FROM m GROUP BY strike, expiry HAVING count(*) = 3)

@@ -301,3 +301,22 @@ def test_last_event_state():
     f = stateful.LastEvent(200)
     f.load(e.dump())
     assert f.update(math.nan, 400) == [1.0, 200.0] and f.update(math.nan, 401) == [None, None]
+
+
+def test_expiry_scan_reads_every_quote_and_refines(spark):
+    """Quotes of a known expiry between the points of the coarse grid; then one quote that a stride skips."""
+    from tapeline.operators import options
+
+    inputs = spark.range(90).selectExpr("cast(id % 3 as int) AS day", "cast(id div 3 * 100 as long) AS timestamp", "10000 AS strike", "10000.0D AS spot")
+    tte = F.lit(8.25) - F.col("day") - F.col("timestamp") / 1_000_000.0
+    q = inputs.withColumn("price", pricing.call_price(F.col("spot"), F.col("strike").cast("double"), tte, F.lit(0.02))).localCheckpoint()
+
+    def scan(rows):
+        got = options.expiry_scan(rows).collect()
+        return {(r.scan, round(r.expiry, 6)): r.dispersion for r in got}
+
+    found = scan(q)
+    assert sum(s == "coarse" for s, _ in found) == 38 and sum(s == "fine" for s, _ in found) == 31
+    assert min(found, key=found.get) == ("fine", 8.25)
+    other = scan(q.withColumn("price", F.when((F.col("day") == 1) & (F.col("timestamp") == 700), F.col("price") * 1.5).otherwise(F.col("price"))))
+    assert other["coarse", 8.0] != found["coarse", 8.0]
