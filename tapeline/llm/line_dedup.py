@@ -9,10 +9,16 @@ then by hash. Any fixed order makes the filters exact; rare words first make the
 with one set are a class, known by its first occurrence. Two classes can match only if they share a
 word among the first n - ceil(0.8 n) + 1 words of both (prefix), their sizes are within 0.8
 (length), the words left after the shared one suffice (positional), and the parities of their words'
-hashes over 64 bits differ in no more places than the sets may (an exact bound on the difference).
+hashes over 64, 128 or 256 places differ in no more places than the sets may (an exact bound on the
+difference).
 
-All pairs of classes that pass the filters are verified. A pair counts where the first word that
-both share meets, so the words before it are differences too, and no pair counts twice.
+Every prefix word of every class is shuffled once. All pairs of classes that pass the filters are
+verified, each exactly once, and never become rows:
+
+- Pairs of lines of up to SHORT words meet again, with their words, where their first shared word
+  meets.
+- Pairs with a longer line are joined to components first, and each line's words are sent to its
+  component once. Components above WORDS words are cut into parts, and every two parts meet.
 """
 
 from __future__ import annotations
@@ -24,36 +30,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, int64s, mix, prefix_hash, slices, span_hashes, spaced, text_bytes, word_bounds, written
+from .common import LOWER, NOT_SPACE, discard, int64s, mix, prefix_hash, slices, span_hashes, spaced, text_bytes, word_bounds, written
+from .components import components, forest
 
 BUCKETS, CHUNK = 1 << 21, 1 << 20
 #: Classes that meet at a word in one task; more are cut into parts, and every two parts meet.
 PART = 1 << 15
-#: Words of lines that are sent with their keys to each prefix word; pairs of longer ones are listed.
-SHORT = 64
+#: Words of lines that are sent with their keys to each prefix word; longer ones go to components.
+SHORT = 24
+#: Words of a component that one task takes, of each of two parts.
+WORDS = 1 << 19
+#: Words of lines whose parities are over 64 and over 128 places; longer ones have 256.
+NARROW, WIDE = 64, 192
+#: Bits of the filter that tells which lines' words are wanted; 16 MB at any size of the corpus.
+FILTER = 1 << 27
 #: Pairs held before they are handed on, and compared at once.
 PAIRS, VERIFY = 1 << 20, 1 << 15
-LINES = "k1 long, k2 long, doc_id long, line int, n int, prefix array<int>"
+LINES = "k1 long, k2 long, doc_id long, line int, n int, prefix array<int>, p2 long, p3 long, p4 long"
 
 
 def words(data: np.ndarray, at: np.ndarray, low: int, high: int):
     """Hash and line of each word of some texts, and document and number of each line."""
-    buffer, rows = spaced(data, at, low, high)
-    ends = np.sort(np.concatenate((np.flatnonzero(buffer == 10), rows[1:] - 1)))
+    buffer, ends, doc, number = line_ends(data, at, low, high)
     start, end = word_bounds(buffer, NOT_SPACE)
     hashes = span_hashes(prefix_hash(LOWER[buffer]), start, end)
-    doc = np.searchsorted(rows, ends, "right") - 1
-    number = np.arange(len(ends)) - np.searchsorted(ends, rows[doc])
     return hashes, np.searchsorted(ends, start), doc, number
 
 
+def line_ends(data: np.ndarray, at: np.ndarray, low: int, high: int):
+    """The texts' bytes with a space after each, and the end, document and number of each line."""
+    buffer, rows = spaced(data, at, low, high)
+    ends = np.sort(np.concatenate((np.flatnonzero(buffer == 10), rows[1:] - 1)))
+    doc = np.searchsorted(rows, ends, "right") - 1
+    return buffer, ends, doc, np.arange(len(ends)) - np.searchsorted(ends, rows[doc])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
+    total, held = np.zeros(BUCKETS, np.int64), [np.zeros(0, np.int64)]
+
+    def add() -> None:
+        total[:] += np.bincount(np.concatenate(held), minlength=BUCKETS)
+
     for batch in batches:
         data, at = text_bytes(batch)
         for low, high in slices(at, CHUNK):
             hashes = words(data, at, low, high)[0]
-            total += np.bincount((hashes >> np.uint64(16) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            held.append((hashes >> np.uint64(16) & np.uint64(BUCKETS - 1)).astype(np.int64))
+            if sum(map(len, held)) >= BUCKETS:
+                add()
+                held = [np.zeros(0, np.int64)]
+    add()
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
 
@@ -82,7 +108,13 @@ def keys_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def sets(hashes: np.ndarray, line: np.ndarray, counts: np.ndarray):
     """Distinct keys of the lines with words, in order: keys, where each line begins, the lines."""
     keys = keys_of(hashes, counts)
-    order = np.lexsort((keys, line))
+    # one sort by line and the first bits of the key; where those tie for two keys, by all of it
+    bits = np.uint64(max(1, int(line[-1]).bit_length()) if len(line) else 1)
+    short = (line.astype(np.uint64) << (np.uint64(64) - bits)) | (keys >> bits)
+    order = np.argsort(short)
+    tied = short[order][1:] == short[order][:-1]
+    if (keys[order][1:] != keys[order][:-1])[tied].any():
+        order = np.lexsort((keys, line))
     keys, line = keys[order], line[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
@@ -91,12 +123,22 @@ def sets(hashes: np.ndarray, line: np.ndarray, counts: np.ndarray):
     return keys, begin, line[begin]
 
 
-def marks(keys: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each line: parities of its keys over 64 places, and a sum of their mixed hashes."""
+def level(n: np.ndarray) -> np.ndarray:
+    """0, 1 or 2 as the parities of a line of n words have 64, 128 or 256 places."""
+    return (n > NARROW).astype(np.int64) + (n > WIDE)
+
+
+def marks(keys: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each line: parities of its keys over 64 places, a sum of their mixed hashes, and the
+    second to fourth words of the wider parities (0 where the line has none)."""
     if not len(begin):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, [none] * 3
+    n = np.diff(np.append(begin, len(keys)))
     bit = np.uint64(1) << (keys & np.uint64(63))
-    return np.bitwise_xor.reduceat(bit, begin).view(np.int64), np.add.reduceat(mix(keys), begin).view(np.int64)
+    word = (keys >> np.uint64(6)).astype(np.int64) & np.repeat(np.array([0, 1, 3])[level(n)], n)
+    parity = lambda b: np.bitwise_xor.reduceat(b, begin).view(np.int64)
+    return parity(bit), np.add.reduceat(mix(keys), begin).view(np.int64), [parity(np.where(word == k, bit, np.uint64(0))) for k in (1, 2, 3)]
 
 
 def _lines(shared, part: int):
@@ -108,7 +150,7 @@ def _lines(shared, part: int):
             for low, high in slices(at, CHUNK):
                 hashes, line, doc, number = words(data, at, low, high)
                 keys, begin, own = sets(hashes, line, counts)
-                k1, k2 = marks(keys, begin)
+                k1, k2, more = marks(keys, begin)
                 n = np.diff(np.append(begin, len(keys)))
                 size = n + (-4 * n // 5) + 1  # n - ceil(0.8 n) + 1
                 place = np.arange(len(keys)) - np.repeat(begin, n)
@@ -120,24 +162,49 @@ def _lines(shared, part: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(k1), pa.array(k2), ids.take(pa.array(doc[own] + low)), pa.array(number[own].astype(np.int32)),
-                        pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(token)),
+                        pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(token)), *[pa.array(p) for p in more],
                     ],
-                    ["k1", "k2", "doc_id", "line", "n", "prefix"],
+                    ["k1", "k2", "doc_id", "line", "n", "prefix", "p2", "p3", "p4"],
                 )
 
     return lines
 
 
-def fits(parity, n, place, i, j) -> np.ndarray:
-    """Whether classes i and j may match, and the words at their places be the first that they share.
+def _one(t: pa.Table, k: int) -> pa.Array:
+    column = t.column(k)
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
 
-    The words before the first shared one are in one set only, so they count as differences."""
-    both = n[i] + n[j]
-    need = least(both)
-    apart = both - 2 * need
-    left = np.minimum(n[i] - place[i], n[j] - place[j])
-    near = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
-    return near & (left >= need) & (place[i] + place[j] <= apart) & (np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)) <= apart)
+class Entries:
+    """Rows (meet, own, id, k1, meta, p2, p3, p4) sorted by meet and meta; meta: size and place."""
+
+    def __init__(self, t: pa.Table):
+        self.key, self.own, self.id, k1, meta, p2, p3, p4 = (c.to_numpy() for c in t.columns[:8])
+        self.n, self.place = meta >> 32, meta & 0xFFFFFFFF
+        self.parity, self.level = np.stack((k1 ^ p2 ^ p3 ^ p4, p2, p3, p4)).view(np.uint64), level(self.n)
+
+    def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether classes i and j may match, and the words at their places be the first that they share.
+
+        Rows below 0 in own meet all others; else rows of different parts meet. The words before the
+        first shared one are in one set only, so they count as differences."""
+        n, place = self.n, self.place
+        both = n[i] + n[j]
+        need = least(both)
+        apart = both - 2 * need
+        left = np.minimum(n[i] - place[i], n[j] - place[j])
+        ok = ((self.own[i] < 0) | (self.own[i] != self.own[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+        ok &= (left >= need) & (place[i] + place[j] <= apart)
+        some = np.flatnonzero(ok)
+        i, j, apart = i[some], j[some], apart[some]
+        d = self.parity[:, i] ^ self.parity[:, j]
+        # the wider parities of one side are folded to the places of the other
+        places = np.minimum(self.level[i], self.level[j])
+        count = np.bitwise_count(d[0] ^ d[1] ^ d[2] ^ d[3]).astype(np.int64)
+        middle = np.bitwise_count(d[0] ^ d[2]).astype(np.int64) + np.bitwise_count(d[1] ^ d[3])
+        whole = sum(np.bitwise_count(x).astype(np.int64) for x in d)
+        ok[some] = np.where(places == 2, whole, np.where(places == 1, middle, count)) <= apart
+        return ok
 
 
 def _reach(key, n) -> tuple[np.ndarray, np.ndarray]:
@@ -146,35 +213,55 @@ def _reach(key, n) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(group + n, group - (-4 * n // 5)), np.searchsorted(group + n, group + 5 * n // 4, "right")
 
 
-def _meet(own, parity, n, place, x, y) -> np.ndarray:
-    """Rows below 0 in own meet all others; else rows of different parts meet."""
-    return ((own[x] < 0) | (own[x] != own[y])) & fits(parity, n, place, x, y)
-
-
-def _flags(key, own, parity, n, place) -> np.ndarray:
+def _flags(e: Entries) -> np.ndarray:
     """Whether each row has another of its key that it may match. Every step is a few numpy calls
     for all rows that still have none: they meet their next neighbour on either side."""
-    low, high = _reach(key, n)
-    some = np.zeros(len(key), bool)
-    x = np.arange(len(key))
+    low, high = _reach(e.key, e.n)
+    some = np.zeros(len(e.key), bool)
+    x = np.arange(len(e.key))
     step = 1
     while len(x):
         for y in (x + step, x - step):
             inside = (y >= low[x]) & (y < high[x])
             i, j = x[inside], y[inside]
-            ok = _meet(own, parity, n, place, i, j)
+            ok = e.fits(i, j)
             some[i[ok]] = some[j[ok]] = True
         step += 1
         x = x[~some[x] & ((x + step < high[x]) | (x - step >= low[x]))]
     return some
 
 
-def _pairs(most: int, key, own, parity, n, place) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _joined(e: Entries, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (ids) that join what the pairs with a line above `short` words join that may match.
+    Rows of one component meet no more, and a key that is one component is left alone."""
+    _, high = _reach(e.key, e.n)
+    label, x, step = np.arange(len(e.key)), np.arange(len(e.key)), 1
+    begin = np.flatnonzero(np.concatenate(([True], e.key[1:] != e.key[:-1])))
+    rows = np.diff(np.append(begin, len(e.key)))
+    while len(x := x[x + step < high[x]]):
+        y = x + step
+        go = (label[x] != label[y]) & (e.n[y] > short)  # y is the longer
+        i, j = x[go], y[go]
+        ok = e.fits(i, j)
+        if ok.any():
+            node, root = forest(label[i[ok]], label[j[ok]])
+            to = np.arange(len(label))
+            to[node] = root
+            label = to[label]
+        if step & (step - 1) == 0:
+            one = np.minimum.reduceat(label, begin) == np.maximum.reduceat(label, begin)
+            x = x[~np.repeat(one, rows)[x]]
+        step += 1
+    away = label != np.arange(len(label))
+    return forest(e.id[away], e.id[label[away]])
+
+
+def _pairs(most: int, e: Entries) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows of one key that may match, some at a time."""
-    _, high = _reach(key, n)
-    x, step, held, rows = np.arange(len(key)), 1, [], 0
+    _, high = _reach(e.key, e.n)
+    x, step, held, rows = np.arange(len(e.key)), 1, [], 0
     while len(x := x[x + step < high[x]]):
-        ok = x[_meet(own, parity, n, place, x, x + step)]
+        ok = x[e.fits(x, x + step)]
         held.append((ok, ok + step))
         rows += len(ok)
         if rows > most:
@@ -204,75 +291,105 @@ def _by_key(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _columns(t: pa.Table) -> tuple:
-    """key, own, parity, n, place of a table (meet, own, k1, k2, meta, ...)."""
-    meta = t.column(4).to_numpy()
-    return t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), meta >> 32, meta & 0xFFFFFFFF
-
+def _met(short: int):
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries of short lines with a possible partner, and links (id, other) of longer ones."""
+        for t in _by_key(batches, 1 << 18):
+            n = t.column(4).to_numpy() >> 32
+            few = t.filter(pa.array(n <= short)).combine_chunks()
+            few = few.filter(pa.array(_flags(Entries(few)))).combine_chunks() if few.num_rows else few
+            yield pa.RecordBatch.from_arrays([*[_one(few, k) for k in range(8)], pa.nulls(few.num_rows, pa.int64())], [*ENTRY_NAMES, "other"])
+            more = t.filter(pa.array(5 * n > 4 * short))
+            if more.num_rows:
+                a, b = _joined(Entries(more.combine_chunks()), short)
+                zero = pa.array(np.zeros(len(a), np.int64))
+                yield pa.RecordBatch.from_arrays([zero, zero.cast(pa.int32()), pa.array(a), *[zero] * 5, pa.array(b)], [*ENTRY_NAMES, "other"])
 
-def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _by_key(batches, 1 << 18):
-        yield from t.filter(pa.array(_flags(*_columns(t)))).to_batches()
+    return met
 
 
-def _long_pairs(short: int, most: int):
-    def long_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches, 1 << 18):
-            columns = _columns(t)
-            k1, k2, n = columns[2], t.column(3).to_numpy(), columns[3]
-            for x, y in _pairs(most, *columns):
-                keep = n[y] > short  # y is the longer
-                x, y = x[keep], y[keep]
-                swap = (k1[x] > k1[y]) | ((k1[x] == k1[y]) & (k2[x] > k2[y]))
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1[x], k2[x], k1[y], k2[y])], ["k1", "k2", "j1", "j2"])
+ENTRY_NAMES = ["meet", "own", "id", "k1", "meta", "p2", "p3", "p4"]
+ENTRY_SCHEMA = "meet long, own int, id long, k1 long, meta long, p2 long, p3 long, p4 long"
 
-    return long_pairs
 
-
-def entries_of(classes: DataFrame, hot: DataFrame) -> DataFrame:
-    """(meet, own, k1, k2, meta) of each prefix word of each class, dealt and sorted by meet and meta.
-    Of words in parts, every two parts meet once, and each part meets itself."""
-    entries = classes.select("k1", "k2", "n", F.posexplode("prefix").alias("place", "token"))
-    entries = entries.withColumn("meta", F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).join(hot, "token", "left")
-    part = F.pmod(F.xxhash64("k1", "k2"), F.col("parts")).cast("int")
+def in_parts(rows: DataFrame, key: str, hash_of: list[str]) -> DataFrame:
+    """rows with (meet, own) for a key in `parts`: every two parts meet once, and each meets itself."""
+    part = F.pmod(F.xxhash64(*hash_of), F.col("parts")).cast("int")
     one = lambda meet, own: F.struct(meet.alias("meet"), own.cast("int").alias("own"))
     meet = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda k: one(F.xxhash64("token", F.least(part, k), F.greatest(part, k)), F.when(k == part, -1).otherwise(part)),
+        lambda k: one(F.xxhash64(key, F.least(part, k), F.greatest(part, k)), F.when(k == part, -1).otherwise(part)),
     )
-    meet = F.when(F.col("parts") > 1, meet).otherwise(F.array(one(F.col("token").cast("long"), F.lit(-1))))
-    entries = entries.select(F.explode(meet).alias("m"), "k1", "k2", "meta").select("m.meet", "m.own", "k1", "k2", "meta")
-    return entries.repartition("meet").sortWithinPartitions("meet", "meta")
+    return rows.select("*", F.explode(meet).alias("m")).select("*", "m.meet", "m.own").drop("m")
+
+
+def entries_of(classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """ENTRY_SCHEMA of each prefix word of each class, dealt and sorted by meet and meta."""
+    entries = classes.select("id", "k1", "p2", "p3", "p4", "n", F.posexplode("prefix").alias("place", "token"))
+    entries = entries.withColumn("meta", F.shiftleft(F.col("n").cast("long"), 32) + F.col("place"))
+    plain = entries.filter("token >= 0").select(F.col("token").cast("long").alias("meet"), F.lit(-1).alias("own"), *ENTRY_NAMES[2:])
+    some = entries.filter("token < 0").join(hot, "token", "left")
+    plain = plain.unionByName(some.filter("parts IS NULL").select(F.col("token").cast("long").alias("meet"), F.lit(-1).alias("own"), *ENTRY_NAMES[2:]))
+    cut = in_parts(some.filter("parts IS NOT NULL"), "token", ["id"]).select(*ENTRY_NAMES)
+    return plain.unionByName(cut).repartition("meet").sortWithinPartitions("meet", "meta")
+
+
+def _place(doc: pa.Array, line: np.ndarray) -> np.ndarray:
+    """The bit of FILTER for lines of documents."""
+    ids = doc.fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
+    return (mix(mix(ids) + line.astype(np.uint64)) & np.uint64(FILTER - 1)).astype(np.int64)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bit = np.unique(_place(batch.column(0), batch.column(1).to_numpy()))
+        word, start = np.unique(bit >> 6, return_index=True)
+        masks = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), start) if len(start) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(masks.view(np.int64))], ["word", "bits"])
+
+
+def line_filter(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER bits with those of all wanted lines (doc_id, line) set."""
+    table = wanted.select("doc_id", "line").mapInArrow(_bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER // 64, np.int64)  # the table has at most as many rows
+    out[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    return out
 
 
-def _fetch(shared):
+def _fetch(shared, wanted):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        """k1, k2, keys of the lines that pass the filter; no others are cut into words."""
+        counts, bits = shared.value, wanted.value
         for batch in batches:
-            out: list[tuple] = []
-            for text, lines in zip(*(batch.column(k).to_pylist() for k in range(2))):
-                every = text.encode().split(b"\n")
-                raw = [every[k] for k in sorted({k for k in lines if k < len(every)})]
-                at = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-                keys, begin, _ = sets(*words(np.frombuffer(b"".join(raw), np.uint8), at, 0, len(raw))[:2], counts)
-                k1, k2 = marks(keys, begin)
-                ends = [*begin[1:].tolist(), len(keys)]
-                out.extend((a, b, keys[i:j].tobytes()) for a, b, i, j in zip(k1.tolist(), k2.tolist(), begin.tolist(), ends))
-            columns = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["k1", "k2", "keys"])
+            data, at = text_bytes(batch)
+            ids = int64s(batch, "doc_id")
+            for low, high in slices(at, CHUNK):
+                text, end, doc, number = line_ends(data, at, low, high)
+                start = np.concatenate(([0], end[:-1] + 1))
+                place = _place(ids.take(pa.array(doc + low)), number)
+                some = np.flatnonzero(bits[place >> 6] >> (place & 63) & 1)
+                raw = [text[i:j] for i, j in zip(start[some].tolist(), end[some].tolist())]
+                offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+                keys, begin, _ = sets(*words(np.concatenate([np.zeros(0, np.uint8), *raw]), offsets, 0, len(raw))[:2], counts)
+                k1, k2, _ = marks(keys, begin)
+                ends = np.append(begin, len(keys)).astype(np.int32) * 8
+                column = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(keys.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), column], ["k1", "k2", "keys"])
 
     return fetch
 
 
 def keys_for(wanted: DataFrame, classes: DataFrame, rows: DataFrame, shared) -> DataFrame:
-    """k1, k2, doc_id, line, keys of the classes in wanted (k1, k2)."""
-    ones = written(classes.select("k1", "k2", "doc_id", "line").join(wanted.distinct(), ["k1", "k2"]), "classes-wanted")
-    lines = written(ones.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "lines-wanted")
-    texts = rows.join(lines, rows["doc_id"].eqNullSafe(lines["doc_id"])).select("text", "lines")
-    # by its marks a line is known as of its class, also where documents share an id
-    keys = texts.mapInArrow(_fetch(shared), "k1 long, k2 long, keys binary")
-    return written(ones.join(keys, ["k1", "k2"]).dropDuplicates(["k1", "k2"]), "line-keys")
+    """id, n, doc_id, line, keys of the classes in wanted (id). The texts are read once more and never
+    moved: a bitmap of bounded size tells where the wanted lines are, and by its marks a line is known
+    as of its class, also where documents share an id."""
+    ones = written(classes.select("id", "k1", "k2", "n", "doc_id", "line").join(wanted.distinct(), "id"), "classes-wanted")
+    bits = rows.sparkSession.sparkContext.broadcast(line_filter(ones))
+    keys = rows.mapInArrow(_fetch(shared, bits), "k1 long, k2 long, keys binary")
+    found = written(ones.join(keys, ["k1", "k2"]).select("id", "n", "doc_id", "line", "keys").dropDuplicates(["id"]), "line-keys")
+    bits.unpersist()
+    discard(ones)
+    return found
 
 
 class _Sets:
@@ -305,10 +422,10 @@ class _Sets:
 
 
 class _Links:
-    """Numbers of links of some rows (k1, k2, doc_id, line), and the earliest row linked to each."""
+    """Numbers of links of some rows (id, doc_id, line), and the earliest row linked to each."""
 
-    def __init__(self, k1: pa.Array, k2: pa.Array, doc: pa.Array, line: pa.Array):
-        self.k1, self.k2, self.doc, self.line = k1, k2, doc, line
+    def __init__(self, id_: pa.Array, doc: pa.Array, line: pa.Array):
+        self.id, self.doc, self.line = id_, doc, line
         keys = (line.to_numpy(), doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False))
         self.order = np.lexsort(keys)
         differs = np.zeros(max(len(doc) - 1, 0), bool)
@@ -331,73 +448,88 @@ class _Links:
         known = self.best[some] < len(self.best)
         one = self.order[self.starts[np.where(known, self.best[some], 0)]]
         line = np.where(known, self.line.to_numpy()[one], -1).astype(np.int32)
-        at = pa.array(some)
-        return pa.RecordBatch.from_arrays([self.k1.take(at), self.k2.take(at), pa.array(self.links[some]), self.doc.take(pa.array(one)), pa.array(line)], LINK_NAMES)
-
-
-LINK_NAMES = ["k1", "k2", "links", "first_doc", "first_line"]
-LINK_SCHEMA = "k1 long, k2 long, links long, first_doc long, first_line int"  # first_line: -1 if no link is earlier
+        return pa.RecordBatch.from_arrays([self.id.take(pa.array(some)), pa.array(self.links[some]), self.doc.take(pa.array(one)), pa.array(line)], LINK_NAMES)
 
 
-def _one(t: pa.Table, k: int) -> pa.Array:
-    column = t.column(k)
-    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+LINK_NAMES = ["id", "links", "first_doc", "first_line"]
+LINK_SCHEMA = "id long, links long, first_doc long, first_line int"  # first_line: -1 if no link is earlier
 
 
 def _short_links(most: int, step: int):
     def short_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (meet, own, k1, k2, meta, doc_id, line, keys) sorted by meet and meta. A pair counts
-        only where its first shared word meets, so that it counts once."""
+        """Rows of ENTRY_SCHEMA with doc_id, line, keys, sorted by meet and meta. A pair counts only
+        where its first shared word meets, so that it counts once."""
         for t in _by_key(batches, 1 << 16):
-            columns = _columns(t)
-            place, keys = columns[4], _Sets(_one(t, 7))
-            out = _Links(*(_one(t, k) for k in (2, 3, 5, 6)))
-            for x, y in _pairs(most, *columns):
+            e, keys = Entries(t), _Sets(_one(t, 10))
+            out = _Links(*(_one(t, k) for k in (2, 8, 9)))
+            for x, y in _pairs(most, e):
                 for i in range(0, len(x), step):
                     a, b = x[i : i + step], y[i : i + step]
                     shared, in_a, in_b = keys.shared(a, b)
-                    ok = keys.match(a, b, shared) & (in_a == place[a]) & (in_b == place[b])
+                    ok = keys.match(a, b, shared) & (in_a == e.place[a]) & (in_b == e.place[b])
                     out.add(a[ok], b[ok])
             yield out.rows()
 
     return short_links
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k1, k2, doc_id, line, keys, j1, j2, other_doc, other_line, other_keys)."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 256):  # long lines: few at a time
-            b = batch.slice(low, 256)
-            m = b.num_rows
-            both = [pa.concat_arrays([b.column(k), b.column(k + 5)]) for k in range(5)]
-            keys, out = _Sets(both[4]), _Links(*both[:4])
-            x, y = np.arange(m), np.arange(m, 2 * m)
-            ok = keys.match(x, y, keys.shared(x, y)[0])
-            out.add(x[ok], y[ok])
+def _long_links(short: int, most: int):
+    def long_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (meet, own, n, id, doc_id, line, keys) sorted by meet and n. Each row's words are marked in
+        a bitmap of all, in which those of all later rows of the key within 0.8 are looked up."""
+        for t in _by_key(batches, 1 << 13):
+            key, own, n = (t.column(k).to_numpy() for k in range(3))
+            sets_, out = _Sets(_one(t, 6)), _Links(*(_one(t, k) for k in (3, 4, 5)))
+            _, high = _reach(key, n.astype(np.int64))
+            mark = np.zeros(sets_.size, np.uint8)
+            held: list[tuple] = []
+            rows = 0
+            for x in np.flatnonzero(high > np.arange(len(n)) + 1).tolist():
+                low, end = x + 1, int(high[x])
+                mine = sets_.rank[sets_.at[x] : sets_.at[x + 1]]
+                mark[mine] = 1
+                shared = np.add.reduceat(mark[sets_.rank[sets_.at[low] : sets_.at[end]]], sets_.at[low:end] - sets_.at[low], dtype=np.int64)
+                mark[mine] = 0
+                ok = (9 * shared >= 4 * (n[x] + n[low:end])) & (n[low:end] > short)
+                if own[x] >= 0:
+                    ok &= own[low:end] != own[x]
+                y = np.flatnonzero(ok) + low
+                held.append((np.full(len(y), x), y))
+                rows += len(y)
+                if rows > most:
+                    out.add(*(np.concatenate(c) for c in zip(*held)))
+                    held, rows = [], 0
+            if rows:
+                out.add(*(np.concatenate(c) for c in zip(*held)))
             yield out.rows()
 
+    return long_links
+
 
 def links_of(classes: DataFrame, hot: DataFrame, rows: DataFrame, shared) -> DataFrame:
-    """k1, k2, links, match: for each class with links to others, their number and the first
-    occurrence (doc_id, line) of the earliest one before it, null if there is none.
-
-    Lines of up to SHORT words: the entries with a possible partner are dealt again, with their
-    keys, and counted where they meet; pairs never become rows. Longer lines, whose keys would be
-    sent once per prefix word: the pairs of classes are listed once each, and verified."""
-    schema = "meet long, own int, k1 long, k2 long, meta long"
-    active = written(entries_of(classes.filter(F.col("n") <= SHORT), hot).mapInArrow(_active, schema), "active")
-    pairs = entries_of(classes.filter(5 * F.col("n") > 4 * F.lit(SHORT)), hot).mapInArrow(_long_pairs(SHORT, PAIRS), "k1 long, k2 long, j1 long, j2 long")
-    pairs = written(pairs.distinct(), "long-pairs")
-    wanted = active.select("k1", "k2").unionByName(pairs.select("k1", "k2")).unionByName(pairs.select(F.col("j1").alias("k1"), F.col("j2").alias("k2")))
-    keys = keys_for(wanted, classes, rows, shared)
-    met = active.join(keys, ["k1", "k2"]).select("meet", "own", "k1", "k2", "meta", "doc_id", "line", "keys")
-    found = met.repartition("meet").sortWithinPartitions("meet", "meta").mapInArrow(_short_links(PAIRS, VERIFY), LINK_SCHEMA)
-    other = keys.toDF("j1", "j2", "other_doc", "other_line", "other_keys")
-    both = pairs.join(keys, ["k1", "k2"]).join(other, ["j1", "j2"])
-    both = both.select("k1", "k2", "doc_id", "line", "keys", "j1", "j2", "other_doc", "other_line", "other_keys")
-    found = found.unionByName(both.mapInArrow(_verify, LINK_SCHEMA))
+    """id, links, match: for each class with links to others, their number and the first occurrence
+    (doc_id, line) of the earliest one before it, null if there is none."""
+    met = written(entries_of(classes, hot).mapInArrow(_met(SHORT), f"{ENTRY_SCHEMA}, other long"), "met")
+    active = met.filter("other IS NULL").drop("other")
+    stars = components(met.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    roots = stars.select(F.col("node").alias("id"), "root").unionByName(stars.select(F.col("root").alias("id"), "root").distinct())
+    roots = written(roots, "roots")
+    keys = keys_for(active.select("id").unionByName(roots.select("id")), classes, rows, shared)
+    few = active.join(keys.drop("n"), "id").select(*ENTRY_NAMES, "doc_id", "line", "keys")
+    few = few.repartition("meet").sortWithinPartitions("meet", "meta").mapInArrow(_short_links(PAIRS, VERIFY), LINK_SCHEMA)
+    more = written(roots.join(keys, "id"), "component-keys")
+    large = more.groupBy("root").agg(F.sum("n").alias("all")).filter(F.col("all") > WORDS)
+    large = written(large.select("root", F.ceil(F.col("all") / WORDS).cast("int").alias("parts")), "large")
+    more = more.join(large, "root", "left")
+    columns = ("meet", "own", "n", "id", "doc_id", "line", "keys")
+    whole = more.filter("parts IS NULL").withColumn("meet", F.col("root")).withColumn("own", F.lit(-1)).select(*columns)
+    more = whole.unionByName(in_parts(more.filter("parts IS NOT NULL"), "root", ["id"]).select(*columns))
+    more = more.repartition("meet").sortWithinPartitions("meet", "n").mapInArrow(_long_links(SHORT, PAIRS), LINK_SCHEMA)
     first = F.when(F.col("first_line") >= 0, F.struct(F.col("first_doc").alias("doc_id"), F.col("first_line").alias("line")))
-    return found.groupBy("k1", "k2").agg(F.sum("links").alias("links"), F.min(first).alias("match"))
+    found = few.unionByName(more).groupBy("id").agg(F.sum("links").alias("links"), F.min(first).alias("match"))
+    found = written(found, "links")
+    discard(met, roots, keys, large)
+    return found
 
 
 def linked_lines(docs: DataFrame) -> DataFrame:
@@ -406,13 +538,18 @@ def linked_lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(rarity(rows))
     lines = written(rows.mapInArrow(_lines(shared, PART), LINES), "lines")
-    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    classes = written(classes.select("k1", "k2", "one.doc_id", "one.line", "n", "prefix", "members"), "classes")
+    classes = lines.groupBy("k1", "k2").agg(
+        F.min(F.struct("doc_id", "line")).alias("one"), F.count("*").alias("members"), *[F.first(c).alias(c) for c in ("n", "prefix", "p2", "p3", "p4")]
+    )
+    # written at once, so that a class keeps its number
+    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "one.doc_id", "one.line", "n", "prefix", "members", "p2", "p3", "p4"), "classes")
     hot = classes.select(F.explode("prefix").alias("token")).filter("token < 0").groupBy("token").count().filter(F.col("count") > PART)
     hot = written(hot.select("token", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "hot-words")
-    links = written(links_of(classes, hot, rows, shared), "links")
-    known = classes.select("k1", "k2", F.col("doc_id").alias("class_doc"), F.col("line").alias("class_line"), "members").join(links, ["k1", "k2"], "left")
-    known = written(known.filter("members > 1 OR links IS NOT NULL").withColumn("links", F.coalesce("links", F.lit(0))), "known")
+    links = links_of(classes, hot, rows, shared)
+    known = classes.select("id", "k1", "k2", F.col("doc_id").alias("class_doc"), F.col("line").alias("class_line"), "members").join(links, "id", "left")
+    known = known.filter("members > 1 OR links IS NOT NULL").withColumn("links", F.coalesce("links", F.lit(0))).drop("id")
+    known = written(known, "known")
+    discard(classes, hot, links)
     return lines.select("k1", "k2", "doc_id", "line").join(known, ["k1", "k2"])
 
 

@@ -103,6 +103,29 @@ def test_line_dedup_counts_every_link(spark, monkeypatch, part, short):
     assert len({i for i, *_ in ids}) == len(ids) and max(len(x) for x in links.values()) > 30
 
 
+def test_line_dedup_of_long_lines(spark, monkeypatch):
+    """Links of lines around the widths of parities, in components of one part and of several."""
+    monkeypatch.setattr(line_dedup, "WORDS", 3000)
+    rng = np.random.default_rng(4)
+    lines = []
+    for n in (20, 25, 62, 66, 185, 195, 420):
+        base = [f"b{n}x{i}" for i in range(n)]
+        for k in range(14):
+            line = list(base)
+            for i in rng.choice(n, k * n // 90, replace=False):
+                line[i] = f"r{n}k{k}i{i}"
+            lines.append(line + [f"more{i}" for i in range(k % 3)])
+    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
+    want = {}
+    for i, s in enumerate(map(set, lines)):
+        near = [j for j, t in enumerate(map(set, lines)) if j != i and s != t and 5 * len(s & t) >= 4 * len(s | t)]
+        want[i] = (len(near), min([j for j in near if j < i], default=None))
+    got = {i: (0, None) for i in range(len(lines))}
+    for r in line_dedup.dedup_lines(docs).collect():
+        got[r.doc_id] = (sum(x.links for x in r.linked or ()), min((x.doc_id for x in r.removed or ()), default=None))
+    assert got == want and max(x[0] for x in want.values()) > 8
+
+
 def test_sharding(spark):
     docs = documents(spark)
     got = sharding.shard_documents(docs, 7).collect()
