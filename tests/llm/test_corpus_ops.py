@@ -117,9 +117,10 @@ def test_line_dedup_of_long_lines(spark, monkeypatch):
             lines.append(line + [f"more{i}" for i in range(k % 3)])
     docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
     want = {}
-    for i, s in enumerate(map(set, lines)):
-        near = [j for j, t in enumerate(map(set, lines)) if j != i and s != t and 5 * len(s & t) >= 4 * len(s | t)]
-        want[i] = (len(near), min([j for j in near if j < i], default=None))
+    sets = [frozenset(line) for line in lines]
+    for i, s in enumerate(sets):
+        near = [j for j, t in enumerate(sets) if j != i and 5 * len(s & t) >= 4 * len(s | t)]
+        want[i] = (len({sets[j] for j in near} - {s}), min([j for j in near if j < i], default=None))
     got = {i: (0, None) for i in range(len(lines))}
     for r in line_dedup.dedup_lines(docs).collect():
         got[r.doc_id] = (sum(x.links for x in r.linked or ()), min((x.doc_id for x in r.removed or ()), default=None))
