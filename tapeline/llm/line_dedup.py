@@ -24,6 +24,7 @@ verified, each exactly once, and never become rows:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,9 @@ NARROW, WIDE = 64, 192
 FILTER = 1 << 27
 #: Pairs held before they are handed on, and compared at once.
 PAIRS, VERIFY = 1 << 20, 1 << 15
-LINES = "k1 long, k2 long, doc_id long, line int, n int, prefix array<int>, p2 long, p3 long, p4 long"
+LINES = "k1 long, k2 long, doc_id long, line int, n int, prefix binary, flagged int, p2 long, p3 long, p4 long"
+#: Numbers of one row when counters are summed.
+BLOCK = 1 << 15
 
 
 def words(data: np.ndarray, at: np.ndarray, low: int, high: int):
@@ -80,18 +83,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 add()
                 held = [np.zeros(0, np.int64)]
     add()
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
+    for k in np.flatnonzero(total.reshape(-1, BLOCK).any(axis=1)).tolist():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k * BLOCK : (k + 1) * BLOCK].tobytes()])], ["block", "counts"])
+
+
+def _logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the counters of each block (at most BUCKETS in all) and takes their logarithms."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total[k] = total.get(k, 0) + np.frombuffer(counts, np.int64)
+    logs = [(np.log2(1.0 + x) * 1024).astype(np.uint16).tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(logs, pa.binary())], ["block", "logs"])
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """For each of BUCKETS hashes, 1024 times the binary logarithm of 1 + the count of its words over
     all documents."""
-    counts = docs.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = counts.toArrow()  # at most BUCKETS rows of 12 bytes, whatever the input
-    out = np.zeros(BUCKETS, np.uint16)
-    out[table.column(0).to_numpy()] = np.log2(1.0 + table.column(1).to_numpy()) * 1024
-    return out
+    counts = docs.select("text").mapInArrow(_count, "block int, counts binary")
+    table = counts.repartition("block").mapInArrow(_logs, "block int, logs binary").toArrow()  # 2 * BUCKETS bytes
+    out = np.zeros((BUCKETS // BLOCK, BLOCK), np.uint16)
+    for k, logs in zip(table.column(0).to_pylist(), table.column(1).to_pylist()):
+        out[k] = np.frombuffer(logs, np.uint16)
+    return out.ravel()
 
 
 def least(n: np.ndarray) -> np.ndarray:
@@ -136,9 +150,20 @@ def marks(keys: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return none, none, [none] * 3
     n = np.diff(np.append(begin, len(keys)))
     bit = np.uint64(1) << (keys & np.uint64(63))
-    word = (keys >> np.uint64(6)).astype(np.int64) & np.repeat(np.array([0, 1, 3])[level(n)], n)
-    parity = lambda b: np.bitwise_xor.reduceat(b, begin).view(np.int64)
-    return parity(bit), np.add.reduceat(mix(keys), begin).view(np.int64), [parity(np.where(word == k, bit, np.uint64(0))) for k in (1, 2, 3)]
+    more, wide = [np.zeros(len(n), np.int64) for _ in range(3)], np.flatnonzero(level(n))
+    if len(wide):
+        inside, sizes = np.repeat(level(n) > 0, n), n[wide]
+        word = (keys[inside] >> np.uint64(6)).astype(np.int64) & np.repeat(np.array([0, 1, 3])[level(sizes)], sizes)
+        for k in (1, 2, 3):
+            own = np.where(word == k, bit[inside], np.uint64(0))
+            more[k - 1][wide] = np.bitwise_xor.reduceat(own, np.cumsum(sizes) - sizes).view(np.int64)
+    return np.bitwise_xor.reduceat(bit, begin).view(np.int64), np.add.reduceat(mix(keys), begin).view(np.int64), more
+
+
+def binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of the bytes of values, cut at ends (from 0)."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
 def _lines(shared, part: int):
@@ -158,13 +183,14 @@ def _lines(shared, part: int):
                 token = (mix(keys[first]) >> np.uint64(33)).astype(np.int32)
                 hot = counts[(keys[first] & np.uint64(BUCKETS - 1)).astype(np.int64)] > np.log2(part) * 1024
                 token = np.where(hot, -1 - token, token)  # below 0: may be shared by very many lines
-                offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+                ends = np.concatenate(([0], np.cumsum(size)))
+                flagged = np.add.reduceat(hot, ends[:-1], dtype=np.int32) if len(n) else size.astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(k1), pa.array(k2), ids.take(pa.array(doc[own] + low)), pa.array(number[own].astype(np.int32)),
-                        pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(token)), *[pa.array(p) for p in more],
+                        pa.array(n.astype(np.int32)), binary(token, ends), pa.array(flagged), *[pa.array(p) for p in more],
                     ],
-                    ["k1", "k2", "doc_id", "line", "n", "prefix", "p2", "p3", "p4"],
+                    ["k1", "k2", "doc_id", "line", "n", "prefix", "flagged", "p2", "p3", "p4"],
                 )
 
     return lines
@@ -176,11 +202,11 @@ def _one(t: pa.Table, k: int) -> pa.Array:
 
 
 class Entries:
-    """Rows (meet, own, id, k1, meta, p2, p3, p4) sorted by meet and meta; meta: size and place."""
+    """Rows of ENTRY_SCHEMA, sorted by key: the word's (or part's) number, and the size of the set."""
 
     def __init__(self, t: pa.Table):
-        self.key, self.own, self.id, k1, meta, p2, p3, p4 = (c.to_numpy() for c in t.columns[:8])
-        self.n, self.place = meta >> 32, meta & 0xFFFFFFFF
+        key, self.own, self.id, place, k1, p2, p3, p4 = (c.to_numpy() for c in t.columns[:8])
+        self.key, self.n, self.place = key >> 32, key & 0xFFFFFFFF, place.astype(np.int64)
         self.parity, self.level = np.stack((k1 ^ p2 ^ p3 ^ p4, p2, p3, p4)).view(np.uint64), level(self.n)
 
     def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -273,7 +299,8 @@ def _pairs(most: int, e: Entries) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Rows sorted by their first column, in tables of about `most` rows that cut no key."""
+    """Rows sorted by their first column, in tables of about `most` rows that cut no word's or part's
+    number (its upper half)."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -282,7 +309,7 @@ def _by_key(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         if rows < most:
             continue
         t = pa.Table.from_batches(held)
-        key = t.column(0).to_numpy()
+        key = t.column(0).to_numpy() >> 32
         done = int(np.searchsorted(key, key[-1]))
         if done:
             yield t.slice(0, done).combine_chunks()
@@ -295,7 +322,7 @@ def _met(short: int):
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Entries of short lines with a possible partner, and links (id, other) of longer ones."""
         for t in _by_key(batches, 1 << 18):
-            n = t.column(4).to_numpy() >> 32
+            n = t.column(0).to_numpy() & 0xFFFFFFFF
             few = t.filter(pa.array(n <= short)).combine_chunks()
             few = few.filter(pa.array(_flags(Entries(few)))).combine_chunks() if few.num_rows else few
             yield pa.RecordBatch.from_arrays([*[_one(few, k) for k in range(8)], pa.nulls(few.num_rows, pa.int64())], [*ENTRY_NAMES, "other"])
@@ -303,35 +330,65 @@ def _met(short: int):
             if more.num_rows:
                 a, b = _joined(Entries(more.combine_chunks()), short)
                 zero = pa.array(np.zeros(len(a), np.int64))
-                yield pa.RecordBatch.from_arrays([zero, zero.cast(pa.int32()), pa.array(a), *[zero] * 5, pa.array(b)], [*ENTRY_NAMES, "other"])
+                half = zero.cast(pa.int32())
+                yield pa.RecordBatch.from_arrays([zero, half, pa.array(a), half, *[zero] * 4, pa.array(b)], [*ENTRY_NAMES, "other"])
 
     return met
 
 
-ENTRY_NAMES = ["meet", "own", "id", "k1", "meta", "p2", "p3", "p4"]
-ENTRY_SCHEMA = "meet long, own int, id long, k1 long, meta long, p2 long, p3 long, p4 long"
+ENTRY_NAMES = ["key", "own", "id", "place", "k1", "p2", "p3", "p4"]
+ENTRY_SCHEMA = "key long, own int, id long, place int, k1 long, p2 long, p3 long, p4 long"
+
+
+def keyed(meet, n):
+    """The upper half of a number for where rows meet, and the size of the set."""
+    return F.shiftleft(meet, 32).bitwiseOR(F.col(n).cast("long"))
 
 
-def in_parts(rows: DataFrame, key: str, hash_of: list[str]) -> DataFrame:
-    """rows with (meet, own) for a key in `parts`: every two parts meet once, and each meets itself."""
-    part = F.pmod(F.xxhash64(*hash_of), F.col("parts")).cast("int")
+def in_parts(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with `key` and `own` for a key in `parts`: every two parts meet once, and each meets itself."""
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     one = lambda meet, own: F.struct(meet.alias("meet"), own.cast("int").alias("own"))
     meet = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda k: one(F.xxhash64(key, F.least(part, k), F.greatest(part, k)), F.when(k == part, -1).otherwise(part)),
     )
-    return rows.select("*", F.explode(meet).alias("m")).select("*", "m.meet", "m.own").drop("m")
+    return rows.select("*", F.explode(meet).alias("m")).withColumn("key", keyed(F.col("m.meet"), size)).withColumn("own", F.col("m.own"))
+
+
+def _entries(flagged: bool):
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each prefix word of classes (id, n, prefix, k1, p2, p3, p4): those that may be hot, or the others."""
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(low, 1 << 12)
+                n = part.column(1).to_numpy().astype(np.int64)
+                size = n + (-4 * n // 5) + 1
+                token = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int32).astype(np.int64)
+                row = np.repeat(np.arange(len(n)), size)
+                place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+                keep = np.flatnonzero((token < 0) == flagged)
+                row, token, place = row[keep], token[keep], place[keep]
+                key = pa.array((token << 32) | n[row])
+                own, rows = pa.array(np.full(len(row), -1, np.int32)), pa.array(row)
+                others = [part.column(k).take(rows) for k in (0, 3, 4, 5, 6)]
+                yield pa.RecordBatch.from_arrays([key, own, others[0], pa.array(place.astype(np.int32)), *others[1:]], ENTRY_NAMES)
+
+    return entries
+
+
+def flagged_entries(classes: DataFrame) -> DataFrame:
+    rows = classes.filter("flagged > 0").select("id", "n", "prefix", "k1", "p2", "p3", "p4").mapInArrow(_entries(True), ENTRY_SCHEMA)
+    return rows.withColumn("token", F.shiftright("key", 32))
 
 
 def entries_of(classes: DataFrame, hot: DataFrame) -> DataFrame:
-    """ENTRY_SCHEMA of each prefix word of each class, dealt and sorted by meet and meta."""
-    entries = classes.select("id", "k1", "p2", "p3", "p4", "n", F.posexplode("prefix").alias("place", "token"))
-    entries = entries.withColumn("meta", F.shiftleft(F.col("n").cast("long"), 32) + F.col("place"))
-    plain = entries.filter("token >= 0").select(F.col("token").cast("long").alias("meet"), F.lit(-1).alias("own"), *ENTRY_NAMES[2:])
-    some = entries.filter("token < 0").join(hot, "token", "left")
-    plain = plain.unionByName(some.filter("parts IS NULL").select(F.col("token").cast("long").alias("meet"), F.lit(-1).alias("own"), *ENTRY_NAMES[2:]))
-    cut = in_parts(some.filter("parts IS NOT NULL"), "token", ["id"]).select(*ENTRY_NAMES)
-    return plain.unionByName(cut).repartition("meet").sortWithinPartitions("meet", "meta")
+    """ENTRY_SCHEMA of each prefix word of each class, dealt and sorted by key."""
+    plain = classes.select("id", "n", "prefix", "k1", "p2", "p3", "p4").mapInArrow(_entries(False), ENTRY_SCHEMA)
+    some = flagged_entries(classes).join(hot, "token", "left").withColumn("n", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)))
+    cut = in_parts(some.filter("parts IS NOT NULL"), "token", "n")
+    every = plain.unionByName(some.filter("parts IS NULL").select(*ENTRY_NAMES)).unionByName(cut.select(*ENTRY_NAMES))
+    return every.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
 
 
 def _place(doc: pa.Array, line: np.ndarray) -> np.ndarray:
@@ -372,9 +429,7 @@ def _fetch(shared, wanted):
                 offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
                 keys, begin, _ = sets(*words(np.concatenate([np.zeros(0, np.uint8), *raw]), offsets, 0, len(raw))[:2], counts)
                 k1, k2, _ = marks(keys, begin)
-                ends = np.append(begin, len(keys)).astype(np.int32) * 8
-                column = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(keys.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), column], ["k1", "k2", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), binary(keys, np.append(begin, len(keys)))], ["k1", "k2", "keys"])
 
     return fetch
 
@@ -457,8 +512,8 @@ LINK_SCHEMA = "id long, links long, first_doc long, first_line int"  # first_lin
 
 def _short_links(most: int, step: int):
     def short_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of ENTRY_SCHEMA with doc_id, line, keys, sorted by meet and meta. A pair counts only
-        where its first shared word meets, so that it counts once."""
+        """Rows of ENTRY_SCHEMA with doc_id, line, keys, sorted by key. A pair counts only where its first
+        shared word meets, so that it counts once."""
         for t in _by_key(batches, 1 << 16):
             e, keys = Entries(t), _Sets(_one(t, 10))
             out = _Links(*(_one(t, k) for k in (2, 8, 9)))
@@ -475,12 +530,13 @@ def _short_links(most: int, step: int):
 
 def _long_links(short: int, most: int):
     def long_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (meet, own, n, id, doc_id, line, keys) sorted by meet and n. Each row's words are marked in
-        a bitmap of all, in which those of all later rows of the key within 0.8 are looked up."""
+        """Rows (key, own, id, doc_id, line, keys) sorted by key. Each row's words are marked in a bitmap
+        of all, in which those of all later rows of the key within 0.8 are looked up."""
         for t in _by_key(batches, 1 << 13):
-            key, own, n = (t.column(k).to_numpy() for k in range(3))
-            sets_, out = _Sets(_one(t, 6)), _Links(*(_one(t, k) for k in (3, 4, 5)))
-            _, high = _reach(key, n.astype(np.int64))
+            key, own = (t.column(k).to_numpy() for k in range(2))
+            n, key = key & 0xFFFFFFFF, key >> 32
+            sets_, out = _Sets(_one(t, 5)), _Links(*(_one(t, k) for k in (2, 3, 4)))
+            _, high = _reach(key, n)
             mark = np.zeros(sets_.size, np.uint8)
             held: list[tuple] = []
             rows = 0
@@ -516,19 +572,19 @@ def links_of(classes: DataFrame, hot: DataFrame, rows: DataFrame, shared) -> Dat
     roots = written(roots, "roots")
     keys = keys_for(active.select("id").unionByName(roots.select("id")), classes, rows, shared)
     few = active.join(keys.drop("n"), "id").select(*ENTRY_NAMES, "doc_id", "line", "keys")
-    few = few.repartition("meet").sortWithinPartitions("meet", "meta").mapInArrow(_short_links(PAIRS, VERIFY), LINK_SCHEMA)
-    more = written(roots.join(keys, "id"), "component-keys")
+    few = few.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").mapInArrow(_short_links(PAIRS, VERIFY), LINK_SCHEMA)
+    more = parts = written(roots.join(keys, "id"), "component-keys")
     large = more.groupBy("root").agg(F.sum("n").alias("all")).filter(F.col("all") > WORDS)
     large = written(large.select("root", F.ceil(F.col("all") / WORDS).cast("int").alias("parts")), "large")
     more = more.join(large, "root", "left")
-    columns = ("meet", "own", "n", "id", "doc_id", "line", "keys")
-    whole = more.filter("parts IS NULL").withColumn("meet", F.col("root")).withColumn("own", F.lit(-1)).select(*columns)
-    more = whole.unionByName(in_parts(more.filter("parts IS NOT NULL"), "root", ["id"]).select(*columns))
-    more = more.repartition("meet").sortWithinPartitions("meet", "n").mapInArrow(_long_links(SHORT, PAIRS), LINK_SCHEMA)
+    columns = ("key", "own", "id", "doc_id", "line", "keys")
+    whole = more.filter("parts IS NULL").withColumn("key", keyed(F.xxhash64("root"), "n")).withColumn("own", F.lit(-1)).select(*columns)
+    more = whole.unionByName(in_parts(more.filter("parts IS NOT NULL"), "root", "n").select(*columns))
+    more = more.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").mapInArrow(_long_links(SHORT, PAIRS), LINK_SCHEMA)
     first = F.when(F.col("first_line") >= 0, F.struct(F.col("first_doc").alias("doc_id"), F.col("first_line").alias("line")))
     found = few.unionByName(more).groupBy("id").agg(F.sum("links").alias("links"), F.min(first).alias("match"))
     found = written(found, "links")
-    discard(met, roots, keys, large)
+    discard(met, roots, keys, parts, large)
     return found
 
 
@@ -538,12 +594,16 @@ def linked_lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(rarity(rows))
     lines = written(rows.mapInArrow(_lines(shared, PART), LINES), "lines")
-    classes = lines.groupBy("k1", "k2").agg(
-        F.min(F.struct("doc_id", "line")).alias("one"), F.count("*").alias("members"), *[F.first(c).alias(c) for c in ("n", "prefix", "p2", "p3", "p4")]
-    )
+    # all that a set says is the same in all of its lines: as keys they need no sort, nor does the
+    # least (doc_id, line) as one number; a null doc_id is before all others
+    lit = lambda n: F.lit(Decimal(n))
+    at = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), lit(-(1 << 63) - 1)) * lit(1 << 32) + F.col("line")).cast("decimal(38,0)")
+    classes = lines.groupBy("k1", "k2", "n", "prefix", "flagged", "p2", "p3", "p4").agg(F.min(at).alias("at"), F.count("*").alias("members"))
+    number = F.pmod("at", lit(1 << 32))
+    first = F.when(F.col("at") >= lit(-(1 << 95)), ((F.col("at") - number) / lit(1 << 32)).cast("long"))
     # written at once, so that a class keeps its number
-    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "one.doc_id", "one.line", "n", "prefix", "members", "p2", "p3", "p4"), "classes")
-    hot = classes.select(F.explode("prefix").alias("token")).filter("token < 0").groupBy("token").count().filter(F.col("count") > PART)
+    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", first.alias("doc_id"), number.cast("int").alias("line"), "n", "prefix", "flagged", "members", "p2", "p3", "p4"), "classes")
+    hot = flagged_entries(classes).groupBy("token").count().filter(F.col("count") > PART)
     hot = written(hot.select("token", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "hot-words")
     links = links_of(classes, hot, rows, shared)
     known = classes.select("id", "k1", "k2", F.col("doc_id").alias("class_doc"), F.col("line").alias("class_line"), "members").join(links, "id", "left")
@@ -573,7 +633,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     link = F.struct("line", F.lower(F.format_string("%016x%016x", "k1", "k2")).alias("class_id"), "class_doc", "class_line", "links")
     found = linked_lines(docs).select(F.col("doc_id").alias("d"), gone.alias("gone"), link.alias("link"))
     found = found.groupBy("d").agg(F.sort_array(F.collect_set("gone")).alias("removed"), F.sort_array(F.collect_set("link")).alias("linked"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"))
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")), "left")
     return rows.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed", "linked")
 
