@@ -2,10 +2,14 @@
 
 The base rules find e-mail addresses, IP addresses, card and phone numbers: the protected entities.
 A term discloses an entity if seeing the term tells who is meant: over the whole corpus, n(t) is the
-number of documents with the term, n(t, e) of those where it shares a line with the entity, and
-n(e) of the entity's documents. The term's disclosure is the pointwise mutual information
-log2(n(t, e) * N / (n(t) * n(e))) in bits, with the conditional probability n(t, e) / n(t). Terms at
-or over both thresholds, seen with the entity in at least `support` different lines, are spans too.
+number of documents with the term, n(t, e) of those where it stands within REACH characters of the
+entity on one line, and n(e) of the entity's documents. The term's disclosure is the pointwise mutual
+information log2(n(t, e) * N / (n(t) * n(e))) in bits, with the conditional probability
+n(t, e) / n(t). Terms at or over both thresholds, near the entity in at least `support` documents, are
+spans too, wherever they stand. Documents are counted, not rows: repeated rows are one.
+
+An entity has the words of REACH characters on either side at most, so that no line, however long,
+pairs all its entities with all its words.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Everything but the characters of terms.
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TERM_CHARS = r"0-9a-z\x{80}-\x{10FFFF}"
-#: Thresholds of disclosure: bits, probability, different lines, characters of a term.
-BITS, SHARE, SUPPORT, TERM_LENGTH = 6.0, 0.5, 3, 3
+#: Thresholds of disclosure: bits, probability, documents; characters of a term, and around an entity.
+BITS, SHARE, SUPPORT, TERM_LENGTH, REACH = 6.0, 0.8, 2, 3, 200
 
 
 def luhn(digits: Column) -> Column:
@@ -55,17 +59,20 @@ def base_spans(text: Column) -> list[Column]:
     return [email, ip, card, phone]
 
 
-def entities_and_terms(docs: DataFrame) -> DataFrame:
-    """doc_id, line (hash), entity, term: the terms on the lines of protected entities."""
-    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+def contexts(docs: DataFrame) -> DataFrame:
+    """document, entity, terms: the words around each protected entity. docs: document, text."""
+    lines = docs.select("document", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     lines = lines.filter(F.rlike("line", F.lit("@|[0-9][0-9\\x20().-]{5}")))
-    kinds = [F.transform(x, lambda y: ascii_lower(y["m"])) for x in base_spans(F.col("line"))]
-    lines = lines.select("doc_id", "line", F.array_distinct(F.concat(*kinds)).alias("entities")).filter(F.size("entities") > 0)
-    # the words of the entities themselves say nothing about them
-    rest = lines.select("doc_id", F.xxhash64("line").alias("line"), "entities", F.array_distinct(F.split(ascii_lower(F.col("line")), APART)).alias("terms"))
-    own = F.flatten(F.transform("entities", lambda e: F.split(e, APART)))
-    rest = rest.withColumn("terms", F.filter(F.array_except("terms", own), lambda t: F.length(t) >= TERM_LENGTH))
-    return rest.select("doc_id", "line", F.explode("entities").alias("entity"), "terms").select("doc_id", "line", "entity", F.explode("terms").alias("term"))
+    found = lines.select("document", "line", F.explode(F.concat(*base_spans(F.col("line")))).alias("x"))
+    low = F.greatest(F.col("x.s") - REACH, F.lit(0))
+    high = F.least(F.col("x.e") + REACH, F.length("line"))
+    words = F.split(ascii_lower(F.substring(F.col("line"), low + 1, high - low)), APART)
+    # the words at the cuts may be parts of words
+    words = F.slice(words, F.when(low > 0, 2).otherwise(1), F.size(words) - (low > 0).cast("int") - (high < F.length("line")).cast("int"))
+    entity = ascii_lower(F.col("x.m"))
+    # the words of the entity itself say nothing about it
+    terms = F.filter(F.array_except(words, F.split(entity, APART)), lambda t: F.length(t) >= TERM_LENGTH)
+    return found.select("document", entity.alias("entity"), terms.alias("terms"))
 
 
 def terms_of(text: Column) -> Column:
@@ -74,29 +81,28 @@ def terms_of(text: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, bits: float = BITS, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
     """term, entity, bits, share of every term at or over the thresholds; docs: doc_id, text."""
-    together = written(entities_and_terms(docs), "together")
-    pairs = together.select("term", "entity", "doc_id").distinct()
-    lines = together.select("term", "entity", "line").distinct().groupBy("term", "entity").agg(F.count("*").alias("support"))
-    pairs = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_te")).join(lines.filter(F.col("support") >= support), ["term", "entity"])
-    pairs = written(pairs, "pairs")
+    rows = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "text").alias("document"), "text")
+    near = written(contexts(rows), "contexts")
+    n_e = near.select("entity", "document").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
+    pairs = near.join(n_e, "entity").select("entity", "n_e", "document", F.explode("terms").alias("term")).distinct()
+    pairs = written(pairs.groupBy("term", "entity", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support), "pairs")
+    # rows of one document count once in all; the others were counted by it above
+    again = rows.groupBy("document").agg(F.count("*").alias("rows"))
+    n = again.agg(F.count("*").alias("n"))
+    again = written(again.filter(F.col("rows") > 1), "repeated-documents")
+    weight = F.lit(1.0) / F.coalesce("rows", F.lit(1))
     # the candidates were written: broadcast only if Spark finds them below its threshold
     wanted = pairs.select("term").distinct()
-    n_t = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
-    n_e = together.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    n = docs.count()
-    scored = pairs.join(n_t, "term").join(n_e, "entity")
+    n_t = rows.join(again, "document", "left").select(F.explode(terms_of(F.col("text"))).alias("term"), weight.alias("w")).join(wanted, "term")
+    n_t = n_t.groupBy("term").agg(F.round(F.sum("w")).alias("n_t"))
+    scored = pairs.join(n_t, "term").crossJoin(n)  # n is one row
     scored = scored.withColumn("share", F.col("n_te") / F.col("n_t"))
-    scored = scored.withColumn("bits", F.log2(F.col("share") * F.lit(float(n)) / F.col("n_e")))
+    scored = scored.withColumn("bits", F.log2(F.col("share") * F.col("n") / F.col("n_e")))
     return scored.filter((F.col("bits") >= bits) & (F.col("share") >= share)).select("term", "entity", "bits", "share")
 
 
-def scan(docs: DataFrame, bits: float = BITS, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, counts of base spans, and the marks (start, kind, end) of base and of all spans.
-
-    docs: doc_id, text; other columns are ignored. Null is an empty text. Added spans are whole
-    words, never overlap base spans, and are found in every document that has the term. Repeated rows
-    have a row each (and count as one document in no statistic); an empty table gives none.
-    """
+def _scanned(docs: DataFrame, bits: float, share: float, support: int) -> DataFrame:
+    """doc_id, text, b (base spans by kind), base and marks of each row."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     terms = written(disclosing_terms(rows, bits, share, support).select("term").distinct(), "terms")
     # by a hash of the text, which also serves null and repeated ids
@@ -110,7 +116,18 @@ def scan(docs: DataFrame, bits: float = BITS, share: float = SHARE, support: int
     hits = F.flatten(F.transform("terms", lambda t: matches(ascii_lower(F.col("text")), word(t))))
     hits = outside(hits, F.concat(*[F.col(f"b.{k}") for k in KINDS[:4]]))
     added = F.when(F.col("terms").isNull(), none("array<struct<s:int,k:int,e:int>>")).otherwise(marked(hits, 4))
-    return rows.select("doc_id", *[F.size(f"b.{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]], bases.alias("base"), F.concat(bases, added).alias("marks"))
+    return rows.select("doc_id", "text", "b", bases.alias("base"), F.concat(bases, added).alias("marks"))
+
+
+def scan(docs: DataFrame, bits: float = BITS, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    """doc_id, counts of base spans, and the marks (start, kind, end) of base and of all spans.
+
+    docs: doc_id, text; other columns are ignored. Null is an empty text. Added spans are whole
+    words, never overlap base spans, and are found in every document that has the term. Repeated rows
+    have a row each (and count as one document in all statistics); an empty table gives none.
+    """
+    found = _scanned(docs, bits, share, support)
+    return found.select("doc_id", *[F.size(f"b.{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]], "base", "marks")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -119,17 +136,20 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
-    """doc_id, text with base spans generalised to [KIND] and disclosing terms removed as [TERM]."""
-    found = scan(docs, **thresholds).select("doc_id", F.sort_array("marks").alias("marks"))
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.join(found.dropDuplicates(["doc_id"]), "doc_id")
+def sanitise(docs: DataFrame, bits: float = BITS, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    """doc_id, text with base spans generalised to [KIND] and disclosing terms removed as [TERM].
+
+    docs: doc_id, text; other columns are ignored. Each row is rewritten by its own spans, whatever ids
+    it shares; of overlapping spans the first counts. Null becomes ''. Rows come out as they went in,
+    null and repeated ids too; an empty table gives none.
+    """
+    rows = _scanned(docs, bits, share, support).select("doc_id", "text", F.sort_array("marks").alias("marks"))
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def put(acc: Column, x: Column) -> Column:
-        clean = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.get(name, x["k"]))
+        clean = F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.get(name, x["k"])))
         return F.when(x["s"] < acc["at"], acc).otherwise(F.struct(x["e"].alias("at"), clean.alias("out")))
 
-    done = F.aggregate("marks", start, put, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647))))
-    return rows.select("doc_id", done.alias("text"))
+    last = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647)))
+    return rows.select("doc_id", F.aggregate("marks", start, put, last).alias("text"))

@@ -1,10 +1,15 @@
 """Secret scans, with DataFrame functions only.
 
-The base rules find assignments, access keys and hex strings. The method adds tokens that look drawn
-at random: two character Markov models, one of random strings and one of ordinary identifiers, give
-each token the mean log-likelihood ratio of its transitions. The models are counted from labelled
-samples of the corpus itself: the values that the base rules find are the random strings, and
-identifier-like words outside of base spans are the ordinary ones.
+The base rules find assignments, access keys and hex strings. The method judges every token of
+letters and digits: two character Markov models, one of random strings and one of ordinary
+identifiers, give a token the log-likelihood ratio of its transitions. The models are counted from
+labelled samples of the corpus itself: the values that the base rules find are the random strings, and
+identifier-like words outside of base spans are the ordinary ones. A token counts as random if the mean
+ratio reaches THRESHOLD and the sum LEAST, so that short tokens have to be clearer.
+
+Tokens are cut at = and /, and are judged inside of base spans too: there the method tells the secret
+itself from the text around it. Tokens without both a letter and a digit, or below 8 characters, are
+not judged.
 """
 
 from __future__ import annotations
@@ -23,16 +28,20 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Tokens that the models judge: long runs of the characters of keys.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-IDENTIFIER = r"(?<![A-Za-z0-9_-])[A-Za-z_-][A-Za-z0-9_-]{7,}+"
+#: Tokens that the models judge: 8 characters of keys or more, with a letter and a digit.
+TOKEN = r"(?<![A-Za-z0-9+_-])(?=[A-Za-z+_-]*+[0-9])(?=[0-9+_-]*+[A-Za-z])[A-Za-z0-9+_-]{8,}+"
+#: Ordinary words of a sample: without digits, for a word with digits may itself be a secret.
+IDENTIFIER = r"(?<![A-Za-z0-9_-])[A-Za-z_-]{8,}+(?![0-9])"
 #: Labelled documents that the models are fitted on, chosen by a hash of the id; a bound in rows.
 SAMPLE_DOCS = 20_000
-#: Least mean log-likelihood ratio per transition, in nats, of a token reported as random.
-THRESHOLD = 0.7
-#: Characters of the models: small letters as they are, all capitals as A, all digits as 0.
-ALPHABET = "abcdefghijklmnopqrstuvwxyzA0_-+/="
+#: Least mean log-likelihood ratio per transition and least sum, in nats, of a token reported as random.
+THRESHOLD, LEAST = 0.7, 10.0
+#: Characters of the models; others count as the last.
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-+/="
 SIZE = len(ALPHABET)
+#: Weight of what is expected of a transition, in transitions: any character after a random one, and
+#: the sample's own frequency of the second character after an ordinary one. Most that a transition counts.
+EXPECTED, MOST = {True: 2.0 * SIZE, False: 0.5 * SIZE}, 4.0
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -41,9 +50,9 @@ def base_spans(text: Column) -> list[Column]:
 
 
 def codes(token: Column) -> Column:
-    """Indices into ALPHABET of a token's characters; others count as '='."""
-    plain = F.translate(token, "BCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "A" * 25 + "0" * 9)
-    return F.transform(F.split(plain, ""), lambda c: F.when(F.instr(F.lit(ALPHABET), c) > 0, F.instr(F.lit(ALPHABET), c) - 1).otherwise(SIZE - 1))
+    """Indices into ALPHABET of a token's characters."""
+    at = lambda c: F.instr(F.lit(ALPHABET), c)
+    return F.transform(F.split(token, ""), lambda c: F.when(at(c) > 0, at(c) - 1).otherwise(SIZE - 1))
 
 
 def transitions(token: Column) -> Column:
@@ -69,36 +78,50 @@ def labelled(docs: DataFrame, sample_docs: int) -> DataFrame:
 
 
 def fit(samples: DataFrame) -> list[float]:
-    """SIZE * SIZE log ratios of transition probabilities, random over ordinary, add-half smoothed."""
+    """SIZE * SIZE log ratios of transition probabilities, random over ordinary, within MOST."""
     counts = samples.select("random", F.explode(transitions(F.col("token"))).alias("t")).groupBy("t", "random").count()
-    tally = {True: [0.5] * SIZE**2, False: [0.5] * SIZE**2}
+    tally = {tag: [0] * SIZE**2 for tag in (True, False)}
     for t, random, n in counts.collect():  # at most 2 * SIZE**2 rows
-        tally[random][t] += n
-    row = lambda tag, t: sum(tally[tag][t - t % SIZE : t - t % SIZE + SIZE])
-    return [math.log(tally[True][t] / row(True, t)) - math.log(tally[False][t] / row(False, t)) for t in range(SIZE**2)]
+        tally[random][t] = n
+    every = sum(tally[False]) + 0.5 * SIZE
+    expected = {True: [1 / SIZE] * SIZE, False: [(sum(tally[False][b::SIZE]) + 0.5) / every for b in range(SIZE)]}
 
+    def chance(tag: bool, a: int, b: int, row: int) -> float:
+        return (tally[tag][a * SIZE + b] + EXPECTED[tag] * expected[tag][b]) / (row + EXPECTED[tag])
 
-def ratio(token: Column, model: Column) -> Column:
-    """Mean log-likelihood ratio per transition; 0 for a token without one."""
-    return let(transitions(token), lambda t: F.when(F.size(t) == 0, F.lit(0.0)).otherwise(
-        F.aggregate(t, F.lit(0.0), lambda acc, x: acc + F.get(model, x)) / F.size(t)
-    ))
+    out = []
+    for a in range(SIZE):
+        rows = {tag: sum(tally[tag][a * SIZE : (a + 1) * SIZE]) for tag in tally}
+        out += [math.log(chance(True, a, b, rows[True]) / chance(False, a, b, rows[False])) for b in range(SIZE)]
+    return [max(-MOST, min(MOST, x)) for x in out] if any(tally[True]) and any(tally[False]) else [0.0] * SIZE**2
+
+
+def score(token: Column, model: Column) -> Column:
+    """struct<sum, n>: log-likelihood ratios of a token's transitions, and their number."""
+    return let(transitions(token), lambda t: F.struct(F.aggregate(t, F.lit(0.0), lambda acc, x: acc + F.get(model, x)).alias("sum"), F.size(t).alias("n")))
+
+
+def is_random(token: Column, model: Column, threshold: float = THRESHOLD, least: float = LEAST) -> Column:
+    return let(score(token, model), lambda x: (x["sum"] >= least) & (x["sum"] >= threshold * x["n"]))
+
+
+def as_column(model: list[float]) -> Column:
+    """The model as one constant."""
+    return F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
 
 
-def scan(docs: DataFrame, model: list[float] | None = None, sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: list[float] | None = None, sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD, least: float = LEAST) -> DataFrame:
     """doc_id, counts of base spans, and the marks (start, kind, end) of base and of all spans.
 
     docs: doc_id, text; other columns are ignored. Null is an empty text. model: from fit(), by
     default fitted on the documents' own labelled strings; without any the models are flat and add
-    nothing. Added spans never overlap base spans. Repeated rows have a row each; an empty table
-    gives none.
+    nothing. Repeated rows have a row each; an empty table gives none.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     model = model or fit(labelled(docs.select("doc_id", "text"), sample_docs))
     rows = rows.select("doc_id", "text", F.struct(*[x.alias(k) for k, x in zip(KINDS, base_spans(F.col("text")))]).alias("b"), matches(F.col("text"), TOKEN).alias("tokens"))
-    table = F.array(*[F.lit(float(x)) for x in model])
     bases = F.concat(*[marked(F.col(f"b.{k}"), i) for i, k in enumerate(KINDS[:3])])
-    scored = let(table, lambda m: F.filter(outside(F.col("tokens"), F.concat("b.assign", "b.access", "b.hex")), lambda x: ratio(x["m"], m) >= threshold))
+    scored = let(as_column(model), lambda m: F.filter("tokens", lambda x: is_random(x["m"], m, threshold, least)))
     added = F.when(F.size("tokens") == 0, none(MARKS)).otherwise(marked(scored, 3))
     return rows.select(
         "doc_id", *[F.size(f"b.{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]], bases.alias("base"), F.concat(bases, added).alias("marks")
