@@ -6,7 +6,8 @@ also stand side by side in some benchmark text, so the index is built over just
 (nothing that could match is left out). All windows are searched backward at once through the
 wavelet matrix, located by the sampled suffix positions, checked against the words' bytes, and
 merged into removal spans. Benchmarks are a stated query set: they are read in blocks of up to
-BLOCK_BYTES by hash, and each block is broadcast by itself, so no size is assumed.
+BLOCK_BYTES by hash. One block is searched in one pass; of more, each has a pass of its own, and its
+broadcast is released before the next is made, so that no size is assumed.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_class, int64s, prefix_hash, slices, span_hashes, spaced, text_bytes, word_bounds
+from .common import LOWER, byte_class, int64s, prefix_hash, slices, span_hashes, spaced, text_bytes, word_bounds, written
 from .fm_index import FMIndex
 
 WINDOW, SHARD_BYTES, BLOCK_BYTES = 13, 2 << 20, 16 << 20
@@ -143,17 +144,41 @@ def _scan(blocks, shard_bytes):
     return scan
 
 
-def query_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """Broadcast Windows of the items, by a hash of the text, each of about block_bytes of text."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    items = items.filter("text IS NOT NULL")
+def _word_counts(shard_bytes):
+    def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_bytes(batch)
+            counts = [np.bincount(_words(data, at, low, high)[4], minlength=high - low) for low, high in slices(at, shard_bytes)]
+            n = np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], ["doc_id", "key", "n_words"])
+
+    return word_counts
+
+
+def query_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator:
+    """A broadcast of the Windows of each block of items, by a hash of the text, of about block_bytes
+    of text. One at a time: a block is released when the next is asked for."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter("text IS NOT NULL")
+    items = items.distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
-    blocks = []
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else items
-        blocks.append(items.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()], window)))
-    return blocks
+        block = items.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()], window))
+        yield block, n
+        block.unpersist()
+
+
+def _merged(spans):
+    """Sorted spans, with those that touch or overlap as one."""
+    span = "array<struct<start:int,end:int>>"
+    last = lambda acc: F.element_at(acc, -1)
+
+    def put(acc, x):
+        joined = F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.sort_array(spans), F.array().cast(span), put)
 
 
 def contamination(
@@ -165,25 +190,56 @@ def contamination(
     have no words and no hits. A null item_id is the item ''. Items of one id are one item. Repeated
     documents have a row each; empty tables give no rows or no hits.
     """
-    blocks = query_blocks(benchmark, window, block_bytes)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_scan(blocks, shard_bytes), SCHEMA)
+    rows, passes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
+    for block, n in query_blocks(benchmark, window, block_bytes):
+        if n == 1:
+            return rows.mapInArrow(_scan([block], shard_bytes), SCHEMA)
+        numbered = rows.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("doc_id"), "text")
+        found = numbered.mapInArrow(_scan([block], shard_bytes), SCHEMA).filter("n_hit > 0").select(F.col("doc_id").alias("key"), "item_ids", "spans")
+        passes.append(written(found, "block-hits"))
+    hits = passes[0]
+    for more in passes[1:]:
+        hits = hits.unionByName(more)
+    # repeated rows have the same hits: sets make them one
+    hits = hits.select("key", F.explode("spans").alias("span"), "item_ids").groupBy("key").agg(
+        F.collect_set("span").alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids")
+    )
+    hits = hits.select("key", "item_ids", _merged(F.col("all")).alias("spans"))
+    keyed = rows.select("doc_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("key"), "text")
+    counted = keyed.mapInArrow(_word_counts(shard_bytes), "doc_id long, key long, n_words long")
+    whole = counted.join(hits, "key", "left")
+    none = F.array().cast("array<string>")
+    return whole.select(
+        "doc_id", "n_words", F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0)).alias("n_hit"),
+        F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+    )
 
 
 def is_contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **sizes) -> DataFrame:
-    """The documents that are not contaminated, with their own columns; no shuffle."""
-    blocks = query_blocks(benchmark, sizes.get("window", WINDOW), sizes.get("block_bytes", BLOCK_BYTES))
-    scan = _scan(blocks, sizes.get("shard_bytes", SHARD_BYTES))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(scan([batch]))
-            if found:
-                n_words, n_hit = (np.concatenate([x.column(k).to_numpy() for x in found]) for k in (1, 2))
-                yield batch.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
-
-    return docs.mapInArrow(clean, docs.schema)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that are not contaminated, with their own columns.
+
+    Null and empty texts stay, repeated rows stay or go together, and an empty table stays empty. A
+    benchmark of one block needs no shuffle; of more, the ids and hashes of the contaminated go into one
+    anti-join."""
+    for block, n in query_blocks(benchmark, window, block_bytes):
+        if n > 1:
+            break
+        scan = _scan([block], shard_bytes)
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = list(scan([batch]))
+                if found:
+                    n_words, n_hit = (np.concatenate([x.column(k).to_numpy() for x in found]) for k in (1, 2))
+                    yield batch.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
+
+        return docs.mapInArrow(clean, docs.schema)
+    own = docs.columns
+    marked = docs.select(F.struct(*own).alias("row"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("key"), "text")
+    found = contamination(marked.select(F.col("key").alias("doc_id"), "text"), benchmark, window, shard_bytes, block_bytes)
+    gone = found.filter(is_contaminated()).select(F.col("doc_id").alias("key")).distinct()
+    return marked.join(gone, "key", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in own])

@@ -51,24 +51,29 @@ def mix_sources(
 ) -> DataFrame:
     """docs repeated to the target weights and globally shuffled; adds copies, replica, shuffle_key.
 
-    docs: doc_id, source and any others; columns named like the added ones are replaced. Sources
+    docs: doc_id, source and any others, of any names; columns named like the added ones are replaced. Sources
     without a weight have default_weight; a source of weight 0 vanishes. A null source is the source
     ''. A null doc_id counts as ''. Repeated rows with one id get the same count each. An empty table
     stays empty. Rows leave in the order of shuffle_key, a hash of id and replica.
     """
-    own = [c for c in docs.columns if c not in ("copies", "replica", "shuffle_key")]
-    rates = written(source_rates(docs, weights, default_weight, epochs), "rates")
+    own = [c for c in docs.columns if c.lower() not in ("copies", "replica", "shuffle_key")]
+    rates = written(source_rates(docs.select("source"), weights, default_weight, epochs), "rates")
     seeded = F.lit(str(seed))
     rates = rates.select("mix_source", F.col("parts").alias("mix_parts"), F.col("cdf").alias("mix_cdf"))
 
     def drawn(part: Column) -> Column:
-        u = uniform(seeded, _key(F.col("doc_id")), part.cast("string"))
+        u = uniform(seeded, _key(F.col("mix_id")), part.cast("string"))
         return F.size(F.filter("mix_cdf", lambda c: c <= u))
 
     # the rates were written: Spark knows their size and broadcasts them only below its threshold
-    mixed = docs.select(*own, _key(F.col("source")).alias("mix_source")).join(rates, "mix_source")
+    mixed = docs.select(F.struct(*own).alias("mix_row"), F.col("doc_id").alias("mix_id"), _key(F.col("source")).alias("mix_source")).join(rates, "mix_source")
     copies = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("mix_parts") - 1), drawn), F.lit(0), lambda a, n: a + n)
     mixed = mixed.withColumn("copies", copies).filter("copies > 0")
-    mixed = mixed.select(*own, "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("replica"))
-    key = F.md5(F.concat_ws(":", F.lit("order"), seeded, _key(F.col("doc_id")), F.col("replica").cast("string")))
-    return mixed.withColumn("shuffle_key", key).orderBy("shuffle_key")
+    mixed = mixed.select("mix_row", "mix_id", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("replica"))
+    key = F.md5(F.concat_ws(":", F.lit("order"), seeded, _key(F.col("mix_id")), F.col("replica").cast("string")))
+    mixed = mixed.withColumn("shuffle_key", key)
+    # keys are even, so their ranges are known: no sample is drawn to find them, and rows are made once
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = (F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") / float(1 << 32) * parts).cast("int")
+    mixed = mixed.repartitionById(parts, place).sortWithinPartitions("shuffle_key")
+    return mixed.select(*[F.col("mix_row").getField(c).alias(c) for c in own], "copies", "replica", "shuffle_key")

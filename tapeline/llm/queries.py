@@ -11,6 +11,9 @@ from .common import table
 #: Target weights of the mixture: a quarter from the largest source, the rest in equal shares.
 MIX = {"src0": 0.25}
 MIX_DEFAULT = 0.75 / 19
+#: Fetches until a page is asked for again, and time units of a bucket: revisits lie between the fetches
+#: of other pages, and find their response in the same bucket or an earlier one.
+DELAY, BUCKET = 40, 32
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +47,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +56,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages")))
+    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages"), DELAY), BUCKET)
     header = F.transform("headers", lambda h: F.concat(h["name"], F.lit("="), h["value"]))
     return found.select(
         F.col("record_id").alias("page_id"), "url", F.col("refers_to").alias("refers_to_page"), "verdict",
@@ -61,8 +65,7 @@ def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix_sources(docs, MIX, MIX_DEFAULT, epochs=1.0)
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), MIX, MIX_DEFAULT, epochs=1.0)
 
 
 def queries() -> dict:
@@ -103,7 +106,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
-OP9_SQL = r"""
+OP9_SQL = rf"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^[hH][tT][tT][pP][sS]?://', '') AS u FROM pages),
 q AS (SELECT page_id, html, regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), '^www\.|:(80|443)$', '', 'g') AS host,
              regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
@@ -113,12 +116,12 @@ c AS (SELECT page_id, host || path || CASE WHEN len(k) > 0 THEN '?' || array_to_
              CASE WHEN page_id % 2 = 0 THEN 'day ' || CAST(page_id // 100 AS VARCHAR) END AS lm FROM q),
 j AS (SELECT v.page_id, v.url, v.etag, v.lm, r.page_id AS rid, r.etag AS retag, r.lm AS rlm, r.size,
              row_number() OVER (PARTITION BY v.page_id ORDER BY r.page_id DESC NULLS LAST) AS n
-      FROM c v LEFT JOIN c r ON r.url = v.url AND 2 * r.page_id < 2 * (v.page_id + 2000) + 1),
+      FROM c v LEFT JOIN c r ON r.url = v.url AND v.url <> '' AND 2 * r.page_id < 2 * (v.page_id + {DELAY}) + 1),
 a AS (SELECT *, coalesce(regexp_replace(etag, '^W/', '') = regexp_replace(retag, '^W/', ''), lm = rlm) AS agree FROM j WHERE n = 1)
 SELECT page_id, url, rid AS refers_to_page,
        CASE WHEN rid IS NULL THEN 'no response' WHEN agree IS NULL THEN 'unchecked' WHEN agree THEN 'matched' ELSE 'mismatch' END AS verdict,
-       CASE WHEN rid IS NOT NULL AND agree THEN concat_ws(';', 'content-length=' || size, 'content-type=text/html', 'date=' || CAST(2 * (page_id + 2000) + 1 AS VARCHAR),
-            'etag=' || coalesce(etag, retag), 'expires=' || CAST(page_id + 18000 AS VARCHAR), 'last-modified=' || rlm) END AS headers
+       CASE WHEN rid IS NOT NULL AND agree THEN concat_ws(';', 'content-length=' || size, 'content-type=text/html', 'date=' || CAST(2 * (page_id + {DELAY}) + 1 AS VARCHAR),
+            'etag=' || coalesce(etag, retag), 'expires=' || CAST(page_id + {9 * DELAY} AS VARCHAR), 'last-modified=' || rlm) END AS headers
 FROM a
 """
 
@@ -133,11 +136,12 @@ q AS (SELECT src, greatest(1, CAST(ceil(rate / 8.0) AS INTEGER)) AS parts, rate
 c AS (SELECT src, parts, one, 0 AS k, exp(-one) AS p, exp(-one) AS cum FROM q
       UNION ALL SELECT src, parts, one, k + 1, p * one / (k + 1), cum + p * one / (k + 1) FROM c WHERE k < 64),
 t AS (SELECT src, any_value(parts) AS parts, list(cum ORDER BY k) AS cdf FROM c GROUP BY src),
-u AS (SELECT rn, doc_id, source, cdf, unnest(range(0, parts)) AS part FROM (SELECT *, row_number() OVER () AS rn FROM {docs}) d JOIN t ON t.src = coalesce(source, '')),
-n AS (SELECT rn, doc_id, source, sum(len(list_filter(cdf, lambda x: x <= {unit.format(seed, "part")}))) AS copies FROM u GROUP BY rn, doc_id, source)
-SELECT doc_id, source, CAST(copies AS INTEGER) AS copies, CAST(replica AS INTEGER) AS replica,
+rows_ AS MATERIALIZED (SELECT *, row_number() OVER () AS rn FROM {docs}),
+u AS (SELECT rn, doc_id, cdf, unnest(range(0, parts)) AS part FROM rows_ d JOIN t ON t.src = coalesce(source, '')),
+n AS (SELECT rn, sum(len(list_filter(cdf, lambda x: x <= {unit.format(seed, "part")}))) AS copies FROM u GROUP BY rn)
+SELECT doc_id, text, lang, source, n_chars, CAST(copies AS INTEGER) AS copies, CAST(replica AS INTEGER) AS replica,
        md5('order:{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || replica) AS shuffle_key
-FROM (SELECT doc_id, source, copies, unnest(range(0, CAST(copies AS BIGINT))) AS replica FROM n WHERE copies > 0) x
+FROM (SELECT r.*, copies, unnest(range(0, CAST(copies AS BIGINT))) AS replica FROM n JOIN rows_ r ON r.rn = n.rn WHERE copies > 0) x
 """
 
 

@@ -78,7 +78,7 @@ def assign(groups: DataFrame, shards: int, cells: int) -> DataFrame:
     # each class has at most `cells` rows here
     before = Window.partitionBy("cls").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tally.select("cls", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    offsets = offsets.join(F.broadcast(plan), "cls")
+    offsets = offsets.join(plan, "cls")  # at most a row a class, whatever the input
     inside = F.row_number().over(Window.partitionBy("cls", "cell").orderBy("group"))
     return (
         marked.withColumn("rank", inside)
@@ -88,33 +88,35 @@ def assign(groups: DataFrame, shards: int, cells: int) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, cells: int | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, cells: int = 256, in_order: bool = False) -> DataFrame:
     """A shard for each document, with equal texts together and the shards' bytes near equal.
 
     docs: doc_id, text; other columns are ignored. Law: `bytes`. size: UTF-8 bytes of the text plus
     1. Null texts count as 1 byte, have the checksum of no bytes, and form one group of their own.
     Repeated rows are equal texts, hence together; each has its own slot. Null ids come first in
     a cell. An empty table gives an empty result. cells: into how many parts each class and each
-    shard is cut for ranking, by default the shuffle partitions.
+    shard is cut for ranking. in_order: a shard's slots follow the order in which docs is read, so that
+    documents that were mixed stay so; else they follow a hash of id and text.
     """
-    cells = cells or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = written(
         docs.select(
             "doc_id",
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
-            F.unhex(F.coalesce(F.sha2("text", 256), F.lit(""))).alias("group"),
+            F.unhex(F.coalesce(F.sha2("text", 256), F.lit(""))).alias("group"), F.monotonically_increasing_id().alias("read"),
         ),
         "sized",
     )
     groups = written(rows.groupBy("group").agg(F.sum("size").alias("size")), "groups")
     placed = rows.join(written(assign(groups, shards, cells), "placed"), "group")
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "group"), F.lit(cells)))
+    # the upper bits of `read` are the partition that the row was read in
+    cell = F.shiftright("read", 33) if in_order else F.pmod(F.xxhash64("doc_id", "group"), F.lit(cells))
+    placed = placed.withColumn("cell", cell)
     placed = written(placed, "sharded")
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     offsets = offsets.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "group"))
+    inside = F.row_number().over(Window.partitionBy("shard", "cell").orderBy(*(["read"] if in_order else ["doc_id", "group"])))
     return (
         placed.withColumn("rank", inside)
         .join(offsets, ["shard", "cell"])

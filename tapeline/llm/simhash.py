@@ -51,13 +51,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         view = memoryview(data)
         marks = [fingerprint(bytes(view[at[i] : at[i + 1]])) for i in range(batch.num_rows)]
         fp = pa.array(np.array(marks, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([int64s(batch, "doc_id"), fp], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([int64s(batch, "doc_id"), fp, int64s(batch, "text_hash")], ["doc_id", "fp", "text_hash"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of each row; null is no words."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, fp (the 64 bits as a signed long) and text_hash of each row; null is no words."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
 
 
 def _patterns() -> np.ndarray:
@@ -204,6 +204,15 @@ def links(nodes: DataFrame) -> DataFrame:
     return rows.repartition("meet").sortWithinPartitions("meet").mapInArrow(_compare, "a long, b long")
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, text_hash, root (of the component) of each row."""
+    marks = written(fingerprints(docs), "fingerprints")
+    nodes = written(marks.select("fp").distinct(), "nodes")
+    stars = components(links(nodes))
+    rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return marks.join(written(rooted, "rooted"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each document.
 
@@ -213,24 +222,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often as they went in; an empty table gives none. Copies count once: links are sought between
     distinct fingerprints only.
     """
-    marks = written(fingerprints(docs), "fingerprints")
-    nodes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    stars = components(links(nodes))
-    rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(rooted.join(names, "root").select("fp", "component_id"), "named")
-    return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = written(_named(docs), "components")
+    names = written(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
+    return rows.join(names, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates: of each component the row with the smallest id stays.
+    """docs without near duplicates, with their own columns whatever their names: of each component one
+    row stays, the first by id (null last), fingerprint and text.
 
-    Of repeated rows with that id one stays. Rows with a null id stay only in a component without
-    other ids, one of each such component.
+    Rows of one id with different texts are different documents. Rows repeated as a whole are one. Null
+    and empty texts are one component. An empty table stays empty.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("simhash_key")
-    found = near_duplicates(docs)
-    kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct(), "kept")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash"))
+    # docs may name its columns like these
+    kept = _named(docs.select("doc_id", "text")).groupBy("root").agg(first.alias("one"))
+    key = lambda id_, text: F.concat_ws(":", F.coalesce(id_.cast("long").cast("string"), F.lit("")), text.cast("string"))
+    kept = written(kept.select(key(F.col("one.doc_id"), F.col("one.text_hash")).alias("simhash_key")).distinct(), "kept")
+    own = docs.columns
     # one key for both: the exchange for the join also serves the deduplication
-    rows = docs.select(*docs.columns, key).join(kept, "simhash_key", "left_semi")
-    return rows.dropDuplicates(["simhash_key"]).select(*docs.columns)
+    rows = docs.select(F.struct(*own).alias("simhash_row"), key(F.col("doc_id"), F.xxhash64("text")).alias("simhash_key"))
+    rows = rows.join(kept, "simhash_key", "left_semi").dropDuplicates(["simhash_key"])
+    return rows.select(*[F.col("simhash_row").getField(c).alias(c) for c in own])

@@ -34,9 +34,10 @@ def canonical_url(url: Column) -> Column:
 
 
 def merge_headers(own: Column, update: Column) -> Column:
-    """The response's headers with the permitted ones of the revisit in place; sorted by name."""
-    allowed = F.filter(update, lambda h: h["name"].isin(*PERMITTED))
-    rest = F.filter(own, lambda h: ~F.exists(allowed, lambda u: u["name"] == h["name"]))
+    """The response's headers with the permitted ones of the revisit in place, whatever the case of
+    their names; sorted by name."""
+    allowed = F.filter(update, lambda h: F.lower(h["name"]).isin(*PERMITTED))
+    rest = F.filter(own, lambda h: ~F.exists(allowed, lambda u: F.lower(u["name"]) == F.lower(h["name"])))
     return F.array_sort(F.concat(rest, allowed))
 
 
@@ -48,15 +49,16 @@ def resolve(records: DataFrame, bucket: int = 1 << 13) -> DataFrame:
     smaller `at`; of several at one time the one with the largest record_id. verdict: `no response`
     if there is none; `matched` if the ETags agree (weakly), or without ETags on both sides the
     Last-Modified dates; `mismatch` if they differ; `unchecked` if no validator is on both sides.
-    Headers are merged for matched and null for others. Null URLs are ''; null times come before all
-    and have no response. Repeated revisits each have a row.
+    Headers are merged for matched and null for others. A null or empty URL (given as '') names no
+    page, so its revisits have no response; nor have those with null times. Repeated revisits each have
+    a row.
     """
     rows = records.select(
         F.coalesce("url", F.lit("")).alias("url"), "at", "record_id", F.coalesce("full", F.lit(False)).alias("full"), "etag", "last_modified",
         F.coalesce("headers", F.array().cast("array<struct<name:string,value:string>>")).alias("headers"),
     )
     response = F.struct("at", "record_id", "etag", "last_modified", "headers")
-    rows = rows.withColumn("response", F.when(F.col("full") & F.col("at").isNotNull(), response))
+    rows = rows.withColumn("response", F.when(F.col("full") & F.col("at").isNotNull() & (F.col("url") != ""), response))
     rows = rows.withColumn("bucket", F.floor(F.col("at") / bucket))
     # one row a bucket: the response that it hands on
     last = rows.groupBy("url", "bucket").agg(F.max("response").alias("last"))
@@ -79,7 +81,7 @@ def resolve(records: DataFrame, bucket: int = 1 << 13) -> DataFrame:
     )
 
 
-def captures(pages: DataFrame, delay: int = 2000) -> DataFrame:
+def captures(pages: DataFrame, delay: int = 40) -> DataFrame:
     """Records of an archive that fetched each page once and asked again `delay` fetches later.
 
     A page is fetched at the time 2 * page_id; the second request, at 2 * (page_id + delay) + 1, got

@@ -25,7 +25,7 @@ def documents(spark, edges=True):
         more = spark.createDataFrame(EDGES, "doc_id long, text string")
         docs = docs.unionByName(more, allowMissingColumns=True)
     # columns whose names the operators use inside
-    for name in ("size", "group", "shard", "fp", "key", "m", "terms", "anchor", "n", "line", "cell", "spans", "copies", "k1"):
+    for name in ("size", "group", "shard", "fp", "key", "m", "terms", "anchor", "n", "line", "cell", "spans", "copies", "k1", "mix_source", "mix_parts", "mix_cdf", "mix_row", "simhash_key", "simhash_row", "document", "token", "tokens", "row"):
         docs = docs.withColumn(name, F.lit("extra"))
     return docs
 

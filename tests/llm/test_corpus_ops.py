@@ -209,6 +209,13 @@ def test_simhash(spark):
     assert rows(simhash.near_duplicates(empty(spark))) == []
 
 
+def test_keep_first_of_shared_ids(spark):
+    a, b = "one two three four five six seven", "quite another text with other words in it"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (None, b), (7, None), (None, None)], "doc_id long, text string")
+    assert rows(simhash.keep_first(docs)) == [(3, a), (5, b), (7, None)]
+    assert rows(simhash.keep_first(docs.filter("false"))) == []
+
+
 def test_links_of_a_ball(spark):
     """Thousands of fingerprints around one, hot anchors in parts, and far ones between."""
     rng = np.random.default_rng(3)

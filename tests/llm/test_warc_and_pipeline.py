@@ -1,8 +1,8 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tapeline.llm import decontam, quality, warc
-from tests.llm.cases import SF, rows
+from tapeline.llm import decontam, quality, queries, sharding, warc
+from tests.llm.cases import SF, documents, rows
 
 
 def test_canonical_url(spark):
@@ -30,6 +30,37 @@ def test_resolve(spark):
     headers = {r.record_id: r.headers for r in warc.resolve(frame).collect()}
     assert [tuple(x) for x in headers[11]] == [("content-type", "text/html"), ("date", "9"), ("etag", 'W/"a"')] and headers[13] is None
     assert rows(warc.resolve(frame.filter("false"))) == []
+    cased = spark.createDataFrame([("u", 1, 1, True, '"a"', None, [("Date", "1"), ("Server", "s")]), ("u", 2, 2, False, '"a"', None, [("date", "2")]), (None, 1, 3, True, '"a"', None, []), (None, 2, 4, False, '"a"', None, [])], warc.RECORD)
+    got = {r.record_id: (r.verdict, [tuple(h) for h in r.headers or ()]) for r in warc.resolve(cased).collect()}
+    assert got == {2: ("matched", [("Server", "s"), ("date", "2")]), 4: ("no response", [])}
+
+
+def test_registered_revisits_lie_between_fetches(spark):
+    """Some find their response in their own bucket, some in an earlier one, some none of other pages."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    records = warc.captures(pages, queries.DELAY)
+    found = warc.resolve(records, queries.BUCKET).select("record_id", "refers_to")
+    apart = F.floor((2 * (F.col("record_id") + queries.DELAY) + 1) / queries.BUCKET) - F.floor(2 * F.col("refers_to") / queries.BUCKET)
+    kinds = {r.same for r in found.select((apart == 0).alias("same")).distinct().collect()}
+    last = found.agg(F.max("refers_to")).first()[0]
+    assert False in kinds and found.filter(F.col("refers_to") < last).count() > 0
+    assert rows(warc.resolve(records, queries.BUCKET)) == rows(warc.resolve(records, 1 << 40))
+
+
+def test_stages_on_edge_rows(spark):
+    docs = documents(spark).select(*spark.read.parquet(f"{SF}/documents.parquet").columns)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() > 0, name
+        assert stage(spark, docs.filter("false"), SF).count() == 0, name
+
+
+def test_slots_keep_the_order_of_the_mix(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    many = docs.filter("doc_id < 40").crossJoin(spark.range(50).select("id")).orderBy("id").select("doc_id", "text")
+    slots = {}
+    for r in sharding.shard_documents(many, 2, in_order=True).collect():
+        slots.setdefault((r.shard, r.doc_id), []).append(r.slot)
+    assert all(max(s) - min(s) > 25 * 10 for s in slots.values())
 
 
 def test_pipeline(spark):
