@@ -33,8 +33,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard and slot, shards near equal in bytes."""
-    return sharding.shard_documents(docs, shards=16)
+    """Each document's shard and slot, shards near equal in bytes; slots keep the mixed order."""
+    return sharding.shard_documents(docs, shards=16, in_order=True)
 
 
 STAGES = [
