@@ -48,6 +48,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Most bytes of a table that is broadcast.
+BROADCAST = 32 << 20
+
+
+def broadcast_if_small(table: DataFrame, size: Column) -> DataFrame:
+    """A written table, to be broadcast if the sizes of its rows (bytes) sum up to BROADCAST at most; a
+    larger one is joined as Spark finds best."""
+    total = table.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST else table
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, also where body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

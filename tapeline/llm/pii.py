@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, written
+from .common import ascii_lower, broadcast_if_small, let, written
 from .spans import listed, marked, matches, none, outside
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -89,10 +89,9 @@ def disclosing_terms(docs: DataFrame, bits: float = BITS, share: float = SHARE,
     # rows of one document count once in all; the others were counted by it above
     again = rows.groupBy("document").agg(F.count("*").alias("rows"))
     n = again.agg(F.count("*").alias("n"))
-    again = written(again.filter(F.col("rows") > 1), "repeated-documents")
+    again = broadcast_if_small(written(again.filter(F.col("rows") > 1), "repeated-documents"), F.lit(64))
     weight = F.lit(1.0) / F.coalesce("rows", F.lit(1))
-    # the candidates were written: broadcast only if Spark finds them below its threshold
-    wanted = pairs.select("term").distinct()
+    wanted = broadcast_if_small(written(pairs.select("term").distinct(), "candidates"), F.octet_length("term") + 64)
     n_t = rows.join(again, "document", "left").select(F.explode(terms_of(F.col("text"))).alias("term"), weight.alias("w")).join(wanted, "term")
     n_t = n_t.groupBy("term").agg(F.round(F.sum("w")).alias("n_t"))
     scored = pairs.join(n_t, "term").crossJoin(n)  # n is one row
@@ -105,10 +104,12 @@ def _scanned(docs: DataFrame, bits: float, share: float, support: int) -> DataFr
     """doc_id, text, b (base spans by kind), base and marks of each row."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     terms = written(disclosing_terms(rows, bits, share, support).select("term").distinct(), "terms")
+    terms = broadcast_if_small(terms, F.octet_length("term") + 64)
     # by a hash of the text, which also serves null and repeated ids
     keyed = rows.select(F.xxhash64("text").alias("key"), "text")
     flagged = keyed.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(terms, "term")
     flagged = written(flagged.distinct().groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms")), "flagged")
+    flagged = broadcast_if_small(flagged, F.octet_length(F.array_join("terms", "")) + 64 * (1 + F.size("terms")))
     rows = rows.withColumn("key", F.xxhash64("text")).join(flagged, "key", "left")
     rows = rows.select("doc_id", "text", "terms", F.struct(*[x.alias(k) for k, x in zip(KINDS, base_spans(F.col("text")))]).alias("b"))
     bases = F.concat(*[marked(F.col(f"b.{k}"), i) for i, k in enumerate(KINDS[:4])])
