@@ -7,27 +7,30 @@ from pyspark.sql import functions as F
 
 from tapeline.operators.asof import latest
 from tapeline.operators.bootstrap import draw, oriented_p, unit_draws
-from tapeline.operators.series import causal_regime, percentiles
+from tapeline.operators.series import causal_regime, clean_mids, percentiles
 
 HORIZONS, TICK = (100, 500, 1000), 100
 
 
 def trade_features(prices: DataFrame, trades: DataFrame, horizons: tuple[int, ...] = HORIZONS, window: int = 200, tick: int = TICK) -> DataFrame:
-    """day, timestamp, product, bot, direction, abs_z, horizon, favourable: each leg of each trade.
+    """day, timestamp, product, bot, direction, abs_z, horizon, favourable, trade_id: each leg of each trade.
 
     The move goes from the trade's price to the mid exactly `horizon` ticks later, in the direction of
     the leg and in deviations. Trades without a regime or without any such mid have no rows.
     """
     regime = causal_regime(prices, window)
+    if "trade_id" not in trades.columns:  # trades of one tick are different trades
+        trades = trades.withColumn("trade_id", F.monotonically_increasing_id())
     rows = trades.withColumnRenamed("symbol", "product").join(regime.select("day", "product", "timestamp", "z", "std"), ["day", "product", "timestamp"])
     rows = rows.select("*", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon"))
-    later = regime.select("day", "product", F.col("timestamp").alias("then"), F.col("mid_price").alias("later"))
+    # any clean mid will do then: the regime matters at the trade only
+    later = clean_mids(prices).select("day", "product", F.col("timestamp").alias("then"), F.col("mid_price").alias("later"))
     rows = rows.withColumn("then", F.col("timestamp") + F.col("horizon") * tick).join(later, ["day", "product", "then"])
     legs = F.explode(F.array(F.struct(F.col("buyer").alias("bot"), F.lit(1).alias("direction")), F.struct(F.col("seller").alias("bot"), F.lit(-1).alias("direction"))))
     rows = rows.select("*", legs.alias("leg"))
     return rows.select(
         "day", "timestamp", "product", "leg.bot", "leg.direction", F.abs("z").alias("abs_z"), "horizon", (F.col("leg.direction") * (F.col("later") - F.col("price")) / F.col("std")).alias("favourable"),
-        *[c for c in ("trade_id",) if c in trades.columns],
+        "trade_id",
     )
 
 
@@ -68,6 +71,11 @@ def scores(sums: DataFrame) -> DataFrame:
     return _scores(pooled, ["horizon"])
 
 
+def ranked(scored: DataFrame) -> DataFrame:
+    """scores() with rank: 1 for the best bot of a horizon, of equals the first by name."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("horizon").orderBy(F.col("score").desc(), "bot")))
+
+
 def day_bootstrap(sums: DataFrame, replicates: int, seed: int) -> DataFrame:
     """scores() with ci_low, ci_high, p, floored from resampled days: own means and baselines are both
     made anew in every replicate, and a bot without trades on the drawn days scores 0."""
@@ -127,10 +135,11 @@ def benchmark_check(sums: DataFrame) -> DataFrame:
 def trade_audit(prices: DataFrame, trades: DataFrame, bot: str, product: str, horizon: int, limit: int = 10, window: int = 200, tick: int = TICK) -> DataFrame:
     """The first `limit` trades of a bot in a product, with every intermediate value; the buyer's side
     counts if the bot is on both."""
-    regime = causal_regime(prices.filter(F.col("product") == product), window)
+    own_prices = prices.filter(F.col("product") == product)
+    regime = causal_regime(own_prices, window)
     own = trades.filter((F.col("symbol") == product) & ((F.col("buyer") == bot) | (F.col("seller") == bot)))
     own = own.join(regime.select("day", "timestamp", "z", "std"), ["day", "timestamp"]).withColumn("then", F.col("timestamp") + horizon * tick)
-    later = regime.select("day", F.col("timestamp").alias("then"), F.col("mid_price").alias("later"))
+    later = clean_mids(own_prices).select("day", F.col("timestamp").alias("then"), F.col("mid_price").alias("later"))
     rows = own.join(later, ["day", "then"], "left").withColumn("direction", F.when(F.col("buyer") == bot, 1).otherwise(-1))
     rows = rows.withColumn("favourable", F.col("direction") * (F.col("later") - F.col("price")) / F.col("std"))
     return rows.select("day", "timestamp", "direction", "price", "z", "std", "later", "favourable").orderBy("day", "timestamp").limit(limit)

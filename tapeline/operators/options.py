@@ -133,3 +133,12 @@ def level_regression(q: DataFrame) -> DataFrame:
     slope, _, r2 = line()
     stats = rows.groupBy(*KEYS).agg(*sums(F.col("_x"), F.col("_y")))
     return stats.select(*KEYS, F.col("n").cast("long").alias("n"), correlation(0.0).alias("corr"), slope.alias("slope"), r2.alias("r2"))
+
+
+def thin(scan: DataFrame, every: int) -> DataFrame:
+    """Rows 0, every, 2 every, ... of each scan (scan, expiry, dispersion) by expiry, and its best: of the
+    least dispersion, of equals the first. A scan is a grid: a handful of rows."""
+    by = Window.partitionBy("scan")
+    best = F.first("expiry").over(by.orderBy(F.col("dispersion").asc_nulls_last(), "expiry"))
+    rows = scan.withColumn("_i", F.row_number().over(by.orderBy("expiry")) - 1).withColumn("_best", best)
+    return rows.filter((F.col("_i") % every == 0) | (F.col("expiry") == F.col("_best"))).drop("_i", "_best")

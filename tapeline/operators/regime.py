@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapeline.functions.stats import line, sums
-from tapeline.operators.series import KEY, in_order, percentiles, zscore
+from tapeline.operators.series import KEY, in_order, percentiles, rolling, zscore
 
 def _whole(keys: tuple[str, ...]) -> WindowSpec:
     return Window.partitionBy(*keys)
@@ -70,3 +70,11 @@ def leave_one_out_percentiles(df: DataFrame, value: str, window: int, at: tuple[
     agg = pairs.groupBy("product", "held_out").agg(percentiles(F.col("abs_z"), [a / 100 for a in at]).alias("p"), F.count("*").alias("n"))
     named = F.explode(F.arrays_zip(F.array(*[F.lit(a) for a in at]).alias("percentile"), F.col("p").alias("abs_z")))
     return agg.select("product", "held_out", "n", named.alias("x")).select("product", "held_out", "n", F.col("x.percentile").alias("percentile"), F.col("x.abs_z").alias("abs_z"))
+
+
+def anchor_lag(df: DataFrame, value: str, window: int, time: str = "timestamp", keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Per key: n, mean_lag and std_lag of the rolling mean less the fitted line, over full windows."""
+    fit = linear_trend(df, value, time, keys).select(*keys, "slope_per_ts", "intercept")
+    full = rolling(df, value, window, keys, time).filter(F.col("roll_n") == window).join(fit, list(keys))
+    lag = F.col("roll_mean") - F.col("intercept") - F.col("slope_per_ts") * F.col(time)
+    return full.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(lag).alias("mean_lag"), F.stddev_pop(lag).alias("std_lag"))

@@ -225,12 +225,12 @@ def _draw(n: str, r: str = "r", s: str = "s") -> str:
     return f"(('0x' || substr(md5('{SEED}:' || {r} || ':' || {s}), 1, 8))::BIGINT % {n})"
 
 
-FEAT = f""", f AS (SELECT t.day, t.timestamp, t.symbol AS product, h.h AS horizon, b.bot, b.d AS direction, abs(z.z) AS abs_z,
+FEAT = f""", f AS (SELECT t.tid, t.day, t.timestamp, t.symbol AS product, h.h AS horizon, b.bot, b.d AS direction, abs(z.z) AS abs_z,
   b.d * (l.mid_price - t.price) / z.std AS favourable
- FROM trades t JOIN z ON z.day = t.day AND z.product = t.symbol AND z.timestamp = t.timestamp, (SELECT unnest([1, 5, 10]) AS h) h, z l,
+ FROM (SELECT *, row_number() OVER () AS tid FROM trades) t JOIN z ON z.day = t.day AND z.product = t.symbol AND z.timestamp = t.timestamp, (SELECT unnest([1, 5, 10]) AS h) h, c l,
  LATERAL (SELECT t.buyer AS bot, 1 AS d UNION ALL SELECT t.seller, -1) b
  WHERE l.day = t.day AND l.product = t.symbol AND l.timestamp = t.timestamp + h.h * 100)"""
-BUCK = """, legs AS (SELECT DISTINCT day, timestamp, product, bot, direction, abs_z FROM f), e AS (SELECT quantile_cont(abs_z, 1.0 / 3) AS e1, quantile_cont(abs_z, 2.0 / 3) AS e2 FROM legs),
+BUCK = """, legs AS (SELECT DISTINCT tid, day, timestamp, product, bot, direction, abs_z FROM f), e AS (SELECT quantile_cont(abs_z, 1.0 / 3) AS e1, quantile_cont(abs_z, 2.0 / 3) AS e2 FROM legs),
 fb AS (SELECT f.*, CAST(abs_z >= e1 AS INTEGER) + CAST(abs_z >= e2 AS INTEGER) AS bucket FROM f, e),
 ls AS (SELECT day, horizon, bucket, bot, count(*) AS n, sum(favourable) AS total FROM fb GROUP BY ALL)"""
 SCORE = """, pl AS (SELECT horizon, bucket, bot, sum(n) AS n, sum(total) AS total FROM ls GROUP BY ALL),
@@ -305,7 +305,7 @@ SELECT 5 AS horizon, 'U1' AS bot, (SELECT count(*) FROM ow) AS n, round((SELECT
     "benchmark_check": f"{TT}{Z}{FEAT}{BUCK}{SCORE} SELECT horizon, CAST(sum(n) AS BIGINT) AS n, round(sum(score * n) / sum(n), 6) AS excluding, true AS pooled_is_zero FROM sc GROUP BY horizon",
     "trade_audit": f"""{TT}{Z} SELECT t.day, t.timestamp, CASE WHEN buyer = 'U1' THEN 1 ELSE -1 END AS direction, round(price, 6) AS price, round(z.z, 6) AS z, round(z.std, 6) AS std, round(l.mid_price, 6) AS later,
  round(CASE WHEN buyer = 'U1' THEN 1 ELSE -1 END * (l.mid_price - price) / z.std, 6) AS favourable FROM trades t JOIN z ON z.day = t.day AND z.product = t.symbol AND z.timestamp = t.timestamp
- LEFT JOIN z l ON l.day = t.day AND l.product = t.symbol AND l.timestamp = t.timestamp + 500 WHERE t.symbol = 'view' AND (buyer = 'U1' OR seller = 'U1') ORDER BY t.day, t.timestamp LIMIT 10""",
+ LEFT JOIN c l ON l.day = t.day AND l.product = t.symbol AND l.timestamp = t.timestamp + 500 WHERE t.symbol = 'view' AND (buyer = 'U1' OR seller = 'U1') ORDER BY t.day, t.timestamp LIMIT 10""",
     "overlap": f"""{TT}, lg AS (SELECT day, timestamp, buyer AS bot FROM trades UNION ALL SELECT day, timestamp, seller FROM trades)
 SELECT bot, count(*) AS legs, round(avg(CASE WHEN (day, timestamp) IN (SELECT day, timestamp FROM trades WHERE buyer = 'U0' OR seller = 'U0') THEN 1.0 ELSE 0.0 END), 6) AS overlap FROM lg GROUP BY bot""",
     "informed_gap": f"""{TT}, i AS (SELECT symbol AS product, (timestamp - lag(timestamp) OVER (PARTITION BY day, symbol ORDER BY timestamp)) / 100.0 AS gap FROM trades WHERE buyer IN ('U1', 'U2') OR seller IN ('U1', 'U2'))

@@ -114,31 +114,34 @@ class Drift:
 
 
 class Guard:
-    """halted (0 or 1): once a value was over `limit` away from the first one, the key stays halted."""
+    """fair (the first value plus `slope` times the time since), and halted (0 or 1): once a value was
+    over `limit` away from fair, the key stays halted."""
 
-    names = ("halted",)
+    names, timed = ("fair", "halted"), True
 
-    def __init__(self, limit: float):
-        self.limit, self.start, self.tripped = limit, None, False
+    def __init__(self, limit: float, slope: float = 0.0):
+        self.limit, self.slope, self.start, self.since, self.tripped = limit, slope, None, 0, False
 
-    def update(self, x: float) -> list:
-        self.start = x if self.start is None else self.start
-        self.tripped = self.tripped or abs(x - self.start) > self.limit
-        return [float(self.tripped)]
+    def update(self, x: float, time: int = 0) -> list:
+        if self.start is None:
+            self.start, self.since = x, time
+        fair = self.start + self.slope * (time - self.since)
+        self.tripped = self.tripped or abs(x - fair) > self.limit
+        return [fair, float(self.tripped)]
 
     def dump(self) -> list[float]:
-        return [] if self.start is None else [self.start, float(self.tripped)]
+        return [] if self.start is None else [self.start, float(self.since), float(self.tripped)]
 
     def load(self, state: list[float]) -> None:
         if len(state):
-            self.start, self.tripped = state[0], bool(state[1])
+            self.start, self.since, self.tripped = state[0], int(state[1]), bool(state[2])
 
 
 class LastEvent:
     """way and age of the latest event: events are rows with a value, ticks those with NaN; an event
     more than `lookback` before is none. Events at a tick's own time come first."""
 
-    names = ("way", "age")
+    names, timed = ("way", "age"), True
 
     def __init__(self, lookback: int):
         self.lookback, self.at, self.way = lookback, None, None
@@ -159,13 +162,13 @@ class LastEvent:
 
 def with_event_time(df: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Adds event_time and its watermark; timestamps of a day become milliseconds of it."""
-    return df.withColumn("event_time", F.timestamp_millis(F.lit(START_MS) + F.col("day") * DAY_MS + F.col("timestamp"))).withWatermark("event_time", delay)
+    return df.withColumn("event_time", F.timestamp_millis(F.lit(START_MS) + F.col("day").cast("long") * DAY_MS + F.col("timestamp"))).withWatermark("event_time", delay)
 
 
 def indicators(df: DataFrame, value: str, make: Callable[[], Any], keep_ms: int = DAY_MS) -> DataFrame:
     """day, product, timestamp, value, the indicator's columns, late. df: from with_event_time."""
     first = make()
-    timed = isinstance(first, LastEvent)
+    timed = getattr(first, "timed", False)
     names = first.names
     outputs = "day int, product string, timestamp long, value double, " + ", ".join(f"`{n}` double" for n in names) + ", late long"
     states = "done long, late long, times array<bigint>, stamps array<bigint>, values array<double>, state array<double>"

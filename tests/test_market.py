@@ -320,3 +320,18 @@ def test_expiry_scan_reads_every_quote_and_refines(spark):
     assert min(found, key=found.get) == ("fine", 8.25)
     other = scan(q.withColumn("price", F.when((F.col("day") == 1) & (F.col("timestamp") == 700), F.col("price") * 1.5).otherwise(F.col("price"))))
     assert other["coarse", 8.0] != found["coarse", 8.0]
+
+
+def test_every_leg_counts_and_any_clean_mid_ends_a_horizon(spark):
+    """Two equal trades at one tick are two; a horizon that ends in a flat window has its mid."""
+    from tapeline.operators import flow
+
+    mids = [100.0 + (i * 7 % 5) for i in range(12)] + [103.0] * 12
+    prices = ticks(spark, mids)
+    one = (0, 1000, "A", "x", "y", 100.0, 1)
+    trades = spark.createDataFrame([one, one], "day int, timestamp long, symbol string, buyer string, seller string, price double, quantity long")
+    found = flow.trade_features(prices, trades, (1, 12), 5)
+    assert sorted(r.horizon for r in found.filter("bot = 'x'").collect()) == [1, 1, 12, 12]
+    spread = spark.createDataFrame([(0, i, "A", f"b{i}", 1, float(i), 1, 0.0, i) for i in range(3)] + [(0, 9, "A", "z", 1, 5.0, 1, 0.0, 100 + k) for k in range(13)], "day int, timestamp long, product string, bot string, direction int, abs_z double, horizon int, favourable double, trade_id long")
+    assert {r.bucket for r in flow.with_buckets(spread).filter("bot = 'z'").collect()} == {2}
+    assert {r.bucket for r in flow.with_buckets(spread).filter("bot <> 'z'").collect()} == {0}
