@@ -12,9 +12,12 @@ shards such that equal strings meet:
    different snippets are open, and one copy of each such snippet goes to its anchor's shard.
 3. A shard builds the suffix array of its snippets by Larsson-Sadakane refinement, and neighbours
    whose common prefix (Kasai) has LENGTH bytes are equal strings.
-4. An anchor with very many different snippets is cut into shards of up to PART snippets. Each hands
-   on one string of every kind in suffix order as a digest, and shards are merged by binary search
-   over the sorted digests of all.
+4. An anchor with very many different snippets is cut into shards of about PART snippets. A string
+   that reaches from STEP * k to STEP * (k + 1) bytes before the anchor contains its core: the bytes
+   that all such strings share. Cores are few (one for STEP strings of a snippet), and only a core that
+   several shards have can hide a string that several shards have. Each shard hands on one string of
+   every kind with such a core, in suffix order, as a digest; shards are merged by binary search over
+   the sorted digests of all. Most strings of near copies end at the core and hand on nothing.
 5. Strings found are mapped back to all texts with the snippet, merged, and cut out.
 
 Nothing depends on the documents' order, and no step holds more than a part of one anchor.
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import mix, powers, prefix_hash, slices, text_bytes, written
 from .suffix_array import common_prefixes, refine, words_at
 
-LENGTH, GRAM, PART = 400, 64, 4096
+LENGTH, GRAM, PART, STEP = 400, 64, 2048, 16
 #: Bytes of text that a task looks at together, and of snippets in one suffix array.
 CHUNK, SHARD = 1 << 20, 1 << 20
 _PLACE = np.uint64((1 << 31) - 1)
@@ -116,13 +119,33 @@ def repeats(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     return row, place, kind, count[kind]
 
 
-def _found(length: int, shard: int):
-    """Rows come sorted by (meet, snippet); repeated rows of a snippet count once."""
+def cores(text: bytes, length: int, gram: int) -> tuple[int, int, list[bytes]]:
+    """Of a snippet: the place of its anchor, the number of the first core, and a digest of each core."""
+    step = min(STEP, length // 4)
+    own = int(owners(np.frombuffer(text, np.uint8), length, gram)[0][0])
+    first, last = max(0, own - (len(text) - length)) // step, own // step
+    view, size = memoryview(text), length - step + 1
+    return own, first, [xxhash.xxh3_128_digest(view[own - step * k : own - step * k + size]) for k in range(first, last + 1)]
+
+
+def _cores(length: int, gram: int):
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {(core, meet) for meet, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for core in cores(text, length, gram)[2]}
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([m for _, m in found], pa.int64())], ["core", "meet"])
+
+    return look
+
+
+def _found(length: int, gram: int, shard: int):
+    """Rows come sorted by (meet, text or core, snippet), a meet's cores first; repeated rows of a snippet
+    count once."""
     names = ["anchor", "snippet", "low", "high", "digest", "known"]
     kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+    step = min(STEP, length // 4)
 
-    def look(rows: list[tuple]) -> pa.RecordBatch:
-        anchor, snippet, text, parts = zip(*rows)
+    def look(rows: list[tuple], shared: set[tuple[int, bytes]]) -> pa.RecordBatch:
+        meets, anchor, snippet, text, parts = zip(*rows)
         row, place, kind, count = repeats(list(text), length)
         hit = count > 1
         order = np.lexsort((place[hit], row[hit]))
@@ -132,8 +155,16 @@ def _found(length: int, shard: int):
         out = [(anchor[r[i]], snippet[r[i]], int(p[i]), int(p[j]), None, True) for i, j in zip(turn.tolist(), last.tolist() if len(r) else [])]
         split = np.array([n > 1 for n in parts])
         if split.any():
+            # cores that other shards have, by snippet and number
+            own, most = np.zeros(len(text), np.int64), length // step + 1
+            other = np.zeros((len(text), most), bool)
+            for i in np.flatnonzero(split).tolist():
+                own[i], first, marks = cores(text[i], length, gram)
+                for k, mark in enumerate(marks, first):
+                    other[i, k] = (meets[i], mark) in shared
             # one string of each kind, for the other shards of the anchor
             lead = np.concatenate(([True], kind[1:] != kind[:-1])) & split[row]
+            lead[lead] = other[row[lead], (own[row[lead]] - place[lead]) // step]
             for i in np.flatnonzero(lead).tolist():
                 t, q = text[row[i]], int(place[i])
                 out.append((anchor[row[i]], snippet[row[i]], q, q, xxhash.xxh3_128_digest(t[q : q + length]), bool(count[i] > 1)))
@@ -142,20 +173,23 @@ def _found(length: int, shard: int):
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        shared: set[tuple[int, bytes]] = set()
         size, last, seen = 0, None, None
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            for meet, anchor, snippet, text, parts in zip(*columns):
-                if (meet, anchor, snippet) == seen:
-                    continue
+            for meet, anchor, snippet, text, parts, core in zip(*columns):
                 if meet != last and size >= shard:
-                    yield look(held)
-                    held, size = [], 0
-                last, seen = meet, (meet, anchor, snippet)
-                held.append((anchor, snippet, text, parts))
-                size += len(text)
+                    yield look(held, shared)
+                    held, size, shared = [], 0, set()
+                last = meet
+                if core is not None:
+                    shared.add((meet, core))
+                elif (meet, anchor, snippet) != seen:
+                    seen = (meet, anchor, snippet)
+                    held.append((meet, anchor, snippet, text, parts))
+                    size += len(text)
         if held:
-            yield look(held)
+            yield look(held, shared)
 
     return found
 
@@ -242,9 +276,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
     texts = texts.select(F.explode("wanted").alias("x"), F.encode("text", "UTF-8").alias("bytes"))
     cut = F.substring(F.col("bytes"), F.col("x.low") + 1, F.col("x.high") - F.col("x.low") + F.lit(length))
     meet = F.when(F.col("x.parts") > 1, F.xxhash64("x.anchor", F.pmod(F.xxhash64("x.snippet"), F.col("x.parts")))).otherwise(F.col("x.anchor"))
-    texts = texts.select(meet.alias("meet"), "x.anchor", "x.snippet", cut.alias("text"), "x.parts")
-    found = texts.repartition("meet").sortWithinPartitions("meet", "anchor", "snippet").mapInArrow(
-        _found(length, shard), "anchor long, snippet binary, low int, high int, digest binary, known boolean"
+    texts = written(texts.select(meet.alias("meet"), "x.anchor", "x.snippet", cut.alias("text"), "x.parts"), "snippet-texts")
+    # cores that two shards or more have; at most a row a shard of an anchor for each
+    shared = texts.filter("parts > 1").select("meet", "text").mapInArrow(_cores(length, gram), "core binary, meet long")
+    shared = shared.groupBy("core").agg(F.collect_set("meet").alias("meets")).filter(F.size("meets") > 1).select(F.explode("meets").alias("meet"), "core")
+    both = texts.withColumn("core", F.lit(None).cast("binary")).unionByName(shared, allowMissingColumns=True)
+    found = both.repartition("meet").sortWithinPartitions("meet", F.col("core").isNull(), "anchor", "snippet").mapInArrow(
+        _found(length, gram, shard), "anchor long, snippet binary, low int, high int, digest binary, known boolean"
     )
     found = written(found, "found")
     crossed = found.filter("digest IS NOT NULL").select("digest", "anchor", "snippet", "low", "known")
