@@ -37,11 +37,16 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(quality.ledger(table(spark, sf_dir, "documents"))).select(
+    return quality.verdicts(quality.stored(table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed"
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy decides, from op5's ledger."""
+    return quality.ablation(quality.stored(table(spark, sf_dir, "documents")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith(("op", "quality_")) and callable(f)}
 
 
 OP3_SQL = r"""
@@ -90,19 +95,37 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-OP5_SQL = r"""
+LEDGER_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 5) x),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) y WHERE c > 1) z GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-             CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines
+             CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines,
+             len(list_distinct(w)) AS vocabulary, len(list_filter(['the', 'be', 'to', 'of', 'and', 'that', 'have', 'with'], lambda x: list_contains(w, x))) AS stops,
+             len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣●]'))) AS bullet,
+             len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS ellipsis,
+             len(list_filter(l, lambda x: regexp_matches(x, '[.!?"”][\x20\x09-\x0D]*$'))) AS ended,
+             length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digits, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS capitals,
+             length(t) - length(regexp_replace(t, '[{}]', '', 'g')) AS braces, length(t) - length(replace(t, chr(65533), '')) AS broken,
+             contains(lower(t), 'lorem ipsum') OR contains(lower(t), 'javascript') OR contains(lower(t), 'privacy policy') AS boilerplate
       FROM d LEFT JOIN r USING (doc_id)),
-f AS (SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
-             + CASE WHEN 4 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_dup_lines >= 5 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
-             + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) THEN 16 ELSE 0 END AS INTEGER) AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+f AS (SELECT *, CAST(list_sum([CASE WHEN x THEN CAST(1 AS BIGINT) << (k - 1) ELSE 0 END FOR x, k IN [
+        n_words < 10, 100 * n_repeat_words > 20 * n_words, 4 * n_symbols > n_words, n_dup_lines >= 5 AND 2 * n_dup_lines > n_lines,
+        n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words), n_words > 100000, stops < 2, 10 * bullet > 9 * n_lines,
+        10 * ellipsis > 3 * n_lines, 5 * digits > word_chars, 10 * capitals > 3 * word_chars, 20 * braces > n_words, boilerplate,
+        10 * ended < n_lines, 10 * vocabulary < least(n_words, 1000), n_words < 2 * n_lines, 100 * broken > word_chars]]) AS INTEGER) AS failed FROM m)
+"""
+
+OP5_SQL = f"""{LEDGER_SQL}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, (failed & 31) = 0 AS kept, failed FROM f
+"""
+
+_RULES_SQL = ", ".join(f"('{p}', '{r}', {quality.mask(p)}, {1 << quality.RULES.index(r)})" for p, names in quality.POLICIES.items() for r in names)
+ABLATION_SQL = f"""{LEDGER_SQL}
+SELECT policy, rule, CAST(count(*) FILTER (failed & mask & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (failed & mask = bit) AS BIGINT) AS n_only
+FROM f, (VALUES {_RULES_SQL}) p(policy, rule, mask, bit) GROUP BY policy, rule
 """
 
 
@@ -146,4 +169,4 @@ FROM (SELECT r.*, copies, unnest(range(0, CAST(copies AS BIGINT))) AS replica FR
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_quality_rules": OP5_SQL, "op9_revisits": OP9_SQL, "op10_mixing": mixing_sql(MIX, MIX_DEFAULT)}
+    return {"op3_decontamination": OP3_SQL, "op5_quality_rules": OP5_SQL, "quality_ablation": ABLATION_SQL, "op9_revisits": OP9_SQL, "op10_mixing": mixing_sql(MIX, MIX_DEFAULT)}

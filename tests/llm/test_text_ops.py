@@ -205,8 +205,31 @@ def test_quality(spark):
     assert rows(quality.ledger(empty(spark))) == []
     kept = quality.reject(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r[-1] for r in want)
-    table = {r.rule: (r.n_failed, r.n_only) for r in quality.ablation(quality.ledger(docs)).collect()}
-    assert table["few_words"][0] == sum(r[1] < 10 for r in want)
+    entries = quality.stored(docs)
+    table = {(r.policy, r.rule): (r.n_failed, r.n_only) for r in quality.ablation(entries).collect()}
+    bits = [r.failed for r in entries.collect()]
+    for policy, names in quality.POLICIES.items():
+        for rule in names:
+            own, whole = quality.mask_of((rule,)), quality.mask(policy)
+            assert table[policy, rule] == (sum(b & own != 0 for b in bits), sum(b & whole == own for b in bits)), (policy, rule)
+    assert table["v1", "few_words"][0] == sum(r[1] < 10 for r in want)
+
+
+RULE_CASES = {
+    "many_words": "a word. " * 60_000, "stop_words": "plain words only here.", "bullets": "- one two\n* three four\n • five six", "ellipses": "so it goes on...\nand on…",
+    "digits": "12 34 56 a b.", "capitals": "ALL OF THIS is loud.", "braces": "a {b} c {d}.", "boilerplate": "Enable JavaScript to go on.", "unended_lines": "no end\nnone here",
+    "vocabulary": "on and off. " * 40, "short_lines": "a\nb c\nd", "broken_chars": "caf\ufffd is b\ufffdd.",
+}
+
+
+def test_quality_rules_by_themselves(spark):
+    clean = "The men have to go with all of that and be home."
+    docs = spark.createDataFrame([(0, clean), *enumerate(RULE_CASES.values(), 1)], "doc_id long, text string")
+    got = {r.doc_id: r.failed for r in quality.ledger(docs).collect()}
+    assert got[0] == 0
+    for k, rule in enumerate(RULE_CASES, 1):
+        assert got[k] & quality.mask_of((rule,)), rule
+    assert [r.text for r in quality.reject(docs, "v3_en").collect()] == [clean]
 
 
 def test_contamination(spark):
