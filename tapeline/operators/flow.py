@@ -10,6 +10,8 @@ from tapeline.operators.bootstrap import draw, oriented_p, unit_draws
 from tapeline.operators.series import causal_regime, clean_mids, percentiles
 
 HORIZONS, TICK = (100, 500, 1000), 100
+#: Time units whose trades are ranked together.
+SPAN = 10_000
 
 
 def trade_features(prices: DataFrame, trades: DataFrame, horizons: tuple[int, ...] = HORIZONS, window: int = 200, tick: int = TICK) -> DataFrame:
@@ -95,8 +97,13 @@ def trade_bootstrap(bucketed: DataFrame, sums: DataFrame, bot: str, horizon: int
     pooled = sums.filter(F.col("horizon") == horizon).groupBy("bucket").agg(F.sum("n").alias("_n"), F.sum("total").alias("_t"), F.sum(F.when(F.col("bot") == bot, F.col("n"))).alias("_on"), F.sum(F.when(F.col("bot") == bot, F.col("total"))).alias("_ot"))
     base = pooled.select("bucket", F.coalesce(F.try_divide(F.col("_t") - F.col("_ot"), F.col("_n") - F.col("_on")), F.lit(0.0)).alias("base"))
     own = bucketed.filter((F.col("bot") == bot) & (F.col("horizon") == horizon)).join(base, "bucket")
-    order = Window.orderBy("day", "product", "timestamp", "direction", *[c for c in ("trade_id",) if c in bucketed.columns])
-    own = own.select((F.row_number().over(order) - 1).alias("k"), (F.col("favourable") - F.col("base")).alias("excess"))
+    # ranks within time spans, and what comes before each span: one row a span is counted through
+    own, parts = own.withColumn("span", F.floor(F.col("timestamp") / SPAN)), ["day", "product", "span"]
+    before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    spans = own.groupBy(*parts).agg(F.count("*").alias("rows")).select(*parts, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*parts).orderBy("timestamp", "direction", *[c for c in ("trade_id",) if c in bucketed.columns])
+    own = own.withColumn("rank", F.row_number().over(inside)).join(spans, parts)
+    own = own.select((F.col("before") + F.col("rank") - 1).alias("k"), (F.col("favourable") - F.col("base")).alias("excess"))
     size = own.agg(F.count("*").alias("n"), F.avg("excess").alias("score"))
     reps = bucketed.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
     plan = own.select(F.col("k").alias("slot")).crossJoin(reps).crossJoin(F.broadcast(size))  # size is one row

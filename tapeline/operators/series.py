@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -100,17 +101,39 @@ def causal_regime(prices: DataFrame, window: int = 200) -> DataFrame:
     return zscore(clean_mids(prices), "mid_price", window).filter(F.col("z").isNotNull()).select(*KEY, "timestamp", "mid_price", "z", F.col("roll_std").alias("std"))
 
 
-def ema(df: DataFrame, value: str, span: float, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
-    """Adds ema: alpha = 2 / (span + 1), seeded with the key's first value."""
+def ema(df: DataFrame, value: str, span: float, keys: tuple[str, ...] = KEY, order: str = "timestamp", block: int = 100_000) -> DataFrame:
+    """Adds ema: alpha = 2 / (span + 1), seeded with the key's first value. value has no nulls.
+
+    A series is smoothed in blocks of `block` units of time, each as if it began there. What the blocks
+    before add is their end times the decay since: ends are composed over one row a block.
+    """
     if span <= 1:
         raise ValueError("span is over 1")
-    own = df.select(*keys, order, value)
+    alpha = 2 / (span + 1)
+    own = df.select(*keys, order, value, F.floor(F.col(order) / block).alias("_block"))
+    parts = [*keys, "_block"]
 
     def smooth(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        return rows.assign(ema=rows[value].ewm(alpha=2 / (span + 1), adjust=False).mean())
-
-    return own.groupBy(*keys).applyInPandas(smooth, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in own.schema)}, ema double")
+        decay = (1 - alpha) ** np.arange(1, len(rows) + 1)
+        return rows.assign(_local=rows[value].ewm(alpha=alpha, adjust=False).mean(), _decay=decay, _first=rows[value].iloc[0])
+
+    def carry(ends: pd.DataFrame) -> pd.DataFrame:
+        ends, before = ends.sort_values("_block"), []
+        for first, local, decay in zip(ends["_first"], ends["_end"], ends["_decay"]):
+            before.append(first if not before else last)
+            last = local + decay * before[-1]
+        return ends.assign(_carry=before)[[*parts, "_carry"]]
+
+    typed = lambda frame, names: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name in names)
+    after = F.row_number().over(Window.partitionBy(*parts).orderBy(F.col(order).desc())) - 1
+    weighed = own.withColumn("_w", F.pow(F.lit(1 - alpha), after)).groupBy(*parts).agg(
+        F.min_by(value, order).cast("double").alias("_first"), F.sum(alpha * F.col(value) * F.col("_w")).alias("_end"),
+        F.pow(F.lit(1 - alpha), F.count("*")).alias("_decay"),
+    )
+    carries = weighed.groupBy(*keys).applyInPandas(carry, f"{typed(weighed, parts)}, _carry double")
+    local = own.groupBy(*parts).applyInPandas(smooth, f"{typed(own, own.columns)}, _local double, _decay double, _first double")
+    return local.join(carries, parts).select(*keys, order, value, (F.col("_local") + F.col("_decay") * (F.col("_carry") - F.col("_first"))).alias("ema"))
 
 
 def lag_acf(df: DataFrame, value: str, window: int, lag: int, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:

@@ -51,6 +51,8 @@ def test_zscore_acf_drift_ema(spark):
     d = col(series.drift_monitor(ticks(spark, [0.0] * 5 + [10.0] * 5), "mid_price", 5, 3.0), "drifting")
     assert d == [False] * 6 + [True] * 4
     assert col(series.ema(ticks(spark, [1.0, 2.0, 4.0]), "mid_price", 3), "ema") == [1.0, 1.5, 2.75]
+    long = ticks(spark, [100 + 7.0 * (i * i % 13) for i in range(60)])
+    assert col(series.ema(long, "mid_price", 9, block=700), "ema") == pytest.approx(col(series.ema(long, "mid_price", 9, block=1 << 40), "ema"), rel=1e-12)
     with pytest.raises(ValueError):
         series.rolling(ticks(spark, v), "mid_price", 1)
 
