@@ -25,8 +25,8 @@ def unit_draws(units: DataFrame, unit: str, replicates: int, seed: int) -> DataF
     size = units.agg(F.count("*").alias("_n"))
     slots = ranked.select(F.col("_k").alias("slot")).crossJoin(F.broadcast(size))  # one row
     reps = units.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-    drawn = reps.crossJoin(F.broadcast(slots)).withColumn("_k", draw(seed, F.col("replicate"), F.col("slot"), F.col("_n")))
-    return drawn.join(F.broadcast(ranked), "_k").select("replicate", unit)
+    drawn = reps.crossJoin(slots).withColumn("_k", draw(seed, F.col("replicate"), F.col("slot"), F.col("_n")))
+    return drawn.join(ranked, "_k").select("replicate", unit)
 
 
 def resampled_sums(stats: DataFrame, unit: str, keys: list[str], draws: DataFrame, names: tuple[str, ...] = SUMS) -> DataFrame:
@@ -65,24 +65,25 @@ def block_sums(df: DataFrame, value: str, keys: list[str], order: str, length: i
     blocks = F.ceil(F.col("n") / F.lit(length))
     tail = (F.col("n") - (blocks - 1) * length).cast("int")
 
-    # at the row before a block, sums up to there; at its last row, sums up to the end
-    marks = twice.select(*keys, "n", "j", "p1", "p2", "pj", tail.alias("tail"))
-    before = marks.select(*keys, (F.col("j") + 1).alias("s"), F.col("p1").alias("b1"), F.col("p2").alias("b2"), F.col("pj").alias("bj"))
-    starts = marks.filter(F.col("j") < F.col("n")).select(*keys, "n", "tail", F.col("j").alias("s"))
-    starts = starts.join(before, [*keys, "s"], "left").fillna(0.0, ["b1", "b2", "bj"])
-    for size, tag in ((F.lit(length), "full"), (F.col("tail"), "last")):
-        end = marks.select(*keys, F.col("j").alias("e"), F.col("p1").alias("e1"), F.col("p2").alias("e2"), F.col("pj").alias("ej"))
-        starts = starts.withColumn("e", F.col("s") + size - 1).join(end, [*keys, "e"], "left")
-        starts = starts.withColumn(f"{tag}1", F.col("e1") - F.col("b1")).withColumn(f"{tag}2", F.col("e2") - F.col("b2"))
-        starts = starts.withColumn(f"{tag}j", F.col("ej") - F.col("bj") - F.col("s") * F.col(f"{tag}1")).drop("e", "e1", "e2", "ej")
-    return starts.drop("b1", "b2", "bj")
+    # sums up to the row before a block, and up to the ends of a full and of the truncated block
+    totals, tag = ("p1", "p2", "pj"), {"p1": "1", "p2": "2", "pj": "j"}
+    marks = twice.select(
+        *keys, "n", F.col("j").alias("s"), (F.col("j") + tail - 1).alias("e"), *[F.coalesce(F.lag(p).over(run), F.lit(0.0)).alias(f"b{tag[p]}") for p in totals],
+        *[F.lead(p, length - 1).over(run).alias(f"f{tag[p]}") for p in totals],
+    )
+    ends = twice.select(*keys, F.col("j").alias("e"), *[F.col(p).alias(f"l{tag[p]}") for p in totals])
+    starts = marks.filter("s < n").join(ends, [*keys, "e"], "left")  # the truncated length differs between keys
+    for end, name in (("f", "full"), ("l", "last")):
+        starts = starts.withColumns({f"{name}{k}": F.col(f"{end}{k}") - F.col(f"b{k}") for k in "12j"})
+        starts = starts.withColumn(f"{name}j", F.col(f"{name}j") - F.col("s") * F.col(f"{name}1"))
+    return starts.select(*keys, "n", "s", *[f"{name}{k}" for name in ("full", "last") for k in "12j"])
 
 
 def block_bootstrap_trend(df: DataFrame, value: str, keys: list[str], order: str, length: int, replicates: int, seed: int) -> DataFrame:
     """Per key: n, r2 of a linear trend, and its p-value (exceed + 1) / (replicates + 1) among circular
     block resamples. A replicate is ceil(n / length) lookups of block sums. Constant series: null p."""
-    blocks = block_sums(df, value, keys, order, length).persist()
-    sizes = blocks.groupBy(*keys).agg(F.first("n").alias("n"))
+    blocks = block_sums(df, value, keys, order, length)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("m", F.ceil(F.col("n") / F.lit(length)).cast("int"))
     reps = df.sparkSession.range(-1, replicates).select(F.col("id").alias("replicate"))  # -1: the series itself
     plan = sizes.crossJoin(reps).select(*keys, "n", "m", "replicate", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("b"))

@@ -4,28 +4,31 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.functions.stats import line, sums
-from tapeline.operators.series import KEY, in_order, percentiles, rolling, zscore
-
-def _whole(keys: tuple[str, ...]) -> WindowSpec:
-    return Window.partitionBy(*keys)
-
+from tapeline.operators.series import KEY, LENGTH, SPAN, before, in_blocks, percentiles, rolling, zscore, zscores
 
 TIERS = (50.0, 75.0, 90.0, 95.0, 99.0, 99.5)
 
 
 def linear_trend(df: DataFrame, value: str, time: str = "timestamp", keys: tuple[str, ...] = KEY) -> DataFrame:
-    """Per key: slope_per_ts, intercept, r2 and the population deviation of the residuals of value on time."""
-    rows = df.withColumn("_mt", F.avg(time).over(_whole(keys))).withColumn("_mv", F.avg(value).over(_whole(keys)))
-    agg = rows.groupBy(*keys, "_mt", "_mv").agg(*sums(F.col(time) - F.col("_mt"), F.col(value) - F.col("_mv")))
+    """Per key: slope_per_ts, intercept, r2 and the population deviation of the residuals of value on time.
+
+    One aggregation: Spark's regression moments are centred as they are merged.
+    """
+    # a pair needs both, as the moments do
+    x, y = (F.when(F.col(time).isNotNull() & F.col(value).isNotNull(), F.col(c).cast("double")) for c in (time, value))
+    zero = F.lit(0.0)
+    agg = df.groupBy(*keys).agg(
+        F.regr_count(y, x).alias("n"), F.avg(x).alias("_mt"), F.avg(y).alias("_mv"),
+        F.coalesce(F.regr_sxx(y, x), zero).alias("sxx"), F.coalesce(F.regr_syy(y, x), zero).alias("syy"), F.coalesce(F.regr_sxy(y, x), zero).alias("sxy"),
+    ).withColumns({"sx": zero, "sy": zero})
     slope, _, r2 = line()
-    var = (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")) / F.col("n")
     return agg.select(
-        *keys, F.col("n").cast("long").alias("n"), slope.alias("slope_per_ts"), (F.col("_mv") - slope * F.col("_mt")).alias("intercept"), r2.alias("r2"),
-        F.sqrt(F.greatest(F.lit(0.0), var * (1 - r2))).alias("resid_std"),
+        *keys, "n", slope.alias("slope_per_ts"), (F.col("_mv") - slope * F.col("_mt")).alias("intercept"), r2.alias("r2"),
+        F.sqrt(F.greatest(F.lit(0.0), F.try_divide("syy", "n") * (1 - r2))).alias("resid_std"),
     )
 
 
@@ -33,16 +36,15 @@ def half_life(phi: Column) -> Column:
     return F.when(phi == 0, F.lit(0.0)).when(F.abs(phi) < 1, F.lit(math.log(2.0)) / -F.ln(F.abs(phi)))
 
 
-def ar1(df: DataFrame, value: str, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
+def ar1(df: DataFrame, value: str, keys: tuple[str, ...] = KEY, order: str = "timestamp", span: int = SPAN) -> DataFrame:
     """Per key: n, phi, const, long_run_mean, half_life of x(t) = const + phi x(t-1), and status.
 
     `short` (under three values) and `constant` series have nulls. phi = 1 has no long-run mean and,
     like any |phi| of 1 or more, no half-life.
     """
-    w = in_order(keys, order)
-    centre = F.avg(value).over(_whole(keys))
-    rows = df.select(*keys, (F.col(value) - centre).alias("y"), centre.alias("c"), F.lag(F.col(value)).over(w).alias("p"), F.count(value).over(_whole(keys)).alias("m"))
-    agg = rows.groupBy(*keys, "c", "m").agg(*sums(F.col("p") - F.col("c"), F.col("y")))
+    whole = df.groupBy(*keys).agg(F.avg(value).alias("c"), F.count(value).alias("m"))
+    rows = before(df.select(*keys, order, value), value, "p", keys, order, span).join(whole, list(keys))
+    agg = rows.groupBy(*keys, "c", "m").agg(*sums(F.col("p") - F.col("c"), F.col(value) - F.col("c")))
     slope, icept, _ = line()
     flat = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx") <= 1e-12 * F.col("n") * F.col("sxx")
     status = F.when(F.col("m") < 3, "short").when(flat, "constant").otherwise("ok")
@@ -56,7 +58,7 @@ def ar1(df: DataFrame, value: str, keys: tuple[str, ...] = KEY, order: str = "ti
 
 def z_percentiles(df: DataFrame, value: str, window: int, keys: tuple[str, ...] = KEY, at: tuple[float, ...] = TIERS, accuracy: int | None = None) -> DataFrame:
     """Per key and percentile: |z| there, over rows with a z."""
-    z = zscore(df, value, window, keys).filter(F.col("z").isNotNull())
+    z = in_blocks(df, lambda rows, k: zscore(rows, value, window, k), window, max(LENGTH, window), keys=keys).filter(F.col("z").isNotNull())
     agg = z.groupBy(*keys).agg(percentiles(F.abs("z"), [a / 100 for a in at], accuracy).alias("p"), F.count("*").alias("n"))
     named = F.explode(F.arrays_zip(F.array(*[F.lit(a) for a in at]).alias("percentile"), F.col("p").alias("abs_z")))
     return agg.select(*keys, "n", named.alias("x")).select(*keys, "n", F.col("x.percentile").alias("percentile"), F.col("x.abs_z").alias("abs_z"))
@@ -64,9 +66,9 @@ def z_percentiles(df: DataFrame, value: str, window: int, keys: tuple[str, ...]
 
 def leave_one_out_percentiles(df: DataFrame, value: str, window: int, at: tuple[float, ...] = TIERS) -> DataFrame:
     """Per product, held-out day and percentile: |z| over all the other days."""
-    z = zscore(df, value, window).filter(F.col("z").isNotNull()).select("day", "product", F.abs("z").alias("abs_z"))
+    z = zscores(df, value, window).filter(F.col("z").isNotNull()).select("day", "product", F.abs("z").alias("abs_z"))
     days = df.select(F.col("day").alias("held_out")).distinct()
-    pairs = z.crossJoin(F.broadcast(days)).filter("day <> held_out")  # days: a handful
+    pairs = z.join(days, F.col("day") != F.col("held_out"))  # a row goes to every other day
     agg = pairs.groupBy("product", "held_out").agg(percentiles(F.col("abs_z"), [a / 100 for a in at]).alias("p"), F.count("*").alias("n"))
     named = F.explode(F.arrays_zip(F.array(*[F.lit(a) for a in at]).alias("percentile"), F.col("p").alias("abs_z")))
     return agg.select("product", "held_out", "n", named.alias("x")).select("product", "held_out", "n", F.col("x.percentile").alias("percentile"), F.col("x.abs_z").alias("abs_z"))
@@ -75,6 +77,7 @@ def leave_one_out_percentiles(df: DataFrame, value: str, window: int, at: tuple[
 def anchor_lag(df: DataFrame, value: str, window: int, time: str = "timestamp", keys: tuple[str, ...] = KEY) -> DataFrame:
     """Per key: n, mean_lag and std_lag of the rolling mean less the fitted line, over full windows."""
     fit = linear_trend(df, value, time, keys).select(*keys, "slope_per_ts", "intercept")
-    full = rolling(df, value, window, keys, time).filter(F.col("roll_n") == window).join(fit, list(keys))
+    rolled = in_blocks(df, lambda rows, k: rolling(rows, value, window, k, time), window, max(LENGTH, window), keys=keys, order=time)
+    full = rolled.filter(F.col("roll_n") == window).join(fit, list(keys))
     lag = F.col("roll_mean") - F.col("intercept") - F.col("slope_per_ts") * F.col(time)
     return full.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(lag).alias("mean_lag"), F.stddev_pop(lag).alias("std_lag"))

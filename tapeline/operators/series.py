@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tapeline.functions.stats import correlation, sums
+from tapeline.functions.stats import SUMS, correlation, sums
 
 KEY = ("day", "product")
 SLIDING = 64
+#: Rows of a block, and the time in which about as many stand (a tick is 100).
+LENGTH, SPAN = 4096, 409_600
 
 
 def in_order(keys: tuple[str, ...] = KEY, order: str = "timestamp") -> WindowSpec:
@@ -69,7 +71,7 @@ def rolling(df: DataFrame, value: str, window: int, keys: tuple[str, ...] = KEY,
     return out.withColumn("roll_std", F.when(n >= 2, F.sqrt(var))).drop("_c", "_i", "_s", "_q", "_same", "_since")
 
 
-def in_blocks(df: DataFrame, measure: Callable[[DataFrame, tuple[str, ...]], DataFrame], window: int, length: int, span: int, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
+def in_blocks(df: DataFrame, measure: Callable[[DataFrame, tuple[str, ...]], DataFrame], window: int, length: int = LENGTH, span: int = SPAN, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
     """measure(rows, keys) for series too long for one task, in blocks of `length` rows of a key.
 
     A block also gets the window - 1 rows before it, so any measure of the last `window` rows is the
@@ -90,15 +92,25 @@ def in_blocks(df: DataFrame, measure: Callable[[DataFrame, tuple[str, ...]], Dat
     return measure(rows, (*keys, "_block")).filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
 
 
+def before(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = KEY, order: str = "timestamp", span: int = SPAN) -> DataFrame:
+    """Adds out: the value of the row before in the same key, in blocks."""
+    return in_blocks(df, lambda rows, k: rows.withColumn(out, F.lag(value).over(in_order(k, order))), 2, span=span, keys=keys, order=order)
+
+
 def zscore(df: DataFrame, value: str, window: int, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
     """Adds z (null until the window is full or without variance) to rolling()."""
     ready = (F.col("roll_n") == window) & (F.col("roll_std") > 0)
     return rolling(df, value, window, keys, order).withColumn("z", F.when(ready, (F.col(value) - F.col("roll_mean")) / F.col("roll_std")))
 
 
+def zscores(df: DataFrame, value: str, window: int) -> DataFrame:
+    """zscore() in blocks."""
+    return in_blocks(df, lambda rows, keys: zscore(rows, value, window, keys), window, max(LENGTH, window))
+
+
 def causal_regime(prices: DataFrame, window: int = 200) -> DataFrame:
     """day, product, timestamp, mid_price, z, std of the ticks whose regime is known."""
-    return zscore(clean_mids(prices), "mid_price", window).filter(F.col("z").isNotNull()).select(*KEY, "timestamp", "mid_price", "z", F.col("roll_std").alias("std"))
+    return zscores(clean_mids(prices), "mid_price", window).filter(F.col("z").isNotNull()).select(*KEY, "timestamp", "mid_price", "z", F.col("roll_std").alias("std"))
 
 
 def ema(df: DataFrame, value: str, span: float, keys: tuple[str, ...] = KEY, order: str = "timestamp", block: int = 100_000) -> DataFrame:
@@ -136,24 +148,28 @@ def ema(df: DataFrame, value: str, span: float, keys: tuple[str, ...] = KEY, ord
     return local.join(carries, parts).select(*keys, order, value, (F.col("_local") + F.col("_decay") * (F.col("_carry") - F.col("_first"))).alias("ema"))
 
 
-def lag_acf(df: DataFrame, value: str, window: int, lag: int, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
-    """Adds acf: the correlation of the last `window` pairs (x now, x `lag` rows ago)."""
+def lag_acf(df: DataFrame, value: str, window: int, lag: int, keys: tuple[str, ...] = KEY, order: str = "timestamp", sliding: int = SLIDING) -> DataFrame:
+    """Adds acf: the correlation of the last `window` pairs (x now, x `lag` rows ago). A row depends on
+    the window + lag rows up to it, so in_blocks() serves long series."""
     w = in_order(keys, order)
-    centred = df.withColumn("_x", F.col(value) - F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    paired = centred.withColumn("_y", F.lag("_x", lag).over(w))
-    frame = w.rowsBetween(1 - window, 0)
-    totals = paired.select("*", *[c.alias(f"_{k}") for c, k in zip(sums(F.col("_x"), F.col("_y"), over=frame), ("n", "sx", "sy", "sxx", "syy", "sxy"))])
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    centred = df.withColumn("_x", F.col(value) - F.first(value).over(upto))
+    paired, names = centred.withColumn("_y", F.lag("_x", lag).over(w)), [f"_{k}" for k in SUMS]
+    frame = w.rowsBetween(1 - window, 0) if window <= sliding else upto
+    totals = paired.select("*", *[c.alias(k) for c, k in zip(sums(F.col("_x"), F.col("_y"), over=frame), names)])
+    if window > sliding:
+        gone = [(F.col(k) - F.coalesce(F.lag(k, window).over(w), F.lit(0.0))).alias(k) for k in names]
+        totals = totals.select(*df.columns, *gone)
     return totals.withColumn("acf", correlation(None, prefix="_")).select(*df.columns, "acf")
 
 
-def drift_monitor(df: DataFrame, value: str, window: int, threshold: float, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
+def drift_monitor(df: DataFrame, value: str, window: int, threshold: float, keys: tuple[str, ...] = KEY, order: str = "timestamp", span: int = SPAN) -> DataFrame:
     """Adds drifting: the rolling mean is over `threshold` away from the mean of the first full window."""
-    rolled = rolling(df, value, window, keys, order)
-    upto = in_order(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    frozen = F.first(F.when(F.col("roll_n") == window, F.col("roll_mean")), ignorenulls=True).over(upto)
-    return rolled.withColumn("reference", frozen).withColumn(
-        "drifting", F.coalesce((F.col("roll_n") == window) & (F.abs(F.col("roll_mean") - F.col("reference")) > threshold), F.lit(False))
-    )
+    rolled = in_blocks(df, lambda rows, k: rolling(rows, value, window, k, order), window, max(LENGTH, window), span, keys, order)
+    full = F.col("roll_n") == window
+    frozen = rolled.filter(full).groupBy(*keys).agg(F.min_by("roll_mean", order).alias("_frozen"))
+    out = rolled.join(frozen, list(keys), "left").withColumn("reference", F.when(full, F.col("_frozen"))).drop("_frozen")
+    return out.withColumn("drifting", F.coalesce(full & (F.abs(F.col("roll_mean") - F.col("reference")) > threshold), F.lit(False)))
 
 
 def drifting_fraction(df: DataFrame, value: str, window: int, threshold: float, keys: tuple[str, ...] = KEY) -> DataFrame:
@@ -162,15 +178,20 @@ def drifting_fraction(df: DataFrame, value: str, window: int, threshold: float,
     return full.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("drifting").cast("double")).alias("fraction"))
 
 
-def drawdown(df: DataFrame, value: str, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
-    """Per key: the largest fall below the running maximum."""
-    top = F.max(value).over(in_order(keys, order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_fall", top - F.col(value)).groupBy(*keys).agg(F.coalesce(F.max("_fall"), F.lit(0.0)).alias("max_drawdown"))
+def drawdown(df: DataFrame, value: str, keys: tuple[str, ...] = KEY, order: str = "timestamp", span: int = SPAN) -> DataFrame:
+    """Per key: the largest fall below the running maximum. A span of time has its own falls, and those
+    of its least value below the maximum of all spans before."""
+    rows = df.withColumn("_span", F.floor(F.col(order) / span))
+    top = F.max(value).over(in_order((*keys, "_span"), order).rowsBetween(Window.unboundedPreceding, 0))
+    spans = rows.withColumn("_fall", top - F.col(value)).groupBy(*keys, "_span").agg(F.max("_fall").alias("_fall"), F.max(value).alias("_top"), F.min(value).alias("_low"))
+    earlier = F.max("_top").over(in_order(keys, "_span").rowsBetween(Window.unboundedPreceding, -1))
+    fall = F.greatest("_fall", earlier - F.col("_low"), F.lit(0.0))
+    return spans.select(*keys, fall.alias("_fall")).groupBy(*keys).agg(F.max("_fall").alias("max_drawdown"))
 
 
-def sharpe(df: DataFrame, value: str, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
+def sharpe(df: DataFrame, value: str, keys: tuple[str, ...] = KEY, order: str = "timestamp", span: int = SPAN) -> DataFrame:
     """Per key: mean over population deviation of the steps; null below three points or without variance."""
-    steps = df.withColumn("_d", F.col(value) - F.lag(value).over(in_order(keys, order)))
+    steps = before(df, value, "_p", keys, order, span).withColumn("_d", F.col(value) - F.col("_p"))
     agg = steps.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg("_d").alias("_m"), F.stddev_pop("_d").alias("_s"))
     return agg.select(*keys, F.when((F.col("_n") >= 3) & (F.col("_s") > 0), F.try_divide("_m", "_s")).alias("sharpe"))
 

@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from tapeline.functions import pricing
 
+#: A row's number and running sum are those of its hour and the totals of the hours before, so that no
+#: window holds a whole day.
 TICKS = """
-SELECT day, product, event_id, user_id,
-       (row_number() OVER (PARTITION BY day, product ORDER BY ts, event_id) - 1) * 100 AS timestamp,
+SELECT e.day, e.product, event_id, user_id,
+       (rows_before + row_number() OVER (PARTITION BY e.day, e.product, e.hour ORDER BY ts, event_id) - 1) * 100 AS timestamp,
        CASE WHEN event_id % 97 = 0 THEN CAST(0.0 AS DOUBLE)
-            ELSE CAST(10000 AS DOUBLE) + CAST(sum(cents - 5000) OVER (PARTITION BY day, product ORDER BY ts, event_id
+            ELSE CAST(10000 AS DOUBLE) + CAST(sum_before + sum(cents - 5000) OVER (PARTITION BY e.day, e.product, e.hour ORDER BY ts, event_id
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / CAST(1000 AS DOUBLE) END AS mid_price
-FROM (SELECT event_id, user_id, ts, event_type AS product,
+FROM (SELECT event_id, user_id, ts, event_type AS product, date_trunc('hour', ts) AS hour,
              CAST(floor((day(ts) - 1) / 10.0) AS INT) AS day,
              CAST(round(value * 100) AS BIGINT) AS cents
       FROM events) e
+JOIN (SELECT day, product, hour, CAST(coalesce(sum(n) OVER before, 0) AS BIGINT) AS rows_before, CAST(coalesce(sum(s) OVER before, 0) AS BIGINT) AS sum_before
+      FROM (SELECT CAST(floor((day(ts) - 1) / 10.0) AS INT) AS day, event_type AS product, date_trunc('hour', ts) AS hour,
+                   count(*) AS n, sum(CAST(round(value * 100) AS BIGINT) - 5000) AS s
+            FROM events GROUP BY 1, 2, 3) g
+      WINDOW before AS (PARTITION BY day, product ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) h
+  ON h.day = e.day AND h.product = e.product AND h.hour = e.hour
 """
 
 TRADES = """

@@ -190,15 +190,15 @@ def smile(spark, sf):
 
 
 def expiry_calibration(spark, sf):
-    return options.expiry_scores(fixtures.quotes(spark, sf), EXPIRIES, 20).select("expiry", *r6("dispersion"))
+    return options.expiry_scores(fixtures.quotes(spark, sf), EXPIRIES).select("expiry", *r6("dispersion"))
 
 
 def calibrated_expiry(spark, sf):
-    return options.calibrated_expiry(options.expiry_scores(fixtures.quotes(spark, sf), EXPIRIES, 20)).select("expiry", *r6("dispersion"))
+    return options.calibrated_expiry(options.expiry_scores(fixtures.quotes(spark, sf), EXPIRIES)).select("expiry", *r6("dispersion"))
 
 
 def expiry_by_strike(spark, sf):
-    return options.calibrated_expiry_by_strike(fixtures.quotes(spark, sf), EXPIRIES, 20).select("strike", "expiry", *r6("dispersion"))
+    return options.calibrated_expiry_by_strike(fixtures.quotes(spark, sf), EXPIRIES).select("strike", "expiry", *r6("dispersion"))
 
 
 def expiry_scan(spark, sf):
@@ -364,8 +364,7 @@ iv AS (SELECT {keys}, spot, strike, tte, price, (lo + hi) / 2.0 AS iv FROM bi WH
 
 IV = f"{QT}, {_bisect('qq', 'day, timestamp, event_id')}"
 VEGA = lambda vol: f"(spot * (exp(-{_d1(vol)} * {_d1(vol)} / 2.0) / sqrt(2.0 * pi())) * sqrt(tte))"
-EXP = f"""{QT}, ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day, strike ORDER BY timestamp) - 1 AS rn FROM qq) q WHERE rn % 20 = 0),
-ex AS (SELECT day, timestamp, spot, strike, price, x.e AS expiry, x.e - day - timestamp / 1000000.0 AS tte FROM ev, (SELECT unnest({EXPIRIES}) AS e) x), {_bisect('ex', 'day, timestamp, expiry')}"""
+EXP = f"""{QT}, ex AS (SELECT day, timestamp, spot, strike, price, x.e AS expiry, x.e - day - timestamp / 1000000.0 AS tte FROM qq, (SELECT unnest({EXPIRIES}) AS e) x), {_bisect('ex', 'day, timestamp, expiry')}"""
 _COARSE, _FINE = (_bisect(f"{k}x", "day, timestamp, expiry").replace("bi ", f"{k}bi ").replace("iv AS (SELECT", f"{k}iv AS (SELECT") for k in "cf")
 _SCORES = "SELECT expiry, (max(m) - min(m)) / avg(m) AS d FROM (SELECT expiry, day, avg(iv) AS m FROM {}iv GROUP BY ALL) m GROUP BY expiry HAVING count(*) = (SELECT count(DISTINCT day) FROM qq)"
 _AT = "SELECT day, timestamp, spot, strike, price, x.e AS expiry, x.e - day - timestamp / 1000000.0 AS tte FROM qq, ({}) x WHERE x.e - day - timestamp / 1000000.0 > 0"

@@ -16,7 +16,7 @@ from tapeline.schema import PRICES, TRADES
 from tapeline.sources import logs, tape
 from tapeline.streaming import stateful
 
-LONG, SLOPE, GUARD, LOOKBACK = 200, 0.001, 60.0, 500
+LONG, SLOPE, GUARD, LOOKBACK, STRIDE = 200, 0.001, 60.0, 500, 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -155,6 +155,11 @@ def rolling_zscore_long(spark, sf):
     return z.filter("z IS NOT NULL").select("day", "product", "timestamp", *r6("z"))
 
 
+def stride_sample(spark, sf):
+    """Every 20th clean tick: the sampling that a scan may ask for."""
+    return series.every(_ticks(spark, sf), STRIDE).select("day", "product", "timestamp", *r6("mid_price"))
+
+
 def anchor_lag(spark, sf):
     return regime.anchor_lag(_ticks(spark, sf), "mid_price", W).select("day", "product", "n", *r6("mean_lag", "std_lag"))
 
@@ -178,7 +183,7 @@ def thin_scan(spark, sf):
 
 QUERIES = (
     price_tape_file, trade_tape_file, parquet_tape, activity_log, trade_history, result_table, mid_series, stream_rolling, stream_ema, stream_acf, stream_drift,
-    stream_anchor, stream_last_event, rolling_zscore_long, anchor_lag, family_ar1, iv_trend_mean, ranked_bots, thin_scan,
+    stream_anchor, stream_last_event, rolling_zscore_long, stride_sample, anchor_lag, family_ar1, iv_trend_mean, ranked_bots, thin_scan,
 )
 
 # ------------------------------------------------------------------------------------------ SQL
@@ -198,6 +203,7 @@ SQL = {name: ticks_queries.SQL[of] for name, of in _SAME.items()} | {
 m AS (SELECT c.day, c.product, c.timestamp, way, c.timestamp - i.timestamp AS age FROM c ASOF LEFT JOIN i ON c.day = i.day AND c.product = i.product AND c.timestamp >= i.timestamp)
 SELECT day, product, timestamp, CAST(CASE WHEN age <= {LOOKBACK} THEN way END AS BIGINT) AS way, CAST(CASE WHEN age <= {LOOKBACK} THEN age END AS BIGINT) AS age FROM m""",
     "rolling_zscore_long": f"{T}{Z.replace(f'{W - 1} PRECEDING', f'{LONG - 1} PRECEDING').replace(f'wn = {W}', f'wn = {LONG}')} SELECT day, product, timestamp, round(z, 6) AS z FROM z",
+    "stride_sample": f"{T}, r AS (SELECT *, row_number() OVER ({P} {O}) - 1 AS k FROM c) SELECT day, product, timestamp, round(mid_price, 6) AS mid_price FROM r WHERE k % {STRIDE} = 0",
     "anchor_lag": f"""{T}, r AS (SELECT day, product, timestamp, row_number() OVER ({P} {O}) AS k, avg(mid_price) OVER ({P} {O} ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW) AS m, CAST(timestamp AS DOUBLE) - avg(timestamp) OVER ({P}) AS t,
  mid_price - avg(mid_price) OVER ({P}) AS y, avg(mid_price) OVER ({P}) AS my FROM c), f AS (SELECT day, product, regr_slope(y, t) AS b FROM r GROUP BY day, product)
 SELECT day, product, count(*) AS n, round(avg(m - my - b * t), 6) AS mean_lag, round(stddev_pop(m - my - b * t), 6) AS std_lag FROM r JOIN f USING (day, product) WHERE k >= {W} GROUP BY day, product""",

@@ -22,7 +22,7 @@ def _clean(spark, sf) -> DataFrame:
 
 
 def rolling_zscore(spark, sf):
-    z = series.zscore(_clean(spark, sf), "mid_price", W).filter("z IS NOT NULL")
+    z = series.zscores(_clean(spark, sf), "mid_price", W).filter("z IS NOT NULL")
     return z.select("day", "product", "timestamp", *r6("z"))
 
 
@@ -39,7 +39,8 @@ def ema(spark, sf):
 
 
 def lag_acf(spark, sf):
-    return series.lag_acf(_clean(spark, sf), "mid_price", W, 3).filter("acf IS NOT NULL").select("day", "product", "timestamp", *r6("acf"))
+    acf = series.in_blocks(_clean(spark, sf), lambda rows, keys: series.lag_acf(rows, "mid_price", W, 3, keys), W + 3)
+    return acf.filter("acf IS NOT NULL").select("day", "product", "timestamp", *r6("acf"))
 
 
 def drift_monitor(spark, sf):
@@ -130,7 +131,7 @@ def informed_gap(spark, sf):
 
 
 def informed_tally(spark, sf):
-    z = series.zscore(_clean(spark, sf), "mid_price", W)
+    z = series.zscores(_clean(spark, sf), "mid_price", W)
     return flow.informed_tally(z, fixtures.trades(spark, sf), INFORMED, 1.5, 5)
 
 
@@ -184,7 +185,7 @@ def worst_day(spark, sf):
 
 def mechanism_pnl(spark, sf):
     fills = attribution.signed(fixtures.trades(spark, sf), ACCOUNT)
-    z = series.zscore(_clean(spark, sf), "mid_price", W)
+    z = series.zscores(_clean(spark, sf), "mid_price", W)
     intents = z.filter("z IS NOT NULL").select("day", "timestamp", "product", F.when(F.abs("z") >= 1.5, "aggressive").otherwise("passive").alias("mechanism"))
     out = attribution.mechanism_pnl(attribution.attributed(fills, intents), _clean(spark, sf))
     return out.select("product", "mechanism", "fills", F.round("pnl", 4).alias("pnl"), (F.abs("residue") < 1e-6).alias("reconciled"))

@@ -58,7 +58,7 @@ def product_sets(prices: DataFrame) -> DataFrame:
     """Per day: ticks, products, and missing: products that other days have."""
     days = prices.groupBy("day", "product").agg(F.count("*").alias("ticks"))
     every = days.select("product").distinct()
-    pairs = days.select("day").distinct().crossJoin(F.broadcast(every))  # the dimension of product names
+    pairs = days.select("day").distinct().crossJoin(every)
     joined = pairs.join(days, ["day", "product"], "left")
     return joined.groupBy("day").agg(
         F.coalesce(F.sum("ticks"), F.lit(0)).alias("ticks"), F.count("ticks").alias("products"),

@@ -15,7 +15,7 @@ from tapeline.streaming import stateful
 
 
 def ticks(spark, values, day=0, product="A"):
-    return spark.createDataFrame([(day, product, 100 * i, float(v)) for i, v in enumerate(values)], "day int, product string, timestamp long, mid_price double")
+    return spark.createDataFrame([(day, product, 100 * i, None if v is None else float(v)) for i, v in enumerate(values)], "day int, product string, timestamp long, mid_price double")
 
 
 def walk(n, seed=1):
@@ -64,6 +64,29 @@ def test_blocks_equal_whole_series(spark):
     assert whole == parts
 
 
+def test_spans_and_prefix_sums_equal_whole_series(spark):
+    df = ticks(spark, walk(300)).unionByName(ticks(spark, walk(7, 5), 1)).filter("timestamp < 9000 OR timestamp > 14000")
+    near = lambda a, b: [tuple(r)[:-1] for r in a] == [tuple(r)[:-1] for r in b] and [r[-1] for r in a] == pytest.approx([r[-1] for r in b], rel=1e-9)
+    for f in (series.drawdown, series.sharpe):
+        a, b = (f(df, "mid_price", span=n).orderBy("day").collect() for n in (1100, 1 << 40))
+        assert near(a, b)
+    a, b = (regime.ar1(df, "mid_price", span=n).select("day", "n", "status", "phi").orderBy("day").collect() for n in (1100, 1 << 40))
+    assert near(a, b)
+    a, b = (series.drift_monitor(df, "mid_price", 9, 2.0, span=n).orderBy("day", "timestamp").collect() for n in (1100, 1 << 40))
+    assert a == b
+    slid = series.lag_acf(df, "mid_price", 30, 3).filter("acf IS NOT NULL").orderBy("day", "timestamp").collect()
+    summed = series.lag_acf(df, "mid_price", 30, 3, sliding=0).filter("acf IS NOT NULL").orderBy("day", "timestamp").collect()
+    blocks = series.in_blocks(df, lambda d, k: series.lag_acf(d, "mid_price", 30, 3, k), 33, 40, 1100).filter("acf IS NOT NULL").orderBy("day", "timestamp").collect()
+    assert near(slid, summed) and near(slid, blocks)
+
+
+def test_trend_without_values(spark):
+    df = ticks(spark, [None, None, 3.0]).unionByName(ticks(spark, [5.0, None, 5.0, 5.0], 1))
+    none, flat = regime.linear_trend(df, "mid_price").orderBy("day").collect()
+    assert (none.n, none.slope_per_ts, none.intercept, none.r2) == (1, 0.0, 3.0, 0.0)
+    assert (flat.n, flat.slope_per_ts, flat.intercept, flat.r2, flat.resid_std) == (3, 0.0, 5.0, 0.0, 0.0)
+
+
 def test_causality(spark):
     v = walk(50)
     for f in (lambda d: series.zscore(d, "mid_price", 5), lambda d: series.lag_acf(d, "mid_price", 5, 1), lambda d: series.drift_monitor(d, "mid_price", 5, 1.0)):
