@@ -208,7 +208,7 @@ SELECT day, product, timestamp, CAST(CASE WHEN age <= {LOOKBACK} THEN way END AS
  mid_price - avg(mid_price) OVER ({P}) AS y, avg(mid_price) OVER ({P}) AS my FROM c), f AS (SELECT day, product, regr_slope(y, t) AS b FROM r GROUP BY day, product)
 SELECT day, product, count(*) AS n, round(avg(m - my - b * t), 6) AS mean_lag, round(stddev_pop(m - my - b * t), 6) AS std_lag FROM r JOIN f USING (day, product) WHERE k >= {W} GROUP BY day, product""",
     "family_ar1": f"""{PN}, x AS (SELECT day, family, product, mid_price AS y, lag(mid_price) OVER w AS p, avg(mid_price) OVER (PARTITION BY day, family, product) AS m FROM panel WINDOW w AS (PARTITION BY day, family, product ORDER BY timestamp))
-SELECT day, family, product, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(regr_slope(y - m, p - m), 6) END AS phi FROM x GROUP BY day, family, product""",
+SELECT day, family, product, count(*) AS n, CASE WHEN count(*) >= 3 AND max(p) > min(p) THEN round(regr_slope(y - m, p - m), 6) END AS phi FROM x GROUP BY day, family, product""",
     "iv_trend_mean": f"""{IV}, s AS (SELECT abs(regr_slope(iv, timestamp)) / avg(iv) AS v, count(*) AS n FROM iv GROUP BY day, strike)
 SELECT count(*) AS series, round(avg(v) * 1e6, 4) AS per_million FROM s WHERE n >= 5""",
     "ranked_bots": f"{TT}{Z}{FEAT}{BUCK}{SCORE} SELECT horizon, CAST(row_number() OVER (PARTITION BY horizon ORDER BY score DESC, bot) AS INTEGER) AS rank, bot, round(score, 6) AS score FROM sc",
