@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, pii, quality, secrets, sharding, simhash, suffix_dedup, warc
+from . import conversations, decontam, language, line_dedup, merkle, mixing, pii, quality, secrets, sharding, simhash, suffix_dedup, warc
 from .common import table
 
 #: Target weights of the mixture: a quarter from the largest source, the rest in equal shares.
@@ -73,6 +73,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), MIX, MIX_DEFAULT, epochs=1.0)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(rows, conversations.damage(rows))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("path")
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith(("op", "quality_")) and callable(f)}
 
@@ -168,5 +181,99 @@ FROM (SELECT r.*, copies, unnest(range(0, CAST(copies AS BIGINT))) AS replica FR
 """
 
 
+#: CRC-32 of the ASCII text {0}, by a table of 256 entries in `crc(t)`.
+_CRC = "xor(list_reduce([CAST(4294967295 AS UBIGINT)] || list_transform(string_split({0}, ''), lambda x: CAST(ord(x) AS UBIGINT)), lambda c, b: xor(t[CAST((xor(c, b) & 255) + 1 AS BIGINT)], c >> 8)), CAST(4294967295 AS UBIGINT))"
+_CRC_TABLE = "crc AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([b] || list_transform(range(8), lambda k: CAST(k AS UBIGINT)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) AS c FROM (SELECT CAST(range AS UBIGINT) AS b FROM range(256)) q) q)"
+
+
+def _repair_sql() -> str:
+    """Backwards from a conversation's last row: for each state (0, s, u, a) the cheapest rest, as a string of cost and letters."""
+
+    def best(*ways: str) -> str:
+        return f"least({', '.join(ways)})"
+
+    def add(cost: int | str, letter: str, rest: str) -> str:
+        return f"lpad(CAST(CAST(left({rest}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || '{letter}' || substr({rest}, 10)"
+
+    wanted, none = {"o": "u", "s": "u", "u": "a", "a": "u"}, "'999999999'"
+    follows = {"o": "su", "s": "u", "u": "a", "a": "u"}
+    row = {}
+    for state in "osua":
+        kept = " ".join(f"WHEN initial = '{i}' AND NOT gone THEN {add('IF(cut, 5, 0)', 'K', 'b.' + i)}" for i in follows[state])
+        row[state] = best(add(2, "D", "b." + state), f"IF(gone, {none}, {add('1 + IF(cut, 5, 0)', 'R', 'b.' + wanted[state])})", f"CASE {kept} ELSE {none} END")
+
+    def closed(names: dict[str, str]) -> str:
+        ways = {}
+        for state in "osua":
+            first = add(5, "I", names[wanted[state]])
+            ways[state] = best(names[state], first, add(5, "I", f"({add(5, 'I', names[wanted[wanted[state]]])})"))
+        return ", ".join(f"{v} AS {k}" for k, v in ways.items())
+
+    raw = ", ".join(f"{v} AS x{k}" for k, v in row.items())
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+k AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS d FROM conversations, crc),
+r AS MATERIALIZED (SELECT conv_id, turn, IF(d = 4, 'user', role) AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM r),
+f AS MATERIALIZED (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 't' ELSE '' END AS fault,
+      lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+c AS MATERIALIZED (SELECT conv_id, count(*) AS rows_, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+      count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+e AS (SELECT xo AS o, xs AS s, xu AS u, xa AS a FROM (SELECT '000000000' AS xo, {none} AS xs, {none} AS xu, '000000000' AS xa) q),
+w AS (SELECT c.conv_id, rows_ AS left_, {closed({k: "e." + k for k in "osua"})} FROM c, e
+      UNION ALL SELECT conv_id, left_, {closed({k: "x" + k for k in "osua"})} FROM (SELECT b.conv_id, left_ - 1 AS left_, {raw} FROM w b JOIN (SELECT *, fault IN ('b', 'd') AS gone, fault = 't' AS cut FROM f) f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.left_ WHERE left_ > 0) q),
+p AS MATERIALIZED (SELECT conv_id, CAST(left(o, 9) AS BIGINT) AS cost, substr(o, 10) AS audit FROM w WHERE left_ = 0),
+l AS (SELECT p.conv_id, g, substr(audit, g, 1) AS letter, length(translate(left(audit, g), 'I', '')) AS i, audit FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS g FROM p) p),
+z AS (SELECT l.conv_id, g, letter, role, text, left(f.role, 1) = 's' AND letter = 'K' AS lead FROM l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i WHERE letter <> 'D'),
+y AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY g) + CAST(bool_or(lead) OVER (PARTITION BY conv_id) AS INT) AS place FROM z),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || IF(letter = 'I', '', text), chr(10) ORDER BY g)) AS sha FROM y GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def _merkle_sql(levels: int = 7, fan: int = 8) -> str:
+    """The tree level by level: runs of up to 8**levels leaves a language, and as many languages."""
+
+    def enc(value: str) -> str:
+        return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    parts = [rf"""{_CRC_TABLE},
+d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS tree, sha256({head} || {enc("text")}) AS leaf,
+      IF({_CRC.format("CAST(doc_id AS VARCHAR)")} % 3 = 0, sha256({head} || {enc(lower)}), NULL) AS fake FROM documents, crc),
+a0 AS MATERIALIZED (SELECT id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, leaf AS node FROM d)"""]
+    for letter, key in (("a", "tree"), ("b", "1")):
+        if letter == "b":
+            parts.append(f"b0 AS MATERIALIZED (SELECT tree AS id, 1 AS tree, row_number() OVER (ORDER BY tree) - 1 AS rank, node FROM a{levels})")
+        for k in range(levels):
+            # a tree with one node left passes it on
+            parts.append(f"""{letter}{k + 1} AS MATERIALIZED (SELECT tree, rank // {fan} AS rank, IF(max(alone), any_value(node), sha256(string_agg(node, '' ORDER BY rank))) AS node
+      FROM (SELECT *, max(rank) OVER (PARTITION BY tree) = 0 AS alone FROM {letter}{k}) q GROUP BY tree, rank // {fan})""")
+    steps = []
+    for letter, base, tree, rank in (("a", 0, "a0.tree", "a0.rank"), ("b", levels, "1", "b0.rank")):
+        for k in range(levels):
+            steps.append(f"SELECT a0.id, {base + k} AS level, x.rank < {rank} // {fan**k} AS before, x.rank AS place, x.node FROM a0 JOIN b0 ON b0.id = a0.tree JOIN {letter}{k} x ON x.tree = {tree} AND x.rank // {fan} = {rank} // {fan ** (k + 1)} AND x.rank <> {rank} // {fan**k}")
+    parts.append("s AS MATERIALIZED (" + " UNION ALL ".join(steps) + ")")
+    # a run of one has no siblings but is hashed where its tree has more nodes
+    parts.append("proof AS (SELECT id, sha256(string_agg(node, '' ORDER BY level, place)) AS proof FROM s GROUP BY id)")
+    parts.append("g AS MATERIALIZED (SELECT id, level, string_agg(node, '' ORDER BY place) FILTER (before) AS l, string_agg(node, '' ORDER BY place) FILTER (NOT before) AS r FROM s GROUP BY id, level)")
+    parts.append("h AS (" + " UNION ALL ".join(f"SELECT tree AS t, {k} AS level FROM a{k} GROUP BY tree HAVING max(rank) > 0" for k in range(levels)) + ")")
+    parts.append("top AS (" + " UNION ALL ".join(f"SELECT {levels + k} AS level FROM b{k} HAVING max(rank) > 0" for k in range(levels)) + ")")
+    parts.append(f"""u AS (SELECT id, a0.tree AS t, -1 AS level, coalesce(fake, leaf) AS node FROM d JOIN a0 USING (id)
+      UNION ALL SELECT u.id, u.t, u.level + 1, IF(EXISTS (SELECT 1 FROM h WHERE h.t = u.t AND h.level = u.level + 1) OR EXISTS (SELECT 1 FROM top WHERE top.level = u.level + 1), sha256(coalesce(l, '') || u.node || coalesce(r, '')), u.node)
+      FROM u LEFT JOIN g ON g.id = u.id AND g.level = u.level + 1 WHERE u.level < {2 * levels - 1})""")
+    return "WITH RECURSIVE " + ",\n".join(parts) + f"""
+SELECT d.doc_id, d.leaf, a{levels}.node AS subroot, b{levels}.node AS root, coalesce(proof, sha256('')) AS proof_sha256, u.node AS folded_root, u.node = b{levels}.node AS verified
+FROM d JOIN a0 USING (id) JOIN a{levels} ON a{levels}.tree = a0.tree JOIN b{levels} ON true LEFT JOIN proof ON proof.id = d.id JOIN u ON u.id = d.id AND u.level = {2 * levels - 1}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_quality_rules": OP5_SQL, "quality_ablation": ABLATION_SQL, "op9_revisits": OP9_SQL, "op10_mixing": mixing_sql(MIX, MIX_DEFAULT)}
+    return {"op3_decontamination": OP3_SQL, "op5_quality_rules": OP5_SQL, "quality_ablation": ABLATION_SQL, "op9_revisits": OP9_SQL, "op10_mixing": mixing_sql(MIX, MIX_DEFAULT),
+            "op11_conversation_repair": _repair_sql(), "op12_merkle_manifest": _merkle_sql()}
