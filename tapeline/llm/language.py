@@ -28,7 +28,8 @@ from .common import LOWER, int64s, mix, slices, spaced, text_bytes, written
 #: and the share of them that only weigh.
 SAMPLE_TEXTS, WEIGHED = 4000, 0.25
 #: Hashed n-grams; smoothing added to each count; the scale at which a margin counts as 1.
-FEATURES, SMOOTHING, SCALE = 1 << 15, 0.5, 0.1
+FEATURE_BITS, SMOOTHING, SCALE = 15, 0.5, 0.4
+FEATURES = 1 << FEATURE_BITS
 #: Below this difference of the two best languages' probabilities a text is ambiguous.
 AMBIGUOUS = 0.1
 UNDETERMINED = "und"
@@ -36,8 +37,9 @@ LETTER = r"\p{L}"
 
 #: Bytes inside of words: ASCII letters and all bytes beyond ASCII.
 _INSIDE = np.array([97 <= b <= 122 or b >= 128 for b in LOWER])
+_CODE, _NONE = np.where(_INSIDE, LOWER, 32).astype(np.uint32), np.uint32(0xFFFFFFFF)
 #: Bytes that are looked at together.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 
 # ---------------------------------------------------------------- codes
@@ -66,18 +68,18 @@ def codewords(languages: int) -> np.ndarray:
 # ---------------------------------------------------------------- n-grams
 
 
-def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the 1-, 2- and 3-gram that end at each byte, and which of them lie in a word and the spaces
+def _grams(data: np.ndarray) -> np.ndarray:
+    """Features of the 1-, 2- and 3-gram that end at each byte; FEATURES if it doesn't lie in a word and the spaces
     around it. All other bytes count as spaces."""
-    low = LOWER[data]
-    inside = _INSIDE[low]
-    code = np.where(inside, low, 32).astype(np.uint64)
-    features, ok = np.zeros((3, len(data)), np.uint64), np.zeros((3, len(data)), bool)
-    features[0], ok[0] = code, inside
-    features[1, 1:], ok[1, 1:] = code[:-1] << np.uint64(8) | code[1:], inside[:-1] | inside[1:]
-    features[2, 2:], ok[2, 2:] = code[:-2] << np.uint64(16) | code[1:-1] << np.uint64(8) | code[2:], inside[1:-1]
-    features += (np.arange(1, 4, dtype=np.uint64) << np.uint64(32))[:, None]
-    return (mix(features) % np.uint64(FEATURES)).astype(np.int64), ok
+    inside, code = _INSIDE[data], _CODE[data]
+    features = np.full((3, len(data)), _NONE, np.uint32)
+    np.copyto(features[0], code, where=inside)
+    two = code[:-1] << np.uint32(8) | code[1:]
+    np.copyto(features[1, 1:], two | np.uint32(1 << 24), where=inside[:-1] | inside[1:])
+    np.copyto(features[2, 2:], two[:-1] << np.uint32(8) | code[2:] | np.uint32(1 << 25), where=inside[1:-1])
+    hashed = (features * np.uint32(0x9E3779B1)) >> np.uint32(32 - FEATURE_BITS)
+    hashed[features == _NONE] = FEATURES
+    return hashed.astype(np.int64)
 
 
 def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -86,7 +88,9 @@ def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray,
     for low, high in slices(at, CHUNK):
         if at[high] - at[low] <= CHUNK:
             buffer, starts = spaced(data, at, low, high)
-            yield low, np.concatenate(([32], buffer)).astype(np.uint8), starts[:-1], 0
+            starts = starts[:-1] + 1  # the space before the first row is its own
+            starts[:1] = 0
+            yield low, np.concatenate(([32], buffer)).astype(np.uint8), starts, 0
             continue
         whole = np.concatenate(([32], data[at[low] : at[high]], [32])).astype(np.uint8)
         for start in range(0, len(whole), CHUNK):
@@ -94,12 +98,12 @@ def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray,
             yield low, whole[start - again : start + CHUNK], np.zeros(1, np.int64), again
 
 
-def _counted(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """First row, starts, features and flags of each piece of a batch's texts."""
+def _counted(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, starts and features of each piece of a batch's texts."""
     for low, buffer, starts, again in _pieces(*text_bytes(batch)):
-        features, ok = _grams(buffer)
-        ok[:, :again] = False
-        yield low, starts, features, ok
+        features = _grams(buffer)
+        features[:, :again] = FEATURES
+        yield low, starts, features
 
 
 # ---------------------------------------------------------------- learning
@@ -126,12 +130,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(int64s(batch, "lang").to_pylist(), object)
-        for low, starts, features, ok in _counted(batch):
-            owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, features.shape[1])))
-            for lang in set(langs[low : low + len(starts)]):
-                chosen = ok & (langs[low : low + len(starts)] == lang)[owner]
+        for low, starts, features in _counted(batch):
+            own = langs[low : low + len(starts)]
+            for lang in set(own):
+                chosen = features[:, np.repeat(own == lang, np.diff(np.append(starts, features.shape[1])))]
                 total = totals.setdefault(lang, np.zeros(FEATURES, np.int64))
-                total += np.bincount(features[chosen], minlength=FEATURES)
+                total += np.bincount(chosen.ravel(), minlength=FEATURES + 1)[:FEATURES]
     for lang, total in totals.items():
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], names=["lang", "feature", "n"])
@@ -146,17 +150,20 @@ class Model:
         rate = (counts + SMOOTHING) / (counts + SMOOTHING).sum(1, keepdims=True)
         ones, zeros = self.code > 0, self.code < 0
         weights = [np.log(rate[ones[:, b]].mean(0) / rate[zeros[:, b]].mean(0)) for b in range(self.code.shape[1])]
-        self.weights = np.array(weights, np.float32).reshape(self.code.shape[1], FEATURES).T.copy()
+        # the last row stands for what is no n-gram
+        self.weights = np.zeros((FEATURES + 1, self.code.shape[1]), np.float32)
+        self.weights[:FEATURES] = np.array(weights).reshape(self.code.shape[1], FEATURES).T
         self.trust = np.full(self.code.shape, 1.0 / max(self.code.shape[1], 1))
 
     def margins(self, batch: pa.RecordBatch) -> np.ndarray:
         """Mean weight of each text's n-grams on each bit."""
         sums, n = np.zeros((batch.num_rows, self.code.shape[1])), np.zeros(batch.num_rows)
-        for low, starts, features, ok in _counted(batch):
-            for k in range(3):
-                each = self.weights[features[k]] * ok[k][:, None]
-                sums[low : low + len(starts)] += np.add.reduceat(each, starts, axis=0, dtype=np.float64)
-                n[low : low + len(starts)] += np.add.reduceat(ok[k], starts, dtype=np.int64)
+        for low, starts, features in _counted(batch):
+            each = np.take(self.weights, features[0], axis=0)
+            for more in features[1:]:
+                each += np.take(self.weights, more, axis=0)
+            sums[low : low + len(starts)] += np.add.reduceat(each, starts, axis=0)
+            n[low : low + len(starts)] += np.add.reduceat((features < FEATURES).sum(0), starts)
         return sums / np.maximum(n, 1)[:, None]
 
     def weigh(self, right: np.ndarray, n: np.ndarray) -> None:

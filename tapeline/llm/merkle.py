@@ -122,7 +122,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     their leaves; repeated rows are leaves each. The only leaf of a tree is its subroot, and the only subroot
     is the root; the proof of a leaf without siblings is the digest of nothing. An empty table gives an empty result.
     """
-    nodes = ranked(leaves(docs), ["doc_id", "leaf"], "leaves").withColumn("node", F.col("leaf"))
+    nodes = ranked(written(leaves(docs), "leaves"), ["doc_id", "leaf"], "ordered").withColumn("node", F.col("leaf"))
     nodes = written(nodes, "ranked")
     levels, subroots = _levels(nodes, ["doc_id", "leaf", "fake"])
     subroots = subroots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("own"), "node", F.col("height").alias("rounds"))
