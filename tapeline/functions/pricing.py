@@ -102,6 +102,45 @@ def implied_vol(price: Column, spot: Column, strike, tte: Column, rate=0.0, low:
     return bisect.asNondeterministic()(price, spot, _col(strike), tte, _col(rate))
 
 
+#: Bounds of a total deviation, vol * sqrt(tte), and the halvings that find one.
+LEAST_DEVIATION, MOST_DEVIATION, HALVINGS = 1e-9, 64.0, 36
+
+
+def deviation_range(price: Column, spot: Column, strike) -> Column:
+    """struct(low, high): the total deviations vol * sqrt(tte) at which a call at rate 0 has the price. They are all that
+    a price tells, whatever the expiry; low and high differ only where the price does not depend on them, as for
+    calls at their intrinsic value. Null if no deviation gives the price. Two bisections a quote, in numpy on Arrow batches.
+    """
+
+    @F.pandas_udf("low double, high double")
+    def bisect(price: pd.Series, spot: pd.Series, strike: pd.Series) -> pd.DataFrame:
+        p, s, k = (x.to_numpy(dtype=float, na_value=np.nan) for x in (price, spot, strike))
+        with np.errstate(all="ignore"):
+            ok = (s > 0) & (k > 0)
+            worth = lambda w: _calls(s, k, 1.0, w, 0.0)
+            first, last = (np.full(len(p), x) for x in (LEAST_DEVIATION, MOST_DEVIATION))
+            ok &= (worth(first) <= p) & (worth(last) >= p)
+            found = []
+            for short in (np.less, np.less_equal):
+                lo, hi = first, last
+                for _ in range(HALVINGS):
+                    mid = (lo + hi) / 2.0
+                    below = short(worth(mid), p)
+                    lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+                found.append((lo + hi) / 2.0)
+        return pd.DataFrame({name: np.where(ok, x, np.nan) for name, x in zip(("low", "high"), found)})
+
+    return bisect.asNondeterministic()(price, spot, _col(strike))
+
+
+def vol_of_deviation(deviation: Column, tte: Column, low: float = 1e-6, high: float = 5.0) -> Column:
+    """The implied volatility at an expiry from the range of total deviations: a division; null if the volatilities low and
+    high don't bracket the price, which grows with the deviation."""
+    root = F.sqrt(tte)
+    bracketed = (F.lit(low) * root <= deviation["high"]) & (F.lit(high) * root >= deviation["low"])
+    return F.when(bracketed, F.greatest(deviation["low"] / root, F.lit(low)))
+
+
 def time_to_expiry(day: Column, timestamp: Column, expiry_day=8.25, per_day: float = 1_000_000.0) -> Column:
     return _col(expiry_day) - day - timestamp.cast("double") / F.lit(per_day)
 

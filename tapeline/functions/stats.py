@@ -6,9 +6,11 @@ add up to the sums of the whole, so one partial aggregation serves pooled, per-d
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A variance below this share of its sum of squares is the residue of cancellation: zero.
+RESIDUE = 1e-12
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
@@ -29,15 +31,36 @@ def merged(names: tuple[str, ...] = SUMS) -> list[Column]:
     return [F.sum(name).alias(name) for name in names]
 
 
+def moments(x: Column, y: Column) -> list[Column]:
+    """n, means and centred sums of squares and products over rows where both are present, as named columns of one
+    aggregation; Spark centres them as it goes."""
+    a, b = (F.when(x.isNotNull() & y.isNotNull(), c.cast("double")) for c in (x, y))
+    zero = F.lit(0.0)
+    centred = [F.coalesce(f(b, a), zero).alias(name) for f, name in ((F.regr_sxx, "cxx"), (F.regr_syy, "cyy"), (F.regr_sxy, "cxy"))]
+    return [F.regr_count(b, a).cast("double").alias("n"), F.coalesce(F.avg(a), zero).alias("mx"), F.coalesce(F.avg(b), zero).alias("my"), *centred]
+
+
+def about_mean(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The sums of moments() of parts (days) about the mean of all parts of their key, which they share: they add up to
+    those of the whole. Also the means, _mx and _my. What only rounding leaves of a variance is 0."""
+    whole = Window.partitionBy(*keys)  # a row a part
+    total = F.sum("n").over(whole)
+    rows = parts.withColumn("_mx", F.try_divide(F.sum(F.col("n") * F.col("mx")).over(whole), total)).withColumn("_my", F.try_divide(F.sum(F.col("n") * F.col("my")).over(whole), total))
+    n, dx, dy = F.col("n"), F.col("mx") - F.col("_mx"), F.col("my") - F.col("_my")
+    rows = rows.withColumns({"sx": n * dx, "sy": n * dy, "sxx": F.col("cxx") + n * dx * dx, "syy": F.col("cyy") + n * dy * dy, "sxy": F.col("cxy") + n * dx * dy})
+    still = lambda square, mean: F.sum(square).over(whole) <= total * F.pow(F.abs(mean) * RESIDUE, F.lit(2.0))
+    rows = rows.withColumn("_x0", still("sxx", F.col("_mx"))).withColumn("_y0", still("syy", F.col("_my")))
+    gone = {"sx": "_x0", "sxx": "_x0", "sy": "_y0", "syy": "_y0"}
+    rows = rows.withColumns({c: F.when(F.col(flag), F.lit(0.0)).otherwise(F.col(c)) for c, flag in gone.items()})
+    rows = rows.withColumn("sxy", F.when(F.col("_x0") | F.col("_y0"), F.lit(0.0)).otherwise(F.col("sxy")))
+    return rows.drop("mx", "my", "cxx", "cyy", "cxy", "_x0", "_y0")
+
+
 def _moments(prefix: str = "") -> tuple[Column, Column, Column, Column]:
     n, sx, sy, sxx, syy, sxy = (F.col(f"{prefix}{k}") for k in SUMS)
     return n, n * sxx - sx * sx, n * syy - sy * sy, n * sxy - sx * sy
 
 
-#: A variance below this share of its sum of squares is the residue of cancellation: zero.
-RESIDUE = 1e-12
-
-
 def _flat(spread: Column, n: Column, square: Column) -> Column:
     return spread <= RESIDUE * n * square
 

@@ -6,10 +6,13 @@ gets the same resamples. Replicates combine statistics of units (days, blocks),
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.stats import SUMS, merged
+from tapeline.operators.series import LENGTH, SPAN
 
 
 def draw(seed: int, replicate: Column, slot: Column, n: Column | int) -> Column:
@@ -19,14 +22,31 @@ def draw(seed: int, replicate: Column, slot: Column, n: Column | int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), n.cast("long"))
 
 
-def unit_draws(units: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
-    """(replicate, unit) rows: as many units as there are, drawn with replacement. units: distinct."""
-    ranked = units.select(unit, (F.row_number().over(Window.orderBy(unit)) - 1).alias("_k"))  # a few days
-    size = units.agg(F.count("*").alias("_n"))
-    slots = ranked.select(F.col("_k").alias("slot")).crossJoin(F.broadcast(size))  # one row
+def unit_draws(units: DataFrame, unit: str, replicates: int, seed: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, replicate, unit) rows: as many units as there are in each group, drawn from its own with replacement.
+    units: distinct (*within, unit) rows."""
+    ranked = units.select(*within, unit, (F.row_number().over(Window.partitionBy(*within).orderBy(unit)) - 1).alias("_k"))  # a few days
+    sizes = units.groupBy(*within).agg(F.count("*").alias("_n"))
+    slots = ranked.select(*within, F.col("_k").alias("slot"))
+    slots = slots.join(sizes, list(within)) if within else slots.crossJoin(F.broadcast(sizes))  # one row
     reps = units.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
     drawn = reps.crossJoin(slots).withColumn("_k", draw(seed, F.col("replicate"), F.col("slot"), F.col("_n")))
-    return drawn.join(ranked, "_k").select("replicate", unit)
+    return drawn.join(ranked, [*within, "_k"]).select(*within, "replicate", unit)
+
+
+#: P(weight <= k) of a Poisson weight with mean 1, up to where 32 bits can't tell it from 1.
+POISSON = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
+def poisson_weights(seed: int, key: Column, replicates: int) -> Column:
+    """A row's weights in all replicates: how often a resample of a large sample takes it. Replicate r has 32 bits of an
+    MD5 over (seed, key, r div 4), so each digest serves four replicates."""
+    def four(k: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key, k.cast("string")))
+        return F.array(*[F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("double") / float(1 << 32) for i in range(4)])
+
+    units = F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)), four)), 1, replicates)
+    return F.transform(units, lambda u: F.size(F.filter(F.array(*[F.lit(p) for p in POISSON]), lambda p: p <= u)))
 
 
 def resampled_sums(stats: DataFrame, unit: str, keys: list[str], draws: DataFrame, names: tuple[str, ...] = SUMS) -> DataFrame:
@@ -51,31 +71,45 @@ def oriented_p(estimate: Column, replicate_value: str, keys: list[str], replicat
     )
 
 
-def block_sums(df: DataFrame, value: str, keys: list[str], order: str, length: int) -> DataFrame:
-    """For each circular block start s of each key: n, and for the full and the truncated last block
-    the sums of y, y*y and local index * y, from prefix sums over the doubled series."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.select(*keys, F.col(value).alias("y"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    first = F.first("y").over(Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("y", F.col("y") - first)
-    twice = rows.select(*keys, "n", "y", F.explode(F.array("i", F.col("i") + F.col("n"))).alias("j"))
-    run = Window.partitionBy(*keys).orderBy("j")
-    upto = run.rowsBetween(Window.unboundedPreceding, 0)
-    twice = twice.withColumn("p1", F.sum("y").over(upto)).withColumn("p2", F.sum(F.col("y") * F.col("y")).over(upto)).withColumn("pj", F.sum(F.col("j") * F.col("y")).over(upto))
-    blocks = F.ceil(F.col("n") / F.lit(length))
-    tail = (F.col("n") - (blocks - 1) * length).cast("int")
+def block_sums(df: DataFrame, value: str, keys: list[str], order: str, length: int, span: int = SPAN, part: int = LENGTH) -> DataFrame:
+    """For each circular block start s of each key: n, and for the full and the truncated last block the sums of y
+    (less the key's first value), y*y and local index * y.
 
-    # sums up to the row before a block, and up to the ends of a full and of the truncated block
-    totals, tag = ("p1", "p2", "pj"), {"p1": "1", "p2": "2", "pj": "j"}
-    marks = twice.select(
-        *keys, "n", F.col("j").alias("s"), (F.col("j") + tail - 1).alias("e"), *[F.coalesce(F.lag(p).over(run), F.lit(0.0)).alias(f"b{tag[p]}") for p in totals],
-        *[F.lead(p, length - 1).over(run).alias(f"f{tag[p]}") for p in totals],
+    Rows are numbered by counts per time span and ranks inside one; prefix sums run in parts of `part` rows, each with
+    the `length` rows after it. The series begins again at its end, by its first rows only. Keys are not null.
+    """
+    rows = df.select(*keys, F.col(order).alias("_t"), F.col(value).alias("y"), F.floor(F.col(order) / span).alias("_span"))
+    counts = rows.groupBy(*keys, "_span").agg(F.count("*").alias("_n"), F.min_by("y", "_t").alias("_y"))
+    whole = Window.partitionBy(*keys).orderBy("_span")  # a row a span
+    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = counts.select(
+        *keys, "_span", F.coalesce(F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(every).alias("n"), F.first("_y").over(every).alias("_first"),
+    )
+    rank = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy("_t")) - 1
+    rows = rows.withColumn("_r", rank).join(counts, [*keys, "_span"])
+    rows = rows.select(*keys, "n", (F.col("y") - F.col("_first")).alias("y"), (F.col("_before") + F.col("_r")).alias("i"))
+    # row i once more at i + n if a block that began before the end reaches it; blocks are never longer than the series
+    size = F.least(F.lit(length), F.col("n"))
+    again = F.when(F.col("i") < size, F.array("i", F.col("i") + F.col("n"))).otherwise(F.array("i"))
+    twice = rows.select(*keys, "n", "y", F.explode(again).alias("j"))
+    own = F.floor(F.col("j") / part)
+    parts = F.when((F.col("j") % part < length) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    twice = twice.select("*", own.alias("_own"), F.explode(parts).alias("_part")).withColumn("_local", F.col("j") - F.col("_part") * part)
+    upto = Window.partitionBy(*keys, "_part").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    y = F.col("y")
+    twice = twice.select("*", F.sum(y).over(upto).alias("p1"), F.sum(y * y).over(upto).alias("p2"), F.sum(F.col("_local") * y).over(upto).alias("pj"))
+    blocks = F.ceil(F.col("n") / F.lit(length))
+    tail = F.col("n") - (blocks - 1) * length
+    starts = twice.filter("_own = _part AND j < n").select(
+        *keys, "_part", "n", F.col("j").alias("s"), "_local", (F.col("j") + F.least(F.lit(length), F.col("n")) - 1).alias("_full"), (F.col("j") + tail - 1).alias("_last"),
+        (F.col("p1") - y).alias("b1"), (F.col("p2") - y * y).alias("b2"), (F.col("pj") - F.col("_local") * y).alias("bj"),
     )
-    ends = twice.select(*keys, F.col("j").alias("e"), *[F.col(p).alias(f"l{tag[p]}") for p in totals])
-    starts = marks.filter("s < n").join(ends, [*keys, "e"], "left")  # the truncated length differs between keys
-    for end, name in (("f", "full"), ("l", "last")):
-        starts = starts.withColumns({f"{name}{k}": F.col(f"{end}{k}") - F.col(f"b{k}") for k in "12j"})
-        starts = starts.withColumn(f"{name}j", F.col(f"{name}j") - F.col("s") * F.col(f"{name}1"))
+    for name in ("full", "last"):
+        ends = twice.select(*keys, "_part", F.col("j").alias(f"_{name}"), *[F.col(f"p{k}").alias(f"{name}{k}") for k in "12j"])
+        starts = starts.join(ends, [*keys, "_part", f"_{name}"])
+        starts = starts.withColumns({f"{name}{k}": F.col(f"{name}{k}") - F.col(f"b{k}") for k in "12j"})
+        starts = starts.withColumn(f"{name}j", F.col(f"{name}j") - F.col("_local") * F.col(f"{name}1"))
     return starts.select(*keys, "n", "s", *[f"{name}{k}" for name in ("full", "last") for k in "12j"])
 
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions.stats import correlation, line, merged, sums
+from tapeline.functions.stats import about_mean, correlation, line, merged, moments, sums
 from tapeline.operators import book, regime, series
 from tapeline.operators.bootstrap import block_bootstrap_trend, oriented_p, resampled_sums, unit_draws
+from tapeline.operators.quantiles import quantiles
 
 IDENTITY = 0.999
 
@@ -23,34 +24,37 @@ def _fits(stats: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
     return pooled.join(days, keys).withColumn("identity", (F.col("r2") >= IDENTITY) & (F.col("min_day_r2") >= IDENTITY))
 
 
-def _centred(panel: DataFrame, value: str, keys: tuple[str, ...]) -> Column:
-    """value less the mean of its key over all days: sums of all days then share one centre. What only
-    rounding leaves is 0, so that a constant sum of members has no variance."""
-    mean = F.avg(value).over(Window.partitionBy(*keys))
-    return F.when(F.abs(F.col(value) - mean) <= F.abs(mean) * 1e-12, F.lit(0.0)).otherwise(F.col(value) - mean)
-
-
 def within_families(panel: DataFrame) -> DataFrame:
-    """Each member on the sum of the others of its family."""
+    """Each member on the sum of the others of its family. Days are summed about their own means, and those sums are
+    then moved to the mean of all days."""
+    keys = ["family", "product"]
     rows = series.family_totals(panel)
-    rows = rows.withColumn("_x", _centred(rows, "others", ("family", "product"))).withColumn("_y", _centred(rows, "mid_price", ("family", "product")))
-    means = rows.groupBy("family", "product").agg(F.avg("others").alias("_mx"), F.avg("mid_price").alias("_my"))
-    stats = rows.groupBy("family", "product", "day").agg(*sums(F.col("_x"), F.col("_y")))
-    out = _fits(stats, ["family", "product"]).join(means, ["family", "product"])
+    stats = about_mean(rows.groupBy(*keys, "day").agg(*moments(F.col("others"), F.col("mid_price"))), keys)
+    means = stats.select(*keys, "_mx", "_my").distinct()
+    out = _fits(stats, keys).join(means, keys)
     return out.withColumn("intercept", F.col("intercept") + F.col("_my") - F.col("slope") * F.col("_mx")).drop("_mx", "_my")
 
 
 def across_families(panel: DataFrame) -> DataFrame:
     """Each product on the total of every other family."""
     totals = panel.groupBy("day", "timestamp", F.col("family").alias("other")).agg(F.sum("mid_price").alias("total"))
-    totals = totals.withColumn("_x", _centred(totals, "total", ("other",)))
-    own = panel.withColumn("_y", _centred(panel, "mid_price", ("family", "product")))
-    pairs = own.join(totals, ["day", "timestamp"]).filter("family <> other")
+    pairs = panel.join(totals, ["day", "timestamp"]).filter("family <> other")
     keys = ["family", "product", "other"]
-    stats = pairs.groupBy(*keys, "day").agg(*sums(F.col("_x"), F.col("_y")))
+    stats = about_mean(pairs.groupBy(*keys, "day").agg(*moments(F.col("total"), F.col("mid_price"))), keys)
     return _fits(stats, keys).drop("intercept")
 
 
+def ranked_fits(fits: DataFrame) -> DataFrame:
+    """Fits of families with rank: 1 for the largest r2 of a family, of equals the first product."""
+    return fits.withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy(F.round("r2", 9).desc(), "product")))
+
+
+def ranked_leads(found: DataFrame) -> DataFrame:
+    """lead_lag() with rank: 1 for the largest |peak| of a family, of equals the first leader and follower."""
+    order = Window.partitionBy("family").orderBy(F.round(F.abs("peak"), 9).desc(), "leader", "follower")
+    return found.withColumn("rank", F.row_number().over(order))
+
+
 def changes(panel: DataFrame) -> DataFrame:
     """First differences within a day, with their index i from 0."""
     rows = series.first_difference(panel, "mid_price", "change")
@@ -112,23 +116,22 @@ def best_per_family(fits: DataFrame) -> DataFrame:
 
 
 def greedy_pairs(edges: DataFrame) -> DataFrame:
-    """Disjoint pairs (a < b), strongest first: a pair is taken if it is the best at both of its ends,
-    then its members go; equal to taking pairs one by one, in a number of rounds that is at most that
-    of pairs and usually a few. edges: group, a, b, weight; ties break by a, then b."""
-    left = edges.filter("a < b").select("group", "a", "b", F.struct(F.round(F.abs("weight"), 9).alias("w"), (-F.dense_rank().over(Window.partitionBy("group").orderBy("a", "b"))).alias("t")).alias("rank"), "weight")
-    left = left.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else left.persist()
-    taken = None
-    while not left.isEmpty():
-        ends = left.select("group", F.explode(F.array("a", "b")).alias("node"), "rank")
-        best = ends.groupBy("group", "node").agg(F.max("rank").alias("top"))
-        both = left.join(best.withColumnsRenamed({"node": "a", "top": "ta"}), ["group", "a"]).join(best.withColumnsRenamed({"node": "b", "top": "tb"}), ["group", "b"])
-        won = both.filter((F.col("rank") == F.col("ta")) & (F.col("rank") == F.col("tb"))).select("group", "a", "b", "weight").persist()
-        taken = won if taken is None else taken.unionByName(won)
-        used = won.select("group", F.explode(F.array("a", "b")).alias("node"))
-        for end in ("a", "b"):
-            left = left.join(used.withColumnRenamed("node", end), ["group", end], "left_anti")
-        left = left.persist()
-    return taken if taken is not None else edges.select("group", "a", "b", "weight").filter("false")
+    """Disjoint pairs (a < b) of each group, strongest first: group, a, b, weight. edges: the same, in any order and with
+    both directions; ties break by a, then b.
+
+    A group's edges become one sorted array (as many as pairs of its members), along which pairs are taken unless a member
+    is taken already. One job, whatever the groups.
+    """
+    edge = F.struct((-F.round(F.abs("weight"), 9)).alias("k"), "a", "b", "weight")
+    sorted_ = edges.filter("a < b").groupBy("group").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    none = F.filter("edges", lambda e: F.lit(False))
+
+    def take(taken: Column, e: Column) -> Column:
+        busy = F.exists(taken, lambda t: t["a"].isin(e["a"], e["b"]) | t["b"].isin(e["a"], e["b"]))
+        return F.when(busy, taken).otherwise(F.concat(taken, F.array(e)))
+
+    picked = sorted_.select("group", F.explode(F.aggregate("edges", none, take)).alias("e"))
+    return picked.select("group", "e.a", "e.b", "e.weight")
 
 
 def pair_spread(prices: DataFrame, a, b) -> DataFrame:
@@ -146,8 +149,9 @@ def pair_diagnostics(prices: DataFrame, a, b, window: int = 1000, length: int =
     s = pair_spread(prices, a, b)
     fit = regime.ar1(s, "spread", ("day",)).select("day", "phi", "half_life")
     trend = block_bootstrap_trend(s, "spread", ["day"], "timestamp", length, replicates, seed).select("day", F.col("p").alias("trend_p"))
-    roll = series.rolling(s, "spread", window, ("day",)).filter((F.col("roll_n") == window) & (F.col("roll_std") > 0))
-    roll = roll.groupBy("day").agg(F.median("roll_std").alias("rolling_std"))
+    roll = series.in_blocks(s, lambda rows, keys: series.rolling(rows, "spread", window, keys), window, max(series.LENGTH, window), keys=("day",))
+    roll = roll.filter((F.col("roll_n") == window) & (F.col("roll_std") > 0))
+    roll = quantiles(roll, F.col("roll_std"), [0.5], ["day"]).select("day", F.get("p", F.lit(0)).alias("rolling_std"))
     costs = book.spread_stats(prices) if costs is None else costs
     cost = costs.filter(F.col("product").isin(a, b)).groupBy("day").agg(F.sum("median_spread").alias("round_trip_cost"))
     out = fit.join(trend, "day", "left").join(roll, "day", "left").join(cost, "day", "left")

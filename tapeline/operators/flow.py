@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.operators.asof import latest
-from tapeline.operators.bootstrap import draw, oriented_p, unit_draws
-from tapeline.operators.series import causal_regime, clean_mids, percentiles
+from tapeline.operators.bootstrap import oriented_p, poisson_weights, unit_draws
+from tapeline.operators.quantiles import quantiles
+from tapeline.operators.series import causal_regime, clean_mids
 
 HORIZONS, TICK = (100, 500, 1000), 100
-#: Time units whose trades are ranked together.
-SPAN = 10_000
 
 
 def trade_features(prices: DataFrame, trades: DataFrame, horizons: tuple[int, ...] = HORIZONS, window: int = 200, tick: int = TICK) -> DataFrame:
@@ -38,7 +37,7 @@ def trade_features(prices: DataFrame, trades: DataFrame, horizons: tuple[int, ..
 
 def bucket_edges(value: Column, rows: DataFrame, buckets: int = 3) -> DataFrame:
     """One row: the inner quantile edges of a value over all rows."""
-    return rows.agg(percentiles(value, [k / buckets for k in range(1, buckets)]).alias("edges"))
+    return quantiles(rows, value, [k / buckets for k in range(1, buckets)]).select(F.col("p").alias("edges"))
 
 
 def bucket_of(value: Column, edges: Column) -> Column:
@@ -80,34 +79,35 @@ def ranked(scored: DataFrame) -> DataFrame:
 
 def day_bootstrap(sums: DataFrame, replicates: int, seed: int) -> DataFrame:
     """scores() with ci_low, ci_high, p, floored from resampled days: own means and baselines are both
-    made anew in every replicate, and a bot without trades on the drawn days scores 0."""
+    made anew in every replicate, and a bot without trades on the drawn days scores 0. A horizon's days are
+    drawn from those on which any leg has it: late trades of a short day have no long horizon."""
     base = scores(sums)
-    draws = unit_draws(sums.select("day").distinct(), "day", replicates, seed)
-    again = draws.join(sums, "day").groupBy("replicate", "horizon", "bucket", "bot").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    draws = unit_draws(sums.select("horizon", "day").distinct(), "day", replicates, seed, ("horizon",))
+    again = draws.join(sums, ["horizon", "day"]).groupBy("replicate", "horizon", "bucket", "bot").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     redone = _scores(again, ["replicate", "horizon"]).withColumnRenamed("score", "again").drop("n")
-    every = base.select("horizon", "bot", "score").crossJoin(draws.sparkSession.range(replicates).select(F.col("id").alias("replicate")))
+    every = base.select("horizon", "bot", "score").crossJoin(sums.sparkSession.range(replicates).select(F.col("id").alias("replicate")))
     full = every.join(redone, ["replicate", "horizon", "bot"], "left").withColumn("again", F.coalesce("again", F.lit(0.0)))
     ci = oriented_p(F.col("score"), "again", ["horizon", "bot"], replicates, full)
     return base.join(ci, ["horizon", "bot"])
 
 
 def trade_bootstrap(bucketed: DataFrame, sums: DataFrame, bot: str, horizon: int, replicates: int, seed: int) -> DataFrame:
-    """horizon, bot, score, ci_low, ci_high of one bot from resampled single trades: for comparison with
-    the day bootstrap, which it understates. Draws meet trades by rank, in one join."""
+    """horizon, bot, n, score, ci_low, ci_high of one bot from resampled single trades: for comparison with
+    the day bootstrap, which it understates.
+
+    A replicate weighs each leg by a Poisson number of mean 1, the number of times a resample takes it. Weighted sums are
+    added up where the legs are; what is shuffled is a row a replicate and task. A replicate that takes no leg counts for nothing.
+    """
     pooled = sums.filter(F.col("horizon") == horizon).groupBy("bucket").agg(F.sum("n").alias("_n"), F.sum("total").alias("_t"), F.sum(F.when(F.col("bot") == bot, F.col("n"))).alias("_on"), F.sum(F.when(F.col("bot") == bot, F.col("total"))).alias("_ot"))
     base = pooled.select("bucket", F.coalesce(F.try_divide(F.col("_t") - F.col("_ot"), F.col("_n") - F.col("_on")), F.lit(0.0)).alias("base"))
     own = bucketed.filter((F.col("bot") == bot) & (F.col("horizon") == horizon)).join(base, "bucket")
-    # ranks within time spans, and what comes before each span: one row a span is counted through
-    own, parts = own.withColumn("span", F.floor(F.col("timestamp") / SPAN)), ["day", "product", "span"]
-    before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
-    spans = own.groupBy(*parts).agg(F.count("*").alias("rows")).select(*parts, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy(*parts).orderBy("timestamp", "direction", *[c for c in ("trade_id",) if c in bucketed.columns])
-    own = own.withColumn("rank", F.row_number().over(inside)).join(spans, parts)
-    own = own.select((F.col("before") + F.col("rank") - 1).alias("k"), (F.col("favourable") - F.col("base")).alias("excess"))
+    # legs of one tick and direction are told apart by their rank; equal ones are interchangeable
+    names = ["day", "product", "timestamp", "direction"]
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy("favourable"))
+    own = own.select(F.concat_ws(":", *[F.col(c).cast("string") for c in names], rank.cast("string")).alias("leg"), (F.col("favourable") - F.col("base")).alias("excess"))
     size = own.agg(F.count("*").alias("n"), F.avg("excess").alias("score"))
-    reps = bucketed.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-    plan = own.select(F.col("k").alias("slot")).crossJoin(reps).crossJoin(F.broadcast(size))  # size is one row
-    means = plan.withColumn("k", draw(seed, F.col("replicate"), F.col("slot"), F.col("n"))).join(own, "k").groupBy("replicate").agg(F.avg("excess").alias("again"))
+    each = own.select("excess", F.posexplode(poisson_weights(seed, F.col("leg"), replicates)).alias("replicate", "weight"))
+    means = each.groupBy("replicate").agg(F.try_divide(F.sum(F.col("weight") * F.col("excess")), F.sum("weight")).alias("again"))
     ci = means.agg(F.percentile("again", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     return size.crossJoin(ci).select(
         F.lit(horizon).alias("horizon"), F.lit(bot).alias("bot"), "n", "score", F.get("ci", F.lit(0)).alias("ci_low"), F.get("ci", F.lit(1)).alias("ci_high")

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import pricing
-from tapeline.functions.stats import correlation, line, sums
+from tapeline.functions.stats import about_mean, correlation, line, moments
 from tapeline.operators import regime, series
+from tapeline.operators.scratch import released, stored
 
 EXPIRY = 8.25
 #: Candidate expiries: a wide grid, then steps around its best one.
@@ -37,19 +38,28 @@ def smile(ivs: DataFrame) -> DataFrame:
     return ivs.groupBy(*KEYS).agg(F.avg("iv").alias("mean_iv"), F.stddev_pop("iv").alias("std_iv"), F.count("iv").alias("n"), F.sum(F.col("iv").isNull().cast("long")).alias("skipped"))
 
 
+def deviations(q: DataFrame) -> DataFrame:
+    """Quotes with deviation: the range of the price's total deviations, solved once for all expiries."""
+    return q.withColumn("deviation", pricing.deviation_range(F.col("price"), F.col("spot"), F.col("strike").cast("double")))
+
+
 def _by_expiry(q: DataFrame, grid: list[float] | DataFrame, stride: int) -> DataFrame:
+    """Quotes x expiries with tte and iv. A quote is solved once; a candidate costs a division and two comparisons."""
     every = series.every(q, stride, KEYS)
+    every = every if "deviation" in q.columns else deviations(every)
+    every = every.filter("deviation.low IS NOT NULL").select(*KEYS, "timestamp", "deviation")
     if isinstance(grid, DataFrame):
         rows = every.crossJoin(F.broadcast(grid))  # some tens of rows
     else:
         rows = every.select("*", F.explode(F.array(*[F.lit(float(d)) for d in grid])).alias("expiry"))
     rows = rows.withColumn("tte", F.col("expiry") - F.col("day") - F.col("timestamp") / F.lit(1_000_000.0)).filter("tte > 0")
-    return rows.withColumn("iv", pricing.implied_vol(F.col("price"), F.col("spot"), F.col("strike").cast("double"), F.col("tte"))).filter("iv IS NOT NULL")
+    iv = pricing.vol_of_deviation(F.col("deviation"), F.col("tte"))
+    return rows.withColumn("iv", iv).filter("iv IS NOT NULL")
 
 
 def expiry_scores(q: DataFrame, grid: list[float] | DataFrame, stride: int = 1) -> DataFrame:
     """expiry, dispersion: (max - min) / mean over days of each day's mean iv; expiries at which a day
-    has no iv have none. The grid is exploded per quote; one fold per candidate."""
+    has no iv have none. The grid is exploded per quote."""
     days = q.select("day").distinct().agg(F.count("*").alias("days"))
     means = _by_expiry(q, grid, stride).groupBy("expiry", "day").agg(F.avg("iv").alias("m"))
     agg = means.groupBy("expiry").agg(F.try_divide(F.max("m") - F.min("m"), F.avg("m")).alias("dispersion"), F.count("*").alias("n"))
@@ -69,10 +79,25 @@ def fine_grid(coarse: DataFrame) -> DataFrame:
 
 
 def expiry_scan(q: DataFrame) -> DataFrame:
-    """scan (coarse or fine), expiry, dispersion over all quotes: a wide grid, then a fine one around its best."""
-    coarse = expiry_scores(q, COARSE)
-    fine = expiry_scores(q, fine_grid(coarse))
-    return coarse.select(F.lit("coarse").alias("scan"), "*").unionByName(fine.select(F.lit("fine").alias("scan"), "*"))
+    """scan (coarse or fine), expiry, dispersion over all quotes: a wide grid, then a fine one around its best.
+
+    Quotes with their deviations are stored for the second grid, and so is the coarse scan.
+    """
+    solved = stored(deviations(q).select(*KEYS, "timestamp", "deviation"), "deviations")
+    coarse = stored(expiry_scores(solved, COARSE), "coarse")
+    fine = expiry_scores(solved, fine_grid(coarse))
+    found = stored(coarse.select(F.lit("coarse").alias("scan"), "*").unionByName(fine.select(F.lit("fine").alias("scan"), "*")), "scan")
+    released(solved, coarse)
+    return found
+
+
+def scanned_by_strike(q: DataFrame) -> DataFrame:
+    """calibrated_expiry_by_strike over the fine grid around the best expiry of all strikes, quotes solved once."""
+    solved = stored(deviations(q).select(*KEYS, "timestamp", "deviation"), "deviations")
+    grid = stored(fine_grid(expiry_scores(solved, COARSE)), "grid")
+    found = stored(calibrated_expiry_by_strike(solved, grid), "by_strike")
+    released(solved, grid)
+    return found
 
 
 def calibrated_expiry_by_strike(q: DataFrame, grid: list[float] | DataFrame, stride: int = 1) -> DataFrame:
@@ -128,10 +153,8 @@ def pair_edges(ivs: DataFrame, spreads: DataFrame, vega_stride: int = 500) -> Da
 
 def level_regression(q: DataFrame) -> DataFrame:
     """Per day and strike: correlation, slope and r2 of the option's price on the spot."""
-    whole = Window.partitionBy(*KEYS)
-    rows = q.withColumn("_x", F.col("spot") - F.avg("spot").over(whole)).withColumn("_y", F.col("price") - F.avg("price").over(whole))
+    stats = about_mean(q.groupBy(*KEYS).agg(*moments(F.col("spot"), F.col("price"))), list(KEYS))
     slope, _, r2 = line()
-    stats = rows.groupBy(*KEYS).agg(*sums(F.col("_x"), F.col("_y")))
     return stats.select(*KEYS, F.col("n").cast("long").alias("n"), correlation(0.0).alias("corr"), slope.alias("slope"), r2.alias("r2"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.functions.stats import line, sums
+from tapeline.operators.quantiles import quantiles
 from tapeline.operators.series import KEY, LENGTH, SPAN, before, in_blocks, percentiles, rolling, zscore, zscores
 
 TIERS = (50.0, 75.0, 90.0, 95.0, 99.0, 99.5)
@@ -59,19 +60,24 @@ def ar1(df: DataFrame, value: str, keys: tuple[str, ...] = KEY, order: str = "ti
 def z_percentiles(df: DataFrame, value: str, window: int, keys: tuple[str, ...] = KEY, at: tuple[float, ...] = TIERS, accuracy: int | None = None) -> DataFrame:
     """Per key and percentile: |z| there, over rows with a z."""
     z = in_blocks(df, lambda rows, k: zscore(rows, value, window, k), window, max(LENGTH, window), keys=keys).filter(F.col("z").isNotNull())
-    agg = z.groupBy(*keys).agg(percentiles(F.abs("z"), [a / 100 for a in at], accuracy).alias("p"), F.count("*").alias("n"))
-    named = F.explode(F.arrays_zip(F.array(*[F.lit(a) for a in at]).alias("percentile"), F.col("p").alias("abs_z")))
-    return agg.select(*keys, "n", named.alias("x")).select(*keys, "n", F.col("x.percentile").alias("percentile"), F.col("x.abs_z").alias("abs_z"))
+    if accuracy is not None:
+        return _named(z.groupBy(*keys).agg(percentiles(F.abs("z"), [a / 100 for a in at], accuracy).alias("p"), F.count("*").alias("n")), list(keys), at)
+    return _named(quantiles(z, F.abs("z"), [a / 100 for a in at], keys), list(keys), at)
+
+
+def _named(rows: DataFrame, keys: list[str], at: tuple[float, ...]) -> DataFrame:
+    """A row for each percentile of p."""
+    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(a) for a in at]).alias("percentile"), F.col("p").alias("abs_z")))
+    return rows.select(*keys, "n", pairs.alias("x")).select(*keys, "n", F.col("x.percentile").alias("percentile"), F.col("x.abs_z").alias("abs_z"))
 
 
 def leave_one_out_percentiles(df: DataFrame, value: str, window: int, at: tuple[float, ...] = TIERS) -> DataFrame:
-    """Per product, held-out day and percentile: |z| over all the other days."""
+    """Per product, held-out day (of any product) and percentile: |z| over all the other days."""
     z = zscores(df, value, window).filter(F.col("z").isNotNull()).select("day", "product", F.abs("z").alias("abs_z"))
-    days = df.select(F.col("day").alias("held_out")).distinct()
-    pairs = z.join(days, F.col("day") != F.col("held_out"))  # a row goes to every other day
-    agg = pairs.groupBy("product", "held_out").agg(percentiles(F.col("abs_z"), [a / 100 for a in at]).alias("p"), F.count("*").alias("n"))
-    named = F.explode(F.arrays_zip(F.array(*[F.lit(a) for a in at]).alias("percentile"), F.col("p").alias("abs_z")))
-    return agg.select("product", "held_out", "n", named.alias("x")).select("product", "held_out", "n", F.col("x.percentile").alias("percentile"), F.col("x.abs_z").alias("abs_z"))
+    # days without any z are held out as well
+    days = df.select("day", F.lit(None).cast(z.schema["product"].dataType).alias("product"), F.lit(None).cast("double").alias("abs_z")).distinct()
+    rows = quantiles(z.unionByName(days), F.col("abs_z"), [a / 100 for a in at], ["product"], "day")
+    return _named(rows, ["product", "held_out"], at)
 
 
 def anchor_lag(df: DataFrame, value: str, window: int, time: str = "timestamp", keys: tuple[str, ...] = KEY) -> DataFrame:

@@ -48,7 +48,10 @@ def every(df: DataFrame, k: int, keys: tuple[str, ...] = KEY, order: str = "time
 
 
 def rolling(df: DataFrame, value: str, window: int, keys: tuple[str, ...] = KEY, order: str = "timestamp", sliding: int = SLIDING) -> DataFrame:
-    """Adds roll_n, roll_mean and roll_std (population, null below two) of the last `window` rows."""
+    """Adds roll_n, roll_mean and roll_std (population, null below two) of the values in the last `window` rows.
+
+    Null values take a row's place in the window and count for nothing else, whatever the window's length.
+    """
     if window < 2:
         raise ValueError("a window has two rows at least")
     w, x = in_order(keys, order), F.col(value)
@@ -57,18 +60,21 @@ def rolling(df: DataFrame, value: str, window: int, keys: tuple[str, ...] = KEY,
         out = df.withColumn("roll_n", F.count(x).over(frame)).withColumn("roll_mean", F.avg(x).over(frame))
         return out.withColumn("roll_std", F.when(F.col("roll_n") >= 2, F.stddev_pop(x).over(frame)))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0.0)
     # centred on the key's first value, which keeps the sums small
-    out = df.withColumn("_c", x - F.first(x).over(upto)).withColumn("_i", F.row_number().over(w))
-    out = out.withColumn("_s", F.sum("_c").over(upto)).withColumn("_q", F.sum(F.col("_c") * F.col("_c")).over(upto))
-    # a window of equal values has no variance, whatever its sums have rounded to
-    out = out.withColumn("_same", F.when(x == F.lag(x).over(w), 0).otherwise(1))
-    out = out.withColumn("_since", F.max(F.when(F.col("_same") == 1, F.col("_i"))).over(upto))
-    n = F.least(F.col("_i"), F.lit(window)).cast("double")
-    s = F.col("_s") - F.coalesce(F.lag("_s", window).over(w), F.lit(0.0))
-    q = F.col("_q") - F.coalesce(F.lag("_q", window).over(w), F.lit(0.0))
-    var = F.when(F.col("_since") <= F.col("_i") - n + 1, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), q / n - (s / n) * (s / n)))
-    out = out.withColumn("roll_n", n.cast("long")).withColumn("roll_mean", x - F.col("_c") + s / n)
-    return out.withColumn("roll_std", F.when(n >= 2, F.sqrt(var))).drop("_c", "_i", "_s", "_q", "_same", "_since")
+    out = df.withColumn("_f", F.first(x, ignorenulls=True).over(upto)).withColumn("_c", x - F.col("_f")).withColumn("_k", F.count(x).over(upto))
+    out = out.withColumn("_s", F.coalesce(F.sum("_c").over(upto), zero)).withColumn("_q", F.coalesce(F.sum(F.col("_c") * F.col("_c")).over(upto), zero))
+    # a window of equal values has no variance, whatever its sums have rounded to: which value the run began with
+    former = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("_turn", F.when(x.isNotNull() & ~x.eqNullSafe(former), F.col("_k")))
+    out = out.withColumn("_since", F.max("_turn").over(upto))
+    gone = lambda c, none: F.col(c) - F.coalesce(F.lag(c, window).over(w), none)
+    out = out.withColumn("roll_n", gone("_k", F.lit(0)).cast("long")).withColumn("_ws", gone("_s", zero)).withColumn("_wq", gone("_q", zero))
+    n = F.when(F.col("roll_n") > 0, F.col("roll_n").cast("double"))
+    mean = F.col("_ws") / n
+    var = F.when(F.col("_since") <= F.col("_k") - n + 1, zero).otherwise(F.greatest(zero, F.col("_wq") / n - mean * mean))
+    out = out.withColumn("roll_mean", F.col("_f") + mean).withColumn("roll_std", F.when(n >= 2, F.sqrt(var)))
+    return out.drop("_f", "_c", "_k", "_s", "_q", "_turn", "_since", "_ws", "_wq")
 
 
 def in_blocks(df: DataFrame, measure: Callable[[DataFrame, tuple[str, ...]], DataFrame], window: int, length: int = LENGTH, span: int = SPAN, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
@@ -198,11 +204,15 @@ def sharpe(df: DataFrame, value: str, keys: tuple[str, ...] = KEY, order: str =
 
 def start_anchor(df: DataFrame, value: str, slope: float, limit: float, keys: tuple[str, ...] = KEY, order: str = "timestamp") -> DataFrame:
     """Adds fair (the first value plus slope times the time since) and halted: once the value is over
-    `limit` away from fair, the key stays halted."""
-    w = in_order(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    start, since = F.first(value).over(w), F.col(order) - F.first(order).over(w)
-    out = df.withColumn("fair", start + F.lit(slope) * since)
-    return out.withColumn("halted", F.max(F.abs(F.col(value) - F.col("fair")) > limit).over(w))
+    `limit` away from fair, the key stays halted. Keys are not null.
+
+    No row is sorted: a key's first row and the earliest time at which it strays are two aggregations.
+    """
+    start = F.struct(F.col(value).alias("v"), F.col(order).alias("t"))
+    first = df.groupBy(*keys).agg(F.min_by(start, F.col(order)).alias("_first"))
+    rows = df.join(first, list(keys)).withColumn("fair", F.col("_first.v") + F.lit(slope) * (F.col(order) - F.col("_first.t"))).drop("_first")
+    trips = rows.filter(F.abs(F.col(value) - F.col("fair")) > limit).groupBy(*keys).agg(F.min(order).alias("_trip"))
+    return rows.join(trips, list(keys), "left").withColumn("halted", F.coalesce(F.col(order) >= F.col("_trip"), F.lit(False))).drop("_trip")
 
 
 def family_totals(prices: DataFrame, family: str = "family") -> DataFrame:

@@ -210,9 +210,7 @@ def scanned_expiry(spark, sf):
 
 
 def scanned_expiry_by_strike(spark, sf):
-    q = fixtures.quotes(spark, sf)
-    grid = options.fine_grid(options.expiry_scores(q, options.COARSE))
-    return options.calibrated_expiry_by_strike(q, grid).select("strike", *r6("expiry", "dispersion"))
+    return options.scanned_by_strike(fixtures.quotes(spark, sf)).select("strike", *r6("expiry", "dispersion"))
 
 
 def iv_trend(spark, sf):
@@ -364,12 +362,19 @@ iv AS (SELECT {keys}, spot, strike, tte, price, (lo + hi) / 2.0 AS iv FROM bi WH
 
 IV = f"{QT}, {_bisect('qq', 'day, timestamp, event_id')}"
 VEGA = lambda vol: f"(spot * (exp(-{_d1(vol)} * {_d1(vol)} / 2.0) / sqrt(2.0 * pi())) * sqrt(tte))"
-EXP = f"""{QT}, ex AS (SELECT day, timestamp, spot, strike, price, x.e AS expiry, x.e - day - timestamp / 1000000.0 AS tte FROM qq, (SELECT unnest({EXPIRIES}) AS e) x), {_bisect('ex', 'day, timestamp, expiry')}"""
-_COARSE, _FINE = (_bisect(f"{k}x", "day, timestamp, expiry").replace("bi ", f"{k}bi ").replace("iv AS (SELECT", f"{k}iv AS (SELECT") for k in "cf")
+#: One solve a quote, by halvings: the least (lo, hi) and the greatest (lp, hp) total deviation of the price. At each expiry then a
+#: division, where the volatilities 1e-6 and 5 bracket the price.
+_W = lambda w: _call(w, "1.0")
+_ENDS = [f"CAST({x!r} AS DOUBLE)" for x in (pricing.LEAST_DEVIATION, pricing.MOST_DEVIATION)]
+SOLVED = f"""{QT}, di AS (SELECT day, timestamp, spot, strike, price, 0 AS k, {_ENDS[0]} AS lo, {_ENDS[1]} AS hi, {_ENDS[0]} AS lp, {_ENDS[1]} AS hp FROM qq WHERE {_W(_ENDS[0])} <= price AND {_W(_ENDS[1])} >= price
+ UNION ALL SELECT day, timestamp, spot, strike, price, k + 1, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END, CASE WHEN upto THEN mip ELSE lp END, CASE WHEN upto THEN hp ELSE mip END
+ FROM (SELECT *, {_W('mid')} < price AS below, {_W('mip')} <= price AS upto FROM (SELECT *, (lo + hi) / 2.0 AS mid, (lp + hp) / 2.0 AS mip FROM di WHERE k < {pricing.HALVINGS}) a) b),
+dv AS MATERIALIZED (SELECT day, timestamp, strike, (lo + hi) / 2.0 AS w, (lp + hp) / 2.0 AS wp FROM di WHERE k = {pricing.HALVINGS})"""
+_AT = "(SELECT day, strike, expiry, greatest(w / sqrt(tte), 0.000001) AS iv FROM (SELECT dv.*, x.e AS expiry, x.e - day - timestamp / 1000000.0 AS tte FROM dv, ({}) x) a WHERE tte > 0 AND 0.000001 * sqrt(tte) <= wp AND 5.0 * sqrt(tte) >= w)"
+EXP = f"{SOLVED}, iv AS {_AT.format(f'SELECT unnest({EXPIRIES}) AS e')}"
 _SCORES = "SELECT expiry, (max(m) - min(m)) / avg(m) AS d FROM (SELECT expiry, day, avg(iv) AS m FROM {}iv GROUP BY ALL) m GROUP BY expiry HAVING count(*) = (SELECT count(DISTINCT day) FROM qq)"
-_AT = "SELECT day, timestamp, spot, strike, price, x.e AS expiry, x.e - day - timestamp / 1000000.0 AS tte FROM qq, ({}) x WHERE x.e - day - timestamp / 1000000.0 > 0"
-SCAN = f"""{QT}, cx AS ({_AT.format(f"SELECT unnest({options.COARSE}) AS e")}), {_COARSE}, cs AS ({_SCORES.format("c")}), best AS (SELECT expiry AS b FROM cs ORDER BY round(d, 12), expiry LIMIT 1),
-fx AS ({_AT.format("SELECT b - CAST(0.75 AS DOUBLE) + CAST(0.05 AS DOUBLE) * i AS e FROM best, (SELECT unnest(range(0, 31)) AS i) r")}), {_FINE}, fs AS ({_SCORES.format("f")})"""
+SCAN = f"""{SOLVED}, civ AS {_AT.format(f"SELECT unnest({options.COARSE}) AS e")}, cs AS ({_SCORES.format("c")}), best AS (SELECT expiry AS b FROM cs ORDER BY round(d, 12), expiry LIMIT 1),
+fiv AS {_AT.format("SELECT b - CAST(0.75 AS DOUBLE) + CAST(0.05 AS DOUBLE) * i AS e FROM best, (SELECT unnest(range(0, 31)) AS i) r")}, fs AS ({_SCORES.format("f")})"""
 HELD = f"""{QT}, h AS (SELECT day, timestamp, CAST(strike AS INTEGER) AS strike, spot, tte, price, event_id, CAST((event_id + CAST(strike AS BIGINT) // 100) % 41 - 20 AS BIGINT) AS position, CASE WHEN NOT below_intrinsic THEN {_cdf(_d1('true_vol'))} END AS delta FROM qq),
 ne AS (SELECT day, timestamp, sum(position * coalesce(delta, 0)) AS exposure FROM h GROUP BY ALL)"""
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.operators import cross, flow, options, regime, series
+from tapeline.operators.scratch import shared_folder
 from tapeline.plans import fixtures, market_queries, ticks_queries
 from tapeline.plans.market_queries import IV, PN
 from tapeline.plans.ticks_queries import BUCK, FEAT, SCORE, TT, DRIFT, INFORMED, LIMIT, O, P, T, W, Z, r6
@@ -16,17 +16,13 @@ from tapeline.schema import PRICES, TRADES
 from tapeline.sources import logs, tape
 from tapeline.streaming import stateful
 
-LONG, SLOPE, GUARD, LOOKBACK, STRIDE = 200, 0.001, 60.0, 500, 20
+LONG, SLOPE, GUARD, LOOKBACK, STRIDE, WIDE, LATE = 200, 0.001, 60.0, 500, 20, 1000, 50
+LAGS_WIDE = list(range(-20, 21))
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or in local runs a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tape-')}"
-    return f"{base.rstrip('/')}/tape-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/tape-{uuid.uuid4().hex}"
 
 
 def _filled(df: DataFrame, schema) -> DataFrame:
@@ -100,16 +96,35 @@ def mid_series(spark, sf):
     return series.mid_series(_prices(spark, sf), "view")
 
 
+#: A tick far ahead, whose watermark closes all series, and the day that it is of.
+FAR = 1000
+
+
+def _arrives(rows: DataFrame, path: str, last: bool = True) -> None:
+    """Rows (day, timestamp, product, mid_price) as a file of a tape that streams read; the last one has a tick far ahead."""
+    end = rows.sparkSession.createDataFrame([(FAR, "end", 0, 1.0)] if last else [], "day int, product string, timestamp long, mid_price double")
+    _filled(rows.unionByName(end), PRICES).write.mode("append").parquet(path)
+
+
+def _drained(out: DataFrame, path: str):
+    """Runs a stream until its input is used up; its rows go to `path`/out, its state to `path`/state."""
+    query = out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").outputMode("append")
+    query = query.trigger(availableNow=True).start(f"{path}/out")
+    query.awaitTermination()
+    return query
+
+
+def _ticking(spark: SparkSession, path: str) -> DataFrame:
+    return stateful.with_event_time(tape.stream_prices(spark, path, 1000))
+
+
 def _streamed(spark: SparkSession, rows: DataFrame, make) -> DataFrame:
-    """An indicator over rows (day, timestamp, product, mid_price) that arrive as a stream of files; a last
-    row far ahead closes all series. What came out is read back from the stream's sink."""
+    """An indicator over rows (day, timestamp, product, mid_price) that arrive as a stream of files. What came out
+    is read back from the stream's sink."""
     path = folder(spark)
-    end = rows.sparkSession.createDataFrame([(1000, "end", 0, 1.0)], "day int, product string, timestamp long, mid_price double")
-    _filled(rows.unionByName(end), PRICES).write.parquet(f"{path}/in")
-    stream = stateful.with_event_time(tape.stream_prices(spark, f"{path}/in", 1000))
-    out = stateful.indicators(stream, "mid_price", make).writeStream.format("parquet").option("checkpointLocation", f"{path}/state")
-    out.outputMode("append").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
-    return spark.read.parquet(f"{path}/out").filter("day < 1000")
+    _arrives(rows, f"{path}/in")
+    _drained(stateful.indicators(_ticking(stateful.session(spark), f"{path}/in"), "mid_price", make), path)
+    return spark.read.parquet(f"{path}/out").filter(F.col("day") < FAR)
 
 
 def _ticks(spark, sf) -> DataFrame:
@@ -141,12 +156,81 @@ def stream_anchor(spark, sf):
 
 
 def stream_last_event(spark, sf):
-    """For each tick, the latest informed trade's direction and age within the lookback."""
+    """For each tick, the latest informed trade's direction and age within the lookback: a stream of ticks and one of
+    trades, each from its own files."""
+    path, own = folder(spark), stateful.session(spark)
     events = flow.informed_events(fixtures.trades(spark, sf), INFORMED).select("day", "product", "timestamp", F.col("way").cast("double").alias("mid_price"))
-    rows = events.unionByName(_ticks(spark, sf).withColumn("mid_price", F.lit(float("nan"))))
-    out = _streamed(spark, rows, lambda: stateful.LastEvent(LOOKBACK)).filter("value IS NULL OR isnan(value)")
+    _arrives(_ticks(spark, sf), f"{path}/ticks")
+    _arrives(events, f"{path}/trades")
+    trades = _ticking(own, f"{path}/trades").withColumnRenamed("mid_price", "way")
+    _drained(stateful.last_events(_ticking(own, f"{path}/ticks"), trades, "way", LOOKBACK), path)
     known = lambda c: F.when(~F.isnan(c), F.col(c).cast("long"))
-    return out.select("day", "product", "timestamp", known("way").alias("way"), known("age").alias("age"))
+    return spark.read.parquet(f"{path}/out").filter(F.col("day") < FAR).select("day", "product", "timestamp", known("way").alias("way"), known("age").alias("age"))
+
+
+def stream_rolling_wide(spark, sf):
+    """A window of 1000 ticks: a tick costs what it does for one of 20."""
+    out = _streamed(spark, _ticks(spark, sf), lambda: stateful.Rolling(WIDE))
+    return out.select("day", "product", "timestamp", F.col("n").cast("long").alias("n"), F.round(F.col("mean") * F.col("n"), 3).alias("total"))
+
+
+def stream_late_rows(spark, sf):
+    """Every 50th tick comes after the watermark has passed all days: it comes out flagged, once, and changes nothing."""
+    path, own = folder(spark), stateful.session(spark)
+    rows = series.clean_mids(fixtures.ticks(spark, sf)).withColumn("late", F.col("event_id") % LATE == 0)
+    ticks = lambda late: rows.filter(F.col("late") == late).select("day", "product", "timestamp", "mid_price")
+    for late in (False, True):
+        _arrives(ticks(late), f"{path}/in", not late)
+        _drained(stateful.indicators(_ticking(own, f"{path}/in"), "mid_price", lambda: stateful.Ema(10)), path)
+    out = spark.read.parquet(f"{path}/out").filter(F.col("day") < FAR)
+    return out.select("day", "product", "timestamp", "late", F.when(~F.isnan("ema"), F.round("ema", 6)).alias("ema"))
+
+
+def stream_day_end(spark, sf):
+    """Per day and product: ticks, the ema's first value (each day starts from nothing), and how many entries of the key's state
+    are left once the day is over."""
+    path, own = folder(spark), stateful.session(spark)
+    _arrives(_ticks(spark, sf), f"{path}/in")
+    make = lambda: stateful.Drift(DRIFT, LIMIT)
+    _drained(stateful.indicators(_ticking(own, f"{path}/in"), "mid_price", make), path)
+    state = own.read.format("statestore").option("path", f"{path}/state")
+    left = [state.option("stateVarName", name).load().select("key.day", "key.product") for name in ("scalars", "timer")]
+    left.append(state.option("stateVarName", "ring").load().select("key.day", "key.product"))
+    kept = left[0].unionByName(left[1]).unionByName(left[2]).filter(F.col("day") < FAR).groupBy("day", "product").agg(F.count("*").alias("entries"))
+    out = spark.read.parquet(f"{path}/out").filter(F.col("day") < FAR)
+    found = out.groupBy("day", "product").agg(F.count("*").alias("ticks"), F.min_by("value", "timestamp").alias("first"), F.sum("drifting").cast("long").alias("drifting"))
+    return found.join(kept, ["day", "product"], "left").select("day", "product", "ticks", *r6("first"), "drifting", F.coalesce("entries", F.lit(0)).alias("entries_left"))
+
+
+def option_quotes(spark, sf):
+    """Options of a tape, known by their names, with the spot of the same tick."""
+    t, q = _ticks(spark, sf), fixtures.quotes(spark, sf)
+    options_ = q.select("day", "timestamp", F.concat(F.lit("CALL_"), "strike").alias("product"), F.col("price").alias("mid_price"))
+    others = t.filter("product <> 'view'").select("day", "timestamp", F.concat("product", F.lit("_x")).alias("product"), "mid_price")
+    found = options.quotes(options_.unionByName(others), t.filter("product = 'view'"), "CALL")
+    return found.select("day", "timestamp", "strike", *r6("price", "spot"))
+
+
+def ranked_identities(spark, sf):
+    return cross.ranked_fits(cross.within_families(fixtures.panel(spark, sf))).select("family", "rank", "product", *r6("r2"))
+
+
+def _tick_panel(spark, sf) -> DataFrame:
+    return _ticks(spark, sf).withColumn("family", F.lit(1))
+
+
+def ranked_leads(spark, sf):
+    """Ordered pairs of products by their largest lagged correlation, over 41 lags of every tick."""
+    found = cross.lead_lag(cross.lag_sums(_tick_panel(spark, sf), LAGS_WIDE))
+    return cross.ranked_leads(found).select("family", "rank", "leader", "follower", "peak_lag", *r6("peak"))
+
+
+def pair_diagnostics_wide(spark, sf):
+    """Two products' spread with blocks of 200 ticks, 2000 replicates and a rolling deviation of 1000 ticks."""
+    t = _ticks(spark, sf)
+    costs = t.select("day", "product").distinct().withColumn("median_spread", F.lit(2.0))
+    out = cross.pair_diagnostics(t, "view", "click", WIDE, 200, 2000, ticks_queries.SEED, costs)
+    return out.select("day", *r6("phi", "trend_p", "rolling_std", "round_trip_cost", "amplitude_over_cost"), F.round("half_life", 4).alias("half_life"))
 
 
 def rolling_zscore_long(spark, sf):
@@ -183,7 +267,7 @@ def thin_scan(spark, sf):
 
 QUERIES = (
     price_tape_file, trade_tape_file, parquet_tape, activity_log, trade_history, result_table, mid_series, stream_rolling, stream_ema, stream_acf, stream_drift,
-    stream_anchor, stream_last_event, rolling_zscore_long, stride_sample, anchor_lag, family_ar1, iv_trend_mean, ranked_bots, thin_scan,
+    stream_anchor, stream_last_event, stream_rolling_wide, stream_late_rows, stream_day_end, option_quotes, ranked_identities, ranked_leads, pair_diagnostics_wide, rolling_zscore_long, stride_sample, anchor_lag, family_ar1, iv_trend_mean, ranked_bots, thin_scan,
 )
 
 # ------------------------------------------------------------------------------------------ SQL
@@ -191,6 +275,27 @@ QUERIES = (
 PT = f"""{T}, pt AS (SELECT day, timestamp, product, mid_price - 1 AS bid_price_1, CAST(1 + event_id % 9 AS DOUBLE) AS bid_volume_1, CAST(NULL AS DOUBLE) AS bid_price_2, mid_price + 2 AS ask_price_1,
  CASE WHEN event_id % 4 > 0 THEN CAST(event_id % 7 AS DOUBLE) END AS ask_volume_1, mid_price, (event_id % 11 - 5) / 2.0 AS profit_and_loss FROM ticks)"""
 _SAME = {"stream_ema": "ema", "stream_acf": "lag_acf", "stream_drift": "drift_monitor", "stream_rolling": "rolling_zscore", "stream_anchor": "start_anchor"}
+
+
+def _wide_leads() -> str:
+    """The lagged correlations of ticks in place of the panel's, at 41 lags."""
+    text = f"{market_queries.LL}{market_queries.PEAK}".replace(str(market_queries.LAGS), str(LAGS_WIDE))
+    return text.replace(PN, f"{T}, panel AS (SELECT day, timestamp, product, mid_price, 1 AS family FROM c)", 1).replace(", c AS (SELECT *, row_number()", ", cc AS (SELECT *, row_number()").replace("FROM c x,", "FROM cc x,").replace(", c y WHERE", ", cc y WHERE")
+
+
+def _wide_pair() -> str:
+    """pair_diagnostics of two products of the ticks, with wide windows."""
+    text = market_queries.SQL["pair_diagnostics"].replace(PN, f"{T}, panel AS (SELECT * FROM c)", 1)
+    for a, b in (
+        (f"range(0, {ticks_queries.REPS})", "range(0, 2000)"), ("x.product = 5 AND y.product = 6", "x.product = 'view' AND y.product = 'click'"), ("n / 3.0", "n / 200.0"), ("b * 3", "b * 200"), ("range(0, 3)", "range(0, 200)"),
+        (f"/ {ticks_queries.REPS + 1}.0", "/ 2001.0"), ("4 PRECEDING", f"{WIDE - 1} PRECEDING"), ("wn = 5", f"wn = {WIDE}"),
+        ("5.0 AS round_trip_cost", "4.0 AS round_trip_cost"), ("round(rs, 2)", "round(rs, 6)"), ("round(rs / 5.0, 2)", "round(rs / 4.0, 6)"),
+    ):
+        assert a in text, a
+        text = text.replace(a, b)
+    return text
+
+
 SQL = {name: ticks_queries.SQL[of] for name, of in _SAME.items()} | {
     "price_tape_file": f"{PT} SELECT {', '.join(PRICE_OUT)} FROM pt",
     "trade_tape_file": f"{TT} SELECT timestamp, buyer, seller, symbol, '' AS currency, price, quantity FROM trades",
@@ -214,4 +319,15 @@ SELECT count(*) AS series, round(avg(v) * 1e6, 4) AS per_million FROM s WHERE n
     "ranked_bots": f"{TT}{Z}{FEAT}{BUCK}{SCORE} SELECT horizon, CAST(row_number() OVER (PARTITION BY horizon ORDER BY score DESC, bot) AS INTEGER) AS rank, bot, round(score, 6) AS score FROM sc",
     "thin_scan": f"""SELECT scan, expiry, dispersion FROM (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY expiry) - 1 AS i, first_value(expiry) OVER (PARTITION BY scan ORDER BY dispersion NULLS LAST, expiry) AS best
  FROM ({market_queries.SQL["expiry_scan"]}) s) x WHERE i % 5 = 0 OR expiry = best""",
+    "stream_rolling_wide": f"{T} SELECT day, product, timestamp, count(*) OVER w AS n, round(sum(mid_price) OVER w, 3) AS total FROM c WINDOW w AS ({P} {O} ROWS BETWEEN {WIDE - 1} PRECEDING AND CURRENT ROW)",
+    "stream_late_rows": f"""{T}, i AS (SELECT *, row_number() OVER ({P} {O}) AS k FROM c WHERE event_id % {LATE} <> 0), m AS (SELECT day, product, k, timestamp, mid_price AS ema FROM i WHERE k = 1
+UNION ALL SELECT i.day, i.product, i.k, i.timestamp, 2.0 / 11 * i.mid_price + (1 - 2.0 / 11) * m.ema FROM m JOIN i ON i.day = m.day AND i.product = m.product AND i.k = m.k + 1)
+SELECT day, product, timestamp, false AS late, round(ema, 6) AS ema FROM m UNION ALL SELECT day, product, timestamp, true, NULL FROM c WHERE event_id % {LATE} = 0""",
+    "stream_day_end": f"""SELECT c.day, c.product, count(*) AS ticks, round(arg_min(mid_price, c.timestamp), 6) AS first, CAST(sum(CAST(drifting AS INT)) AS BIGINT) AS drifting, 0 AS entries_left
+FROM ({ticks_queries.SQL["drift_monitor"]}) d JOIN ({T} SELECT day, product, timestamp, mid_price FROM c) c ON c.day = d.day AND c.product = d.product AND c.timestamp = d.timestamp GROUP BY c.day, c.product""",
+    "option_quotes": f"{market_queries.QT} SELECT day, timestamp, CAST(strike AS INTEGER) AS strike, round(price, 6) AS price, round(spot, 6) AS spot FROM qq",
+    "ranked_identities": f"""{market_queries.OTH}, a AS (SELECT family, product, {market_queries.REG.format(x="others")} AS r2 FROM o GROUP BY ALL)
+SELECT family, CAST(row_number() OVER (PARTITION BY family ORDER BY round(r2, 9) DESC, product) AS INTEGER) AS rank, product, round(r2, 6) AS r2 FROM a""",
+    "ranked_leads": f"""{_wide_leads()} SELECT family, CAST(row_number() OVER (PARTITION BY family ORDER BY round(abs(peak), 9) DESC, leader, follower) AS INTEGER) AS rank, leader, follower, peak_lag, round(peak, 6) AS peak FROM pk""",
+    "pair_diagnostics_wide": _wide_pair(),
 }

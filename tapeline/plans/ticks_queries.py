@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.operators import attribution, bootstrap, flow, jumps, regime, series
+from tapeline.operators.bootstrap import POISSON
 from tapeline.plans import fixtures
 from tapeline.plans.fixtures import TICKS, TRADES
 
@@ -239,6 +240,8 @@ px AS (SELECT *, sum(n) OVER w - n AS on_, sum(total) OVER w - total AS ot FROM
 sc AS (SELECT horizon, bot, sum(n) AS n, sum(total - n * CASE WHEN on_ > 0 THEN ot / on_ ELSE 0 END) / sum(n) AS score FROM px GROUP BY ALL)"""
 DAYS = f""", dn AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS nd FROM (SELECT DISTINCT day FROM {{src}}) q),
 dr AS (SELECT r, d.day FROM (SELECT r, s, nd, {_draw('nd')} AS k FROM (SELECT unnest(range(0, {REPS})) AS r) a, (SELECT k AS s, nd FROM dn) b) x JOIN dn d ON d.k = x.k)"""
+HORIZON_DAYS = f""", dn AS (SELECT horizon, day, row_number() OVER (PARTITION BY horizon ORDER BY day) - 1 AS k, count(*) OVER (PARTITION BY horizon) AS nd FROM (SELECT DISTINCT horizon, day FROM ls) q),
+dr AS (SELECT x.horizon, r, d.day FROM (SELECT horizon, r, s, nd, {_draw('nd')} AS k FROM (SELECT unnest(range(0, {REPS})) AS r) a, (SELECT horizon, k AS s, nd FROM dn) b) x JOIN dn d ON d.k = x.k AND d.horizon = x.horizon)"""
 P_OF = f"""CASE WHEN sum(CASE WHEN (est >= 0 AND v <= 0) OR (est < 0 AND v >= 0) THEN 1 ELSE 0 END) = 0 THEN 1.0 / {REPS + 1} ELSE sum(CASE WHEN (est >= 0 AND v <= 0) OR (est < 0 AND v >= 0) THEN 1 ELSE 0 END) / {REPS}.0 END"""
 FLOORED = "sum(CASE WHEN (est >= 0 AND v <= 0) OR (est < 0 AND v >= 0) THEN 1 ELSE 0 END) = 0"
 J = f""", d0 AS (SELECT *, mid_price - lag(mid_price) OVER ({P} {O}) AS change FROM c), d1 AS (SELECT * FROM d0 WHERE change IS NOT NULL),
@@ -289,8 +292,8 @@ SELECT day, product, timestamp, round(fair, 6) AS fair, bool_or(abs(mid_price -
     "trade_features": f"{TT}{Z}{FEAT} SELECT day, timestamp, product, bot, direction, horizon, round(abs_z, 6) AS abs_z, round(favourable, 6) AS favourable FROM f",
     "flow_buckets": f"{TT}{Z}{FEAT}{BUCK} SELECT day, horizon, bucket, bot, n, round(total, 6) AS total FROM ls",
     "flow_scores": f"{TT}{Z}{FEAT}{BUCK}{SCORE} SELECT horizon, bot, CAST(n AS BIGINT) AS n, round(score, 6) AS score FROM sc",
-    "flow_boot_day": f"""{TT}{Z}{FEAT}{BUCK}{SCORE}{DAYS.format(src="ls")},
-ag AS (SELECT r, horizon, bucket, bot, sum(n) AS n, sum(total) AS total FROM dr JOIN ls ON ls.day = dr.day GROUP BY ALL),
+    "flow_boot_day": f"""{TT}{Z}{FEAT}{BUCK}{SCORE}{HORIZON_DAYS},
+ag AS (SELECT r, ls.horizon, bucket, bot, sum(n) AS n, sum(total) AS total FROM dr JOIN ls ON ls.day = dr.day AND ls.horizon = dr.horizon GROUP BY ALL),
 ax AS (SELECT *, sum(n) OVER w - n AS on_, sum(total) OVER w - total AS ot FROM ag WINDOW w AS (PARTITION BY r, horizon, bucket)),
 av AS (SELECT r, horizon, bot, sum(total - n * CASE WHEN on_ > 0 THEN ot / on_ ELSE 0 END) / sum(n) AS v FROM ax GROUP BY ALL),
 al AS (SELECT sc.horizon, sc.bot, sc.n, sc.score AS est, coalesce(v, 0) AS v FROM sc CROSS JOIN (SELECT unnest(range(0, {REPS})) AS r) q LEFT JOIN av ON av.r = q.r AND av.horizon = sc.horizon AND av.bot = sc.bot),
@@ -298,8 +301,10 @@ ci AS (SELECT horizon, bot, n, est, quantile_cont(v, 0.025) AS lo, quantile_cont
 SELECT horizon, bot, CAST(n AS BIGINT) AS n, round(est, 6) AS score, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(p, 6) AS p, floored,
  CASE WHEN lo > 0 THEN 'positive' WHEN hi < 0 THEN 'negative' ELSE 'not significant' END AS verdict, lo > 0 AND min(est) OVER (PARTITION BY bot) > 0 AS informed FROM ci""",
     "flow_boot_trade": f"""{TT}{Z}{FEAT}{BUCK}, bs AS (SELECT bucket, sum(CASE WHEN bot <> 'U1' THEN total END) / sum(CASE WHEN bot <> 'U1' THEN n END) AS base FROM ls WHERE horizon = 5 GROUP BY bucket),
-ow AS (SELECT row_number() OVER (ORDER BY day, product, timestamp, direction) - 1 AS k, favourable - coalesce(base, 0) AS x, count(*) OVER () AS n FROM fb JOIN bs USING (bucket) WHERE bot = 'U1' AND horizon = 5),
-mm AS (SELECT r, avg(o2.x) AS v FROM ow, (SELECT unnest(range(0, {REPS})) AS r) q, ow o2 WHERE o2.k = {_draw('ow.n', 'r', 'ow.k')} GROUP BY r)
+ow AS (SELECT concat_ws(':', CAST(day AS VARCHAR), product, CAST(timestamp AS VARCHAR), CAST(direction AS VARCHAR), CAST(row_number() OVER (PARTITION BY day, product, timestamp, direction ORDER BY favourable) AS VARCHAR)) AS leg,
+ favourable - coalesce(base, 0) AS x FROM fb JOIN bs USING (bucket) WHERE bot = 'U1' AND horizon = 5),
+wt AS (SELECT r, x, len(list_filter({POISSON}, lambda p: p <= ('0x' || substr(md5('{SEED}:' || leg || ':' || (r // 4)), 1 + 8 * (r % 4), 8))::BIGINT / 4294967296.0)) AS w FROM ow, (SELECT unnest(range(0, {REPS})) AS r) q),
+mm AS (SELECT r, CASE WHEN sum(w) > 0 THEN sum(w * x) / sum(w) END AS v FROM wt GROUP BY r)
 SELECT 5 AS horizon, 'U1' AS bot, (SELECT count(*) FROM ow) AS n, round((SELECT avg(x) FROM ow), 6) AS score, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high FROM mm""",
     "directional_split": f"""{TT}{Z}{FEAT} SELECT horizon, bot, count(*) AS n, round(avg(CASE WHEN favourable > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_right, round(avg(CASE WHEN favourable > 0 THEN favourable END), 6) AS mean_right,
  round(avg(CASE WHEN favourable <= 0 THEN favourable END), 6) AS mean_wrong, round(avg(favourable), 6) AS mean_all FROM f GROUP BY horizon, bot""",

@@ -17,8 +17,7 @@ def _delimited(spark: SparkSession, path, schema: T.StructType, delimiter: str)
     """All columns as strings. Wrong headers and rows of a wrong length raise: the header is checked
     against the schema, and no column is pruned from the parser."""
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    reader = spark.read.schema(text).option("sep", delimiter).option("header", True).option("enforceSchema", False)
+    reader = spark.read.schema(text).option("sep", delimiter).option("header", True).option("enforceSchema", False).option("columnPruning", False)
     df = reader.option("mode", "FAILFAST").csv(path)
     if df.isEmpty():
         raise TapeError(f"no rows in {path}")

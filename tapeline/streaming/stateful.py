@@ -1,13 +1,18 @@
 """Keyed stateful indicators over tick streams.
 
-Ordering contract: rows of a key are taken in the order of their event time. They wait in the key's
-state until the watermark has passed them, so a file or partition out of order changes nothing; rows
-at or before the last one processed are late, are dropped, and are counted in the `late` column of the
-key's next output. The day is part of the key: a new day starts from nothing, and a key's state is
-removed once the watermark is `keep` beyond its last row.
-
-An indicator is a small object with update(value) -> list of numbers (None for undefined) and a flat
-list of numbers as its state.
+Ordering contract: rows of a key are taken in the order of their event time. They wait in the key's state until
+the watermark has passed them, so a file or partition out of order changes nothing. Rows that come when the watermark has
+passed them already are late: they change no indicator, and come out at once with `late` set, each of
+them. (Spark itself drops late rows before a stateful operator sees them, if their event time is a watermark's own column;
+here it is handed on as a number, so that none is lost.) The day is part of the key: a new day starts from
+nothing, and a timer clears a key's state once the watermark is `keep_ms` beyond its last row.
+
+State is kept by transformWithStateInPandas in RocksDB (see session). An indicator's window is a ring of chunks in a map
+state, of which a batch reads and writes those that its rows touch; its sums are compensated and updated by the row
+that comes and the row that goes, so a tick costs the same for any window.
+
+An indicator is a small object with update(value, time, ring) -> list of numbers (None for undefined), a flat list of
+numbers as its scalars (dump, load), and reach: how many rows back it reads its ring.
 """
 
 from __future__ import annotations
@@ -17,13 +22,79 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tapeline.functions.stats import RESIDUE
 
 #: Event time of a tick: days are far apart, so that a day's end is known once the next has begun. Day 0
 #: begins long after the epoch, at which watermarks start: days may be negative.
 DAY_MS, START_MS = 10_000_000, 1_000_000_000_000
+#: Rows of a chunk of a ring.
+CHUNK = 64
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def session(spark: SparkSession) -> SparkSession:
+    """A session for streams with these indicators: as spark, with state in RocksDB; spark's own settings stay."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        if (value := spark.conf.get(name, None)) is not None:
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return own
+
+
+# ---------------------------------------------------------------- state of one key
+
+
+class Total:
+    """A sum from which terms may be taken again: what rounding loses is kept and added at the end."""
+
+    def __init__(self, high: float = 0.0, low: float = 0.0):
+        self.high, self.low = high, low
+
+    def add(self, x: float) -> None:
+        now = self.high + x
+        self.low += (self.high - now) + x if abs(self.high) >= abs(x) else (x - now) + self.high
+        self.high = now
+
+    @property
+    def value(self) -> float:
+        return self.high + self.low
+
+
+class Ring:
+    """Values of the last rows of a key by their number, in chunks of a map state."""
+
+    def __init__(self, store: Any):
+        self.store, self.chunks, self.changed = store, {}, set()
+
+    def _chunk(self, k: int) -> list[float]:
+        if k not in self.chunks:
+            found = self.store.getValue((k,))
+            self.chunks[k] = [] if found is None else list(found[0])
+        return self.chunks[k]
+
+    def __getitem__(self, i: int) -> float:
+        return self._chunk(i // CHUNK)[i % CHUNK]
+
+    def append(self, i: int, x: float, reach: int) -> None:
+        """Row i; rows before i - reach are not read again."""
+        self._chunk(i // CHUNK).append(x)
+        self.changed.add(i // CHUNK)
+        gone = (i - reach) // CHUNK - 1
+        if i % CHUNK == 0 and gone >= 0:
+            self.chunks.pop(gone, None)
+            self.changed.discard(gone)
+            self.store.removeKey((gone,))
+
+    def flush(self) -> None:
+        for k in sorted(self.changed):
+            self.store.updateValue((k,), (self.chunks[k],))
+        self.chunks, self.changed = {}, set()
 
 
 class Rolling:
@@ -32,29 +103,44 @@ class Rolling:
     names = ("n", "mean", "std", "z")
 
     def __init__(self, window: int):
-        self.window, self.values = window, []
-
-    def update(self, x: float) -> list:
-        self.values = [*self.values, x][-self.window :]
-        n = len(self.values)
-        mean = math.fsum(self.values) / n
-        std = math.sqrt(math.fsum((v - mean) ** 2 for v in self.values) / n) if n >= 2 else None
+        self.window = self.reach = window
+        self.load([0.0] * 8)
+
+    def update(self, x: float, time: int, ring: Ring) -> list:
+        if not self.rows:
+            self.centre = x
+        self.equal = self.equal + 1 if self.rows and x == self.last else 1
+        self.first.add(x - self.centre)
+        self.second.add((x - self.centre) ** 2)
+        if self.rows >= self.window:
+            old = ring[self.rows - self.window] - self.centre
+            self.first.add(-old)
+            self.second.add(-old * old)
+        ring.append(self.rows, x, self.reach)
+        self.rows, self.last = self.rows + 1, x
+        n = min(self.rows, self.window)
+        mean = self.first.value / n
+        # a window of equal values has no variance, whatever its sums have rounded to
+        variance = 0.0 if self.equal >= n else max(0.0, self.second.value / n - mean * mean)
+        std = math.sqrt(variance) if n >= 2 else None
+        mean += self.centre
         return [float(n), mean, std, (x - mean) / std if n == self.window and std else None]
 
     def dump(self) -> list[float]:
-        return self.values
+        return [float(self.rows), self.centre, float(self.equal), self.last, self.first.high, self.first.low, self.second.high, self.second.low]
 
     def load(self, state: list[float]) -> None:
-        self.values = list(state)
+        self.rows, self.centre, self.equal, self.last = int(state[0]), state[1], int(state[2]), state[3]
+        self.first, self.second = Total(*state[4:6]), Total(*state[6:8])
 
 
 class Ema:
-    names = ("ema",)
+    names, reach = ("ema",), 0
 
     def __init__(self, span: float):
         self.alpha, self.value = 2 / (span + 1), None
 
-    def update(self, x: float) -> list:
+    def update(self, x: float, time: int, ring: Ring) -> list:
         self.value = x if self.value is None else self.alpha * x + (1 - self.alpha) * self.value
         return [self.value]
 
@@ -71,22 +157,38 @@ class LagAcf:
     names = ("acf",)
 
     def __init__(self, window: int, lag: int):
-        self.window, self.lag, self.values = window, lag, []
-
-    def update(self, x: float) -> list:
-        self.values = [*self.values, x][-(self.window + self.lag) :]
-        a, b = self.values[self.lag :], self.values[: -self.lag]
-        if len(a) < 2:
+        self.window, self.lag, self.reach = window, lag, window + lag
+        self.load([0.0] * 12)
+
+    def _pair(self, a: float, b: float, sign: float) -> None:
+        a, b = a - self.centre, b - self.centre
+        for total, term in zip(self.totals, (a, b, a * a, b * b, a * b)):
+            total.add(sign * term)
+
+    def update(self, x: float, time: int, ring: Ring) -> list:
+        i = self.rows
+        if not i:
+            self.centre = x
+        ring.append(i, x, self.reach)
+        if i >= self.lag:
+            self._pair(x, ring[i - self.lag], 1.0)
+        if i - self.lag >= self.window:
+            self._pair(ring[i - self.window], ring[i - self.lag - self.window], -1.0)
+        self.rows = i + 1
+        n = max(0, min(self.rows - self.lag, self.window))
+        if n < 2:
             return [None]
-        ma, mb = math.fsum(a) / len(a), math.fsum(b) / len(b)
-        va, vb = math.fsum((v - ma) ** 2 for v in a), math.fsum((v - mb) ** 2 for v in b)
-        return [math.fsum((p - ma) * (q - mb) for p, q in zip(a, b)) / math.sqrt(va * vb) if va > 0 and vb > 0 else None]
+        sa, sb, saa, sbb, sab = (t.value for t in self.totals)
+        va, vb = n * saa - sa * sa, n * sbb - sb * sb
+        flat = va <= RESIDUE * n * saa or vb <= RESIDUE * n * sbb
+        return [None if flat else max(-1.0, min(1.0, (n * sab - sa * sb) / (math.sqrt(va) * math.sqrt(vb))))]
 
     def dump(self) -> list[float]:
-        return self.values
+        return [float(self.rows), self.centre, *(x for t in self.totals for x in (t.high, t.low))]
 
     def load(self, state: list[float]) -> None:
-        self.values = list(state)
+        self.rows, self.centre = int(state[0]), state[1]
+        self.totals = [Total(*state[k : k + 2]) for k in range(2, 12, 2)]
 
 
 class Drift:
@@ -95,34 +197,41 @@ class Drift:
     names = ("drifting",)
 
     def __init__(self, window: int, threshold: float):
-        self.window, self.threshold, self.values, self.reference = window, threshold, [], None
-
-    def update(self, x: float) -> list:
-        self.values = [*self.values, x][-self.window :]
-        if len(self.values) < self.window:
+        self.window = self.reach = window
+        self.threshold = threshold
+        self.load([0.0, 0.0, 0.0, 0.0, math.nan])
+
+    def update(self, x: float, time: int, ring: Ring) -> list:
+        if not self.rows:
+            self.centre = x
+        self.total.add(x - self.centre)
+        if self.rows >= self.window:
+            self.total.add(self.centre - ring[self.rows - self.window])
+        ring.append(self.rows, x, self.reach)
+        self.rows += 1
+        if self.rows < self.window:
             return [0.0]
-        mean = math.fsum(self.values) / self.window
-        self.reference = mean if self.reference is None else self.reference
+        mean = self.total.value / self.window
+        self.reference = mean if math.isnan(self.reference) else self.reference
         return [float(abs(mean - self.reference) > self.threshold)]
 
     def dump(self) -> list[float]:
-        return [math.nan if self.reference is None else self.reference, *self.values]
+        return [float(self.rows), self.centre, self.total.high, self.total.low, self.reference]
 
     def load(self, state: list[float]) -> None:
-        self.reference = None if math.isnan(state[0]) else state[0]
-        self.values = list(state[1:])
+        self.rows, self.centre, self.total, self.reference = int(state[0]), state[1], Total(*state[2:4]), state[4]
 
 
 class Guard:
     """fair (the first value plus `slope` times the time since), and halted (0 or 1): once a value was
     over `limit` away from fair, the key stays halted."""
 
-    names, timed = ("fair", "halted"), True
+    names, reach = ("fair", "halted"), 0
 
     def __init__(self, limit: float, slope: float = 0.0):
         self.limit, self.slope, self.start, self.since, self.tripped = limit, slope, None, 0, False
 
-    def update(self, x: float, time: int = 0) -> list:
+    def update(self, x: float, time: int, ring: Ring) -> list:
         if self.start is None:
             self.start, self.since = x, time
         fair = self.start + self.slope * (time - self.since)
@@ -138,17 +247,17 @@ class Guard:
 
 
 class LastEvent:
-    """way and age of the latest event: events are rows with a value, ticks those with NaN; an event
-    more than `lookback` before is none. Events at a tick's own time come first."""
+    """way and age of the latest event at or before a tick: one more than `lookback` before is none."""
 
-    names, timed = ("way", "age"), True
+    names, reach = ("way", "age"), 0
 
     def __init__(self, lookback: int):
         self.lookback, self.at, self.way = lookback, None, None
 
-    def update(self, x: float, time: int = 0) -> list:
-        if not math.isnan(x):
-            self.at, self.way = time, x
+    def event(self, way: float, time: int) -> None:
+        self.at, self.way = time, way
+
+    def update(self, x: float, time: int, ring: Ring) -> list:
         fresh = self.at is not None and time - self.at <= self.lookback
         return [self.way, float(time - self.at)] if fresh else [None, None]
 
@@ -160,51 +269,121 @@ class LastEvent:
             self.at, self.way = int(state[0]), state[1]
 
 
+# ---------------------------------------------------------------- the operator
+
+
+class Ordered(StatefulProcessor):
+    """Feeds a key's rows to an indicator in the order of their event time, as the watermark passes them.
+
+    States: waiting (rows beyond the watermark), scalars and ring (the indicator's), timer (when it is asked next).
+    Rows have a side: 0 for events, which stand before ticks (1) of the same time and give no output.
+    """
+
+    def __init__(self, make: Callable[[], Any], keep_ms: int):
+        self.make, self.keep_ms = make, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms bigint, side int, stamp bigint, value double")
+        self.scalars = handle.getValueState("scalars", "v array<double>, last bigint")
+        self.ring = handle.getMapState("ring", "chunk bigint", "v array<double>")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _ask(self, at: int) -> None:
+        """One timer a key: the earliest time that something is due."""
+        found = self.timer.get()
+        if found is not None:
+            if found[0] <= at:
+                return
+            self.handle.deleteTimer(found[0])
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        names = self.make().names
+        frame = pd.DataFrame([(int(key[0]), key[1], *r) for r in rows], columns=["day", "product", "timestamp", "value", *names, "late"])
+        return frame.astype({n: "float64" for n in ("value", *names)})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        mark, missing = timerValues.getCurrentWatermarkInMs(), [None] * len(self.make().names)
+        fresh, late = [], []
+        for frame in rows:
+            for ms, side, stamp, value in zip(*(frame[c].tolist() for c in ("ms", "side", "timestamp", "value"))):
+                if ms > mark:
+                    fresh.append((ms, side, stamp, value))
+                else:
+                    late.append((stamp, value, *missing, True))
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._ask(min(r[0] for r in fresh))
+        if late:
+            yield self._frame(key, sorted(late))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        waiting = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:3])
+        ready = [r for r in waiting if r[0] <= mark]
+        found = self.scalars.get()
+        last = found[1] if found is not None else 0
+        if ready:
+            tool, ring, out = self.make(), Ring(self.ring), []
+            if found is not None:
+                tool.load(list(found[0]))
+            for last, side, stamp, value in ready:
+                if side:
+                    out.append((stamp, value, *tool.update(value, stamp, ring), False))
+                else:
+                    tool.event(value, stamp)
+            ring.flush()
+            self.scalars.update(([float(x) for x in tool.dump()], last))
+            if out:
+                yield self._frame(key, out)
+        left = waiting[len(ready) :]
+        if left:
+            self.waiting.put(left)
+            self._ask(left[0][0])
+        elif mark >= last + self.keep_ms:
+            for state in (self.waiting, self.scalars, self.ring):
+                state.clear()
+        else:
+            self.waiting.clear()
+            self._ask(last + self.keep_ms)
+
+    def close(self) -> None:
+        pass
+
+
 def with_event_time(df: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Adds event_time and its watermark; timestamps of a day become milliseconds of it."""
     return df.withColumn("event_time", F.timestamp_millis(F.lit(START_MS) + F.col("day").cast("long") * DAY_MS + F.col("timestamp"))).withWatermark("event_time", delay)
 
 
+def _rows(df: DataFrame, value: str, side: int) -> DataFrame:
+    return df.select(
+        "day", F.col("product").cast("string").alias("product"), "timestamp", F.col(value).cast("double").alias("value"),
+        F.unix_millis("event_time").alias("ms"), F.lit(side).alias("side"),
+    )
+
+
+def _run(rows: DataFrame, make: Callable[[], Any], keep_ms: int) -> DataFrame:
+    outputs = "day int, product string, timestamp long, value double, " + ", ".join(f"`{n}` double" for n in make().names) + ", late boolean"
+    return rows.groupBy("day", "product").transformWithStateInPandas(Ordered(make, keep_ms), outputs, "append", "EventTime")
+
+
 def indicators(df: DataFrame, value: str, make: Callable[[], Any], keep_ms: int = DAY_MS) -> DataFrame:
-    """day, product, timestamp, value, the indicator's columns, late. df: from with_event_time."""
-    first = make()
-    timed = getattr(first, "timed", False)
-    names = first.names
-    outputs = "day int, product string, timestamp long, value double, " + ", ".join(f"`{n}` double" for n in names) + ", late long"
-    states = "done long, late long, times array<bigint>, stamps array<bigint>, values array<double>, state array<double>"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, late, times, stamps, values, flat = state.get if state.exists else (-(1 << 62), 0, [], [], [], None)
-        waiting = list(zip(times, stamps, values))
-        tool = make()
-        if flat is not None:
-            tool.load(flat)
-        for frame in frames:
-            ms = frame["ms"].tolist()
-            for t, s, v in zip(ms, frame["timestamp"].tolist(), frame["value"].tolist()):
-                if t <= done:
-                    late += 1
-                else:
-                    waiting.append((t, s, v))
-        mark = state.getCurrentWatermarkMs()
-        # at one time events (with a value) stand before ticks
-        waiting.sort(key=lambda r: (r[0], math.isnan(r[2])))
-        out = []
-        ready = [r for r in waiting if r[0] <= mark]
-        for t, s, v in ready:
-            got = tool.update(v, s) if timed else tool.update(v)
-            out.append((int(key[0]), key[1], s, v, *got, late))
-            done, late = t, 0
-        waiting = waiting[len(ready) :]
-        if state.hasTimedOut and not waiting and mark > done + keep_ms:
-            state.remove()
-        else:
-            rows = list(zip(*waiting)) if waiting else ([], [], [])
-            state.update((done, late, list(rows[0]), list(rows[1]), list(rows[2]), list(map(float, tool.dump()))))
-            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] if waiting else done + keep_ms))
-        columns = ["day", "product", "timestamp", "value", *names, "late"]
-        frame = pd.DataFrame(out, columns=columns)
-        yield frame.astype({n: "float64" for n in (*names, "value")})
-
-    rows = df.select("day", F.col("product").cast("string").alias("product"), "timestamp", F.col(value).cast("double").alias("value"), F.unix_millis("event_time").alias("ms"), "event_time")
-    return rows.groupBy("day", "product").applyInPandasWithState(step, outputs, states, "append", GroupStateTimeout.EventTimeTimeout)
+    """day, product, timestamp, value, the indicator's columns, late. df: from with_event_time, in a session().
+
+    value has no nulls. Late rows come out with nulls for the indicator; every other row comes once, with its.
+    """
+    return _run(_rows(df, value, 1), make, keep_ms)
+
+
+def last_events(ticks: DataFrame, events: DataFrame, way: str, lookback: int, keep_ms: int = DAY_MS) -> DataFrame:
+    """ticks with way and age of the key's latest event within the lookback: two streams, both from with_event_time.
+
+    ticks: day, product, timestamp; events: these and way, a number. Events of a tick's own time count. Late rows of
+    either come out with late set; late events have their way as value, late ticks none.
+    """
+    ticks = ticks.withColumn("_none", F.lit(None).cast("double"))
+    return _run(_rows(ticks, "_none", 1).unionByName(_rows(events, way, 0)), lambda: LastEvent(lookback), keep_ms)

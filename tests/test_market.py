@@ -302,30 +302,106 @@ def test_stream_equals_batch(spark, tmp_path, make, batch):
     for i, part in enumerate(parts):
         part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
         time.sleep(0.01)
-    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    own = stateful.session(spark)
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    stream = own.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     out = stateful.indicators(stateful.with_event_time(stream, "5 seconds"), "mid_price", make)
-    name = f"s{abs(hash(str(tmp_path)))}"
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
-    q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
     q.awaitTermination(300)
-    spark.conf.set("spark.sql.shuffle.partitions", before)
-    last = make().names[-1]
-    got = {(r.day, r.product, r.timestamp): r[last] for r in spark.table(name).filter("day < 9").collect()}
+    last, came = make().names[-1], spark.read.parquet(str(tmp_path / "out"))
+    rows = came.filter("day < 9").collect()
+    got = {(r.day, r.product, r.timestamp): r[last] for r in rows}
     want = {(r.day, r.product, r.timestamp): r.x for r in batch(whole).collect()}
-    assert got.keys() == want.keys()
+    assert got.keys() == want.keys() and len(rows) == len(got)
     for k, x in want.items():
         y = None if got[k] is None or math.isnan(got[k]) else got[k]
         assert (x is None and y is None) or math.isclose(x, y, abs_tol=1e-6), k
-    assert spark.table(name).agg(F.sum("late")).first()[0] == 0
+    assert came.filter("late").count() == 0
+
+
+class Store(dict):
+    """A map state in memory that counts what is read and written."""
+
+    moved = 0
+
+    def getValue(self, key):
+        self.moved += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.moved += 1
+        self[key] = (list(value[0]),)
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+
+@pytest.mark.parametrize("make", [lambda: stateful.Rolling(1000), lambda: stateful.LagAcf(900, 70), lambda: stateful.Drift(1000, 3.0)])
+def test_state_of_a_long_window(make):
+    """Over batches of 40 ticks: what a window of 1000 gives, at the state of a few chunks a batch."""
+    v, store, tool, out = [1e6 + x for x in walk(3000, 9)], Store(), make(), []
+    for low in range(0, len(v), 40):
+        again, ring, before = make(), stateful.Ring(store), store.moved
+        again.load(tool.dump())
+        out += [again.update(x, 0, ring) for x in v[low : low + 40]]
+        ring.flush()
+        tool = again
+        assert store.moved - before <= 10
+    assert len(store) <= 1000 // stateful.CHUNK + 4
+    for i in (5, 998, 999, 1500, 2999):
+        w = v[max(0, i - 999) : i + 1]
+        if isinstance(tool, stateful.Rolling):
+            n, mean, std, z = out[i]
+            assert n == len(w) and mean == pytest.approx(statistics.fmean(w), abs=1e-6) and std == pytest.approx(statistics.pstdev(w), rel=1e-9)
+            assert (z is None) == (i < 999) and (z is None or z == pytest.approx((v[i] - statistics.fmean(w)) / statistics.pstdev(w), abs=1e-6))
+        elif isinstance(tool, stateful.LagAcf):
+            pairs = [(v[k], v[k - 70]) for k in range(max(70, i - 899), i + 1)]
+            assert out[i][0] is None if len(pairs) < 2 else out[i][0] == pytest.approx(statistics.correlation(*zip(*pairs)), abs=1e-7)
+        else:
+            first = statistics.fmean(v[:1000])
+            assert out[i] == [float(i >= 999 and abs(statistics.fmean(w) - first) > 3.0)]
+
+
+def test_equal_values_have_no_variance_in_a_stream():
+    tool, ring = stateful.Rolling(4), stateful.Ring(Store())
+    out = [tool.update(x, 0, ring) for x in (0.1, 1e9, 0.3, 0.3, 0.3, 0.3, 0.3)]
+    assert out[-1] == [4.0, pytest.approx(0.3), 0.0, None] and out[-2][2] == 0.0
+
+
+def test_late_rows_come_out_flagged_and_a_day_ends(spark, tmp_path):
+    """Rows behind the watermark, of open and of ended days, are flagged one by one; no state of an ended day is left."""
+    own = stateful.session(spark)
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    schema = "day int, product string, timestamp long, mid_price double"
+    batches = [
+        [(0, "A", 100 * i, float(i)) for i in range(5)] + [(1, "A", 0, 7.0)],
+        [(0, "A", 150, 90.0), (0, "A", 150, 91.0), (0, "B", 100, 92.0), (1, "A", 100, 9.0)],
+        [(3, "A", 0, 1.0)],
+        [(1, "A", 50, 93.0), (3, "A", 100, 2.0)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = own.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = stateful.indicators(stateful.with_event_time(stream, "1 seconds"), "mid_price", lambda: stateful.Rolling(2))
+        q = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(300)
+    came = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.value for r in came.filter("late").collect()) == [90.0, 91.0, 92.0, 93.0]
+    on_time = {(r.day, r.timestamp): (r.n, r.mean) for r in came.filter("NOT late").collect()}
+    assert on_time[0, 400] == (2.0, 3.5) and on_time[1, 0] == (1.0, 7.0) and on_time[1, 100] == (2.0, 8.0)
+    state = own.read.format("statestore").option("path", str(tmp_path / "cp"))
+    for name in ("scalars", "ring", "timer"):
+        assert {r.day for r in state.option("stateVarName", name).load().select("key.day").collect()} <= {3}
 
 
 def test_last_event_state():
     e = stateful.LastEvent(200)
-    assert e.update(math.nan, 100) == [None, None] and e.update(1.0, 200) == [1.0, 0.0]
+    assert e.update(math.nan, 100, None) == [None, None]
+    e.event(1.0, 200)
+    assert e.update(math.nan, 200, None) == [1.0, 0.0]
     f = stateful.LastEvent(200)
     f.load(e.dump())
-    assert f.update(math.nan, 400) == [1.0, 200.0] and f.update(math.nan, 401) == [None, None]
+    assert f.update(math.nan, 400, None) == [1.0, 200.0] and f.update(math.nan, 401, None) == [None, None]
 
 
 def test_expiry_scan_reads_every_quote_and_refines(spark):
@@ -334,7 +410,7 @@ def test_expiry_scan_reads_every_quote_and_refines(spark):
 
     inputs = spark.range(90).selectExpr("cast(id % 3 as int) AS day", "cast(id div 3 * 100 as long) AS timestamp", "10000 AS strike", "10000.0D AS spot")
     tte = F.lit(8.25) - F.col("day") - F.col("timestamp") / 1_000_000.0
-    q = inputs.withColumn("price", pricing.call_price(F.col("spot"), F.col("strike").cast("double"), tte, F.lit(0.02))).localCheckpoint()
+    q = inputs.withColumn("price", pricing.call_price(F.col("spot"), F.col("strike").cast("double"), tte, F.lit(0.02)))
 
     def scan(rows):
         got = options.expiry_scan(rows).collect()
