@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeline.operators.scratch import stored
 from tapeline.operators.series import SPAN
 
 
@@ -16,14 +17,15 @@ def latest(rows: DataFrame, events: DataFrame, keys: list[str], time: str, value
     """rows with `out`: struct(at, value) of the key's latest event at or before the row's time.
 
     Events at a row's own time count. Of events at one time the one with the largest `tie` wins.
-    An event more than `tolerance` before the row does not count. Keys are not null. Rows and events are read once
-    for one shuffle by key and span, events once more for what spans hand on.
+    An event more than `tolerance` before the row does not count. Keys are not null. Rows are read once, and
+    events once to be stored: from there they go to their spans, and their ends on to later ones.
     """
     own = [c for c in rows.columns]
     place = F.floor(F.col(time) / span)
     left = rows.select(*keys, F.col(time).alias("_t"), place.alias("_span"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_tie"), F.struct(*own).alias("_row"))
     tied = (F.lpad(F.col(tie).cast("string"), 20, "0") if tie else F.lit(None).cast("string")).alias("_tie")
     right = events.select(*keys, F.col(time).alias("_t"), place.alias("_span"), F.lit(0).alias("_side"), tied, F.struct(F.col(time).alias("at"), value.alias("value")).alias("_event"))
+    right = stored(right, "events")
 
     # the last event of each span, and the spans up to the next one that has any
     ends = right.groupBy(*keys, "_span").agg(F.max_by(F.struct("_t", "_tie", "_event"), F.struct("_t", "_tie")).alias("_end"))
@@ -45,6 +47,7 @@ def latest(rows: DataFrame, events: DataFrame, keys: list[str], time: str, value
 def positions(fills: DataFrame, grid: DataFrame, keys: list[str], time: str = "timestamp", quantity: str = "signed", span: int = SPAN) -> DataFrame:
     """grid with position: the sum of the signed quantities of fills at or before the row; 0 before any."""
     steps = fills.groupBy(*keys, time).agg(F.sum(quantity).alias("step")).withColumn("_span", F.floor(F.col(time) / span))
+    steps = stored(steps, "steps")
     # sums within a span, and those of the spans before it
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     spans = steps.groupBy(*keys, "_span").agg(F.sum("step").alias("_sum")).select(*keys, "_span", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))

@@ -1,8 +1,8 @@
 """Exact quantiles of any number of rows by selection in passes: nothing is sorted but a few rows.
 
-Values are counted in cells: first by sign and binary exponent, then each cell that holds a wanted rank is cut into
+Values are counted in cells: a key's first by sign and binary exponent, then each cell that holds a wanted rank is cut into
 PARTS equal parts, and so on. Every pass is one additive aggregation with a row for each cell. It ends where a
-wanted cell holds one value, or no more than SMALL rows; those are ranked. A set that leaves one day out has
+wanted cell (to begin with, the key) holds one value, or no more than SMALL rows; those are ranked. A set that leaves one day out has
 the counts of all days less that day's, so no row is ever copied for another day.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tapeline.operators.scratch import released, stored
 
 #: Parts that a cell is cut into; most rows of a cell that are ranked.
-PARTS, SMALL = 4096, 50_000
+PARTS, SMALL = 4096, 200_000
 
 
 def _exponent_cell(x: Column) -> Column:
@@ -71,13 +71,14 @@ def quantiles(df: DataFrame, value: Column, at: Sequence[float], keys: Sequence[
     kept = stored(df.select(*made, *[F.col(k).alias(f"_v{i}") for i, k in enumerate(keys)], *[F.col(d).alias("_day") for d in days], value.cast("double").alias("x")), "values")
     day = "_day" if leave_out else None
     values = kept.filter("x IS NOT NULL").withColumn("cell", F.lit("")).withColumn("part", _exponent_cell(F.col("x")))
-    counts = stored(_counted(values, names, day), "cells")
-    tables = [kept, counts]
+    sizes = stored(values.groupBy(*names, *days and ["_day"]).agg(F.count("*").alias("n")), "sizes")
+    tables = [kept, sizes]
 
-    groups = counts.groupBy(*names).agg(F.sum("n").alias("n"))
+    groups = sizes.groupBy(*names).agg(F.sum("n").alias("n"))
+    most = groups.agg(F.max("n")).first()[0] or 0
     view = names
     if leave_out:
-        own = counts.groupBy(*names, F.col("_day").alias("held_out")).agg(F.sum("n").alias("gone"))
+        own = sizes.select(*names, F.col("_day").alias("held_out"), F.col("n").alias("gone"))
         held = kept.select(F.col("_day").alias("held_out")).distinct()
         groups = groups.crossJoin(held).join(own, [*names, "held_out"], "left")  # a row a key and day
         groups = groups.withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0))).drop("gone").filter("n > 0")
@@ -85,14 +86,13 @@ def quantiles(df: DataFrame, value: Column, at: Sequence[float], keys: Sequence[
     # the two rows around each quantile
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("n") - 1)).alias("place")) for i, p in enumerate(at)]))
     wanted = groups.select(*view, "n", pairs.alias("q")).select(*view, "n", "q.*")
-    wanted = stored(wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("want")), "wanted")
-    tables.append(wanted)
-
-    targets = wanted.select(*view, F.col("want").cast("long").alias("want")).distinct().withColumn("rank", F.col("want")).withColumn("cell", F.lit(""))
-    found = None
-    while True:
-        targets = stored(_located(targets, counts, names, day), "ranks")
-        tables.append(targets)
+    wanted = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("want"))
+    open_ = wanted.select(*view, F.col("want").cast("long").alias("want")).distinct().withColumn("rank", F.col("want")).withColumn("cell", F.lit(""))
+    inside, found = values, None
+    while most > SMALL:
+        counts = stored(_counted(values, names, day), "cells")
+        targets = stored(_located(open_, counts, names, day), "ranks")
+        tables += [counts, targets]
         single = F.col("low") == F.col("high")
         done = targets.filter(single).select(*view, "want", F.col("low").alias("x"))
         found = done if found is None else found.unionByName(done)
@@ -102,19 +102,17 @@ def quantiles(df: DataFrame, value: Column, at: Sequence[float], keys: Sequence[
         # rows of the open cells
         inside = values.join(cells, [*[values[n] == cells[n] for n in names], values["cell"] == cells["_c"], values["part"] == cells["_p"]])
         inside = inside.select(*[values[n] for n in names], *days and ["_day"], "x", F.concat_ws("/", values["cell"], values["part"]).alias("cell"), "low", "high")
-        open_ = open_.select(*view, "want", "rank", F.concat_ws("/", "cell", "part").alias("cell"))
-        if most <= SMALL:
-            break
         values = inside.withColumn("part", _part(F.col("x"), F.col("low"), F.col("high"))).drop("low", "high")
-        counts = stored(_counted(values, names, day), "cells")
-        tables.append(counts)
-        targets = open_
+        open_ = open_.select(*view, "want", "rank", F.concat_ws("/", "cell", "part").alias("cell"))
     if most:
         if leave_out:
             ends = open_.select(*names, "cell", "held_out").distinct()
             inside = inside.join(ends, [*names, "cell"]).filter(~F.col("_day").eqNullSafe(F.col("held_out")))
         ranks = inside.withColumn("rank", F.row_number().over(Window.partitionBy(*view, "cell").orderBy("x")) - 1)
-        found = found.unionByName(ranks.join(open_, [*view, "cell", "rank"]).select(*view, "want", "x"))
+        ranks = ranks.join(open_, [*view, "cell", "rank"]).select(*view, "want", "x")
+        found = ranks if found is None else found.unionByName(ranks)
+    elif found is None:
+        found = open_.select(*view, "want", F.lit(None).cast("double").alias("x"))
     both = wanted.join(found, [*view, "want"]).groupBy(*view, "n", "i", "place").agg(F.min("x").alias("a"), F.max("x").alias("b"))
     # equal neighbours stay as they are; others are mixed by their distances
     share = F.col("place") - F.floor("place")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapeline.functions.stats import SUMS, correlation, sums
+from tapeline.operators.scratch import released, stored
 
 KEY = ("day", "product")
 SLIDING = 64
@@ -206,13 +207,19 @@ def start_anchor(df: DataFrame, value: str, slope: float, limit: float, keys: tu
     """Adds fair (the first value plus slope times the time since) and halted: once the value is over
     `limit` away from fair, the key stays halted. Keys are not null.
 
-    No row is sorted: a key's first row and the earliest time at which it strays are two aggregations.
+    No row is sorted: a key's first row and the earliest time at which it strays are two aggregations, over a stored
+    table of the times and values.
     """
-    start = F.struct(F.col(value).alias("v"), F.col(order).alias("t"))
-    first = df.groupBy(*keys).agg(F.min_by(start, F.col(order)).alias("_first"))
-    rows = df.join(first, list(keys)).withColumn("fair", F.col("_first.v") + F.lit(slope) * (F.col(order) - F.col("_first.t"))).drop("_first")
-    trips = rows.filter(F.abs(F.col(value) - F.col("fair")) > limit).groupBy(*keys).agg(F.min(order).alias("_trip"))
-    return rows.join(trips, list(keys), "left").withColumn("halted", F.coalesce(F.col(order) >= F.col("_trip"), F.lit(False))).drop("_trip")
+    rows = stored(df.select(*keys, order, value), "anchored")
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(F.col(value).alias("v"), F.col(order).alias("t")), F.col(order)).alias("_first"))
+
+    def fair(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("fair", F.col("_first.v") + F.lit(slope) * (F.col(order) - F.col("_first.t")))
+
+    trips = fair(rows.join(first, list(keys))).filter(F.abs(F.col(value) - F.col("fair")) > limit).groupBy(*keys).agg(F.min(order).alias("_trip"))
+    known = stored(first.join(trips, list(keys), "left"), "anchors")  # a row a key
+    released(rows)
+    return fair(df.join(known, list(keys))).withColumn("halted", F.coalesce(F.col(order) >= F.col("_trip"), F.lit(False))).drop("_first", "_trip")
 
 
 def family_totals(prices: DataFrame, family: str = "family") -> DataFrame:

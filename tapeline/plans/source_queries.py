@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.operators import cross, flow, options, regime, series
-from tapeline.operators.scratch import shared_folder
+from tapeline.operators.scratch import folder
 from tapeline.plans import fixtures, market_queries, ticks_queries
 from tapeline.plans.market_queries import IV, PN
 from tapeline.plans.ticks_queries import BUCK, FEAT, SCORE, TT, DRIFT, INFORMED, LIMIT, O, P, T, W, Z, r6
@@ -20,11 +18,6 @@ LONG, SLOPE, GUARD, LOOKBACK, STRIDE, WIDE, LATE = 200, 0.001, 60.0, 500, 20, 10
 LAGS_WIDE = list(range(-20, 21))
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    return f"{shared_folder(spark)}/tape-{uuid.uuid4().hex}"
-
-
 def _filled(df: DataFrame, schema) -> DataFrame:
     """df with all columns of a schema; those that it lacks are null."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
@@ -41,20 +34,20 @@ PRICE_OUT = ("day", "timestamp", "product", "bid_price_1", "bid_volume_1", "bid_
 
 
 def price_tape_file(spark, sf):
-    path = folder(spark)
+    path = folder(spark, "tape")
     _prices(spark, sf).write.option("sep", ";").option("header", True).csv(path)
     return tape.read_prices(spark, path).select(*PRICE_OUT)
 
 
 def trade_tape_file(spark, sf):
-    path = folder(spark)
+    path = folder(spark, "tape")
     _filled(fixtures.trades(spark, sf), TRADES).write.option("sep", ";").option("header", True).csv(path)
     return tape.read_trades(spark, path)
 
 
 def parquet_tape(spark, sf):
     """Two rounds in one tape, a day of the first overwritten; some days of the first are read."""
-    path, rows = folder(spark), _prices(spark, sf)
+    path, rows = folder(spark, "tape"), _prices(spark, sf)
     tape.write_tape(rows, path, 1)
     tape.write_tape(rows, path, 2)
     tape.write_tape(rows.filter("day = 0").withColumn("mid_price", F.col("mid_price") + 1), path, 1)
@@ -72,7 +65,7 @@ def _logs(spark, sf) -> DataFrame:
     t = fixtures.trades(spark, sf).withColumn("currency", F.lit("X"))
     deals = t.groupBy(run("symbol").alias("run")).agg(listed(F.concat(F.lit("{\n"), *[field(n) for n in names], F.lit("},")), "timestamp").alias("deals"))
     whole = F.concat(F.lit(f"Sandbox logs:\n\nActivities log:\n{';'.join(f.name for f in PRICES)}\n"), "acts", F.lit("\n\nTrade History:\n[\n"), F.coalesce("deals", F.lit("")), F.lit("\n]\n"))
-    path = folder(spark)
+    path = folder(spark, "tape")
     acts.join(deals, "run", "left").select("run", whole.alias("text")).write.partitionBy("run").text(path)
     return logs.read_logs(spark, path)
 
@@ -87,7 +80,7 @@ def trade_history(spark, sf):
 
 def result_table(spark, sf):
     """A result of another query, written as a table and read back."""
-    path = folder(spark)
+    path = folder(spark, "tape")
     cross.family_correlations(fixtures.panel(spark, sf)).write.partitionBy("day").parquet(path)
     return spark.read.parquet(path).select(F.col("day").cast("int").alias("day"), "family", "a", "b", *r6("corr"))
 
@@ -121,7 +114,7 @@ def _ticking(spark: SparkSession, path: str) -> DataFrame:
 def _streamed(spark: SparkSession, rows: DataFrame, make) -> DataFrame:
     """An indicator over rows (day, timestamp, product, mid_price) that arrive as a stream of files. What came out
     is read back from the stream's sink."""
-    path = folder(spark)
+    path = folder(spark, "tape")
     _arrives(rows, f"{path}/in")
     _drained(stateful.indicators(_ticking(stateful.session(spark), f"{path}/in"), "mid_price", make), path)
     return spark.read.parquet(f"{path}/out").filter(F.col("day") < FAR)
@@ -158,7 +151,7 @@ def stream_anchor(spark, sf):
 def stream_last_event(spark, sf):
     """For each tick, the latest informed trade's direction and age within the lookback: a stream of ticks and one of
     trades, each from its own files."""
-    path, own = folder(spark), stateful.session(spark)
+    path, own = folder(spark, "tape"), stateful.session(spark)
     events = flow.informed_events(fixtures.trades(spark, sf), INFORMED).select("day", "product", "timestamp", F.col("way").cast("double").alias("mid_price"))
     _arrives(_ticks(spark, sf), f"{path}/ticks")
     _arrives(events, f"{path}/trades")
@@ -176,7 +169,7 @@ def stream_rolling_wide(spark, sf):
 
 def stream_late_rows(spark, sf):
     """Every 50th tick comes after the watermark has passed all days: it comes out flagged, once, and changes nothing."""
-    path, own = folder(spark), stateful.session(spark)
+    path, own = folder(spark, "tape"), stateful.session(spark)
     rows = series.clean_mids(fixtures.ticks(spark, sf)).withColumn("late", F.col("event_id") % LATE == 0)
     ticks = lambda late: rows.filter(F.col("late") == late).select("day", "product", "timestamp", "mid_price")
     for late in (False, True):
@@ -189,7 +182,7 @@ def stream_late_rows(spark, sf):
 def stream_day_end(spark, sf):
     """Per day and product: ticks, the ema's first value (each day starts from nothing), and how many entries of the key's state
     are left once the day is over."""
-    path, own = folder(spark), stateful.session(spark)
+    path, own = folder(spark, "tape"), stateful.session(spark)
     _arrives(_ticks(spark, sf), f"{path}/in")
     make = lambda: stateful.Drift(DRIFT, LIMIT)
     _drained(stateful.indicators(_ticking(own, f"{path}/in"), "mid_price", make), path)

@@ -17,7 +17,7 @@ from tests.test_market import col, ticks, walk
 AT = (0.0, 0.1, 1 / 3, 0.5, 0.95, 1.0)
 
 
-@pytest.mark.parametrize("small, parts", [(50_000, 4096), (3, 4), (1, 2)])
+@pytest.mark.parametrize("small, parts", [(200_000, 4096), (10, 4096), (3, 4), (1, 2)])
 def test_quantiles_equal_a_sort(spark, monkeypatch, small, parts):
     monkeypatch.setattr(quantiles, "SMALL", small)
     monkeypatch.setattr(quantiles, "PARTS", parts)
