@@ -3,8 +3,10 @@
 The base rules find assignments, access keys and hex strings. The method judges every token of
 letters and digits: two character Markov models, one of random strings and one of ordinary
 identifiers, give a token the log-likelihood ratio of its transitions. The models are counted from
-labelled samples of the corpus itself: the values that the base rules find are the random strings, and
-identifier-like words outside of base spans are the ordinary ones. A token counts as random if the mean
+labelled samples of the corpus itself: the values that the base rules find are the random strings. The ordinary
+ones are identifier-like words outside of base spans; these words with dates, times, versions and counters put to
+them by rule (FORMS), so that the model knows how ordinary tokens carry digits; and tokens with digits that recur in RECURRING
+different surroundings, which no secret does. A token counts as random if the mean
 ratio reaches THRESHOLD and the sum LEAST, so that short tokens have to be clearer.
 
 Tokens are cut at = and /, and are judged inside of base spans too: there the method tells the secret
@@ -32,8 +34,12 @@ HEX = r"[0-9a-f]{32,}"
 TOKEN = r"(?<![A-Za-z0-9+_-])(?=[A-Za-z+_-]*+[0-9])(?=[0-9+_-]*+[A-Za-z])[A-Za-z0-9+_-]{8,}+"
 #: Ordinary words of a sample: without digits, for a word with digits may itself be a secret.
 IDENTIFIER = r"(?<![A-Za-z0-9_-])[A-Za-z_-]{8,}+(?![0-9])"
-#: Labelled documents that the models are fitted on, chosen by a hash of the id; a bound in rows.
+#: Labelled documents that the models are fitted on, about, by hash of id and text; repeated texts count once.
 SAMPLE_DOCS = 20_000
+#: Surroundings (the characters before) in which a token with digits stands before it counts as ordinary, and their length.
+RECURRING, BEFORE = 3, 16
+#: Forms of ordinary names with digits; see numbered().
+FORMS = 12
 #: Least mean log-likelihood ratio per transition and least sum, in nats, of a token reported as random.
 THRESHOLD, LEAST = 0.7, 10.0
 #: Characters of the models; others count as the last.
@@ -62,19 +68,43 @@ def transitions(token: Column) -> Column:
     ))
 
 
+def numbered(word: Column) -> Column:
+    """The word as it stands in names with digits: two of the usual forms, chosen by its hash, with digits from it."""
+    h = F.abs(F.xxhash64(word) % (1 << 40))
+    part = lambda shift, n: F.shiftright(h, shift) % n
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    year, month, day = (1990 + part(3, 40)).cast("string"), two(1 + part(9, 12)), two(1 + part(13, 28))
+    clock, digit, count = F.concat(two(part(18, 24)), two(part(5, 60)), two(part(11, 60))), part(7, 10).cast("string"), part(2, 1_000_000).cast("string")
+    low, title, short = F.lower(word), F.initcap(word), F.substring(word, 1, 3)
+    date = F.concat(year, month, day)
+    forms = F.array(
+        F.concat(low, count), F.concat(low, F.lit("_"), date), F.concat(date, F.lit("T"), clock, F.lit("Z")), F.concat(F.lit("v"), digit, F.lit("-"), month, F.lit("-"), low),
+        F.concat(F.upper(short), F.lit("_"), date, F.lit("_"), clock), F.concat(F.upper(short), F.lit("-"), F.substring(count, 1, 4), F.lit("-"), digit),
+        F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit("T"), two(part(18, 24))), F.concat(F.lower(F.substring(word, 1, 4)), digit, F.lit("_"), month, F.lit("-"), low),
+        F.concat(title, year), F.concat(low, F.lit("-"), F.lpad(count, 7, "0")), F.concat(F.upper(F.substring(word, 1, 4)), F.lit("-"), year, F.lit("-"), count), F.concat(low, digit, F.lit("_"), low),
+    )
+    return F.array(F.get(forms, (h % FORMS).cast("int")), F.get(forms, (F.floor(h / FORMS) % FORMS).cast("int")))
+
+
 def labelled(docs: DataFrame, sample_docs: int) -> DataFrame:
-    """token, random: the labelled strings of up to about sample_docs documents."""
+    """token, random: the labelled strings of about sample_docs documents, each once."""
     n = docs.count()
     share = F.lit(min(1.0, sample_docs / max(1, n)) * (1 << 20))
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select(text.alias("text"))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share).select(text.alias("text")).distinct()
     some = some.select("text", *[x.alias(k) for k, x in zip(KINDS, base_spans(F.col("text")))])
     value = lambda x: F.regexp_extract(x["m"], ASSIGN, 1)
     random = F.concat(F.transform("assign", value), F.transform("access", lambda x: x["m"]), F.transform("hex", lambda x: x["m"]))
     bases = F.concat("assign", "access", "hex")
     plain = F.transform(outside(matches(F.col("text"), IDENTIFIER), bases), lambda x: x["m"])
-    tagged = lambda tokens, tag: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(tag).alias("random")))
-    return some.select(F.explode(F.concat(tagged(random, True), tagged(plain, False))).alias("x")).select("x.*").distinct()
+    # a token with what stands before it, for those that recur
+    seen = F.transform(outside(matches(F.col("text"), TOKEN), bases), lambda x: F.struct(x["m"].alias("token"), F.xxhash64(F.substring(F.col("text"), F.greatest(F.lit(1), x["s"] + 1 - BEFORE), F.least(F.lit(BEFORE), x["s"]))).alias("before")))
+    tagged = lambda tokens, kind: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("before")))
+    met = F.transform(seen, lambda x: F.struct(x["token"].alias("token"), F.lit("met").alias("kind"), x["before"].alias("before")))
+    found = some.select(F.explode(F.concat(tagged(random, "random"), tagged(plain, "plain"), met)).alias("x")).select("x.*")
+    found = found.groupBy("token", "kind").agg(F.count_distinct("before").alias("places")).filter((F.col("kind") != "met") | (F.col("places") >= RECURRING))
+    tokens = F.when(F.col("kind") == "plain", F.concat(F.array("token"), numbered(F.col("token")))).otherwise(F.array("token"))
+    return found.select(F.explode(tokens).alias("token"), (F.col("kind") == "random").alias("random")).distinct()
 
 
 def fit(samples: DataFrame) -> list[float]:

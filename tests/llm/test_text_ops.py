@@ -101,6 +101,46 @@ def _luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(t)) % 10 == 0
 
 
+def test_ordinary_tokens_with_digits(spark):
+    """Dates, versions, file names, standards, order numbers, of words and forms that no sample has, against planted keys: both as the models judge them."""
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.as_column(secrets.fit(secrets.labelled(docs, 1 << 20)))
+    draw = random.Random(7)
+    words = "sensor camera invoice customer release kernel driver session ticket parcel flight meeting archive photo scan device module engine router garden".split()
+    months = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+    plain = (
+        "report20241128 2024-11-28T10 20240115T101500Z IMG_20240115_123456 ISO-8859-1 x86_64-linux-gnu covid-19-2021 model_v2_final2023 user12345 order1234567890 "
+        "invoice-000123456 rfc2616-section14 mp4-1080p-h264 build-4521-release python3_10_12 version2023 windows10pro chapter12-section4 A4-210x297mm sha256sum base64url "
+        "utf8mb4_general_ci http2-push ipv6-only 3rd-party 20th-century win32api"
+    ).split()
+    for w in words:
+        y, m, d, n = draw.randrange(1980, 2030), draw.randrange(1, 13), draw.randrange(1, 29), draw.randrange(10**6)
+        plain += [f"{w}-{d:02}{months[m - 1]}{y}", f"{w.upper()}-{n}", f"{w}_v{m}_{d}", f"{w}-{n}", f"{w[:4]}{m}-{w}{d}", f"{y}-{m:02}-{d:02}-{w}", f"DSC{n:06}", f"{w.title()}{y}Report", f"{m:02}{d:02}{y}T{n:06}", f"{w}{n}_old"]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(draw.choice(letters) for _ in range(n)) for n in (8, 12, 16, 20, 24, 32, 40, 64) for _ in range(12)]
+    plain, keys = ({t for t in some if re.fullmatch(secrets.TOKEN, t)} for some in (plain, keys))
+    sampled = {r.token for r in secrets.labelled(docs, 1 << 20).collect()}
+    assert len(plain) >= 200 and not plain & sampled
+    tokens = spark.createDataFrame([(t,) for t in sorted(plain | keys)], "t string")
+    marked = {r.t for r in tokens.filter(secrets.is_random(F.col("t"), model)).collect()}
+    assert len(marked & plain) <= 0.1 * len(plain), sorted(marked & plain)
+    assert len(marked & keys) >= 0.9 * len(keys)
+
+
+def test_labelled_sample(spark):
+    """Bounded for any ids; a token with digits is ordinary if it recurs in different surroundings, not in copies of one."""
+    same = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('token=', md5(CAST(id AS STRING)), ' ordinary words here') AS text")
+    n = secrets.labelled(same, 100).filter("random").count()
+    assert 40 < n < 180
+    copies = spark.range(500).selectExpr("id AS doc_id", "concat('one line with Qx7ZpLw2Vn8R in it, copy ', id) AS text")
+    about = ["see model zz9-plural now", "the zz9-plural thing", "was zz9-plural ever", "no, zz9-plural!"]
+    rows = copies.unionByName(spark.createDataFrame(list(enumerate(about, 9000)), "doc_id long, text string"))
+    ordinary = {r.token for r in secrets.labelled(rows, 1 << 20).filter("NOT random").collect()}
+    assert "zz9-plural" in ordinary and "Qx7ZpLw2Vn8R" not in ordinary
+
+
 def test_personal_base_spans(spark):
     docs = documents(spark)
     got = {(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.digest(pii.scan(docs)).collect()}
