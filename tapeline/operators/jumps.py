@@ -9,31 +9,38 @@ from tapeline.functions.sizing import grid_distance
 from tapeline.functions.stats import SUMS, correlation, merged, sums
 from tapeline.operators.bootstrap import oriented_p, unit_draws
 from tapeline.operators.flow import bucket_edges, bucket_of
-from tapeline.operators.series import KEY, clean_mids, first_difference, in_order, rolling
+from tapeline.operators.series import KEY, LENGTH, clean_mids, first_difference, in_blocks, in_order, rolling
 
 LABELS = ("low", "middle", "high")
 
 
 def flagged(prices: DataFrame, window: int = 200, sigmas: float = 3.0, modulus: float = 100.0, tolerance: float = 2.0, exclude_zero_multiple: bool = False) -> DataFrame:
     """Changes of clean mids with big and grid: a move of `sigmas` deviations of the changes so far or
-    more, and one that is near a multiple of the modulus (0 included, unless excluded)."""
-    d = rolling(first_difference(clean_mids(prices), "mid_price"), "change", window)
-    big = (F.col("roll_n") == window) & (F.col("roll_std") > 0) & (F.abs("change") >= sigmas * F.col("roll_std"))
+    more, and one that is near a multiple of the modulus (0 included, unless excluded); and the change before
+    with its own flags (prior). In blocks of a series."""
     near = grid_distance(F.col("change"), modulus) <= tolerance
     if exclude_zero_multiple:
         near = near & (F.abs("change") > tolerance)
-    return d.withColumn("big", F.coalesce(big, F.lit(False))).withColumn("grid", F.col("big") & near)
+
+    def measure(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        d = rolling(first_difference(rows, "mid_price", keys=keys), "change", window, keys)
+        big = (F.col("roll_n") == window) & (F.col("roll_std") > 0) & (F.abs("change") >= sigmas * F.col("roll_std"))
+        d = d.withColumn("big", F.coalesce(big, F.lit(False))).withColumn("grid", F.col("big") & near)
+        return d.withColumn("prior", F.lag(F.struct("timestamp", "change", "big", "grid")).over(in_order(keys)))
+
+    # a change needs two mids, the change before its own window
+    reach = window + 2
+    return in_blocks(clean_mids(prices), measure, reach, max(LENGTH, reach))
 
 
 def pair_sums(jumps: DataFrame) -> DataFrame:
     """product, day, kind and the sums of (change, next change): all pairs, those whose first is a grid
     move, and those whose first is another big move (control)."""
-    rows = jumps.withColumn("next", F.lead("change").over(in_order()))
     kinds = F.array(
-        F.lit("all"), F.when(F.col("grid"), "grid"), F.when(F.col("big") & ~F.col("grid"), "control")
+        F.lit("all"), F.when(F.col("prior.grid"), "grid"), F.when(F.col("prior.big") & ~F.col("prior.grid"), "control")
     )
-    rows = rows.filter(F.col("next").isNotNull()).select("product", "day", "change", "next", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
-    return rows.groupBy("product", "day", "kind").agg(*sums(F.col("change"), F.col("next")))
+    rows = jumps.filter(F.col("prior").isNotNull()).select("product", "day", "prior", "change", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
+    return rows.groupBy("product", "day", "kind").agg(*sums(F.col("prior.change"), F.col("change")))
 
 
 def _wide(stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,9 +71,10 @@ def grid_records(jumps: DataFrame, spreads: DataFrame) -> DataFrame:
 
     spreads: day, product, timestamp, spread at the tick of the move; missing and non-positive ones drop.
     """
-    rows = jumps.withColumn("next", F.lead("change").over(in_order())).filter(F.col("grid") & F.col("next").isNotNull())
+    first, then = F.col("prior.change"), F.col("change")
+    rows = jumps.filter("prior.grid").select("product", "day", F.col("prior.timestamp").alias("timestamp"), F.abs(first).alias("amplitude"), (-F.signum(first) * then).alias("reversal"))
     rows = rows.join(spreads.select(*KEY, "timestamp", "spread"), [*KEY, "timestamp"]).filter("spread > 0")
-    return rows.select("product", "day", F.abs("change").alias("amplitude"), "spread", (-F.signum("change") * F.col("next")).alias("reversal"))
+    return rows.select("product", "day", "amplitude", "spread", "reversal")
 
 
 def amplitude_buckets(records: DataFrame) -> DataFrame:

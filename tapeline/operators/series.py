@@ -83,11 +83,12 @@ def in_blocks(df: DataFrame, measure: Callable[[DataFrame, tuple[str, ...]], Dat
 
     A block also gets the window - 1 rows before it, so any measure of the last `window` rows is the
     same as over the whole series. Row numbers come from counts per time span and ranks inside one:
-    no task sorts a whole key. The order has no ties; length is at least the window.
+    no task sorts a whole key. The order has no ties; length is at least the window. df is made once and stored, since
+    it is counted before it is cut.
     """
     if length < window:
         raise ValueError("a block holds a window at least")
-    rows = df.withColumn("_span", F.floor(F.col(order) / span))
+    rows = stored(df, "series").withColumn("_span", F.floor(F.col(order) / span))
     upto = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row a span
     counts = rows.groupBy(*keys, "_span").agg(F.count("*").alias("_n"))
     counts = counts.select(*keys, "_span", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
@@ -110,9 +111,9 @@ def zscore(df: DataFrame, value: str, window: int, keys: tuple[str, ...] = KEY,
     return rolling(df, value, window, keys, order).withColumn("z", F.when(ready, (F.col(value) - F.col("roll_mean")) / F.col("roll_std")))
 
 
-def zscores(df: DataFrame, value: str, window: int) -> DataFrame:
+def zscores(df: DataFrame, value: str, window: int, keys: tuple[str, ...] = KEY) -> DataFrame:
     """zscore() in blocks."""
-    return in_blocks(df, lambda rows, keys: zscore(rows, value, window, keys), window, max(LENGTH, window))
+    return in_blocks(df, lambda rows, k: zscore(rows, value, window, k), window, max(LENGTH, window), keys=keys)
 
 
 def causal_regime(prices: DataFrame, window: int = 200) -> DataFrame:

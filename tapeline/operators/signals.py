@@ -42,7 +42,7 @@ def reversion(books: DataFrame, tiers, window: int, extreme: float, limit: int =
     """Intents against the z-score of the fair value (by default the mid) over usable books."""
     rows = _best(books.filter(book.usable(F.col("bids"), F.col("asks"))))
     rows = rows.withColumn("fair", book.naive_mid(F.col("bids"), F.col("asks")) if fair is None else fair)
-    rows = series.zscore(rows, "fair", window).filter("z IS NOT NULL")
+    rows = series.zscores(rows, "fair", window).filter("z IS NOT NULL")
     rows = _positions(rows, positions, ["day", "timestamp", "product"])
     return _decided(rows, tiers, limit, extreme, F.col("roll_mean")).select("day", "timestamp", "product", "z", "side", "quantity", "price", "mechanism")
 
@@ -50,7 +50,7 @@ def reversion(books: DataFrame, tiers, window: int, extreme: float, limit: int =
 def iv_reversion(ivs: DataFrame, tiers, window: int, extreme: float, limit: int = 50, positions: DataFrame | None = None) -> DataFrame:
     """Intents against the z-score of implied volatility; a take must beat the price at the mean iv.
     ivs: day, timestamp, strike, spot, tte, iv, bid, ask; the window counts valid ivs only."""
-    rows = series.zscore(ivs.filter("iv IS NOT NULL"), "iv", window, ("day", "strike")).filter("z IS NOT NULL")
+    rows = series.zscores(ivs.filter("iv IS NOT NULL"), "iv", window, ("day", "strike")).filter("z IS NOT NULL")
     rows = _positions(rows, positions, ["day", "timestamp", "strike"])
     fair = pricing.call_price(F.col("spot"), F.col("strike").cast("double"), F.col("tte"), F.col("roll_mean"))
     out = _decided(rows, tiers, limit, extreme, fair)
@@ -75,7 +75,7 @@ def basket(panel: DataFrame, target: float, tiers, window: int, extreme: float,
     """Intents against the z-score of each member's distance from target less the others' sum. panel:
     day, timestamp, family, product, mid_price, bid, ask, of ticks at which every member has a book."""
     rows = series.family_totals(panel).withColumn("fair", F.lit(target) - F.col("others")).withColumn("dev", F.col("mid_price") - F.col("fair"))
-    rows = series.zscore(rows, "dev", window).filter("z IS NOT NULL")
+    rows = series.zscores(rows, "dev", window).filter("z IS NOT NULL")
     rows = _positions(rows, positions, ["day", "timestamp", "product"])
     return _decided(rows, tiers, limit, extreme, F.col("fair") + F.col("roll_mean")).select("day", "timestamp", "product", "z", "side", "quantity", "price", "mechanism")
 
@@ -85,7 +85,7 @@ def pair(books: DataFrame, a, b, tiers, window: int, extreme: float, limit: int
     the edge on both legs. books: day, timestamp, product, mid_price, bid, ask."""
     leg = lambda p, t: books.filter(F.col("product") == p).select("day", "timestamp", *[F.col(c).alias(f"{c}_{t}") for c in ("mid_price", "bid", "ask")])
     rows = leg(a, "a").join(leg(b, "b"), ["day", "timestamp"]).withColumn("spread", F.col("mid_price_a") - F.col("mid_price_b"))
-    rows = series.zscore(rows, "spread", window, ("day",)).filter("z IS NOT NULL").withColumn("deviation", F.abs("z"))
+    rows = series.zscores(rows, "spread", window, ("day",)).filter("z IS NOT NULL").withColumn("deviation", F.abs("z"))
     for t, p, up in (("a", a, "sell"), ("b", b, "buy")):
         own = None if positions is None else positions.filter(F.col("product") == p)
         rows = _positions(rows, own, ["day", "timestamp"]).withColumn(f"side_{t}", F.when(F.col("z") > 0, up).otherwise("sell" if up == "buy" else "buy"))

@@ -1,64 +1,109 @@
-"""Run logs: the activities section and the trade history of every log in a directory."""
+"""Run logs: the activities section and the trade history of every log in a directory.
+
+Logs are read line by line, so a large log is cut into blocks that many tasks read. Lines stand in order inside a
+block; what a block can't know by itself (the section it begins in, the objects before it) is handed on from the
+blocks before, one row a block.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeline.operators.scratch import stored
 from tapeline.schema import PRICE_COLUMNS
 
 FIELDS = ("timestamp", "buyer", "seller", "symbol", "price", "quantity")
+ACTIVITIES, TRADES = "Activities log:", "Trade History:"
+BLOCK = ("run", "block")
+
+
+class LogError(ValueError):
+    """A log that breaks its contract."""
 
 
 def read_logs(spark: SparkSession, path) -> DataFrame:
-    """run (the file's name), text."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("run"), F.regexp_replace("value", "\r\n", "\n").alias("text"))
+    """run (the file's name), block (where the part of the file begins that was read together), at (grows along a
+    block), line."""
+    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return spark.read.text(path).select(run.alias("run"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def _handed_on(ends: DataFrame, **made: Column) -> DataFrame:
+    """ends (a row a block) with what the blocks before it in the file have made: columns over an unnamed window."""
+    before = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select(*BLOCK, *[c.over(before).alias(name) for name, c in made.items()])
+
+
+def _sections(logs: DataFrame) -> DataFrame:
+    """Lines of the two sections with section: `activities` (up to a blank line) or `trades` (to the end); without
+    the sections' own titles."""
+    turn = F.when(F.col("line") == ACTIVITIES, "A").when(F.col("line").rlike(r"^\s*$"), "B")
+    traded = F.col("line") == TRADES
+    upto = Window.partitionBy(*BLOCK).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = logs.withColumn("_turn", F.last(turn, ignorenulls=True).over(upto)).withColumn("_traded", F.max(traded).over(upto))
+    ends = logs.groupBy(*BLOCK).agg(F.max_by(turn, F.when(turn.isNotNull(), F.col("at"))).alias("_turn"), F.max(traded).alias("_traded"))
+    carried = _handed_on(ends, _turn0=F.last("_turn", ignorenulls=True), _traded0=F.max("_traded"))
+    rows = rows.join(carried, list(BLOCK))
+    trades = F.col("_traded") | F.coalesce("_traded0", F.lit(False))
+    section = F.when(trades, "trades").when(F.coalesce("_turn", "_turn0") == "A", "activities")
+    return rows.select(*logs.columns, section.alias("section")).filter(F.col("section").isNotNull() & ~F.col("line").isin(ACTIVITIES, TRADES))
 
 
 def _demand(ok: Column, value: Column, message: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(message).cast("string"))
 
 
+def _refuse(bad: DataFrame, message: str) -> None:
+    """Raises for the first log (run) of bad."""
+    if found := bad.select("run").head(1):
+        raise LogError(f"{message} {found[0].run}")
+
+
 def activities(logs: DataFrame) -> DataFrame:
     """run, day, timestamp, product, mid_price, profit_and_loss of each row of `Activities log:`.
 
-    Raises for a log without the section, with another header, without rows, or with a row that has
-    not 17 fields or whose numbers don't parse; the message holds the row.
+    Raises for a log without the section, with another header, or without rows; its result raises for a row that
+    has not 17 fields or whose numbers don't parse, and the message holds the row.
     """
     header = ";".join(PRICE_COLUMNS)
-    part = F.regexp_extract("text", r"(?s)(?:^|\n)Activities log:\n(.*?)(?:\n\s*\n|\s*$)", 1)
-    lines = F.split(part, "\n")
-    said = lambda what: F.concat(F.lit(f"{what} in "), F.col("run"))
-    head = _demand((F.get(lines, F.lit(0)) == header) & (F.size(lines) > 1), F.lit("ok"), said("no activities section with the known header and rows"))
-    rows = logs.select("run", lines.alias("lines"), head.alias("head")).filter("head = 'ok'")
-    rows = rows.select("run", F.explode(F.slice("lines", 2, 1 << 30)).alias("row"))
-    f = F.split("row", ";")
-    numbers = [F.get(f, F.lit(i)).try_cast(kind) for i, kind in ((0, "int"), (1, "long"), (15, "double"), (16, "double"))]
+    lines = stored(_sections(logs).filter("section = 'activities'").drop("section"), "activities")
+    heads = lines.groupBy("run").agg(F.min_by("line", F.struct("block", "at")).alias("head"), F.count("*").alias("n"), F.sum((F.col("line") == header).cast("int")).alias("headers"))
+    known = heads.filter((F.col("head") == header) & (F.col("n") > 1) & (F.col("headers") == 1))
+    _refuse(logs.select("run").distinct().join(known, "run", "left_anti"), "no activities section with the known header and rows in")
+    rows = lines.filter(F.col("line") != header)
+    f = F.split("line", ";")
     fine = F.size(f) == len(PRICE_COLUMNS)
-    for n in numbers:
-        fine = fine & n.isNotNull()
-    good = _demand(fine, F.col("row"), F.concat(F.lit("malformed activity row: "), F.col("row")))
-    f = F.split("good", ";")
-    return rows.select("run", good.alias("good")).select(
-        "run", F.get(f, F.lit(0)).cast("int").alias("day"), F.get(f, F.lit(1)).cast("long").alias("timestamp"), F.get(f, F.lit(2)).alias("product"),
-        F.get(f, F.lit(15)).cast("double").alias("mid_price"), F.get(f, F.lit(16)).cast("double").alias("profit_and_loss"),
+    for i, kind in ((0, "int"), (1, "long"), (15, "double"), (16, "double")):
+        fine = fine & F.get(f, F.lit(i)).try_cast(kind).isNotNull()
+    good = F.split(_demand(fine, F.col("line"), F.concat(F.lit("malformed activity row: "), F.col("line"))), ";")
+    return rows.select("run", good.alias("f")).select(
+        "run", F.get("f", F.lit(0)).cast("int").alias("day"), F.get("f", F.lit(1)).cast("long").alias("timestamp"), F.get("f", F.lit(2)).alias("product"),
+        F.get("f", F.lit(15)).cast("double").alias("mid_price"), F.get("f", F.lit(16)).cast("double").alias("profit_and_loss"),
     )
 
 
 def trade_history(logs: DataFrame) -> DataFrame:
     """run, timestamp, buyer, seller, symbol, price, quantity of each object after `Trade History:`.
 
-    The objects are no valid JSON (trailing commas), so fields are matched one by one. A missing
-    section or field raises; a history without trades is fine.
+    The objects are no valid JSON (trailing commas), so fields are matched one by one, on whatever lines of the object
+    they stand; objects are numbered through a log by their opening braces. A log without the section raises; the result raises
+    for an object without a field. A history without trades is fine; an object that is never closed is none.
     """
-    there = F.rlike("text", F.lit(r"(?:^|\n)Trade History:(?:\n|$)"))
-    body = _demand(there, F.regexp_extract("text", r"(?s)(?:^|\n)Trade History:(.*)$", 1), F.concat(F.lit("no trade history in "), F.col("run")))
-    rows = logs.select("run", F.explode(F.regexp_extract_all(body, F.lit(r"\{[^{}]*\}"), F.lit(0))).alias("item"))
-    found = rows
+    _refuse(logs.select("run").distinct().join(logs.filter(F.col("line") == TRADES).select("run").distinct(), "run", "left_anti"), "no trade history in")
+    lines = _sections(logs).filter("section = 'trades'").select(*BLOCK, "at", F.posexplode(F.split("line", r"(?<=\})|(?=\{)")).alias("piece", "text"))
+    opens = F.col("text").contains("{").cast("long")
+    lines = stored(lines.withColumn("open", opens), "trades")
+    upto = Window.partitionBy(*BLOCK).orderBy("at", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    carried = _handed_on(lines.groupBy(*BLOCK).agg(F.sum("open").alias("_opened")), _before=F.sum("_opened"))
+    rows = lines.withColumn("_upto", F.sum("open").over(upto)).join(carried, list(BLOCK))
+    rows = rows.withColumn("item", F.col("_upto") + F.coalesce("_before", F.lit(0))).filter("item > 0")
+    value = {}
     for name in FIELDS:
         pattern = rf'"{name}":\s*(?:"((?:[^"\\]|\\.)*)"|(-?\d+(?:\.\d+)?))'
-        value = F.concat(F.regexp_extract("item", pattern, 1), F.regexp_extract("item", pattern, 2))
-        missing = F.concat(F.lit(f"no field {name} in trade: "), F.col("item"))
-        found = found.withColumn(name, _demand(F.rlike("item", F.lit(pattern)), value, missing))
-    return found.select("run", F.col("timestamp").cast("long").alias("timestamp"), "buyer", "seller", "symbol", F.col("price").cast("double").alias("price"), F.col("quantity").cast("long").alias("quantity"))
+        found = F.concat(F.regexp_extract("text", pattern, 1), F.regexp_extract("text", pattern, 2))
+        value[name] = F.first(F.when(F.rlike("text", F.lit(pattern)), found), ignorenulls=True).alias(name)
+    items = rows.groupBy("run", "item").agg(*value.values(), F.max(F.col("text").contains("}")).alias("closed")).filter("closed")
+    for name in FIELDS:
+        items = items.withColumn(name, _demand(F.col(name).isNotNull(), F.col(name), F.concat(F.lit(f"no field {name} in trade "), F.col("item").cast("string"), F.lit(" of "), F.col("run"))))
+    return items.select("run", F.col("timestamp").cast("long").alias("timestamp"), "buyer", "seller", "symbol", F.col("price").cast("double").alias("price"), F.col("quantity").cast("long").alias("quantity"))

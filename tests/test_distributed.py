@@ -199,3 +199,27 @@ def test_no_window_holds_a_whole_key(spark):
         windows = [line_ for line_ in text.splitlines() if "Window [" in line_]
         assert windows and all("_span" in w or "_part" in w for w in windows)
     assert not [line_ for line_ in series.start_anchor(rows, "mid_price", 0.0, 5.0)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line_]
+
+
+def test_jumps_in_blocks(spark, monkeypatch):
+    from tapeline.operators import jumps
+
+    v = walk(200, 11)
+    v[60] += 40
+    v[130] -= 55
+    frame = ticks(spark, v).unionByName(ticks(spark, walk(30, 2), 1))
+    plain = jumps.flagged(frame, 8, 2.0, 5.0, 1.0)
+    monkeypatch.setattr(jumps, "LENGTH", 10)
+    monkeypatch.setattr(series, "SPAN", 900)
+    cut = series.in_blocks(frame, lambda rows, keys: rows, 1, 10, 900)
+    assert cut.count() == frame.count()
+    parts = jumps.flagged(frame, 8, 2.0, 5.0, 1.0)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, parts.collect())) and plain.filter("big").count() > 3
+    change = [b - a for a, b in zip(v, v[1:])]
+    rows = {r.timestamp: r for r in parts.filter("day = 0").collect()}
+    assert len(rows) == 199 and rows[100].prior is None
+    for i in range(1, 199):
+        r = rows[100 * (i + 1)]
+        assert r.change == change[i] and r.prior.change == change[i - 1] and r.prior.big == rows[100 * i].big
+        w = change[max(0, i - 7) : i + 1]
+        assert r.big == (i >= 7 and statistics.pstdev(w) > 0 and abs(change[i]) >= 2.0 * statistics.pstdev(w))

@@ -273,13 +273,42 @@ def test_logs(spark, tmp_path):
     assert a.count() == 4 and {(r.run, r.profit_and_loss) for r in a.collect()} == {("run1.log", 0.5), ("run2.log", 0.75)}
     t = logs.trade_history(found).collect()
     assert len(t) == 2 and t[0].price == 10.5 and t[0].seller == "" and t[0].quantity == 3
-    assert logs.trade_history(found.withColumn("text", F.lit("Trade History:\n[]"))).count() == 0
+
+    def one(text):
+        e = tmp_path / f"log{len(list(tmp_path.iterdir()))}"
+        e.mkdir()
+        _file(e, "run.log", text)
+        return logs.read_logs(spark, str(e))
+
+    assert logs.trade_history(one("Trade History:\n[]")).count() == 0
+    both = logs.trade_history(one('Trade History:\n[{"timestamp": 1, "buyer": "a", "seller": "b", "symbol": "A", "price": -1, "quantity": 2},{"timestamp": 2, "buyer": "c", "seller": "b", "symbol": "A", "price": 1.5, "quantity": 2,},\n{"timestamp": 3'))
+    assert sorted((r.timestamp, r.buyer, r.price) for r in both.collect()) == [(1, "a", -1.0), (2, "c", 1.5)]
     for old, new in (("Activities log:", "Activities:"), (ROW + "\n", "0;100;A\n"), ("11.0;", "eleven;"), ("mid_price", "mid"), (f"{ROW}\n{ROW.replace('A', 'B')}\n", "")):
         with pytest.raises(Exception):
-            logs.activities(found.withColumn("text", F.lit(LOG.replace(old, new, 1)))).collect()
+            logs.activities(one(LOG.replace(old, new, 1))).collect()
     for old, new in (("Trade History:", "Trades:"), ('"price": 10.5,', "")):
         with pytest.raises(Exception):
-            logs.trade_history(found.withColumn("text", F.lit(LOG.replace(old, new)))).collect()
+            logs.trade_history(one(LOG.replace(old, new))).collect()
+
+
+@pytest.mark.parametrize("size", [37, 300, 1 << 20])
+def test_a_log_is_read_in_blocks(spark, tmp_path, size):
+    """Blocks smaller than a line, than an object and than a section: the same rows, from as many tasks."""
+    many = [ROW.replace(";100;", f";{100 * k};", 1) for k in range(40)]
+    deals = [f'{{\n "timestamp": {k},\n "buyer": "b{k}", "seller": "s",\n "symbol": "A", "currency": "C",\n "price": {k}.5, "quantity": {k},\n}},' for k in range(30)]
+    text = "Sandbox logs:\nx\n\nActivities log:\n" + "\n".join([HEAD, *many]) + "\n\nTrade History:\n[\n" + "\n".join(deals) + "\n]\n"
+    (tmp_path / "logs").mkdir()
+    _file(tmp_path / "logs", "run.log", text)
+    _file(tmp_path / "logs", "other.log", LOG)
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    own.conf.set("spark.sql.files.openCostInBytes", "0")
+    found = logs.read_logs(own, str(tmp_path / "logs"))
+    assert size > len(text) or found.rdd.getNumPartitions() > len(text) // size // 2
+    assert sorted(r.timestamp for r in logs.activities(found).filter("run = 'run.log'").collect()) == [100 * k for k in range(40)]
+    got = logs.trade_history(found).filter("run = 'run.log'").collect()
+    assert sorted((r.timestamp, r.buyer, r.price, r.quantity) for r in got) == [(k, f"b{k}", k + 0.5, k) for k in range(30)]
+    assert logs.trade_history(found).filter("run = 'other.log'").count() == 1 and logs.activities(found).filter("run = 'other.log'").count() == 2
 
 
 @pytest.mark.parametrize(
