@@ -47,7 +47,7 @@ NARROW, WIDE = 64, 192
 FILTER = 1 << 27
 #: Pairs held before they are handed on, and compared at once.
 PAIRS, VERIFY = 1 << 20, 1 << 15
-LINES = "k1 long, k2 long, doc_id long, line int, n int, prefix binary, flagged int, p2 long, p3 long, p4 long"
+LINES = "k1 long, k2 long, doc_id long, text_key long, line int, n int, prefix binary, flagged int, p2 long, p3 long, p4 long"
 #: Numbers of one row when counters are summed.
 BLOCK = 1 << 15
 
@@ -171,7 +171,7 @@ def _lines(shared, part: int):
         counts = shared.value
         for batch in batches:
             data, at = text_bytes(batch)
-            ids = int64s(batch, "doc_id")
+            ids, texts = int64s(batch, "doc_id"), int64s(batch, "text_key")
             for low, high in slices(at, CHUNK):
                 hashes, line, doc, number = words(data, at, low, high)
                 keys, begin, own = sets(hashes, line, counts)
@@ -187,10 +187,10 @@ def _lines(shared, part: int):
                 flagged = np.add.reduceat(hot, ends[:-1], dtype=np.int32) if len(n) else size.astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(k1), pa.array(k2), ids.take(pa.array(doc[own] + low)), pa.array(number[own].astype(np.int32)),
+                        pa.array(k1), pa.array(k2), *[x.take(pa.array(doc[own] + low)) for x in (ids, texts)], pa.array(number[own].astype(np.int32)),
                         pa.array(n.astype(np.int32)), binary(token, ends), pa.array(flagged), *[pa.array(p) for p in more],
                     ],
-                    ["k1", "k2", "doc_id", "line", "n", "prefix", "flagged", "p2", "p3", "p4"],
+                    ["k1", "k2", "doc_id", "text_key", "line", "n", "prefix", "flagged", "p2", "p3", "p4"],
                 )
 
     return lines
@@ -588,10 +588,16 @@ def links_of(classes: DataFrame, hot: DataFrame, rows: DataFrame, shared) -> Dat
     return found
 
 
+def text_key() -> Column:
+    """A hash of the text; a null one is as an empty one, which has no words either."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
 def linked_lines(docs: DataFrame) -> DataFrame:
-    """k1, k2, doc_id, line, class_doc, class_line, members, links, match: every line of a class that has
-    more members or links, with its class's first occurrence, its members, and its links."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """k1, k2, doc_id, text_key, line, class_doc, class_line, members, links, match: every line of a class that has
+    more members or links, with its class's first occurrence, its members, and its links. A row of docs is known by
+    its id and a hash of its text, since ids may repeat."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.coalesce("text", F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(rarity(rows))
     lines = written(rows.mapInArrow(_lines(shared, PART), LINES), "lines")
     # all that a set says is the same in all of its lines: as keys they need no sort, nor does the
@@ -610,19 +616,21 @@ def linked_lines(docs: DataFrame) -> DataFrame:
     known = known.filter("members > 1 OR links IS NOT NULL").withColumn("links", F.coalesce("links", F.lit(0))).drop("id")
     known = written(known, "known")
     discard(classes, hot, links)
-    return lines.select("k1", "k2", "doc_id", "line").join(known, ["k1", "k2"])
+    return lines.select("k1", "k2", "doc_id", "text_key", "line").join(known, ["k1", "k2"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed: (line, doc_id of the earliest match) by line, from 0; linked:
-    (line, class_id, class_doc, class_line, links) of each line whose class has other lines or links.
+    (line, class_id, class_doc, class_line, links) of each line whose class has other lines or links; text_key, which
+    tells rows of one id apart.
 
     Lines with one set of words have one class_id, known by its first occurrence (class_doc,
     class_line); links: how many other classes match it, before or after. Lines not in linked are
     classes of their own without links.
 
     docs: doc_id, text; other columns are ignored. A null text has no lines, an empty one has one.
-    Lines without words stay. A null doc_id is before all others. Repeated rows are one document:
+    Lines without words stay. A null doc_id is before all others. Rows of one id and different texts have their own lines
+    removed; where both have the same line at the same place, neither is the earlier one. Repeated rows are one document:
     each has a row, and its lines are no earlier lines of the other. An empty table gives none.
     """
     first = F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line") == F.col("class_line"))
@@ -631,17 +639,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     match = F.when(first, F.col("match")).otherwise(F.least(own, F.coalesce("match", own)))
     gone = F.when(match.isNotNull(), F.struct("line", match["doc_id"].alias("doc_id")))
     link = F.struct("line", F.lower(F.format_string("%016x%016x", "k1", "k2")).alias("class_id"), "class_doc", "class_line", "links")
-    found = linked_lines(docs).select(F.col("doc_id").alias("d"), gone.alias("gone"), link.alias("link"))
-    found = found.groupBy("d").agg(F.sort_array(F.collect_set("gone")).alias("removed"), F.sort_array(F.collect_set("link")).alias("linked"))
+    found = linked_lines(docs).select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), gone.alias("gone"), link.alias("link"))
+    found = found.groupBy("d", "t").agg(F.sort_array(F.collect_set("gone")).alias("removed"), F.sort_array(F.collect_set("link")).alias("linked"))
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return rows.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed", "linked")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left")
+    return rows.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed", "linked", "text_key")
 
 
 def remove_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text without the lines that dedup_lines removed."""
-    gone = found.select(F.col("doc_id").alias("d"), F.transform("removed", lambda x: x["line"]).alias("gone")).dropDuplicates(["d"])
-    rows = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
-    return rows.select("doc_id", F.array_join(kept, "\n").alias("text"))
+    """doc_id, text without the lines that dedup_lines removed (found).
+
+    Each row of docs is rewritten by its own lines, whatever ids it shares; repeated rows alike. A null text stays
+    null, an empty one empty; a text that loses all of its lines is empty. An empty table gives none.
+    """
+    gone = found.filter("n_removed > 0").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.transform("removed", lambda x: x["line"]).alias("gone")).dropDuplicates(["d", "t"])
+    rows = docs.select("doc_id", "text", text_key()).join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left")
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i))
+    return rows.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))

@@ -48,6 +48,24 @@ def test_line_dedup(spark):
     assert clean[90018] == "\n" and clean[90017].count("\n") == 1
 
 
+def test_rows_that_share_an_id_lose_their_own_lines(spark):
+    data = [
+        (1, "the quick brown fox jumps"), (5, "the quick brown fox jumps\nunique line one two three"), (5, "another unique first line entirely\nmore text here now"),
+        (None, "more text here now"), (None, None), (None, "also the quick fox brown jumps\nend"), (6, ""), (7, None), (8, "the quick brown fox jumps"), (8, "the quick brown fox jumps"),
+    ]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for name in ("text_key", "d", "t", "gone", "removed", "line"):
+        docs = docs.withColumn(name, F.lit("extra"))
+    found = line_dedup.dedup_lines(docs)
+    want = [
+        (None, None), (None, "more text here now"), (None, "also the quick fox brown jumps\nend"), (1, ""), (5, "unique line one two three"),
+        (5, "another unique first line entirely"), (6, ""), (7, None), (8, ""), (8, ""),
+    ]
+    assert sorted(map(str, rows(line_dedup.remove_lines(docs, found)))) == sorted(map(str, want))
+    assert sorted(r.n_removed for r in found.filter("doc_id = 5").collect()) == [1, 1]
+    assert rows(line_dedup.remove_lines(docs.filter("false"), found)) == []
+
+
 def test_line_dedup_of_many_near_copies(spark):
     """Parts of hot words, and lines that only their second candidate settles."""
     base = [f"w{i}" for i in range(20)]
