@@ -15,6 +15,10 @@ from tapeline.functions.stats import SUMS, merged
 from tapeline.operators.series import LENGTH, SPAN
 
 
+#: Values of r2 that are this close are equal.
+TIE = 1e-9
+
+
 def draw(seed: int, replicate: Column, slot: Column, n: Column | int) -> Column:
     """A number from 0 to n - 1: the first 32 bits of an MD5, modulo n."""
     n = F.lit(n) if isinstance(n, int) else n
@@ -115,7 +119,8 @@ def block_sums(df: DataFrame, value: str, keys: list[str], order: str, length: i
 
 def block_bootstrap_trend(df: DataFrame, value: str, keys: list[str], order: str, length: int, replicates: int, seed: int) -> DataFrame:
     """Per key: n, r2 of a linear trend, and its p-value (exceed + 1) / (replicates + 1) among circular
-    block resamples. A replicate is ceil(n / length) lookups of block sums. Constant series: null p."""
+    block resamples. A replicate is ceil(n / length) lookups of block sums. A resample that is the series itself
+    exceeds it, whatever rounding leaves (TIE). Constant series: null p."""
     blocks = block_sums(df, value, keys, order, length)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("m", F.ceil(F.col("n") / F.lit(length)).cast("int"))
@@ -137,5 +142,5 @@ def block_bootstrap_trend(df: DataFrame, value: str, keys: list[str], order: str
     sums = sums.withColumn("r2", r2)
     own = sums.filter("replicate < 0").select(*keys, "n", F.col("r2").alias("own"))
     joined = sums.filter("replicate >= 0").select(*keys, F.coalesce("r2", F.lit(0.0)).alias("r2")).join(own, keys)
-    p = (F.sum((F.col("r2") >= F.col("own")).cast("long")) + 1) / F.lit(float(replicates + 1))
+    p = (F.sum((F.col("r2") >= F.col("own") - TIE).cast("long")) + 1) / F.lit(float(replicates + 1))
     return joined.groupBy(*keys).agg(F.first("n").alias("n"), F.first("own").alias("r2"), F.when(F.first("own").isNotNull(), p).alias("p"))

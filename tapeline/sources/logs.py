@@ -15,7 +15,7 @@ from tapeline.schema import PRICE_COLUMNS
 
 FIELDS = ("timestamp", "buyer", "seller", "symbol", "price", "quantity")
 ACTIVITIES, TRADES = "Activities log:", "Trade History:"
-BLOCK = ("run", "block")
+BLOCK = ("path", "block")
 
 
 class LogError(ValueError):
@@ -23,15 +23,15 @@ class LogError(ValueError):
 
 
 def read_logs(spark: SparkSession, path) -> DataFrame:
-    """run (the file's name), block (where the part of the file begins that was read together), at (grows along a
-    block), line."""
-    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return spark.read.text(path).select(run.alias("run"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    """run (the file's name), path, block (where the part of the file begins that was read together), at (grows along a
+    block), line. Files of one name in different folders are different logs."""
+    file = F.col("_metadata.file_path")
+    return spark.read.text(path).select(F.element_at(F.split(file, "/"), -1).alias("run"), file.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
 
 
 def _handed_on(ends: DataFrame, **made: Column) -> DataFrame:
     """ends (a row a block) with what the blocks before it in the file have made: columns over an unnamed window."""
-    before = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return ends.select(*BLOCK, *[c.over(before).alias(name) for name, c in made.items()])
 
 
@@ -68,9 +68,9 @@ def activities(logs: DataFrame) -> DataFrame:
     """
     header = ";".join(PRICE_COLUMNS)
     lines = stored(_sections(logs).filter("section = 'activities'").drop("section"), "activities")
-    heads = lines.groupBy("run").agg(F.min_by("line", F.struct("block", "at")).alias("head"), F.count("*").alias("n"), F.sum((F.col("line") == header).cast("int")).alias("headers"))
+    heads = lines.groupBy("path").agg(F.min_by("line", F.struct("block", "at")).alias("head"), F.count("*").alias("n"), F.sum((F.col("line") == header).cast("int")).alias("headers"))
     known = heads.filter((F.col("head") == header) & (F.col("n") > 1) & (F.col("headers") == 1))
-    _refuse(logs.select("run").distinct().join(known, "run", "left_anti"), "no activities section with the known header and rows in")
+    _refuse(logs.select("run", "path").distinct().join(known, "path", "left_anti"), "no activities section with the known header and rows in")
     rows = lines.filter(F.col("line") != header)
     f = F.split("line", ";")
     fine = F.size(f) == len(PRICE_COLUMNS)
@@ -90,8 +90,8 @@ def trade_history(logs: DataFrame) -> DataFrame:
     they stand; objects are numbered through a log by their opening braces. A log without the section raises; the result raises
     for an object without a field. A history without trades is fine; an object that is never closed is none.
     """
-    _refuse(logs.select("run").distinct().join(logs.filter(F.col("line") == TRADES).select("run").distinct(), "run", "left_anti"), "no trade history in")
-    lines = _sections(logs).filter("section = 'trades'").select(*BLOCK, "at", F.posexplode(F.split("line", r"(?<=\})|(?=\{)")).alias("piece", "text"))
+    _refuse(logs.select("run", "path").distinct().join(logs.filter(F.col("line") == TRADES).select("path").distinct(), "path", "left_anti"), "no trade history in")
+    lines = _sections(logs).filter("section = 'trades'").select("run", *BLOCK, "at", F.posexplode(F.split("line", r"(?<=\})|(?=\{)")).alias("piece", "text"))
     opens = F.col("text").contains("{").cast("long")
     lines = stored(lines.withColumn("open", opens), "trades")
     upto = Window.partitionBy(*BLOCK).orderBy("at", "piece").rowsBetween(Window.unboundedPreceding, 0)
@@ -103,7 +103,7 @@ def trade_history(logs: DataFrame) -> DataFrame:
         pattern = rf'"{name}":\s*(?:"((?:[^"\\]|\\.)*)"|(-?\d+(?:\.\d+)?))'
         found = F.concat(F.regexp_extract("text", pattern, 1), F.regexp_extract("text", pattern, 2))
         value[name] = F.first(F.when(F.rlike("text", F.lit(pattern)), found), ignorenulls=True).alias(name)
-    items = rows.groupBy("run", "item").agg(*value.values(), F.max(F.col("text").contains("}")).alias("closed")).filter("closed")
+    items = rows.groupBy("run", "path", "item").agg(*value.values(), F.max(F.col("text").contains("}")).alias("closed")).filter("closed")
     for name in FIELDS:
         items = items.withColumn(name, _demand(F.col(name).isNotNull(), F.col(name), F.concat(F.lit(f"no field {name} in trade "), F.col("item").cast("string"), F.lit(" of "), F.col("run"))))
     return items.select("run", F.col("timestamp").cast("long").alias("timestamp"), "buyer", "seller", "symbol", F.col("price").cast("double").alias("price"), F.col("quantity").cast("long").alias("quantity"))

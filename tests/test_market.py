@@ -273,6 +273,11 @@ def test_logs(spark, tmp_path):
     assert a.count() == 4 and {(r.run, r.profit_and_loss) for r in a.collect()} == {("run1.log", 0.5), ("run2.log", 0.75)}
     t = logs.trade_history(found).collect()
     assert len(t) == 2 and t[0].price == 10.5 and t[0].seller == "" and t[0].quantity == 3
+    for k in "ab":  # logs of one name
+        (tmp_path / "same" / k).mkdir(parents=True)
+        _file(tmp_path / "same" / k, "run.log", LOG)
+    same = logs.read_logs(spark, str(tmp_path / "same" / "*"))
+    assert logs.activities(same).count() == 4 and logs.trade_history(same).count() == 2
 
     def one(text):
         e = tmp_path / f"log{len(list(tmp_path.iterdir()))}"
