@@ -2,10 +2,11 @@
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest as xxh64
 
 from tapeline.llm import decontam, pii, quality, secrets
 from tests.llm.cases import KEY, documents, empty, rows, texts
@@ -165,7 +166,8 @@ def test_personal_base_spans(spark):
 
 
 def test_disclosing_terms(spark):
-    lines = [(i, f"Call zorblatt at jane{i % 2}@corp.example.com about case number {i}\nplain words here") for i in range(6)]
+    said = ["Call {} about case number 1", "for refunds {} will answer by noon", "we met {} and two friends in Oslo", "no reply came from {}", "ask {} where old maps are kept", "{} signed off"]
+    lines = [(i, said[i].format(f"zorblatt at jane{i % 2}@corp.example.com") + "\nplain words here") for i in range(6)]
     lines += [(100 + i, f"an ordinary text about case and number and call {i}") for i in range(200)] + [(500, "only Zorblatt, and zorblatts, here")]
     docs = spark.createDataFrame(lines, "doc_id long, text string")
     terms = {(r.term, r.entity): round(r.share, 3) for r in pii.disclosing_terms(docs, bits=4.0).collect()}
@@ -179,7 +181,36 @@ def test_disclosing_terms(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(docs, bits=4.0, share=0.4).collect()}
     twice = spark.createDataFrame([(1, "write to you@y.example.org"), (1, "or call"), (None, "x@y.example.org a"), (None, None)], "doc_id long, text string")
     assert rows(pii.sanitise(twice)) == [(None, ""), (None, "[EMAIL] a"), (1, "or call"), (1, "write to [EMAIL]")]
-    assert clean[500] == "only [TERM], and zorblatts, here" and clean[1].startswith("Call [TERM] at [EMAIL] about case number 1")
+    assert clean[500] == "only [TERM], and zorblatts, here" and clean[0].startswith("Call [TERM] at [EMAIL] about case number 1")
+
+
+def test_copies_disclose_nothing(spark):
+    """Words of a text under two ids, of a near copy, or of a line that many documents share, are no terms; those of different
+    sentences are. 40 planted names, 40 texts with an entity in five near copies each."""
+    rng = __import__("random").Random(5)
+    say = lambda n: [f"w{rng.randrange(1500)}x" for _ in range(n)]
+    line = lambda words: " ".join(words)
+    others = [line(say(40)) for _ in range(300)]
+    two = "About the quarterly numbers please contact zebulon harquist before meeting at zeb@mail.example.com"
+    shared = "questions about maps and tickets go to our helpdesk team at help@site.example.org"
+    docs = others + [two, two] + [line(say(50)) + "\n" + shared for _ in range(30)]
+    for p in range(40):  # near copies: two words of a hundred differ
+        words = say(50) + [f"only{p}a only{p}b at", f"copy{p}@mail.example.com", f"only{p}c"] + say(50)
+        for _ in range(5):
+            mine = list(words)
+            for k in rng.sample([i for i in range(len(mine)) if not 50 <= i < 53], 2):
+                mine[k] = say(1)[0]
+            docs.append(line(mine))
+        docs += [line(say(20) + [f"ask name{p}y at", f"real{p}@mail.example.com"] + say(20)) for _ in range(3)]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    terms = {r.term for r in pii.disclosing_terms(table).collect()}
+    names = {f"name{p}y" for p in range(40)}
+    assert len(names & terms) >= 0.9 * len(names) and len(names & terms) >= 0.9 * len(terms)
+    assert not terms & set(f"{two} {shared}".split()) and not any(t.startswith("only") for t in terms)
+    clean = {r.text for r in pii.sanitise(table).collect()}
+    assert two.replace("zeb@mail.example.com", "[EMAIL]") in clean
+    nulls = spark.createDataFrame([(None, None), (1, None), (2, ""), (2, "")], "doc_id long, text string")
+    assert rows(pii.disclosing_terms(nulls)) == [] and rows(pii.disclosing_terms(empty(spark))) == []
 
 
 def test_disclosing_spans(spark):
@@ -199,20 +230,38 @@ def test_disclosing_spans(spark):
         (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(digits(s)) <= 15),
     )
     base = lambda t: [m for regex, test in kinds for m in re.finditer(regex, t) if test(m[0])]
-    every = {(d, t or "") for d, t in texts(docs)}
-    near, of = Counter(), Counter()
-    for d, t in every:
-        seen = set()
+    every = {t or "" for _, t in texts(docs)}
+    near, of = defaultdict(list), defaultdict(set)  # contexts of each entity; texts of each term
+    for t in every:
         for line in t.split("\n"):
             for m in base(line):
                 i, j = max(0, m.start() - pii.REACH), min(len(line), m.end() + pii.REACH)
                 words = re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(line[i:j]))[i > 0 :]
                 words = words[:-1] if j < len(line) else words
-                seen |= {(low(m[0]), w) for w in words if len(w) >= 3 and w not in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(m[0]))}
-                seen.add((low(m[0]), None))
-        near.update(seen)
-        of.update({w for w in word.findall(low(t)) if len(w) >= 3})
-    want = {(w, e) for (e, w), n in near.items() if w and n >= 2 and n / of[w] >= pii.SHARE and np.log2(n / of[w] * len(every) / near[e, None]) >= pii.BITS}
+                own = re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(m[0]))
+                near[low(m[0])].append((frozenset(w for w in words if len(w) >= 3 and w not in own), t))
+        for w in word.findall(low(t)):
+            of[w].add(t)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    least = lambda c: [min(signed(xxh64(i.to_bytes(4, "little"), xxh64(w.encode(), 42))) for w in c) for i in range(pii.BANDS * pii.ROWS)]
+    want = set()
+    for e, found in near.items():
+        of_context = {c: c for c, _ in found}
+        bands = defaultdict(list)
+        for c in of_context:
+            for k, b in enumerate(zip(*[iter(least(c))] * pii.ROWS)) if c else ():
+                bands[k, b].append(c)
+        root = lambda c: c if of_context[c] == c else root(of_context[c])  # noqa: E731, B023
+        for cs in bands.values():
+            for c in cs[1:]:
+                of_context[root(c)] = root(cs[0])
+        n_e = len({root(c) for c in of_context})
+        for w in set().union(*of_context) if n_e >= pii.SUPPORT else ():
+            n_te = len({root(c) for c in of_context if w in c})
+            beside = len({t for c, t in found if w in c})
+            share = n_te / (n_te + len(of[w]) - beside)
+            if min(n_te, beside) >= pii.SUPPORT and share >= pii.SHARE and np.log2(share * len(every) / n_e) >= pii.BITS:
+                want.add((w, e))
     got = {(r.term, r.entity) for r in pii.disclosing_terms(docs).collect()}
     assert got == want
     terms = {w for w, _ in want}
