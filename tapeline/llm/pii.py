@@ -110,6 +110,10 @@ def classes(near: DataFrame) -> DataFrame:
     return near.join(roots, "node", "left").select("document", "entity", "terms", F.coalesce("root", "node").alias("class"))
 
 
+def _share() -> Column:
+    return F.col("n_te") / (F.col("n_te") + F.col("n_t") - F.col("texts"))
+
+
 def disclosing_terms(
     docs: DataFrame, bits: float = BITS, share: float = SHARE, support: int = SUPPORT, base: list[Column] | None = None
 ) -> DataFrame:
@@ -126,18 +130,23 @@ def disclosing_terms(
     each = known.join(n_e, "entity").select("entity", "n_e", "document", "class", F.explode("terms").alias("term"))
     pairs = each.groupBy("term", "entity", "n_e").agg(F.count_distinct("class").alias("n_te"), F.count_distinct("document").alias("texts"))
     pairs = written(pairs.filter(F.least("n_te", "texts") >= support), "pairs")
+    # n(t) is no less than the texts with the term near any entity: pairs that fail by these already, as
+    # those of common words do, need no count over whole texts
+    least = every.select("document", F.explode("terms").alias("term")).join(broadcast_if_small(pairs.select("term"), F.octet_length("term") + 64), "term", "left_semi")
+    least = least.groupBy("term").agg(F.count_distinct("document").alias("n_t"))
+    open_pairs = written(pairs.join(least, "term").filter(_share() >= share).drop("n_t"), "open")
     # texts are counted by their rows, each for its part, so that no text has to move
     distinct = written(rows.groupBy("document").agg(F.count("*").alias("rows")), "texts")
     n = distinct.count()
     repeated = written(distinct.filter(F.col("rows") > 1), "repeated")
     weight = F.lit(1.0) / F.coalesce("rows", F.lit(1))
-    wanted = written(pairs.select("term").distinct(), "candidates")
+    wanted = written(open_pairs.select("term").distinct(), "candidates")
     n_t = rows.join(broadcast_if_small(repeated, F.lit(64)), "document", "left").select(F.explode(terms_of(F.col("text"))).alias("term"), weight.alias("w"))
     n_t = n_t.join(broadcast_if_small(wanted, F.octet_length("term") + 64), "term").groupBy("term").agg(F.round(F.sum("w")).alias("n_t"))
-    scored = pairs.join(n_t, "term").withColumn("share", F.col("n_te") / (F.col("n_te") + F.col("n_t") - F.col("texts")))
+    scored = open_pairs.join(n_t, "term").withColumn("share", _share())
     scored = scored.withColumn("bits", F.log2(F.col("share") * F.lit(n) / F.col("n_e")))
     found = written(scored.filter((F.col("bits") >= bits) & (F.col("share") >= share)).select("term", "entity", "bits", "share"), "disclosing")
-    discard(every, near, known, pairs, distinct, repeated, wanted)
+    discard(every, near, known, pairs, open_pairs, distinct, repeated, wanted)
     return found
 
 
