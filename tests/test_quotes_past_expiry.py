@@ -9,6 +9,7 @@ from tapeline.plans import fixtures
 
 NAMES = (
     "option_quotes",
+    "bs_price_delta_vega",
 )
 
 
