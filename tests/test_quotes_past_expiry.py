@@ -10,6 +10,7 @@ from tapeline.plans import fixtures
 NAMES = (
     "option_quotes",
     "bs_price_delta_vega",
+    "level_regression",
 )
 
 
