@@ -11,6 +11,7 @@ NAMES = (
     "option_quotes",
     "bs_price_delta_vega",
     "level_regression",
+    "implied_vol",
 )
 
 
