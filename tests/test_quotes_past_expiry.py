@@ -12,6 +12,7 @@ NAMES = (
     "bs_price_delta_vega",
     "level_regression",
     "implied_vol",
+    "smile",
 )
 
 
