@@ -13,6 +13,7 @@ NAMES = (
     "level_regression",
     "implied_vol",
     "smile",
+    "iv_reversion",
 )
 
 
