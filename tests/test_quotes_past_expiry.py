@@ -14,6 +14,7 @@ NAMES = (
     "implied_vol",
     "smile",
     "iv_reversion",
+    "iv_trend",
 )
 
 
