@@ -15,6 +15,7 @@ NAMES = (
     "smile",
     "iv_reversion",
     "iv_trend",
+    "iv_trend_mean",
 )
 
 
