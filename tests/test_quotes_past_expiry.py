@@ -16,6 +16,7 @@ NAMES = (
     "iv_reversion",
     "iv_trend",
     "iv_trend_mean",
+    "pair_edges",
 )
 
 
