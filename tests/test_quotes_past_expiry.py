@@ -17,6 +17,7 @@ NAMES = (
     "iv_trend",
     "iv_trend_mean",
     "pair_edges",
+    "single_edges",
 )
 
 
