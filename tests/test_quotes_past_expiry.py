@@ -18,6 +18,7 @@ NAMES = (
     "iv_trend_mean",
     "pair_edges",
     "single_edges",
+    "net_exposure",
 )
 
 
