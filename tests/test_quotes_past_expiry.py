@@ -19,6 +19,7 @@ NAMES = (
     "pair_edges",
     "single_edges",
     "net_exposure",
+    "exposure_excursion",
 )
 
 
