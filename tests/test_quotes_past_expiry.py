@@ -20,6 +20,7 @@ NAMES = (
     "single_edges",
     "net_exposure",
     "exposure_excursion",
+    "hedge_targets",
 )
 
 
