@@ -33,6 +33,8 @@ from tapeline.functions.stats import RESIDUE
 DAY_MS, START_MS = 10_000_000, 1_000_000_000_000
 #: Rows of a chunk of a ring.
 CHUNK = 64
+#: Event time of a bucket of waiting rows: some thousand ticks (a tick is 100).
+BUCKET_MS = 200_000
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -275,7 +277,9 @@ class LastEvent:
 class Ordered(StatefulProcessor):
     """Feeds a key's rows to an indicator in the order of their event time, as the watermark passes them.
 
-    States: waiting (rows beyond the watermark), scalars and ring (the indicator's), timer (when it is asked next).
+    States: waiting (rows beyond the watermark, by buckets of event time; what one frame brings to a bucket is a piece),
+    pieces (how many came), scalars and ring (the indicator's), timer (when it is asked next). A task holds one frame or
+    one bucket at a time, however many rows a key has.
     Rows have a side: 0 for events, which stand before ticks (1) of the same time and give no output.
     """
 
@@ -284,7 +288,8 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms bigint, side int, stamp bigint, value double")
+        self.waiting = handle.getMapState("waiting", "bucket bigint, piece bigint", "ms array<bigint>, side array<int>, stamp array<bigint>, value array<double>")
+        self.pieces = handle.getValueState("pieces", "n bigint")
         self.scalars = handle.getValueState("scalars", "v array<double>, last bigint")
         self.ring = handle.getMapState("ring", "chunk bigint", "v array<double>")
         self.timer = handle.getValueState("timer", "at bigint")
@@ -304,50 +309,78 @@ class Ordered(StatefulProcessor):
         frame = pd.DataFrame([(int(key[0]), key[1], *r) for r in rows], columns=["day", "product", "timestamp", "value", *names, "late"])
         return frame.astype({n: "float64" for n in ("value", *names)})
 
+    def _wait(self, rows: list[tuple]) -> None:
+        """Rows (ms, side, stamp, value) to their buckets."""
+        found, buckets = self.pieces.get(), {}
+        piece = found[0] if found is not None else 0
+        for row in rows:
+            buckets.setdefault(row[0] // BUCKET_MS, []).append(row)
+        for bucket, part in buckets.items():
+            self.waiting.updateValue((bucket, piece), tuple(list(c) for c in zip(*part)))
+        self.pieces.update((piece + 1,))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        mark, missing = timerValues.getCurrentWatermarkInMs(), [None] * len(self.make().names)
-        fresh, late = [], []
+        mark, missing, first = timerValues.getCurrentWatermarkInMs(), [None] * len(self.make().names), None
         for frame in rows:
+            fresh, late = [], []
             for ms, side, stamp, value in zip(*(frame[c].tolist() for c in ("ms", "side", "timestamp", "value"))):
                 if ms > mark:
                     fresh.append((ms, side, stamp, value))
                 else:
                     late.append((stamp, value, *missing, True))
-        if fresh:
-            self.waiting.appendList(fresh)
-            self._ask(min(r[0] for r in fresh))
-        if late:
-            yield self._frame(key, sorted(late))
+            if fresh:
+                self._wait(fresh)
+                least = min(r[0] for r in fresh)
+                first = least if first is None else min(first, least)
+            if late:
+                yield self._frame(key, sorted(late))
+        if first is not None:
+            self._ask(first)
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
-        waiting = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:3])
-        ready = [r for r in waiting if r[0] <= mark]
+        pieces: dict[int, list[int]] = {}
+        for bucket, piece in self.waiting.keys():
+            pieces.setdefault(bucket, []).append(piece)
         found = self.scalars.get()
         last = found[1] if found is not None else 0
-        if ready:
-            tool, ring, out = self.make(), Ring(self.ring), []
-            if found is not None:
-                tool.load(list(found[0]))
-            for last, side, stamp, value in ready:
+        tool, ring, due = self.make(), Ring(self.ring), None
+        if found is not None:
+            tool.load(list(found[0]))
+        for bucket in sorted(pieces):
+            if bucket * BUCKET_MS > mark:
+                due = bucket * BUCKET_MS
+                break
+            rows = [r for piece in pieces[bucket] for r in zip(*self.waiting.getValue((bucket, piece)))]
+            rows.sort(key=lambda r: r[:3])
+            out, taken = [], 0
+            for ms, side, stamp, value in rows:
+                if ms > mark:
+                    break
+                last, taken = ms, taken + 1
                 if side:
                     out.append((stamp, value, *tool.update(value, stamp, ring), False))
                 else:
                     tool.event(value, stamp)
-            ring.flush()
-            self.scalars.update(([float(x) for x in tool.dump()], last))
+            if taken:
+                ring.flush()
+                self.scalars.update(([float(x) for x in tool.dump()], last))
+                for piece in pieces[bucket]:
+                    self.waiting.removeKey((bucket, piece))
+                if left := rows[taken:]:
+                    self._wait(left)
             if out:
                 yield self._frame(key, out)
-        left = waiting[len(ready) :]
-        if left:
-            self.waiting.put(left)
-            self._ask(left[0][0])
+            if taken < len(rows):
+                due = rows[taken][0]
+                break
+        if due is not None:
+            self._ask(due)
         elif mark >= last + self.keep_ms:
-            for state in (self.waiting, self.scalars, self.ring):
+            for state in (self.waiting, self.pieces, self.scalars, self.ring):
                 state.clear()
         else:
-            self.waiting.clear()
             self._ask(last + self.keep_ms)
 
     def close(self) -> None:
