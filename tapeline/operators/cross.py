@@ -5,10 +5,12 @@ Panels stay long: (day, timestamp, family, product, mid_price). All fits come fr
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions.stats import about_mean, correlation, line, merged, moments, sums
+from tapeline.functions.stats import SUMS, about_mean, correlation, line, merged, moments, sums
 from tapeline.operators import book, regime, series
 from tapeline.operators.bootstrap import block_bootstrap_trend, oriented_p, resampled_sums, unit_draws
 from tapeline.operators.quantiles import quantiles
@@ -77,14 +79,40 @@ def mean_off_diagonal(matrix: DataFrame, keys: list[str]) -> DataFrame:
     return matrix.filter("a <> b").groupBy(*keys).agg(F.avg("corr").alias("mean_corr"), F.avg(F.abs("corr")).alias("mean_abs_corr"), F.count("*").alias("pairs"))
 
 
-def lag_sums(panel: DataFrame, lags: list[int]) -> DataFrame:
-    """family, leader, follower, lag, day and the sums of the leader's change at i with the follower's at i + lag."""
+def lag_sums(panel: DataFrame, lags: list[int], length: int = series.LENGTH) -> DataFrame:
+    """family, leader, follower, lag, day and the sums of the leader's change at i with the follower's at i + lag.
+
+    A family's rows of a day go to blocks of `length` indices, each with the rows that its lags reach beyond it: rows are
+    shuffled once, not once a lag. Blocks' sums add up.
+    """
     c = changes(panel)
-    lead = c.select("day", "family", F.col("product").alias("leader"), F.col("change").alias("x"), "i", F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"))
-    lead = lead.withColumn("i", F.col("i") + F.col("lag"))
-    follow = c.select("day", "family", F.col("product").alias("follower"), F.col("change").alias("y"), "i")
-    pairs = lead.join(follow, ["day", "family", "i"]).filter("leader <> follower")
-    return pairs.groupBy("family", "leader", "follower", "lag", "day").agg(*sums(F.col("x"), F.col("y")))
+    low, high = min(0, *lags), max(0, *lags)
+    own = F.floor(F.col("i") / length)
+    # a row is a follower of the blocks whose leaders are up to `high` before and `-low` behind it
+    c = c.withColumn("block", F.explode(F.sequence(F.floor((F.col("i") - high) / length), F.floor((F.col("i") - low) / length)))).filter("block >= 0").withColumn("leads", F.col("block") == own)
+    kinds = dict(c.dtypes)
+    names = f"family {kinds['family']}, leader {kinds['product']}, follower {kinds['product']}, lag int, day {kinds['day']}, " + ", ".join(f"{n} double" for n in SUMS)
+
+    def sums_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        day, family, block = key
+        start, size, out = int(block) * length + low, length + high - low, []
+        series_ = {}
+        for product, part in rows.groupby("product"):
+            value, known = np.zeros(size), np.zeros(size, bool)
+            at = part["i"].to_numpy() - start
+            value[at], known[at] = part["change"].to_numpy(), True
+            series_[product] = value, known, bool(part["leads"].any())
+        for leader, (v, k, leads) in series_.items():
+            for follower, (w, m, _) in series_.items():
+                for lag in lags if leads and leader != follower else ():
+                    both = k[-low : length - low] & m[lag - low : lag - low + length]
+                    x, y = v[-low : length - low][both], w[lag - low : lag - low + length][both]
+                    if len(x):
+                        out.append((family, leader, follower, lag, day, float(len(x)), x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum()))
+        return pd.DataFrame(out, columns=["family", "leader", "follower", "lag", "day", *SUMS])
+
+    blocks = c.groupBy("day", "family", "block").applyInPandas(sums_of, names)
+    return blocks.groupBy("family", "leader", "follower", "lag", "day").agg(*merged())
 
 
 def lead_lag(stats: DataFrame) -> DataFrame:

@@ -223,3 +223,26 @@ def test_jumps_in_blocks(spark, monkeypatch):
         assert r.change == change[i] and r.prior.change == change[i - 1] and r.prior.big == rows[100 * i].big
         w = change[max(0, i - 7) : i + 1]
         assert r.big == (i >= 7 and statistics.pstdev(w) > 0 and abs(change[i]) >= 2.0 * statistics.pstdev(w))
+
+
+@pytest.mark.parametrize("length", [4096, 7, 2, 1])
+def test_lag_sums_in_blocks(spark, length):
+    """Series of unequal lengths against a plain double loop; a row is shuffled once and for the blocks that its lags reach."""
+    series_ = {"a": walk(40, 1), "b": walk(33, 2), "c": walk(2, 3)}
+    rows = [(day, 100 * i, 1, p, x + day * (i % 3)) for p, v in series_.items() for day in (0, 1) for i, x in enumerate(v)]
+    panel = spark.createDataFrame(rows, "day int, timestamp long, family int, product string, mid_price double")
+    found = cross.lag_sums(panel, [-3, 0, 5], length)
+    assert "Generate explode([-3,0,5]" not in found._jdf.queryExecution().toString() and "Join" not in found._jdf.queryExecution().toString()
+    got = {(r.leader, r.follower, r.lag, r.day): (r.n, r.sx, r.sy, r.sxx, r.syy, r.sxy) for r in found.collect()}
+    change = {(d, p): [b - a for a, b in itertools.pairwise([r[4] for r in rows if (r[0], r[3]) == (d, p)])] for d in (0, 1) for p in series_}
+    want = {}
+    for (d, p), v in change.items():
+        for q in series_:
+            w = change[d, q]
+            for lag in (-3, 0, 5) if p != q else ():
+                if pairs := [(x, w[i + lag]) for i, x in enumerate(v) if 0 <= i + lag < len(w)]:
+                    x, y = zip(*pairs)
+                    want[p, q, lag, d] = (len(x), sum(x), sum(y), sum(a * a for a in x), sum(b * b for b in y), sum(a * b for a, b in pairs))
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-9), k
