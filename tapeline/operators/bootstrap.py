@@ -17,6 +17,8 @@ from tapeline.operators.series import LENGTH, SPAN
 
 #: Values of r2 that are this close are equal.
 TIE = 1e-9
+#: Tasks that make the draws of blocks: few rows become very many, which Spark can't foresee.
+DRAWING = 96
 
 
 def draw(seed: int, replicate: Column, slot: Column, n: Column | int) -> Column:
@@ -117,6 +119,17 @@ def block_sums(df: DataFrame, value: str, keys: list[str], order: str, length: i
     return starts.select(*keys, "n", "s", *[f"{name}{k}" for name in ("full", "last") for k in "12j"])
 
 
+def block_draws(sizes: DataFrame, keys: list[str], length: int, replicates: int, seed: int) -> DataFrame:
+    """(*keys, n, m, replicate, b, s): block b of a replicate begins at s; replicate -1 is the series itself. sizes: keys, n,
+    and m, the blocks of a replicate. Replicates are dealt by a number of tasks: by their few bytes Spark would
+    make all draws in one."""
+    reps = sizes.sparkSession.range(-1, replicates).select(F.col("id").alias("replicate"))
+    plan = sizes.crossJoin(reps).repartition(DRAWING)
+    plan = plan.select(*keys, "n", "m", "replicate", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("b"))
+    start = F.when(F.col("replicate") < 0, F.col("b") * length).otherwise(draw(seed, F.col("replicate"), F.col("b"), F.col("n")))
+    return plan.withColumn("s", start.cast("int"))
+
+
 def block_bootstrap_trend(df: DataFrame, value: str, keys: list[str], order: str, length: int, replicates: int, seed: int) -> DataFrame:
     """Per key: n, r2 of a linear trend, and its p-value (exceed + 1) / (replicates + 1) among circular
     block resamples. A replicate is ceil(n / length) lookups of block sums. A resample that is the series itself
@@ -124,13 +137,10 @@ def block_bootstrap_trend(df: DataFrame, value: str, keys: list[str], order: str
     blocks = block_sums(df, value, keys, order, length)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("m", F.ceil(F.col("n") / F.lit(length)).cast("int"))
-    reps = df.sparkSession.range(-1, replicates).select(F.col("id").alias("replicate"))  # -1: the series itself
-    plan = sizes.crossJoin(reps).select(*keys, "n", "m", "replicate", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("b"))
-    start = F.when(F.col("replicate") < 0, F.col("b") * length).otherwise(draw(seed, F.col("replicate"), F.col("b"), F.col("n")))
-    plan = plan.withColumn("s", start.cast("int"))
+    plan = block_draws(sizes, keys, length, replicates, seed)
     last = F.col("b") == F.col("m") - 1
     pick = lambda tag: F.when(last, F.col(f"last{tag}")).otherwise(F.col(f"full{tag}"))
-    rows = plan.join(blocks.drop("n"), [*keys, "s"])
+    rows = plan.hint("merge").join(blocks.drop("n"), [*keys, "s"])  # by the bytes before the draws Spark would broadcast them
     sums = rows.groupBy(*keys, "n", "replicate").agg(
         F.sum(pick("1")).alias("sy"), F.sum(pick("2")).alias("syy"), F.sum(F.col("b") * length * pick("1") + pick("j")).alias("sxy")
     )
