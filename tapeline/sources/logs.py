@@ -16,6 +16,8 @@ from tapeline.schema import PRICE_COLUMNS
 FIELDS = ("timestamp", "buyer", "seller", "symbol", "price", "quantity")
 ACTIVITIES, TRADES = "Activities log:", "Trade History:"
 BLOCK = ("path", "block")
+#: Characters of lines (a line counts as SHORT at least, for its path) that one task takes at a time.
+PART, SHORT = 1 << 26, 200
 
 
 class LogError(ValueError):
@@ -35,9 +37,16 @@ def _handed_on(ends: DataFrame, **made: Column) -> DataFrame:
     return ends.select(*BLOCK, *[c.over(before).alias(name) for name, c in made.items()])
 
 
+def _parts(logs: DataFrame) -> DataFrame:
+    """logs with whole blocks in parts whose size doesn't grow with the logs."""
+    size = logs.agg(F.sum(F.greatest(F.length("line"), F.lit(SHORT)))).first()[0] or 0
+    return logs.repartition(size // PART + 1, *BLOCK)
+
+
 def _sections(logs: DataFrame) -> DataFrame:
     """Lines of the two sections with section: `activities` (up to a blank line) or `trades` (to the end); without
-    the sections' own titles."""
+    the sections' own titles. Comes in the parts of _parts."""
+    logs = _parts(logs)
     turn = F.when(F.col("line") == ACTIVITIES, "A").when(F.col("line").rlike(r"^\s*$"), "B")
     traded = F.col("line") == TRADES
     upto = Window.partitionBy(*BLOCK).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -96,14 +105,17 @@ def trade_history(logs: DataFrame) -> DataFrame:
     lines = stored(lines.withColumn("open", opens), "trades")
     upto = Window.partitionBy(*BLOCK).orderBy("at", "piece").rowsBetween(Window.unboundedPreceding, 0)
     carried = _handed_on(lines.groupBy(*BLOCK).agg(F.sum("open").alias("_opened")), _before=F.sum("_opened"))
-    rows = lines.withColumn("_upto", F.sum("open").over(upto)).join(carried, list(BLOCK))
+    rows = _parts(lines.withColumnRenamed("text", "line")).withColumnRenamed("line", "text")
+    rows = rows.withColumn("_upto", F.sum("open").over(upto)).join(carried, list(BLOCK))
     rows = rows.withColumn("item", F.col("_upto") + F.coalesce("_before", F.lit(0))).filter("item > 0")
     value = {}
     for name in FIELDS:
         pattern = rf'"{name}":\s*(?:"((?:[^"\\]|\\.)*)"|(-?\d+(?:\.\d+)?))'
         found = F.concat(F.regexp_extract("text", pattern, 1), F.regexp_extract("text", pattern, 2))
         value[name] = F.first(F.when(F.rlike("text", F.lit(pattern)), found), ignorenulls=True).alias(name)
-    items = rows.groupBy("run", "path", "item").agg(*value.values(), F.max(F.col("text").contains("}")).alias("closed")).filter("closed")
+    # lines become objects where their block is; only objects meet again, for those that go on in the next block
+    items = rows.groupBy("run", *BLOCK, "item").agg(*value.values(), F.max(F.col("text").contains("}")).alias("closed"))
+    items = items.groupBy("run", "path", "item").agg(*[F.min_by(name, F.when(F.col(name).isNotNull(), F.col("block"))).alias(name) for name in FIELDS], F.max("closed").alias("closed")).filter("closed")
     for name in FIELDS:
         items = items.withColumn(name, _demand(F.col(name).isNotNull(), F.col(name), F.concat(F.lit(f"no field {name} in trade "), F.col("item").cast("string"), F.lit(" of "), F.col("run"))))
     return items.select("run", F.col("timestamp").cast("long").alias("timestamp"), "buyer", "seller", "symbol", F.col("price").cast("double").alias("price"), F.col("quantity").cast("long").alias("quantity"))
