@@ -16,6 +16,8 @@ from tapeline.streaming import stateful
 
 LONG, SLOPE, GUARD, LOOKBACK, STRIDE, WIDE, LATE = 200, 0.001, 60.0, 500, 20, 1000, 50
 LAGS_WIDE = list(range(-20, 21))
+#: Events whose run logs one task writes.
+EVENTS_A_TASK = 200_000
 
 
 def _filled(df: DataFrame, schema) -> DataFrame:
@@ -55,15 +57,16 @@ def parquet_tape(spark, sf):
 
 
 def _logs(spark, sf) -> DataFrame:
-    """Run logs of up to 1000 ticks of a day and product each, written and read back."""
+    """Run logs of up to 1000 ticks of a day and product each, written and read back. Tasks are as many as the events ask for."""
     run = lambda product: F.concat_ws("-", "day", product, F.floor(F.col("timestamp") / 100_000))
+    parts = fixtures._table(spark, sf, "events").count() // EVENTS_A_TASK + 1
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     listed = lambda c, by: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, c.alias("line")))), lambda x: x["line"]), "\n")
-    acts = _prices(spark, sf).groupBy(run("product").alias("run")).agg(listed(F.concat_ws(";", *[text(f.name) for f in PRICES]), "timestamp").alias("acts"))
+    acts = _prices(spark, sf).withColumn("run", run("product")).repartition(parts, "run").groupBy("run").agg(listed(F.concat_ws(";", *[text(f.name) for f in PRICES]), "timestamp").alias("acts"))
     names = [f.name for f in TRADES]
     field = lambda n: F.concat(F.lit(f'  "{n}": '), text(n) if n in ("timestamp", "price", "quantity") else F.concat(F.lit('"'), text(n), F.lit('"')), F.lit(",\n"))
     t = fixtures.trades(spark, sf).withColumn("currency", F.lit("X"))
-    deals = t.groupBy(run("symbol").alias("run")).agg(listed(F.concat(F.lit("{\n"), *[field(n) for n in names], F.lit("},")), "timestamp").alias("deals"))
+    deals = t.withColumn("run", run("symbol")).repartition(parts, "run").groupBy("run").agg(listed(F.concat(F.lit("{\n"), *[field(n) for n in names], F.lit("},")), "timestamp").alias("deals"))
     whole = F.concat(F.lit(f"Sandbox logs:\n\nActivities log:\n{';'.join(f.name for f in PRICES)}\n"), "acts", F.lit("\n\nTrade History:\n[\n"), F.coalesce("deals", F.lit("")), F.lit("\n]\n"))
     path = folder(spark, "tape")
     acts.join(deals, "run", "left").select("run", whole.alias("text")).write.partitionBy("run").text(path)
