@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pytest
 
 from tapeline.streaming import stateful
 
@@ -85,3 +86,18 @@ def test_a_long_series_goes_through_in_parts():
     whole, ring = stateful.Rolling(50), stateful.Ring(Kept())
     assert got == [(100 * i, whole.update(float(100 * i % 7_300), 0, ring)[1]) for i in range(n)]
     assert not handle.timers and not any(s.value or s.items or s.map for s in handle.states.values())
+
+
+@pytest.mark.parametrize("make", [lambda: stateful.Drift(50, 5.0), lambda: stateful.Guard(60.0, 0.001), lambda: stateful.LagAcf(20, 3), lambda: stateful.Rolling(1000), lambda: stateful.LastEvent(500)])
+def test_every_indicator_comes_in_parts(make):
+    """20,000 ticks of a key, due at once: each comes out once, in order, in frames of some thousand rows."""
+    n, start, handle, got = 20_000, stateful.START_MS, Handle(), []
+    stamps = [100 * i for i in range(n)]
+    tool = stateful.Ordered(make, stateful.DAY_MS)
+    tool.init(handle)
+    assert not list(tool.handleInputRows((0, "A"), iter([pd.DataFrame({"ms": [start + s for s in stamps], "side": 1, "timestamp": stamps, "value": [float(s % 7_300) for s in stamps]})]), Times(0)))
+    handle.timers.clear()
+    for frame in tool.handleExpiredTimer((0, "A"), Times(start + 100 * n), None):
+        assert len(frame) <= 5_000
+        got += frame["timestamp"].tolist()
+    assert got == stamps
