@@ -290,6 +290,27 @@ def test_suffix_dedup(spark):
     assert rows(suffix_dedup.remove_repeats(empty(spark))) == []
 
 
+def test_suffix_dedup_says_what_it_cut(spark):
+    long = " ".join(f"wörter{i * 7919 % 1000}" for i in range(60))
+    short = " ".join(f"w{i}" for i in range(60))
+    data = [(1, "one " + long + "; end"), (2, long), (3, "start\n" + long + " three " + short), (4, short + " four"), (5, "é" * 150), (6, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    n = len(long.encode())
+    assert n > 400 > len(short.encode())
+    got = {r.doc_id: r for r in suffix_dedup.cut_repeats(docs).collect()}
+    assert {k: [tuple(x) for x in r.spans] for k, r in got.items()} == {1: [(4, 4 + n)], 2: [(0, n)], 3: [(6, 6 + n)], 4: [], 5: [], 6: []}
+    assert {k: bytes(r.kept).decode() for k, r in got.items()} == {1: "one ; end", 2: "", 3: "start\n three " + short, 4: data[3][1], 5: data[4][1], 6: ""}
+    digests = {r.doc_id: r for r in suffix_dedup.digest(suffix_dedup.cut_repeats(docs)).collect()}
+    assert [digests[k].spans for k in (1, 2, 4)] == [f"4:{4 + n}", f"0:{n}", ""]
+    want = {r[0]: r for r in _removed(data, 400)}
+    assert {k: tuple(r)[:5] for k, r in digests.items()} == want
+    # texts cut within characters, over slices of texts
+    docs = documents(spark)
+    got = suffix_dedup.cut_repeats(docs, 61, gram=20, chunk=900).collect()
+    kept = [(r.doc_id, r.n_bytes, sum(x.high - x.low for x in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got]
+    assert sorted(kept, key=lambda r: (_id(r[0]), r[1:])) == _removed(texts(docs), 61)
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     data = np.concatenate([rng.integers(97, 100, 900), np.tile(rng.integers(97, 123, 50), 9), np.full(70, 98)]).astype(np.uint8)
